@@ -6,8 +6,11 @@ from importlib import import_module
 
 #: (module, function) in the order of the operators.
 NAMED = [
+    ("op01_language", "op1_hyperdimensional"),
     ("op03_exact", "op3_content_sort"),
     ("op05_packing", "op5_best_two_fit"),
+    ("op06_zip_warc", "op6_zip_warc"),
+    ("op07_toxicity", "op7_noisy_or"),
     ("op08_planes", "op8_plane_files"),
 ]
 
