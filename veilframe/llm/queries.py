@@ -12,6 +12,7 @@ NAMED = [
     ("op06_zip_warc", "op6_zip_warc"),
     ("op07_toxicity", "op7_noisy_or"),
     ("op08_planes", "op8_plane_files"),
+    ("op10_jaccard", "op10_count_rtree"),
 ]
 
 
