@@ -1,7 +1,70 @@
-"""The corpus pipeline: toxicity, exact dedup, near-duplicate join, decontamination, packing."""
-STAGES = []
-ORACLE_SQL = None
+"""The corpus pipeline: toxicity, exact dedup, near-duplicate join, decontamination, packing.
+
+Each stage takes the documents that its predecessor kept (same columns, any extra ones too) and works on all
+of them; the last returns the packed pieces.  Rows with a null text or id go through every stage: they are
+never toxic, null texts count as empty in exact dedup, sets without words join nothing, and an empty document
+packs as one end id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.llm import op03_exact, op04_decontaminate, op05_packing, op07_toxicity, op10_jaccard
+from veilframe.llm.common import read, written
+
+
+def _those(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) among ``ids``, a column named ``_id``."""
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    model = op07_toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return op07_toxicity.accepted(docs, model)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays."""
+    kept = written(op03_exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256"), "kept")
+    out = _those(docs, kept.select("_id").distinct(), "left_semi")
+    # an id on several rows is no copy of itself unless the rows have equal texts
+    return out.dropDuplicates(["doc_id", "text"]) if kept.groupBy("_id").count().where("count > 1").limit(1).count() else out
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links join, the smallest id stays."""
+    c = op10_jaccard.jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _those(docs, c.select(F.col("doc_id").alias("_id")).distinct(), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    bad = op04_decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return _those(docs, bad.select(F.col("doc_id").alias("_id")).distinct(), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op05_packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Toxicity is a trained model: SQL can't express it.
+ORACLE_SQL = None

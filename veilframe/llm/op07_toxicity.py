@@ -119,26 +119,34 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(sorted(bags, key=lambda b: (b[0], b[3], b[1].tobytes())))
 
 
+def _logits(t: Texts, model: Model):
+    """Logit of each sentence, row offsets into sentences, sentence starts and ends; one without any word says nothing."""
+    h, of, lo, hi, edges = sentences(t)
+    z = np.full(len(lo), model.bias)
+    if len(model.words) and len(h):
+        k = np.searchsorted(model.words, h)
+        k[k == len(model.words)] = 0
+        hit = model.words[k] == h
+        z += np.bincount(of[hit], model.weights[k[hit]], len(lo))
+    z[np.bincount(of, minlength=len(lo)) == 0] = -np.inf
+    return z, edges, lo, hi
+
+
+def _total(z: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Noisy-or of each row's sentences."""
+    total, full = np.zeros(len(edges) - 1), np.flatnonzero(np.diff(edges))
+    if len(full):
+        total[full] = np.add.reduceat(softplus(z), edges[full])
+    return -np.expm1(-total)
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, and the most offending sentence: worst_score, worst_start, worst_end (UTF-8 bytes; null without a sentence)."""
-    words, weights, bias = model.words, model.weights, model.bias
 
     def run(batches):
         for b in batches:
             for t in text_chunks(b):
-                h, of, lo, hi, edges = sentences(t)
-                z = np.full(len(lo), bias)
-                if len(words) and len(h):
-                    k = np.searchsorted(words, h)
-                    k[k == len(words)] = 0
-                    hit = words[k] == h
-                    z += np.bincount(of[hit], weights[k[hit]], len(lo))
-                # a sentence without any word says nothing
-                z[np.bincount(of, minlength=len(lo)) == 0] = -np.inf
-                total = np.zeros(len(t))
-                full = np.flatnonzero(np.diff(edges))
-                if len(full):
-                    total[full] = np.add.reduceat(softplus(z), edges[full])
+                z, edges, lo, hi = _logits(t, model)
                 out = [[], [], []]
                 for i in range(len(t)):
                     own = z[edges[i] : edges[i + 1]]
@@ -146,11 +154,24 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                     out[0].append(None if at is None else float(1 / (1 + np.exp(-z[at]))))
                     out[1].append(None if at is None else int(lo[at] - t.offsets[i]))
                     out[2].append(None if at is None else int(hi[at] - t.offsets[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(-np.expm1(-total)), pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["doc_id", "score", "worst_score", "worst_start", "worst_end"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(_total(z, edges)), pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["doc_id", "score", "worst_score", "worst_start", "worst_end"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, worst_score double, worst_start long, worst_end long")
 
 
+def accepted(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that score below the threshold."""
+    text_at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text_at)], names=["doc_id", "text"])
+            good = [_total(*_logits(t, model)[:2]) < threshold for t in text_chunks(own)]
+            yield b.filter(pa.array(np.concatenate(good))) if good else b
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op7_noisy_or(spark, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = learn(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
