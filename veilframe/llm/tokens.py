@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 from functools import lru_cache
 
 #: Words that one Python worker remembers; more are encoded anew each time, with equal results.
@@ -28,26 +29,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.known.update(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))]
 
-        return [np.array(e.ids, "<u4").tobytes() if e.ids else b"" for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _composed(self, w: str) -> bytes | None:
+        """A word that ends in one stop after an ASCII letter splits there, and ASCII capitals count as small letters: the ids by known parts, if they are known."""
+        known = self.known
+        if w.isascii():
+            if (v := known.get(w.lower())) is not None and "<|" not in w:
+                return v
+            if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and (v := known.get(w[:-1].lower())) is not None and "<|" not in w:
+                return v + known[w[-1]]
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        known = self.known
-        missing = list({w for parts in split for w in parts if w not in known})
-        if not missing:
-            return [b"".join([known[w] for w in parts]) for parts in split]
-        own = dict(zip(missing, self._ids(missing), strict=True))
-        room = REMEMBERED - len(known)
-        if len(own) <= room:
-            known.update(own)
-            return [b"".join([known[w] for w in parts]) for parts in split]
-        out = [b"".join([known[w] if w in known else own[w] for w in parts]) for parts in split]
-        known.update([(w, v) for w, v in own.items() if len(w) <= LONGEST][: max(0, room)])
-        return out
+        known, out, open_ = self.known, [], {}
+        get = known.get
+        for k, x in enumerate(texts):
+            parts = x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            ids = list(map(get, parts))
+            out.append(ids)
+            at = -1
+            while True:
+                try:
+                    at = ids.index(None, at + 1)
+                except ValueError:
+                    break
+                w = parts[at]
+                if (v := self._composed(w)) is not None:
+                    ids[at] = v
+                else:
+                    open_.setdefault(w, []).append((k, at))
+        if open_:
+            own = self._ids(list(open_))
+            room = REMEMBERED - len(known)
+            for (w, places), v in zip(open_.items(), own, strict=True):
+                for k, at in places:
+                    out[k][at] = v
+                if room > 0 and len(w) <= LONGEST:
+                    known[w] = v
+                    room -= 1
+        return [b"".join(ids) for ids in out]
 
 
 @lru_cache(4)
