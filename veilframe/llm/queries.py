@@ -8,6 +8,7 @@ from importlib import import_module
 NAMED = [
     ("op01_language", "op1_hyperdimensional"),
     ("op03_exact", "op3_content_sort"),
+    ("op02_suffix", "op2_suffix_array"),
     ("op04_decontaminate", "op4_minhash_containment"),
     ("op05_packing", "op5_best_two_fit"),
     ("op06_zip_warc", "op6_zip_warc"),
