@@ -14,6 +14,7 @@ NAMED = [
     ("op06_zip_warc", "op6_zip_warc"),
     ("op07_toxicity", "op7_noisy_or"),
     ("op08_planes", "op8_plane_files"),
+    ("op09_pseudo", "op9_masked_pseudo_likelihood"),
     ("op10_jaccard", "op10_count_rtree"),
 ]
 
