@@ -442,11 +442,12 @@ def _items(c, node, env, f: Fn, body):
     return inner.scope.build().select(v.key().alias("_row"), number(cell).alias("x"))
 
 
-def _ordered(c, node, env):
-    """All items in row order, as one array: only for folds whose steps depend on each other."""
+def _ordered(c, node, env, then):
+    """``then`` of all items in row order, as one array: only for folds whose steps depend on each other."""
     v = c.eval(node, env)
     cell = v.cells()[0]
-    return v.frame().agg(F.transform(F.array_sort(F.collect_list(F.struct(v.key().alias("k"), (number(cell) if cell.kind == "number" else cell.col).alias("v")))), lambda s: s["v"])).scalar(), cell.kind
+    items = F.transform(F.array_sort(F.collect_list(F.struct(v.key().alias("k"), (number(cell) if cell.kind == "number" else cell.col).alias("v")))), lambda s: s["v"])
+    return v.frame().agg(then(items, cell.kind).alias("x"))
 
 
 @function("REDUCE", whole=True)
@@ -460,9 +461,8 @@ def _reduce(c, args, env):
         x = number(init)
         out = {"+": lambda: x + F.coalesce(got, F.lit(0.0)), "*": lambda: x * F.coalesce(got, F.lit(1.0)), "MAX": lambda: F.greatest(x, got), "MIN": lambda: F.least(x, got)}[op]()
         return Cell(out, "number", const=True)
-    items, kind = _ordered(c, args[1], env)
-    out_kind = init.kind
-    return Cell(F.aggregate(items, init.col, lambda a, v: c.apply(f, [Cell(a, out_kind), Cell(v, kind)]).col), out_kind, const=True)
+    df = _ordered(c, args[1], env, lambda items, kind: F.aggregate(items, init.col, lambda a, v: c.apply(f, [Cell(a, init.kind), Cell(v, kind)]).col))
+    return Cell(df.scalar(), init.kind, const=True)
 
 
 @function("SCAN", whole=True)
@@ -472,9 +472,7 @@ def _scan(c, args, env):
     if shape and shape[0] == "+":
         df = running(_items(c, args[1], env, f, shape[1]), F.coalesce(F.col("x"), F.lit(0.0)), "sum", "_row")
         return named(df, [number(init) + F.col("sum")])
-    items, kind = _ordered(c, args[1], env)
-    out_kind = init.kind
-    steps = F.aggregate(items, F.array(init.col), lambda a, v: F.concat(a, F.array(c.apply(f, [Cell(F.element_at(a, -1), out_kind), Cell(v, kind)]).col)))
-    df = c.book.spark.range(1).select(F.posexplode(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))).alias("_row", "c1"))
+    steps = lambda items, kind: F.aggregate(items, F.array(init.col), lambda a, v: F.concat(a, F.array(c.apply(f, [Cell(F.element_at(a, -1), init.kind), Cell(v, kind)]).col)))
+    df = _ordered(c, args[1], env, steps).select(F.posexplode(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0)))).alias("_row", "c1"))
     return Grid(df.select(F.col("_row").cast("long").alias("_row"), "c1"), ["c1"], True)
 

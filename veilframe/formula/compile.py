@@ -284,6 +284,15 @@ class Compiler:
         children = [node.left, node.right] if isinstance(node, S.Binary) else [node.operand] if isinstance(node, (S.Unary, S.Percent)) else node.args if isinstance(node, S.Call) else []
         return next((s for a in children if (s := self.has_range(a, env))), None)
 
+    def whole(self, node, env):
+        """A reference as the range it is, also where ranges stand for their cell in the row."""
+        if isinstance(node, S.Ref):
+            v = self.vec(node)
+            return v if v.lo is None or v.lo != v.hi or len(v.columns) > 1 else self.reference(node)
+        if isinstance(node, S.Struct) and node.part == "data" and self.scope.lifted:
+            return Compiler(self.book, self.home, Scope(None)).struct(node)
+        return self.eval(node, env)
+
     def lifted(self, sheet: Sheet, lo=None, hi=None, frame: DataFrame | None = None) -> Compiler:
         if frame is None:
             frame = sheet.df if lo is None else sheet.rows().where(F.col("_row").between(lo, hi))
@@ -299,7 +308,12 @@ class Compiler:
 
     def array(self, node, env, positioned: bool = False):
         """A frame and its cells, and the row order: of a range, an array, or an expression over a range; None for one value."""
-        direct = isinstance(node, (S.Ref, S.Struct, S.Name, S.Array)) or (isinstance(node, S.Call) and node.name in ARRAYS)
+        if isinstance(node, (S.Ref, S.Struct)):
+            v = self.whole(node, env)
+            if isinstance(v, (Vec, Row)):
+                return v if isinstance(v, Row) else ((v.placed() if positioned else v.frame()), v.cells(), v.key() if not positioned else F.col("_row"))
+            return None
+        direct = isinstance(node, (S.Name, S.Array)) or (isinstance(node, S.Call) and node.name in ARRAYS)
         if direct:
             v = self.eval(node, env)
             if isinstance(v, (Vec, Grid)):

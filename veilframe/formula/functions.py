@@ -224,12 +224,12 @@ def _sumproduct(c, args, env):
 
 def conditional(c: Compiler, env, value, pairs, agg, empty):
     """agg(value column) over the rows that meet all (range, criterion) pairs."""
-    target = c.eval(pairs[0][0], env)
+    target = c.whole(pairs[0][0], env)
     if not isinstance(target, (Vec, Grid)):
         raise Unsupported("criteria need a range")
     frame = target.frame()
-    ranges = [c.eval(r, env) for r, _ in pairs]
-    values = c.eval(value, env) if value is not None else target
+    ranges = [c.whole(r, env) for r, _ in pairs]
+    values = c.whole(value, env) if value is not None else target
     if any(isinstance(target, Vec) and isinstance(r, Vec) and (r.sheet is not target.sheet or (r.lo, r.hi) != (target.lo, target.hi)) for r in [*ranges, values]):
         raise S.FormulaError("C-SHAPE", "ranges of criteria differ")
     given = [c.scalar(x, env) for _, x in pairs]
@@ -474,7 +474,7 @@ def _lambda(c, args, env):
 
 
 def _range(c, node, env) -> Vec:
-    v = c.eval(node, env)
+    v = c.whole(node, env)
     if not isinstance(v, Vec):
         raise Unsupported("a lookup needs a range")
     return v

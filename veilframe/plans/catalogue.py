@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import formula_queries
+
+PARTS = [formula_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in PARTS for k, v in p.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PARTS for k, v in p.oracle_sql().items()}
