@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import formula_queries
+from . import formula_queries, privacy_queries
+from .privacy_queries import flagship
 
-PARTS = [formula_queries]
+PARTS = [privacy_queries, formula_queries]
 
 
 def queries() -> dict:
@@ -13,3 +14,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for p in PARTS for k, v in p.oracle_sql().items()}
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]
