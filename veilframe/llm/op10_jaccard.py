@@ -17,8 +17,8 @@ class, and only classes are joined.
 Nothing is capped: every pair that could reach the threshold is either verified or already joined by
 verified links.
 
-Nulls: a null text, or one without words, has an empty set and links with nothing; a null id takes part and
-is only the component id where no member has an id.  Repeated rows return a row each.  An empty table gives
+Nulls: a null text, or one without words, has an empty set and links with nothing.  A null id takes part by its
+class; a class without any id is compared with no other, and its component id is null.  Repeated rows return a row each.  An empty table gives
 an empty result.  Other columns are not read.
 """
 
@@ -33,9 +33,13 @@ from .common import id_and_text, mix, partitions, read, shingles, text_chunks, w
 from .graph import components
 
 #: Coordinates of a point, entries of a tree node, and what a block of a candidate group holds.
-GROUPS, NODE, BLOCK_DOCS, BLOCK_SHINGLES = 64, 32, 2_048, 2_000_000
+GROUPS, NODE, BLOCK_DOCS, BLOCK_SHINGLES = 64, 32, 6_144, 4_000_000
+#: Ids of open classes that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: One of so many shingles, by hash, is counted in the reduction.
 COUNTED = np.uint64(3)
+#: Shingles that a task deals out at a time.
+DEALT = 1_000_000
 
 
 def spare(n, percent: int):
@@ -80,10 +84,25 @@ def _classes(size):
 def _dealt(keys, size):
     """For each bucket the counted shingles of some documents, by class."""
 
+    def pack(s, c):
+        at = bucket(s, len(keys)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        s, c, at = s[order], c[order], at[order]
+        cuts = np.searchsorted(at, np.arange(len(keys) + 1))
+        rows = [[], [], [], []]
+        for k in np.flatnonzero(np.diff(cuts)):
+            lo, hi = cuts[k], cuts[k + 1]
+            first = np.flatnonzero(np.concatenate(([True], c[lo + 1 : hi] != c[lo : hi - 1])))
+            rows[0].append(int(keys[k]))
+            rows[1].append(s[lo:hi].tobytes())
+            rows[2].append(c[lo:hi][first].tobytes())
+            rows[3].append(np.diff(np.append(first, hi - lo)).astype(np.uint16 if hi - lo < 65536 else np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "s", "cls", "times"])
+
     def run(batches):
+        known, all_s, all_c, count = set(), [], [], 0
         for b in batches:
-            for t in text_chunks(b, 16 << 20):
-                known, all_s, all_c = set(), [], []
+            for t in text_chunks(b):
                 for _, s in sets(t, size):
                     c = class_of(s)
                     if len(s) and c not in known:
@@ -91,23 +110,12 @@ def _dealt(keys, size):
                         s = s[s % COUNTED == 0]
                         all_s.append(s)
                         all_c.append(np.full(len(s), c, np.int64))
-                if not all_s:
-                    continue
-                s, c = np.concatenate(all_s), np.concatenate(all_c)
-                at = bucket(s, len(keys)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                s, c, at = s[order], c[order], at[order]
-                cuts = np.searchsorted(at, np.arange(len(keys) + 1))
-                rows = [[], [], [], []]
-                for k in range(len(keys)):
-                    lo, hi = cuts[k], cuts[k + 1]
-                    if lo < hi:
-                        first = np.flatnonzero(np.concatenate(([True], c[lo + 1 : hi] != c[lo : hi - 1])))
-                        rows[0].append(int(keys[k]))
-                        rows[1].append(s[lo:hi].tobytes())
-                        rows[2].append(c[lo:hi][first].tobytes())
-                        rows[3].append(np.diff(np.append(first, hi - lo)).astype(np.uint16 if hi - lo < 65536 else np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "s", "cls", "times"])
+                        count += len(s)
+                if count >= DEALT:
+                    yield pack(np.concatenate(all_s), np.concatenate(all_c))
+                    known, all_s, all_c, count = set(), [], [], 0
+        if count:
+            yield pack(np.concatenate(all_s), np.concatenate(all_c))
 
     return run
 
@@ -346,8 +354,7 @@ def _verify(percent):
 def _tasks(of: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(task, cls, s, point): every pair of a candidate group whose sizes can match meets in a task."""
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
-    rows = of.join(found, F.col("cls") == F.col("node")).select(F.col("root").alias("grp"), "cls", "n", "s", "point")
-    rows = written(rows, "candidate-sets").withColumn("band", band)
+    rows = written(of.select("cls", "n").join(found, F.col("cls") == F.col("node")).select(F.col("root").alias("grp"), "cls", "n"), "candidates").withColumn("band", band)
     need = lambda docs, n: F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
     by_band = rows.groupBy("grp", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     whole = by_band.groupBy("grp").agg(need(F.sum("docs"), F.sum("n")).alias("all_parts"))
@@ -355,8 +362,8 @@ def _tasks(of: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     large = size.join(whole.where("all_parts > 1").select("grp"), "grp")
     after = large.select("grp", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     before = large.select("grp", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    large = large.join(after, ["grp", "band"], "left").join(before, ["grp", "band"], "left")
-    small = rows.join(large.select("grp").distinct(), "grp", "left_anti").select(F.struct("grp", F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("up"), F.lit(0).alias("j")).alias("task"), "cls", "s", "point")
+    large = written(large.join(after, ["grp", "band"], "left").join(before, ["grp", "band"], "left"), "blocks")
+    small = rows.join(large.select("grp").distinct(), "grp", "left_anti").select(F.struct("grp", F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("up"), F.lit(0).alias("j")).alias("task"), "cls")
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     cut = rows.join(large, ["grp", "band"]).withColumn("part", part)
     task = lambda band, i, up, j: F.struct("grp", band.alias("band"), i.alias("i"), up.alias("up"), j.alias("j"))
@@ -365,7 +372,9 @@ def _tasks(of: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     none = F.array().cast("array<struct<grp:bigint,band:int,i:int,up:int,j:int>>")
     over = F.when(F.col("above").isNotNull(), F.transform(span(F.coalesce("above", F.lit(1))), lambda j: task(F.col("band"), F.col("part"), F.lit(1), j))).otherwise(none)
     under = F.when(F.col("below").isNotNull(), F.transform(span(F.coalesce("below", F.lit(1))), lambda i: task(F.col("band") - 1, i, F.lit(1), F.col("part")))).otherwise(none)
-    return small.union(cut.select(F.explode(F.concat(own, over, under)).alias("task"), "cls", "s", "point"))
+    tasks = small.select("cls", F.array("task").alias("tasks")).union(cut.select("cls", F.concat(own, over, under)))
+    placed = tasks.select(F.col("cls").alias("of"), "tasks")
+    return of.join(placed, F.col("cls") == F.col("of")).select(F.explode("tasks").alias("task"), "cls", "s", "point")
 
 
 def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +387,8 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
     open_ = classes.join(shared, "cls", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100))
     open_ = written(open_.where("least is not null").select(F.col("least").alias("by"), "cls"), "open-classes")
-    chosen = docs.join(open_, F.col("doc_id") == F.col("by")).select("doc_id", "text", "cls").mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary")
+    near = F.broadcast if open_.count() <= BROADCAST_IDS else lambda x: x
+    chosen = docs.join(near(open_), F.col("doc_id") == F.col("by")).select("doc_id", "text", "cls").mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary")
     of = written(chosen, "open-sets")
     pairs = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(keys, percent), "bucket long, cls long, n long, prefix binary, point binary").repartition(n_parts, "bucket").mapInArrow(_candidates(percent), "a long, b long")
     found = components(pairs)
