@@ -453,6 +453,8 @@ def _ordered(c, node, env, then):
 @function("REDUCE", whole=True)
 def _reduce(c, args, env):
     init, f = c.scalar(args[0], env), c.function_of(args[2], env)
+    if isinstance(one := c.eval(args[1], env), Cell):
+        return c.apply(f, [init, one])
     if shape := _folding(f):
         op, body = shape
         df = _items(c, args[1], env, f, body)

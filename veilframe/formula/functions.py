@@ -621,9 +621,10 @@ def _row(c, args, env):
 
 @function("ROWS", whole=True)
 def _rows(c, args, env):
-    v = c.eval(args[0], env)
-    if isinstance(v, Vec) and v.lo is not None:
-        return lit(v.hi - v.lo + 1)
+    node = args[0]
+    if isinstance(node, S.Ref) and node.area.top is not None:
+        return lit(node.area.bottom - node.area.top + 1)
+    v = c.eval(node, env)
     return Cell(v.frame().agg(F.count(F.lit(1)).cast("double")).scalar(), "number", const=True)
 
 
@@ -699,33 +700,33 @@ def _texts(c, args, env):
     return [(got if (got := c.array(a, env)) is not None else c.scalar(a, env)) for a in args]
 
 
-def _joined(got, sep, skip):
-    """An argument's texts in row order, as one array."""
+def _joined(got, skip: Column | bool):
+    """An argument's texts in row order, as one array; ``skip`` leaves empty ones out."""
+    kept = lambda x: x if skip is False else F.filter(x, lambda v: (v != "") | ~F.lit(skip))
     if isinstance(got, Cell):
-        return F.array(text(got))
+        return kept(F.array(text(got)))
     if isinstance(got, Row):
-        return F.array(*(text(x) for x in got.cells))
+        return kept(F.array(*(text(x) for x in got.cells)))
     df, cells, key = got
-    rows = df.agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.array(*(text(x) for x in cells)).alias("v")))), lambda s: s["v"])).scalar()
-    return F.flatten(rows)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.array(*(text(x) for x in cells)).alias("v")))), lambda s: s["v"])
+    return df.agg(kept(F.flatten(rows)).alias("x")).scalar()
 
 
 @function("CONCAT", whole=True)
 def _concat(c, args, env):
     parts = _texts(c, args, env)
-    return Cell(F.array_join(F.concat(*(_joined(p, "", False) for p in parts)), ""), "text", const=all(isinstance(p, Cell) and p.const or isinstance(p, tuple) for p in parts))
+    return Cell(F.array_join(F.concat(*(_joined(p, False) for p in parts)), ""), "text", const=all(isinstance(p, Cell) and p.const or isinstance(p, tuple) for p in parts))
 
 
 @function("TEXTJOIN", whole=True)
 def _textjoin(c, args, env):
     sep, skip = c.scalar(args[0], env), c.scalar(args[1], env)
+    if skip.value is None:
+        raise Unsupported("whether empty texts are left out must be a constant")
     parts = _texts(c, args[2:], env)
-    every = F.concat(*(_joined(p, "", False) for p in parts))
-    kept = F.when(truth(skip), F.filter(every, lambda v: v != "")).otherwise(every)
+    every = F.concat(*(_joined(p, bool(skip.value)) for p in parts))
     const = sep.const and all(isinstance(p, Cell) and p.const or isinstance(p, tuple) for p in parts)
-    if isinstance(sep.value, str):
-        return Cell(F.array_join(kept, sep.value), "text", const=const)
-    return Cell(F.call_function("array_join", kept, text(sep)), "text", const=const)
+    return Cell(F.call_function("array_join", every, text(sep)), "text", const=const)
 
 
 #: The date letters of format codes, as Spark writes them.
@@ -899,6 +900,10 @@ def _weekend(c, node, env) -> list[int]:
     return [(n + 4) % 7, (n + 5) % 7] if n <= 7 else [(n - 12) % 7]
 
 
+#: Days off that a calendar holds at most: they are read once and are part of the expression.
+MOST_HOLIDAYS = 4_000
+
+
 def _holidays(c, node, env) -> Column:
     if node is None:
         return F.array().cast("array<date>")
@@ -907,7 +912,10 @@ def _holidays(c, node, env) -> Column:
         return F.array(date(c.scalar(node, env)))
     if isinstance(got, Row):
         return F.array(*(date(x) for x in got.cells))
-    return got[0].agg(F.collect_set(date(Cell(got[1][0].col, got[1][0].kind)))).scalar()
+    days = got[0].select(date(Cell(got[1][0].col, got[1][0].kind)).alias("d")).where("d is not null").distinct().limit(MOST_HOLIDAYS + 1).collect()
+    if len(days) > MOST_HOLIDAYS:
+        raise Unsupported(f"more than {MOST_HOLIDAYS} holidays")
+    return F.array(*(F.lit(r["d"]) for r in days)).cast("array<date>")
 
 
 def _worked(day: Column, off, holidays) -> Column:
