@@ -56,12 +56,14 @@ def variants(value: str, canary: bool = False) -> list[Form]:
     for x in plain_letters(spaced):
         add(x, "normalized", whole)
     words = re.findall(rf"{_LETTER}+(?:['’-]{_LETTER}+)*", spaced)
+    words += [p for w in words if re.search(r"['’-]", w) for p in re.split(r"['’-]", w)]
     for w in words:
         add(w, "word", "word")
         for x in plain_letters(w):
             add(x, "word", "word")
         if re.search(r"['’-]", w):
             add(re.sub(r"['’-]", "", w), "word", "word")
+    words = re.findall(rf"{_LETTER}+(?:['’-]{_LETTER}+)*", spaced)
     if len(words) > 1:
         for sep in ("", "_", ".", "-"):
             add(sep.join(words), "normalized", "any")
