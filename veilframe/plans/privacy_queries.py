@@ -202,10 +202,10 @@ def _p12(s, d):
     return profile.sample(read(s, d, "orders"), "o_orderpriority", ["o_orderkey"]).select("text")
 
 
-@query("p13_value_patterns", "SELECT 200 AS n, FALSE AS email, FALSE AS phone, FALSE AS ssn, FALSE AS id, FALSE AS free_text")
+@query("p13_value_patterns", "SELECT CAST(least(200, (SELECT count(*) FROM customer WHERE c_name <> '')) AS INTEGER) AS n, FALSE AS email, FALSE AS phone, FALSE AS ssn, FALSE AS id, FALSE AS free_text")
 def _p13(s, d):
     c = read(s, d, "customer")
-    return profile.value_patterns(profile.sample(c, "c_name", ["c_custkey"]), "text").withColumn("n", F.col("n").cast("int")).withColumn("id", F.lit(False) & F.col("id"))
+    return profile.value_patterns(profile.sample(c, "c_name", ["c_custkey"]), "text").withColumn("n", F.col("n").cast("int"))
 
 
 @query("p14_suggest")
