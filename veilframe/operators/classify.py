@@ -105,26 +105,49 @@ def shares(df: DataFrame, column: str, order: list[str]) -> tuple[float, float]:
 
 def suggest(df: DataFrame, order: list[str], headers: bool = True, profiles: list[ColumnInfo] | None = None) -> list[Policy]:
     """A policy for each column: header words, then values; without headers all are private."""
-    out = []
     columns = [c for c in df.columns if c != "_row"]
-    for info, column in zip(profiles or infos(df.select(*columns)), columns, strict=True):
+    profiles = profiles or infos(df.select(*columns))
+    rows = df.agg(F.count("*")).first()[0]
+    found = patterns(df, columns, order, {c: i.type for c, i in zip(columns, profiles, strict=True)}, rows)
+    out = []
+    for info, column in zip(profiles, columns, strict=True):
         reasons = [f"the header says {k}" for k in header_keywords(info.header)] if headers else ["there is no header"]
-        found = value_patterns(sample(df, column, order), info.type).first()
-        reasons += [f"values look like {w}" for k, w in (("email", "e-mail addresses"), ("phone", "phone numbers"), ("ssn", "social security numbers"), ("id", "identifiers")) if found[k]]
-        free = info.type in ("text", "mixed") and (info.avg_words or 0) > 6
-        if free:
+        reasons += [f"values look like {w}" for k, w in (("email", "e-mail addresses"), ("phone", "phone numbers"), ("ssn", "social security numbers"), ("id", "identifiers")) if found[column][k]]
+        textual = info.type in ("text", "mixed")
+        if textual and (info.avg_words or 0) > 6:
             reasons.append("it holds free text")
-        out.append((info, column, reasons, free))
-    rows = df.agg(F.count("*")).first()[0]
-    done = []
-    for info, _, reasons, free in out:
-        private = bool(reasons)
         filled = rows - info.blank
-        if not private and info.type in ("text", "mixed") and filled and info.distinct / filled > 0.5:
-            private, reasons = True, ["most values differ"]
+        if not reasons and textual and filled and info.distinct / filled > 0.5:
+            reasons.append("most values differ")
+        private, free = bool(reasons), "it holds free text" in reasons
         treatment = ("exclude" if free else default_treatment(info.type)) if private else "as_is"
-        done.append(Policy(info.letter, private, treatment, alias_for(info.header, info.letter) if private else None, None, tuple(reasons)))
-    return done
+        out.append(Policy(info.letter, private, treatment, alias_for(info.header, info.letter) if private else None, None, tuple(reasons)))
+    return out
+
+
+#: Rows that are read at once to find each column's first filled cells.
+HEAD_ROWS = 1_000
+
+
+def patterns(df: DataFrame, columns: list[str], order: list[str], kinds: dict[str, str], rows: int) -> dict[str, dict]:
+    """Value patterns of every column: one job reads the first rows; a column with too few filled cells there is sampled by itself."""
+    head = df.orderBy(*order).select(*columns).limit(HEAD_ROWS).collect()
+    cells, late = [], []
+    for c in columns:
+        own = [r[c] for r in head if r[c] is not None and str(r[c]) != ""][:SAMPLE_CELLS]
+        if len(own) < SAMPLE_CELLS and rows > HEAD_ROWS:
+            late.append(c)
+        cells += [(c, str(v), float(v) if isinstance(v, (int, float)) else None) for v in own]
+    local = df.sparkSession.createDataFrame(cells, "column string, text string, value double")
+    out = {c: dict.fromkeys(("email", "phone", "ssn", "id", "free_text"), False) for c in columns}
+    for kind in ("text", "number", "other"):
+        own = [c for c in columns if (kinds[c] if kinds[c] in ("text", "number") else "other") == kind and c not in late]
+        if own:
+            for r in value_patterns(local.where(F.col("column").isin(own)).groupBy("column"), kind).collect():
+                out[r["column"]] = r.asDict()
+    for c in late:
+        out[c] = value_patterns(sample(df, c, order), kinds[c]).first().asDict()
+    return out
 
 
 def alias_for(header: str, letter: str) -> str | None:
