@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import op03_exact, op04_decontaminate, op05_packing, op07_toxicity, op10_jaccard
-from veilframe.llm.common import read, written
+from veilframe.llm.common import held, read, written
 
 
 def _those(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    kept = written(op03_exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256"), "kept")
+    kept = held(op03_exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256"))
     out = _those(docs, kept.select("_id").distinct(), "left_semi")
     # an id on several rows is no copy of itself unless the rows have equal texts
     return out.dropDuplicates(["doc_id", "text"]) if kept.groupBy("_id").count().where("count > 1").limit(1).count() else out

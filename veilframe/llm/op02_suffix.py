@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, id_and_text, mix, partitions, read, text_chunks, written
+from .common import BYTE, id_and_text, mix, partitions, read, text_chunks
 from .op10_jaccard import bucket, deal
 
 WIDTH, GRAM = 100, 32
@@ -436,10 +436,10 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     docs = id_and_text(df, id_col, text_col)
     keys = deal(spark, n)
     again = docs.mapInArrow(_deal_anchors(keys, width), "bucket long, h binary, at binary, ids binary, cls binary, times binary").repartition(n, "bucket").mapInArrow(_repeated, "doc long, places binary")
-    again = written(again, "repeated-anchors").groupBy("doc").agg(F.collect_list("places").alias("places"))  # a document's own
+    again = again.groupBy("doc").agg(F.collect_list("places").alias("places"))  # a document's own
     digest = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("own"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     least = digest.groupBy("sha").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least")
-    copies = written(digest.join(least, "sha").where("own > least").select("own").distinct(), "copies").withColumn("copy", F.lit(True))
+    copies = digest.join(least, "sha").where("own > least").select("own").distinct().withColumn("copy", F.lit(True))
     keyed = docs.withColumn("own", F.coalesce("doc_id", F.lit(_FIRST)))
     contexts = keyed.join(again, keyed["own"] == again["doc"], "inner").select("doc_id", "text", "places", "own").sortWithinPartitions("own").drop("own").mapInArrow(_contexts(width), "key long, doc long, at long, text binary")
     found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, spans binary").groupBy("doc").agg(F.collect_list("spans").alias("found"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, partitions, read, written
+from .common import held, id_and_text, partitions, read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a text that the splitters hold; the sort itself compares whole texts.
@@ -73,7 +73,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = id_and_text(df, id_col, text_col).select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).cast("binary").alias("norm"))
     t = t.withColumns({"head": F.substring("norm", 1, SPLITTER_CHARS), "whole": F.xxhash64("norm")})
     ordered = t.repartitionByRange(partitions(spark), "head", "whole", "doc_id").sortWithinPartitions("head", "whole", "norm", "doc_id")
-    found = written(ordered.select("doc_id", "norm").mapInArrow(_neighbours, _ROWS), "exact-runs")
+    found = held(ordered.select("doc_id", "norm").mapInArrow(_neighbours, _ROWS))
     edges = found.where("edge").groupBy("text_sha256").agg(F.count("*").alias("all_n"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi"))
     # at most two runs of a partition touch its edges: so many digests, whatever the number of rows
     joined = found.join(F.broadcast(edges) if partitions(spark) <= 100_000 else edges, "text_sha256", "left")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, read, written
+from .common import held, id_and_text, read
 
 #: 16 bytes each: at most about 32 MB of hashes go to every executor.
 BROADCAST_HASHES = 2_000_000
@@ -46,12 +46,12 @@ def item_sketches(items: DataFrame, percent: int = 80, size: int = 5) -> DataFra
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, matched, item_shingles, containment: every document with every item that it contains."""
-    sketches = written(item_sketches(id_and_text(items, item_col, item_text_col), percent, size).distinct(), "item-sketches")
+    sketches = held(item_sketches(id_and_text(items, item_col, item_text_col), percent, size).distinct())
     near = F.broadcast if sketches.count() <= BROADCAST_HASHES else lambda x: x
     known = sketches.select("h").distinct()
     rows = hashed(id_and_text(docs, id_col, text_col), size)
     hits = rows.select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h")).join(near(known), "h").groupBy("doc_id", "h").agg(F.max("n").alias("n"))
-    hits = written(hits, "hits")
+    hits = held(hits)
     # search: in the partitions of items that such a document can contain
     least = F.col("q") * percent <= F.col("n") * 100
     found = hits.join(near(sketches.where("sketch")), "h").where((F.pow(F.lit(2), "size_class") * percent <= F.col("n") * 100) & least).select(F.col("doc_id").alias("doc"), F.col("item_id").alias("item")).distinct()

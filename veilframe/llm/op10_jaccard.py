@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, mix, partitions, read, shingles, text_chunks, words, written
+from .common import held, id_and_text, mix, partitions, read, shingles, text_chunks, words, written
 from .graph import components
 
 #: Coordinates of a point, entries of a tree node, and what a block of a candidate group holds.
@@ -381,7 +381,7 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     """doc_id, n_shingles, component_id, class_id (a set's identity) for every row."""
     spark = df.sparkSession
     docs, n_parts = id_and_text(df, id_col, text_col), partitions(df.sparkSession)
-    members = written(docs.mapInArrow(_classes(size), "doc_id long, n long, cls long, counted long"), "classes")
+    members = held(docs.mapInArrow(_classes(size), "doc_id long, n long, cls long, counted long"))
     classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.count("*").alias("rows"))
     keys = deal(spark, n_parts)
     shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
@@ -389,9 +389,9 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     open_ = written(open_.where("least is not null").select(F.col("least").alias("by"), "cls"), "open-classes")
     near = F.broadcast if open_.count() <= BROADCAST_IDS else lambda x: x
     chosen = docs.join(near(open_), F.col("doc_id") == F.col("by")).select("doc_id", "text", "cls").mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary")
-    of = written(chosen, "open-sets")
+    of = held(chosen)
     pairs = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(keys, percent), "bucket long, cls long, n long, prefix binary, point binary").repartition(n_parts, "bucket").mapInArrow(_candidates(percent), "a long, b long")
-    found = components(pairs)
+    found = written(components(pairs), "groups")
     tasks = _tasks(of, found, percent)
     links = tasks.repartition(n_parts, "task").sortWithinPartitions("task").select(F.to_json("task").alias("task"), "cls", "s", "point").mapInArrow(_verify(percent), "a long, b long")
     roots = written(components(links), "roots")
