@@ -114,9 +114,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 cut = np.searchsorted(of, edges)
                 yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in t.ids]), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(len(t))]), pa.array([(of[cut[i] : cut[i + 1]] - edges[i]).astype(np.int32).tobytes() for i in range(len(t))]), pa.array(np.diff(edges))], names=["toxic", "h", "of", "n"])
 
-    got = rows.mapInArrow(run, "toxic long, h binary, of binary, n long").collect()
-    bags = [(r["toxic"], np.frombuffer(bytes(r["h"]), np.uint64), np.frombuffer(bytes(r["of"]), np.int32), r["n"]) for r in got]
-    return fit(sorted(bags, key=lambda b: (b[0], b[3], b[1].tobytes())))
+    def whole(batches):
+        """The sample is bounded, so that one task can learn from all of it; the driver receives the model alone."""
+        bags = []
+        for b in batches:
+            for y, h, of, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                bags.append((y, np.frombuffer(h.as_py(), np.uint64), np.frombuffer(of.as_py(), np.int32), n))
+        m = fit(sorted(bags, key=lambda b: (b[0], b[3], b[1].tobytes())))
+        yield pa.RecordBatch.from_arrays([pa.array([m.words.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.bias])], names=["words", "weights", "bias"])
+
+    bags = rows.mapInArrow(run, "toxic long, h binary, of binary, n long")
+    r = bags.repartition(1).mapInArrow(whole, "words binary, weights binary, bias double").first()
+    return fit([]) if r is None else Model(np.frombuffer(bytes(r["words"]), np.uint64), np.frombuffer(bytes(r["weights"])), r["bias"])
 
 
 def _logits(t: Texts, model: Model):
