@@ -102,6 +102,13 @@ def test_suffix_empty_table_and_repeated_rows(spark):
     assert suffix(spark, data) == brute_spans(data)
 
 
+def test_suffix_rows_that_share_an_id(spark):
+    r = random.Random(9)
+    a, b = sentence(r, 40), sentence(r, 40)
+    data = [(5, a + " x " + b), (5, a + " y"), (5, "zz " + a), (7, b + a), (None, b), (None, a[:150])]
+    assert suffix(spark, data) == brute_spans(data)
+
+
 def test_difference_cover_ranks():
     r = np.random.default_rng(4)
     for n in (1, 2, 3, 5, 30, 200, 900):

@@ -18,7 +18,7 @@ document and earlier start).  Strings are judged on the input.
 Documents equal to an earlier one as a whole are known by digest and skip 2 and 3.
 
 Nulls: a null text is empty; a null id comes before all others.  Rows that share an id are each judged
-against all others; at the same id and start neither is the earlier.  An empty table gives an empty result.
+against all others (a row is known by its id and its text); at the same id and start neither is the earlier.  An empty table gives an empty result.
 Other columns are not read.
 """
 
@@ -176,24 +176,24 @@ def _repeated(batches):
 
 
 class _Spans:
-    """Removed stretches by document, given out as one row per document."""
+    """Removed stretches by document (id and digest), given out as one row per document."""
 
     def __init__(self):
-        self.doc, self.lo, self.hi = [], [], []
+        self.doc, self.cls, self.lo, self.hi = [], [], [], []
 
-    def add(self, doc, lo, hi):
-        self.doc.append(doc), self.lo.append(lo), self.hi.append(hi)
+    def add(self, doc, cls, lo, hi):
+        self.doc.append(doc), self.cls.append(cls), self.lo.append(lo), self.hi.append(hi)
 
     def rows(self):
         if not self.doc:
             return
-        doc, lo, hi = (np.concatenate([np.atleast_1d(v) for v in x]).astype(np.int64) for x in (self.doc, self.lo, self.hi))
+        doc, cls, lo, hi = (np.concatenate([np.atleast_1d(v) for v in x]).astype(np.int64) for x in (self.doc, self.cls, self.lo, self.hi))
         self.__init__()
-        order = np.lexsort((lo, doc))
-        doc, lo, hi = doc[order], lo[order], hi[order]
-        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        order = np.lexsort((lo, cls, doc))
+        doc, cls, lo, hi = doc[order], cls[order], lo[order], hi[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (cls[1:] != cls[:-1]))))
         for a, z in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
-            yield int(doc[a]), *merged(lo[a:z], hi[a:z])
+            yield int(doc[a]), int(cls[a]), *merged(lo[a:z], hi[a:z])
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,12 +206,12 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], top[np.append(first[1:], len(lo)) - 1]
 
 
-_CONTEXT = [("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("text", pa.binary())]
+_CONTEXT = [("key", pa.int64()), ("doc", pa.int64()), ("cls", pa.int64()), ("at", pa.int64()), ("text", pa.binary())]
 
 
 def _span_rows(spans: _Spans):
     """Finished stretches travel as rows of their own: place -1, the pairs in the bytes."""
-    return [(doc, doc, -1, np.stack([lo, hi]).tobytes()) for doc, lo, hi in spans.rows()]
+    return [(doc, doc, cls, -1, np.stack([lo, hi]).tobytes()) for doc, cls, lo, hi in spans.rows()]
 
 
 def _contexts(width):
@@ -221,7 +221,7 @@ def _contexts(width):
         seen, spans, rows, size = {}, _Spans(), [], 0
         flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), _CONTEXT, strict=True)], names=[n for n, _ in _CONTEXT])
         for b in batches:
-            places = b.column(b.schema.get_field_index("places"))
+            places, digests = b.column(b.schema.get_field_index("places")), b.column(b.schema.get_field_index("cls")).to_pylist()
             base = 0
             for t in text_chunks(b):
                 row, at, h, lo, hi = anchors(t, width)
@@ -235,18 +235,19 @@ def _contexts(width):
                     own = at[edges[i] : edges[i + 1]] - t.offsets[i]
                     k = np.searchsorted(own, wanted >> 1)
                     ok = (k < len(own)) & (own[np.minimum(k, len(own) - 1)] == wanted >> 1) if len(own) else np.zeros(len(wanted), bool)
-                    doc, off = int(ids[i]), int(t.offsets[i])
+                    doc, cls, off = int(ids[i]), digests[base + i], int(t.offsets[i])
                     for j, flag in zip((k[ok] + edges[i]).tolist(), (wanted[ok] & 1).tolist(), strict=True):
                         a, z = int(lo[j]), int(hi[j])
                         pieces = [(None, p, p + width) for p in range(a, z + 1)] if flag else [(int(h[j].astype(np.int64)), a, z + width)]
                         for key, p, q in pieces:
                             text = raw[p:q]
                             mark = hashlib.blake2b(text, digest_size=16).digest() + (b"" if key is None else b"+")
-                            if seen.setdefault(mark, (doc, p - off)) != (doc, p - off):
-                                if seen[mark] < (doc, p - off):
-                                    spans.add(doc, p - off, q - off)
+                            first = seen.setdefault(mark, (doc, p - off))
+                            if first < (doc, p - off):
+                                spans.add(doc, cls, p - off, q - off)
                                 continue
-                            rows.append((int.from_bytes(mark[:8], "little", signed=True) if key is None else key, doc, p - off, text))
+                            seen[mark] = (doc, p - off)
+                            rows.append((int.from_bytes(mark[:8], "little", signed=True) if key is None else key, doc, cls, p - off, text))
                             size += q - p
                     if size >= 4 << 20:
                         yield flush(rows)
@@ -318,19 +319,23 @@ def suffix_ranks(s: np.ndarray, span: int, width: int) -> np.ndarray:
     return out + 1
 
 
-def repeats(texts: list[bytes], width: int = WIDTH):
-    """For windows of texts that are listed from the earliest to the latest: (text, offset) of those that an earlier text has too."""
+def repeats(texts: list[bytes], width: int = WIDTH, ranks: np.ndarray | None = None):
+    """For windows of texts that are listed from the earliest to the latest: (text, offset) of those that an earlier text has too.
+
+    ranks: of the texts by place, where some share one; by default each comes after those before it.
+    """
+    earlier = np.arange(len(texts)) if ranks is None else ranks
     sizes = np.array([len(x) for x in texts])
     data = np.frombuffer(b"".join([x + b"\0" for x in texts]), np.uint8)
     first = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     s = data.astype(np.int64) + 2
     s[first + sizes] = 1  # ends, below all bytes
-    ranks = suffix_ranks(s, 1, width)
+    suffixes = suffix_ranks(s, 1, width)
     count = np.maximum(sizes - width + 1, 0)
     of = np.repeat(np.arange(len(texts)), count)
     offset = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)))[:-1], count)
     start = first[of] + offset
-    order = np.lexsort((of, ranks[start]))
+    order = np.lexsort((of, suffixes[start]))
     start, of, offset = start[order], of[order], offset[order]
     # compare prefixes of adjacent suffixes
     same = np.zeros(len(start), bool)
@@ -339,8 +344,8 @@ def repeats(texts: list[bytes], width: int = WIDTH):
         z = min(len(start), i + 32768)
         same[i:z] = (view[start[i:z]] == view[start[i - 1 : z - 1]]).all(1)
     run = np.cumsum(~same) - 1
-    least = np.minimum.reduceat(of, np.flatnonzero(~same)) if len(of) else of
-    late = of > least[run] if len(of) else np.zeros(0, bool)
+    least = np.minimum.reduceat(earlier[of], np.flatnonzero(~same)) if len(of) else of
+    late = earlier[of] > least[run] if len(of) else np.zeros(0, bool)
     return of[late], offset[late]
 
 
@@ -355,33 +360,39 @@ def _find(width):
             texts = [x for g in groups for x in g]
             if texts:
                 # groups don't share windows, so an earlier text of the list is one of the same group
-                of, offset = repeats([x[2] for x in texts], width)
-                doc, at = np.array([x[0] for x in texts]), np.array([x[1] for x in texts])
-                spans.add(doc[of], at[of] + offset, at[of] + offset + width)
+                doc, at, cls = (np.array([x[k] for x in texts], np.int64) for k in (0, 1, 2))
+                after = np.concatenate(([0], np.cumsum((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))))
+                of, offset = repeats([x[3] for x in texts], width, after)
+                spans.add(doc[of], cls[of], at[of] + offset, at[of] + offset + width)
+                for i, x in enumerate(texts):  # rows that share an id, with the same bytes at the same place
+                    for other in x[4][1:]:
+                        own = offset[of == i]
+                        spans.add(np.full(len(own), x[0]), np.full(len(own), other), x[1] + own, x[1] + own + width)
             groups.clear()
 
         for b in batches:
-            for k, doc, at, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, doc, cls, at, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if at < 0:
                     lo, hi = np.frombuffer(text, np.int64).reshape(2, -1)
-                    spans.add(np.full(len(lo), doc), lo, hi)
+                    spans.add(np.full(len(lo), doc), np.full(len(lo), cls), lo, hi)
                     continue
                 if k != key:
                     if len(held) > 1:
-                        groups.append([(d, a, x) for x, (d, a) in held.items()])
+                        groups.append([(w[0], w[1], w[2][0], x, w[2]) for x, w in held.items()])
                         size += sum(map(len, held))
                         if size >= SORT_BYTES:
                             sort()
                             size = 0
                     key, held = k, {}
-                if text not in held:
-                    held[text] = (doc, at)
-                elif held[text] != (doc, at):
-                    spans.add(doc, at, at + len(text))
+                first = held.setdefault(text, (doc, at, [cls]))
+                if first[:2] != (doc, at):
+                    spans.add(doc, cls, at, at + len(text))
+                elif cls not in first[2]:
+                    first[2].append(cls)
             if len(spans.doc) > 100_000:
                 yield from _span_batches(spans)
         if len(held) > 1:
-            groups.append([(d, a, x) for x, (d, a) in held.items()])
+            groups.append([(w[0], w[1], w[2][0], x, w[2]) for x, w in held.items()])
         sort()
         yield from _span_batches(spans)
 
@@ -389,9 +400,10 @@ def _find(width):
 
 
 def _span_batches(spans):
-    rows = [(doc, np.stack([lo, hi]).tobytes()) for doc, lo, hi in spans.rows()]
+    rows = [(doc, cls, np.stack([lo, hi]).tobytes()) for doc, cls, lo, hi in spans.rows()]
     for i in range(0, len(rows), 4096):
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 4096]], pa.int64()), pa.array([r[1] for r in rows[i : i + 4096]], pa.binary())], names=["doc", "spans"])
+        some = list(zip(*rows[i : i + 4096], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())], names=["doc", "cls", "spans"])
 
 
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
@@ -440,10 +452,10 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     digest = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("own"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     least = digest.groupBy("sha").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least")
     copies = digest.join(least, "sha").where("own > least").select("own").distinct().withColumn("copy", F.lit(True))
-    keyed = docs.withColumn("own", F.coalesce("doc_id", F.lit(_FIRST)))
-    contexts = keyed.join(again, keyed["own"] == again["doc"], "inner").select("doc_id", "text", "places", "own").sortWithinPartitions("own").drop("own").mapInArrow(_contexts(width), "key long, doc long, at long, text binary")
-    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, spans binary").groupBy("doc").agg(F.collect_list("spans").alias("found"))
-    all_ = keyed.join(found, keyed["own"] == found["doc"], "left").join(copies.withColumnRenamed("own", "copied"), F.col("own") == F.col("copied"), "left")
+    keyed = docs.withColumns({"own": F.coalesce("doc_id", F.lit(_FIRST)), "cls": F.xxhash64("text")})
+    contexts = keyed.join(again, keyed["own"] == again["doc"], "inner").select("doc_id", "text", "places", "cls", "own").sortWithinPartitions("own").drop("own").mapInArrow(_contexts(width), "key long, doc long, cls long, at long, text binary")
+    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, cls long, spans binary").groupBy("doc", "cls").agg(F.collect_list("spans").alias("found")).withColumnRenamed("cls", "of")
+    all_ = keyed.join(found, (keyed["own"] == found["doc"]) & (keyed["cls"] == found["of"]), "left").join(copies.withColumnRenamed("own", "copied"), F.col("own") == F.col("copied"), "left")
     return all_.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found").mapInArrow(_cut(width), _CUT)
 
 
