@@ -63,8 +63,11 @@ def fold_map(text: str) -> tuple[str, list[int], list[bool]]:
     return "".join(out), at, gaps
 
 
+#: Latin letters with marks, and without.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčřďěňťůąółż"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszcrdentuaolz"
+
+
 def folded(c: Column) -> Column:
     """The cheap subset inside the JVM: case and Latin accents."""
-    plain = "aaaaaaceeeeiiiinooooouuuuyyszcrdentuaolz"
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčřďěňťůąółż"
-    return F.translate(F.lower(c), marked, plain)
+    return F.translate(F.lower(c), MARKED, PLAIN)

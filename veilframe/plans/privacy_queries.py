@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..formula import FUNCTIONS, Context, Workbook, gate
 from ..formula.syntax import Area
 from ..functions import dates, numbers, shapes
-from ..functions.folding import fold, folded
+from ..functions.folding import MARKED, PLAIN, fold, folded
 from ..functions.variants import variants
 from ..operators import audit, bench, classify, leakscan, mask, partial, profile, requests, restore, substitute
 from ..sources import rows as R
@@ -362,7 +362,8 @@ def _t16(s, d):
     return substitute.substituted(texts, "text", small(s, [("zq marker", "PERSON_001"), ("Yx  Other", "PERSON_002")], "value string, token string"))
 
 
-Q["t17_fold"] = lambda s, d: read(s, d, "documents").select("doc_id", folded(F.substring("text", 1, 60)).alias("folded"))
+Q["t17_fold"] = lambda s, d: read(s, d, "documents").select("doc_id", folded(F.col("text")).alias("folded"))
+SQL["t17_fold"] = f"SELECT doc_id, translate(lower(text), '{MARKED}', '{PLAIN}') AS folded FROM documents"
 Q["t18_invisible"] = lambda s, d: small(s, [(1, fold("Ana​ Mar­ia")), (2, fold("ＡＢＣ１２３")), (3, fold("ΣΊΣΥΦΟΣ") )], "k int, folded string")
 SQL["t18_invisible"] = "SELECT * FROM (VALUES (1, 'ana maria'), (2, 'abc123'), (3, 'σισυφοσ')) t(k, folded)"
 Q["t19_variants"] = lambda s, d: small(s, [(v, [f.text for f in variants(v)]) for v in ("Seán O'Brien", "(831) 555-0199", "ana.ruiz@ex.org", "EMP-00123", "83500")], "value string, forms array<string>")
