@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has a probability (logistic, over its words), and the
+A document is a bag of sentences.  Each sentence has a probability (logistic, over its distinct words), and the
 document's is their noisy-or: 1 - product(1 - p).  Only document labels are learned from; the gradient
 shares a document's label out over its sentences, so the model also says which sentences offend.
 
@@ -48,6 +48,12 @@ def sentences(t: Texts):
     return run_hashes(LOWER[t.data], w_start, w_end), np.searchsorted(s_start, w_start, "right") - 1, s_start, s_end, np.searchsorted(s_start, t.offsets)
 
 
+def once(of: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature counts once in a sentence, so that length by itself adds nothing up."""
+    pair = np.unique(of.astype(np.int64) * FEATURES + k)
+    return pair // FEATURES, pair % FEATURES
+
+
 def softplus(z):
     return np.logaddexp(0, z)
 
@@ -73,8 +79,9 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray, int]], rounds: int = 400,
         k = np.searchsorted(vocabulary, h)
         k[k == len(vocabulary)] = 0
         hit = (vocabulary[k] == h) if len(vocabulary) else np.zeros(len(h), bool)
-        kept, of = np.unique(of[hit], return_inverse=True)
-        w.append(k[hit]), s.append(of + base), d.append(np.full(len(kept), i))
+        of, k = once(of[hit], k[hit])
+        kept, of = np.unique(of, return_inverse=True)
+        w.append(k), s.append(of + base), d.append(np.full(len(kept), i))
         n_others[i], base = n - len(kept), base + len(kept)
     w, s, d = (np.concatenate(x) for x in (w, s, d))
     theta, bias = np.zeros(len(vocabulary)), -6.0
@@ -136,7 +143,8 @@ def _logits(t: Texts, model: Model):
         k = np.searchsorted(model.words, h)
         k[k == len(model.words)] = 0
         hit = model.words[k] == h
-        z += np.bincount(of[hit], model.weights[k[hit]], len(lo))
+        at, k = once(of[hit], k[hit])
+        z += np.bincount(at, model.weights[k], len(lo))
     z[np.bincount(of, minlength=len(lo)) == 0] = -np.inf
     return z, edges, lo, hi
 
