@@ -413,7 +413,7 @@ def _cut(width):
     def run(batches):
         for b in batches:
             copy = b.column(b.schema.get_field_index("copy")).to_pylist()
-            found = b.column(b.schema.get_field_index("found"))
+            found, digests = b.column(b.schema.get_field_index("found")), b.column(b.schema.get_field_index("cls")).to_pylist()
             rows, base = [], 0
             for t in text_chunks(b):
                 for i in range(len(t)):
@@ -422,7 +422,7 @@ def _cut(width):
                     if copy[base + i]:
                         if len(raw) >= width:
                             lo, hi = np.array([0]), np.array([len(raw)])
-                    elif parts := found[base + i].as_py():
+                    elif parts := [x["spans"] for x in found[base + i].as_py() or [] if x["cls"] == digests[base + i]]:
                         lo, hi = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in parts], axis=1)
                         order = np.argsort(lo, kind="stable")
                         lo, hi = merged(lo[order], hi[order])
@@ -454,9 +454,10 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     copies = digest.join(least, "sha").where("own > least").select("own").distinct().withColumn("copy", F.lit(True))
     keyed = docs.withColumns({"own": F.coalesce("doc_id", F.lit(_FIRST)), "cls": F.xxhash64("text")})
     contexts = keyed.join(again, keyed["own"] == again["doc"], "inner").select("doc_id", "text", "places", "cls", "own").sortWithinPartitions("own").drop("own").mapInArrow(_contexts(width), "key long, doc long, cls long, at long, text binary")
-    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, cls long, spans binary").groupBy("doc", "cls").agg(F.collect_list("spans").alias("found")).withColumnRenamed("cls", "of")
-    all_ = keyed.join(found, (keyed["own"] == found["doc"]) & (keyed["cls"] == found["of"]), "left").join(copies.withColumnRenamed("own", "copied"), F.col("own") == F.col("copied"), "left")
-    return all_.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found").mapInArrow(_cut(width), _CUT)
+    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, cls long, spans binary").groupBy("doc").agg(F.collect_list(F.struct("cls", "spans")).alias("found"))
+    # both joins of the texts are by the id alone, so that the texts are dealt out once
+    all_ = keyed.join(found, keyed["own"] == found["doc"], "left").join(copies.withColumnRenamed("own", "copied"), F.col("own") == F.col("copied"), "left")
+    return all_.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "cls", "found").mapInArrow(_cut(width), _CUT)
 
 
 def op2_suffix_array(spark, sf_dir: str) -> DataFrame:
