@@ -38,9 +38,9 @@ WIDTH, GRAM = 100, 32
 #: Texts beyond which an anchor is dealt out by window.
 HOT = 2_000
 #: Bytes of contexts that one suffix sort takes (more only if one anchor has more).
-SORT_BYTES = 1_500_000
+SORT_BYTES = 600_000
 #: Anchors that a task deals out at a time.
-DEALT = 400_000
+DEALT = 200_000
 _PLACE = np.uint64((1 << 28) - 1)
 _FIRST = -(1 << 63)
 
@@ -103,7 +103,7 @@ def _deal_anchors(keys, width):
         lone[order[1:]] = cls[order[1:]] != cls[order[:-1]]
         use = lone[row]
         row, at, h = row[use], at[use], h[use]
-        where = bucket(h, len(keys)).astype(np.int64)
+        where = bucket(mix(h), len(keys)).astype(np.int64)  # anchors are smallest hashes: their own high bits are all alike
         order = np.argsort(where, kind="stable")
         row, at, h, where = row[order], at[order], h[order], where[order]
         cuts = np.searchsorted(where, np.arange(len(keys) + 1))
