@@ -186,6 +186,47 @@ def test_jaccard_large_group_in_blocks(spark, monkeypatch):
     assert jaccard(spark, data) == brute_components(data)
 
 
+def brute_forest(sets, percent=80):
+    up = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if op10_jaccard.linked(sets[a], sets[b], percent):
+            low, high = sorted((up[a], up[b]))
+            up = [low if x == high else x for x in up]
+    return up
+
+
+def spanned(sets):
+    return op10_jaccard.spanning(sets, np.stack([op10_jaccard.point(s) for s in sets]), 80).roots().tolist()
+
+
+def test_spanning_joins_members_of_different_leaders():
+    r = np.random.default_rng(2)
+    h = np.sort(r.integers(0, 1 << 63, 400).astype(np.uint64))
+    windows = [h[k : k + 100] for k in (0, 27, 9, 18)]
+    assert spanned(windows) == brute_forest(windows) == [0, 0, 0, 0]
+    for _ in range(60):  # chains of edits, in any order
+        sets = []
+        for _ in range(3):
+            s = r.choice(h, 60, replace=False)
+            for _ in range(12):
+                s = s.copy()
+                s[r.integers(0, 60, 6)] = r.integers(0, 1 << 63, 6)
+                sets.append(np.unique(s))
+        starts = r.permutation(60)[:25]
+        sets += [h[k : k + 100] for k in starts]
+        sets = [sets[k] for k in r.permutation(len(sets))]
+        assert spanned(sets) == brute_forest(sets)
+
+
+def test_jaccard_windows_in_any_order(spark):
+    w = [f"w{k}" for k in range(140)]
+    texts = [" ".join(w[k : k + 104]) for k in (0, 27, 9, 18)]
+    for k, order in enumerate(itertools.permutations(texts)):
+        if k % 6 == 0:
+            data = list(enumerate(order))
+            assert jaccard(spark, data) == brute_components(data)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard(spark, []) == []
 

@@ -308,21 +308,27 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def spanning(sets_: list[np.ndarray], points: np.ndarray, percent: int) -> Forest:
     """Joins all linked sets; a pair is compared unless it is joined already or the bound rules it out."""
     n = np.array([len(s) for s in sets_], np.int64)
-    forest, leaders, rest = Forest(len(sets_)), [], []
-    for i in range(len(sets_)):  # most members of a group are linked with one of its first
+    forest, leaders = Forest(len(sets_)), []
+    for i in range(len(sets_)):  # a first pass only: most members of a group are linked with one of its first
         for l in leaders:
             if linked(sets_[i], sets_[l], percent):
                 forest.join(i, l)
                 break
         else:
-            rest.append(i)
             if len(leaders) < 8:
                 leaders.append(i)
+    roots = forest.roots().copy()
+    most = np.bincount(roots).argmax()
+    if (roots == most).all():
+        return forest
     tree = Tree(points, n, percent)
-    for i in rest:
+    # of two sets that aren't joined, one at least is outside the largest component: the search starts from each of those
+    for i in np.flatnonzero(roots != most):
         for j in tree.near(points[i], int(n[i])):
-            if forest.find(i) != forest.find(int(j)) and linked(sets_[i], sets_[j], percent):
-                forest.join(i, int(j))
+            if roots[i] != roots[j] and linked(sets_[i], sets_[j], percent):
+                forest.join(int(i), int(j))
+                low, high = sorted((roots[i], roots[j]))
+                roots[roots == high] = low
     return forest
 
 
