@@ -72,3 +72,26 @@ def test_repeated_rows_and_empty_tables(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.collect() == []
+
+
+def test_null_and_shared_ids_stand_each_for_itself(spark, tables):
+    folder, _ = tables
+    r = random.Random(12)
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first()["text"]
+    halves = item.split()[:22], item.split()[18:]
+    near = sentence(r, 100)
+    close = near.rsplit(" ", 1)[0] + " other"
+    apart = [sentence(r, 50) + " " + " ".join(h) for h in halves]  # the item only if both count as one document
+    bad, clean = [sentence(r, 30) + " " + item for _ in range(2)], [sentence(r, 60) for _ in range(2)]
+    data = [(None, bad[0]), (None, clean[0]), (None, apart[0]), (None, apart[1]), (7, bad[1]), (7, clean[1])]
+    stage = dict(corpus_pipeline.STAGES)
+
+    def kept(name, data):
+        return sorted(((x["doc_id"], x["text"]) for x in stage[name](spark, frame(spark, data), folder).collect()), key=str)
+
+    assert kept("decontamination", data) == sorted([data[1], data[2], data[3], data[5]], key=str)
+    got = kept("exact_dedup", [(None, "same"), (None, "Same"), (None, "more"), (1, "A"), (1, "a"), (2, "b"), (1, "B"), (2, "more"), (None, None), (None, "")])
+    assert sorted((i, (t or "").lower()) for i, t in got if i is not None) == [(1, "a"), (1, "b"), (2, "more")]
+    assert sorted((t or "").lower() for i, t in got if i is None) == ["", "same"]
+    got = kept("near_duplicates", [(None, near), (None, close), (3, clean[0]), (3, bad[0]), (3, clean[0] + " more"), (3, bad[1])])
+    assert len(got) == 4 and sum(i is None for i, _ in got) == 1 and {(3, bad[0]), (3, bad[1])} <= set(got)
