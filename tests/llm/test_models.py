@@ -128,3 +128,24 @@ def test_gradient_by_differences():
         up[k] += 1e-5
         down[k] -= 1e-5
         assert abs((loss(up) - loss(down)) / 2e-5 - g[k]) < 1e-3
+
+
+def test_rare_words_are_predicted_themselves(spark):
+    r = random.Random(6)
+    made = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    docs = [(k, " ".join(made() for _ in range(60))) for k in range(60)]  # about 3,600 kinds
+    model = op09_pseudo.train(frame(spark, docs).select("doc_id", "text"), one_in=1)
+    known = {int(x) for x in model.words}
+    texts = ["zzzzqqqq", "abcdefgh", "abcdefgi", "a zzzzqqqq b", "a zzzzqqqx b"]
+    t = next(op09_pseudo.text_chunks(__import__("pyarrow").record_batch({"doc_id": list(range(5)), "text": texts})))
+    h, edges, *places = op09_pseudo.letters(t)
+    assert all(np.array_equal(x, y) for x, y in zip((h, edges), op09_pseudo.words(t), strict=True))
+    assert not {int(h[k]) for k in (0, 1, 2)} & known
+    got = {x["doc_id"]: x["sum_logprob"] for x in op09_pseudo.scored(frame(spark, list(enumerate(texts))), model).collect()}
+    assert len(set(got.values())) == 5 and got[1] > got[0] + 5
+    # the spelling's rows are distributions, and a word's spelling is the sum of its steps
+    assert np.allclose(np.exp(model.spelling).reshape(-1, op09_pseudo.BYTES).sum(1), 1)
+    steps = [(256, 256, "z"), (256, "z", "z"), ("z", "z", "z"), ("z", "z", "z"), ("z", "z", "q"), ("z", "q", "q"), ("q", "q", "q"), ("q", "q", "q"), ("q", "q", 256)]
+    code = lambda x: np.int64(x if isinstance(x, int) else ord(x))
+    want = sum(model.spelling[op09_pseudo._after(code(a), code(b)) + code(c)] for a, b, c in steps)
+    assert abs(op09_pseudo.spelled(model.spelling, *places)[0] - want) < 1e-9

@@ -11,9 +11,11 @@ on its share by numpy, and the copies are averaged, weighted by words, between r
 block by block of the parameters, so the driver receives one network a round, whatever the corpus' size.
 
 Scoring covers whole texts.  Nulls: a null or wordless text has no words and scores 0 with null mean and
-perplexity.  Words beyond the vocabulary share one entry, whose probability is spread over ``unknown_kinds``
-kinds (their number in the corpus).  Repeated rows return a row each; an empty table gives an empty result.
-Other columns are not read.
+perplexity.  No word is unknown: the network has an entry for each of the most frequent ones and one for any
+other word, which is then spelled, byte by byte, by a model of the bytes of such words (trained on the texts
+that the network trains on); its probability is the entry's times the spelling's.  As a neighbour, such a word
+has an embedding by its hash, one of ``HASHED``.  Repeated rows return a row each; an empty table gives an
+empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,17 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_and_text, read, text_chunks, words
+from .common import LOWER, WHITE, held, id_and_text, read, run_hashes, runs, text_chunks, words
 
-#: Entries are CLASSES x MEMBERS; entry 0 pads a text's ends, entry 1 is any other word.
+#: Entries are CLASSES x MEMBERS; entry 0 pads a text's ends, entry 1 is any other word, which is spelled.
 CLASSES, MEMBERS, DIM, HIDDEN, WINDOW = 32, 32, 8, 32, 2
 ONE_IN, ROUNDS, STEP = 16, 3, 2048
+#: Embeddings that other words share, by hash.
+HASHED = 8192
+#: Rows of the spelling's table (of the two bytes before, by hash), its symbols (a byte, or the word's end) and what each has beforehand.
+SPELLING, BYTES, BEFOREHAND = 1024, 257, 0.1
 #: Parameters that one group averages.
 BLOCK = 4096
 
 
 def shapes() -> list[tuple[str, tuple[int, ...]]]:
-    return [("emb", (CLASSES * MEMBERS, DIM)), ("w", (2 * WINDOW * DIM, HIDDEN)), ("b", (HIDDEN,)), ("wc", (HIDDEN, CLASSES)), ("bc", (CLASSES,)), ("ec", (CLASSES, HIDDEN)), ("wm", (HIDDEN, MEMBERS)), ("bm", (CLASSES, MEMBERS))]
+    return [("emb", (CLASSES * MEMBERS + HASHED, DIM)), ("w", (2 * WINDOW * DIM, HIDDEN)), ("b", (HIDDEN,)), ("wc", (HIDDEN, CLASSES)), ("bc", (CLASSES,)), ("ec", (CLASSES, HIDDEN)), ("wm", (HIDDEN, MEMBERS)), ("bm", (CLASSES, MEMBERS))]
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -51,8 +57,8 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 class Model:
     words: np.ndarray  # sorted hashes of the vocabulary
     entries: np.ndarray  # their entries, 2...
-    unknown_kinds: int
     flat: np.ndarray
+    spelling: np.ndarray  # log-probabilities, SPELLING x BYTES, flat
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -62,6 +68,50 @@ class Model:
         return np.where(self.words[k] == h, self.entries[k], 1)
 
 
+def as_neighbours(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Embeddings of words: that of the entry, or one by hash."""
+    return np.where(ids == 1, CLASSES * MEMBERS + (h % np.uint64(HASHED)).astype(np.int64), ids)
+
+
+def _after(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Where the spelling's row begins for the bytes before (256 at a word's start)."""
+    return ((two * BYTES + one) * 2654435761 >> 16 & SPELLING - 1) * BYTES
+
+
+def letters(t):
+    """Word hashes, row offsets into them, starts and ends, and places in the spelling's table: of each byte, and of each word's end."""
+    starts, ends = runs(~WHITE[t.data], t.offsets)
+    low = LOWER[t.data]
+    s = low.astype(np.int64)
+    one, two = np.full(len(s), 256), np.full(len(s), 256)
+    one[1:], two[2:] = s[:-1], s[:-2]
+    one[starts] = two[starts] = 256
+    two[starts[starts + 1 < len(s)] + 1] = 256
+    last = s[ends - 1]
+    end = _after(np.where(ends - starts > 1, s[ends - 2], 256), last) + 256
+    return run_hashes(low, starts, ends), np.searchsorted(starts, t.offsets), starts, ends, _after(two, one) + s, end
+
+
+def spelled(table: np.ndarray, starts, ends, at, end) -> np.ndarray:
+    """Log-probability of each word's bytes and end."""
+    upto = np.concatenate(([0], np.cumsum(table[at])))
+    return upto[ends] - upto[starts] + table[end]
+
+
+def spelling_counts(some: np.ndarray, starts, ends, at, end) -> np.ndarray:
+    """How often each place of the spelling's table is met in some of the words."""
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, starts[some], 1)
+    np.add.at(edge, ends[some], -1)
+    own = at[np.cumsum(edge)[:-1] > 0]
+    return np.bincount(np.concatenate((own, end[some])), minlength=SPELLING * BYTES)
+
+
+def spelling_table(counts: np.ndarray) -> np.ndarray:
+    grid = counts.reshape(SPELLING, BYTES) + BEFOREHAND
+    return np.log(grid / grid.sum(1, keepdims=True)).ravel()
+
+
 def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """[word, 2 * WINDOW]: the neighbours of each word, 0 beyond its text."""
     n = len(ids)
@@ -90,7 +140,7 @@ def forward(p: dict, ctx: np.ndarray, target: np.ndarray):
     return c, m, at, x, h, pc, g, pm
 
 
-def log_probabilities(p: dict, ctx: np.ndarray, target: np.ndarray, unknown_kinds: int) -> np.ndarray:
+def log_probabilities(p: dict, ctx: np.ndarray, target: np.ndarray, unknown_kinds: int = 1) -> np.ndarray:
     out = np.empty(len(target))
     for i in range(0, len(target), 16384):
         c, m, at, _, _, pc, _, pm = forward(p, ctx[i : i + 16384], target[i : i + 16384])
@@ -112,7 +162,7 @@ def gradients(p: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     dh = ((pc @ p["wc"].T) + dg) * (1 - h * h)
     dx = (dh @ p["w"].T).reshape(-1, DIM)
     flat = ctx.ravel()
-    emb = np.stack([np.bincount(flat, dx[:, k], CLASSES * MEMBERS) for k in range(DIM)], 1)
+    emb = np.stack([np.bincount(flat, dx[:, k], len(p["emb"])) for k in range(DIM)], 1)
     parts = {"emb": emb, "w": x.T @ dh, "b": dh.sum(0), "wc": h.T @ pc, "bc": pc.sum(0), "ec": by_class @ dg, "wm": g.T @ pm, "bm": by_class @ pm}
     return np.concatenate([parts[k].ravel() for k, _ in shapes()]).astype(np.float32)
 
@@ -138,8 +188,8 @@ class Adam:
         flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(hashes, entries, counts by entry, other kinds) of the most frequent words of all texts."""
+def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, entries, counts by entry) of the most frequent words of all texts."""
 
     def run(batches):
         held, n = {}, 0
@@ -156,7 +206,7 @@ def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS) -> tuple[np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 65536].astype(np.int64)), pa.array(times[i : i + 65536])], names=["w", "n"])
 
     all_ = held(docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    kinds, total = all_.agg(F.count("*"), F.sum("n")).first()
+    total = all_.agg(F.sum("n")).first()[0]
     top = all_.orderBy(F.desc("n"), "w").limit(entries - 2).collect()  # at most ``entries`` rows
     h, n = np.array([r["w"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64)
     # frequent words are dealt over the classes; entries 0 and 1 are taken
@@ -166,7 +216,7 @@ def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS) -> tuple[np.nd
     counts[at] = n
     counts[1] = (total or 0) - n.sum()
     order = np.argsort(h)
-    return h[order], at[order], counts, max(1, kinds - len(top))
+    return h[order], at[order], counts
 
 
 def _summed(held: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +226,9 @@ def _summed(held: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: float = 0.01, seed: int = 11) -> Model:
     """docs: doc_id, text."""
-    h, at, counts, other = vocabulary(docs)
-    model = Model(h, at, other, first_model(counts, seed))
+    h, at, counts = vocabulary(docs)
+    met = np.zeros(SPELLING * BYTES)
+    model = Model(h, at, first_model(counts, seed), spelling_table(met))
     share = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else docs
     share = held(share)
     size = len(model.flat)
@@ -185,20 +236,22 @@ def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: flo
     def run(model, nth):
         def task(batches):
             flat, seen, opt = model.flat.copy(), 0, Adam(size, rate / (1 + nth))
-            p, r = unpack(flat), np.random.default_rng(seed + nth)
+            p, r, met = unpack(flat), np.random.default_rng(seed + nth), np.zeros(SPELLING * BYTES)
             for b in batches:
                 for t in text_chunks(b):
-                    hashes, edges = words(t)
+                    hashes, edges, *places = letters(t)
                     ids = model.ids(hashes)
-                    ctx = contexts(ids, edges)
+                    met += spelling_counts(ids == 1, *places)
+                    ctx = contexts(as_neighbours(ids, hashes), edges)
                     order = r.permutation(len(ids))
                     for i in range(0, len(order), STEP):
                         some = order[i : i + STEP]
                         opt.step(flat, gradients(p, ctx[some], ids[some]))
                     seen += len(ids)
             if seen:
-                blocks = range(0, size, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(blocks)))), pa.array([float(seen)] * len(blocks)), pa.array([(flat[i : i + BLOCK].astype(np.float64) * seen).tobytes() for i in blocks])], names=["block", "seen", "v"])
+                both = np.concatenate((flat.astype(np.float64) * seen, met))
+                blocks = range(0, len(both), BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(blocks)))), pa.array([float(seen)] * len(blocks)), pa.array([both[i : i + BLOCK].tobytes() for i in blocks])], names=["block", "seen", "v"])
 
         return task
 
@@ -214,8 +267,9 @@ def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: flo
         got = share.mapInArrow(run(model, nth), kind).groupBy("block").applyInArrow(_one(total), kind).collect()  # one network
         if not got:
             break
-        flat = np.concatenate([np.frombuffer(bytes(r["v"])) / r["seen"] for r in sorted(got, key=lambda r: r["block"])])
-        model = Model(h, at, other, flat.astype(np.float32))
+        both = np.concatenate([np.frombuffer(bytes(r["v"])) for r in sorted(got, key=lambda r: r["block"])])
+        met += both[size:]
+        model = Model(h, at, (both[:size] / got[0]["seen"]).astype(np.float32), spelling_table(met))
     return model
 
 
@@ -233,9 +287,10 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         p = unpack(model.flat)
         for b in batches:
             for t in text_chunks(b):
-                h, edges = words(t)
+                h, edges, *places = letters(t)
                 ids = model.ids(h)
-                lp = log_probabilities(p, contexts(ids, edges), ids, model.unknown_kinds)
+                lp = log_probabilities(p, contexts(as_neighbours(ids, h), edges), ids)
+                lp += np.where(ids == 1, spelled(model.spelling, *places), 0)
                 n, sums = np.diff(edges), np.zeros(len(t))
                 full = np.flatnonzero(n)
                 if len(full):
