@@ -149,3 +149,18 @@ def test_rare_words_are_predicted_themselves(spark):
     code = lambda x: np.int64(x if isinstance(x, int) else ord(x))
     want = sum(model.spelling[op09_pseudo._after(code(a), code(b)) + code(c)] for a, b, c in steps)
     assert abs(op09_pseudo.spelled(model.spelling, *places)[0] - want) < 1e-9
+
+
+def test_training_reads_every_row_once(spark, monkeypatch):
+    r = random.Random(9)
+    few = [(k, sentence(r, 40)) for k in range(3)] + [(None, "again and again"), (5, None)] + [(None, "again and again")] * 4
+    docs = frame(spark, few).select("doc_id", "text")
+    monkeypatch.setattr(op09_pseudo, "vocabulary", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(op09_pseudo.CLASSES * op09_pseudo.MEMBERS)))
+    tables = []
+    table = op09_pseudo.spelling_table
+    monkeypatch.setattr(op09_pseudo, "spelling_table", lambda met: tables.append(met.copy()) or table(met))
+    op09_pseudo.train(docs)
+    ends = tables[-1].reshape(op09_pseudo.SPELLING, op09_pseudo.BYTES)[:, 256].sum()
+    assert ends == sum(len((t or "").split()) for _, t in few)
+    one = op09_pseudo.train(frame(spark, [(1, "only these words")]).select("doc_id", "text"))  # whatever its hash, it is trained on
+    assert not np.array_equal(one.flat, op09_pseudo.first_model(np.zeros(op09_pseudo.CLASSES * op09_pseudo.MEMBERS), 11))

@@ -5,15 +5,16 @@ each neighbour's embedding goes through a hidden layer, which gives a distributi
 with the class, one over its members.  A document's score is the sum of its words' conditional
 log-probabilities, each predicted with all its neighbours in place.
 
-The vocabulary and its counts come from the whole corpus.  Training reads every text whose hash falls in a
-fixed share (``one_in``), so what it gathers grows with the corpus: each task trains a copy of the network
-on its share by numpy, and the copies are averaged, weighted by words, between rounds.  Averages are formed
+The vocabulary and its counts come from the whole corpus, and training is one pass over all of it: rows are
+dealt over the rounds in turn by their places in the table, so that copies of a text and rows that share an
+id fall in all rounds.  Each task trains a copy of the network on its rows by numpy, and the copies are
+averaged, weighted by words, between rounds.  ``one_in`` trains on fewer texts, where asked.  Averages are formed
 block by block of the parameters, so the driver receives one network a round, whatever the corpus' size.
 
 Scoring covers whole texts.  Nulls: a null or wordless text has no words and scores 0 with null mean and
 perplexity.  No word is unknown: the network has an entry for each of the most frequent ones and one for any
-other word, which is then spelled, byte by byte, by a model of the bytes of such words (trained on the texts
-that the network trains on); its probability is the entry's times the spelling's.  As a neighbour, such a word
+other word, which is then spelled, byte by byte, by a model of the bytes of such words (counted in the
+same pass); its probability is the entry's times the spelling's.  As a neighbour, such a word
 has an embedding by its hash, one of ``HASHED``.  Repeated rows return a row each; an empty table gives an
 empty result.  Other columns are not read.
 """
@@ -31,7 +32,7 @@ from .common import LOWER, WHITE, held, id_and_text, read, run_hashes, runs, tex
 
 #: Entries are CLASSES x MEMBERS; entry 0 pads a text's ends, entry 1 is any other word, which is spelled.
 CLASSES, MEMBERS, DIM, HIDDEN, WINDOW = 32, 32, 8, 32, 2
-ONE_IN, ROUNDS, STEP = 16, 3, 2048
+ONE_IN, ROUNDS, STEP = 1, 3, 2048
 #: Embeddings that other words share, by hash.
 HASHED = 8192
 #: Rows of the spelling's table (of the two bytes before, by hash), its symbols (a byte, or the word's end) and what each has beforehand.
@@ -225,12 +226,12 @@ def _summed(held: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: float = 0.01, seed: int = 11) -> Model:
-    """docs: doc_id, text."""
+    """docs: doc_id, text; its rows keep their order from job to job, as those of a file do."""
     h, at, counts = vocabulary(docs)
     met = np.zeros(SPELLING * BYTES)
     model = Model(h, at, first_model(counts, seed), spelling_table(met))
     share = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else docs
-    share = held(share)
+    share = share.withColumn("nth", F.pmod(F.monotonically_increasing_id(), F.lit(rounds)))
     size = len(model.flat)
 
     def run(model, nth):
@@ -264,9 +265,9 @@ def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: flo
 
     for nth in range(rounds):
         kind = "block long, seen double, v binary"
-        got = share.mapInArrow(run(model, nth), kind).groupBy("block").applyInArrow(_one(total), kind).collect()  # one network
+        got = share.where(F.col("nth") == nth).select("doc_id", "text").mapInArrow(run(model, nth), kind).groupBy("block").applyInArrow(_one(total), kind).collect()  # one network
         if not got:
-            break
+            continue  # fewer rows than rounds
         both = np.concatenate([np.frombuffer(bytes(r["v"])) for r in sorted(got, key=lambda r: r["block"])])
         met += both[size:]
         model = Model(h, at, (both[:size] / got[0]["seen"]).astype(np.float32), spelling_table(met))
