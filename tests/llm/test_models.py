@@ -48,6 +48,15 @@ def test_bundles_bind_permuted_letters():
     assert np.array_equal(op01_language.bundles(["abc abd"], 64, 3, 7)[0], both[0])
 
 
+def test_lone_letters_get_a_language(spark):
+    p = op01_language.learn(frame(spark, [(1, "the thing is here and a dog")]))
+    got = op01_language.identify(frame(spark, [(1, "x"), (2, "A."), (3, "a b c"), (4, "1 2"), (5, "é")]), p).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "en", 2: "en", 3: "en", 4: "und", 5: "en"}
+    assert all(r["score"] > 0 for r in got if r["doc_id"] in (2, 3))
+    t, s = op01_language.letters(64, 3, 7), op01_language.symbols()
+    assert np.array_equal(op01_language.bundles(["A."], 64, 3, 7)[0], t[0][0] * t[1][int(s[ord("a")])] * t[2][0])
+
+
 # ---------------------------------------------------------------- toxicity
 
 

@@ -61,10 +61,11 @@ def bundles(texts: list[str], dim: int, n: int, seed: int) -> np.ndarray:
     gram = np.zeros(count, np.int64)
     for k in range(n):
         gram = gram << BITS | symbol[k : k + count]
-    ok = np.ones(count, bool)
+    ok = np.ones(count, bool)  # a letter between two boundaries is an n-gram, too
     for k in range(1, n - 1):
         ok &= symbol[k : k + count] > 0
-    ok &= (symbol[:count] > 0) | (symbol[n - 1 : n - 1 + count] > 0)
+    if n == 1:
+        ok = symbol > 0
     at = row[1 : 1 + count] if n > 1 else row
     gram, at = gram[ok], at[ok]
     if not len(gram):
