@@ -39,8 +39,8 @@ WIDTH, GRAM = 100, 32
 HOT = 2_000
 #: Bytes of contexts that one suffix sort takes (more only if one anchor has more).
 SORT_BYTES = 600_000
-#: Anchors that a task deals out at a time.
-DEALT = 200_000
+#: Anchors that a task deals out at a time, and contexts that it remembers.
+DEALT, SEEN = 200_000, 200_000
 _PLACE = np.uint64((1 << 28) - 1)
 _FIRST = -(1 << 63)
 
@@ -86,10 +86,6 @@ def anchors(t, width: int = WIDTH):
     return row[first], at[first], h[at[first]], start[first], start[last]
 
 
-def _digest(raw) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
 def _ids(t) -> np.ndarray:
     return np.array([_FIRST if i is None else i for i in t.ids], np.int64)
 
@@ -120,11 +116,11 @@ def _deal_anchors(keys, width):
         held, docs, count = [], 0, 0
         join = lambda: pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
         for b in batches:
+            base, digests = 0, b.column(b.schema.get_field_index("cls")).to_numpy()
             for t in text_chunks(b):
                 row, at, h, _, _ = anchors(t, width)
-                cls = np.array([_digest(t.data[t.offsets[i] : t.offsets[i + 1]]) for i in range(len(t))], np.int64)
-                held.append((_ids(t), cls, row + docs, at - t.offsets[row], h))
-                docs, count = docs + len(t), count + len(row)
+                held.append((_ids(t), digests[base : base + len(t)], row + docs, at - t.offsets[row], h))
+                base, docs, count = base + len(t), docs + len(t), count + len(row)
                 if count >= DEALT:
                     yield join()
                     held, docs, count = [], 0, 0
@@ -134,42 +130,47 @@ def _deal_anchors(keys, width):
     return run
 
 
-def _repeated(batches):
-    """(doc_id, places of repeated anchors with a flag for hot ones), for the first document of each text."""
-    got = [[], [], [], []]
-    for b in batches:
-        for h, at, ids, cls, times in zip(*(b.column(i) for i in range(1, 6)), strict=True):
-            n = np.frombuffer(times.as_buffer(), np.uint32)
-            got[0].append(np.frombuffer(h.as_buffer(), np.uint64)), got[1].append(np.frombuffer(at.as_buffer(), np.uint32))
-            got[2].append(np.repeat(np.frombuffer(ids.as_buffer(), np.int64), n)), got[3].append(np.repeat(np.frombuffer(cls.as_buffer(), np.int64), n))
-    if not got[0]:
-        return
-    h, at, ids, cls = (np.concatenate(x) for x in got)
-    order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    same = h[order][1:] == h[order][:-1]
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
-    h, at, ids, cls = h[again], at[again], ids[again], cls[again]
-    order = np.lexsort((at, ids, cls, h))
-    h, at, ids, cls = h[order], at[order], ids[order], cls[order]
-    if not len(h):
-        return
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])))
-    run = np.cumsum(new) - 1
-    keep = ids == ids[np.flatnonzero(new)][run]  # other copies of the text are known by digest
-    h, at, ids = h[keep], at[keep], ids[keep]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    n = np.diff(np.append(starts, len(h)))
-    hot = np.repeat(n > HOT, n)
-    alone = np.repeat(n == 1, n)
-    packed, ids = ((at.astype(np.int64) << 1) | hot)[~alone], ids[~alone]
-    order = np.lexsort((packed, ids))
-    packed, ids = packed[order], ids[order]
-    cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else []
-    ends = np.append(cuts[1:], len(ids)) if len(ids) else []
-    for i in range(0, len(cuts), 4096):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[i : i + 4096]]), pa.array([packed[a:z].tobytes() for a, z in zip(cuts[i : i + 4096], ends[i : i + 4096], strict=True)], pa.binary())], names=["doc", "places"])
+def _repeated(hot):
+    """(doc, cls, places of repeated anchors with a flag for those of more than ``hot`` texts), for the first document of each text."""
+
+    def run(batches):
+        got = [[], [], [], []]
+        for b in batches:
+            for h, at, ids, cls, times in zip(*(b.column(i) for i in range(1, 6)), strict=True):
+                n = np.frombuffer(times.as_buffer(), np.uint32)
+                got[0].append(np.frombuffer(h.as_buffer(), np.uint64)), got[1].append(np.frombuffer(at.as_buffer(), np.uint32))
+                got[2].append(np.repeat(np.frombuffer(ids.as_buffer(), np.int64), n)), got[3].append(np.repeat(np.frombuffer(cls.as_buffer(), np.int64), n))
+        if not got[0]:
+            return
+        h, at, ids, cls = (np.concatenate(x) for x in got)
+        order = np.argsort(h, kind="stable")
+        again = np.zeros(len(h), bool)
+        same = h[order][1:] == h[order][:-1]
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        h, at, ids, cls = h[again], at[again], ids[again], cls[again]
+        order = np.lexsort((at, ids, cls, h))
+        h, at, ids, cls = h[order], at[order], ids[order], cls[order]
+        if not len(h):
+            return
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])))
+        run = np.cumsum(new) - 1
+        keep = ids == ids[np.flatnonzero(new)][run]  # other copies of the text are known by digest
+        h, at, ids, cls = h[keep], at[keep], ids[keep], cls[keep]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        n = np.diff(np.append(starts, len(h)))
+        alone = np.repeat(n == 1, n)
+        packed = ((at.astype(np.int64) << 1) | np.repeat(n > hot, n))[~alone]
+        ids, cls = ids[~alone], cls[~alone]
+        order = np.lexsort((packed, cls, ids))
+        packed, ids, cls = packed[order], ids[order], cls[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (cls[1:] != cls[:-1])))) if len(ids) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(ids))
+        for i in range(0, len(cuts), 4096):
+            some = cuts[i : i + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(cls[some]), pa.array([packed[a:z].tobytes() for a, z in zip(some, ends[i : i + 4096], strict=True)], pa.binary())], names=["doc", "of", "places"])
+
+    return run
 
 
 # ---------------------------------------------------------------- contexts
@@ -252,6 +253,8 @@ def _contexts(width):
                     if size >= 4 << 20:
                         yield flush(rows)
                         rows, size = [], 0
+                    if len(seen) > SEEN:
+                        seen = {}  # equal contexts also collapse where they meet
                 base += len(t)
         rows += _span_rows(spans)
         for i in range(0, len(rows), 16384):
@@ -413,7 +416,7 @@ def _cut(width):
     def run(batches):
         for b in batches:
             copy = b.column(b.schema.get_field_index("copy")).to_pylist()
-            found, digests = b.column(b.schema.get_field_index("found")), b.column(b.schema.get_field_index("cls")).to_pylist()
+            found = b.column(b.schema.get_field_index("found"))
             rows, base = [], 0
             for t in text_chunks(b):
                 for i in range(len(t)):
@@ -422,7 +425,7 @@ def _cut(width):
                     if copy[base + i]:
                         if len(raw) >= width:
                             lo, hi = np.array([0]), np.array([len(raw)])
-                    elif parts := [x["spans"] for x in found[base + i].as_py() or [] if x["cls"] == digests[base + i]]:
+                    elif parts := found[base + i].as_py() or []:
                         lo, hi = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in parts], axis=1)
                         order = np.argsort(lo, kind="stable")
                         lo, hi = merged(lo[order], hi[order])
@@ -440,24 +443,25 @@ def _cut(width):
     return run
 
 
-def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (UTF-8 byte offsets) of every row."""
     if width < GRAM:
         raise ValueError(f"a window has at least {GRAM} bytes")
     spark, n = df.sparkSession, partitions(df.sparkSession)
-    docs = id_and_text(df, id_col, text_col)
+    # a row is known by its id and its text's digest: by both, rows that share an id are also dealt apart
+    docs = id_and_text(df, id_col, text_col).withColumns({"own": F.coalesce("doc_id", F.lit(_FIRST)), "cls": F.xxhash64("text")})
     keys = deal(spark, n)
-    again = docs.mapInArrow(_deal_anchors(keys, width), "bucket long, h binary, at binary, ids binary, cls binary, times binary").repartition(n, "bucket").mapInArrow(_repeated, "doc long, places binary")
-    again = again.groupBy("doc").agg(F.collect_list("places").alias("places"))  # a document's own
-    digest = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("own"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    again = docs.select(F.col("own").alias("doc_id"), "text", "cls").mapInArrow(_deal_anchors(keys, width), "bucket long, h binary, at binary, ids binary, cls binary, times binary").repartition(n, "bucket").mapInArrow(_repeated(hot), "doc long, of long, places binary")
+    again = again.groupBy("doc", "of").agg(F.collect_list("places").alias("places"))  # a document's own
+    digest = docs.select("own", "cls", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     least = digest.groupBy("sha").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least")
-    copies = digest.join(least, "sha").where("own > least").select("own").distinct().withColumn("copy", F.lit(True))
-    keyed = docs.withColumns({"own": F.coalesce("doc_id", F.lit(_FIRST)), "cls": F.xxhash64("text")})
-    contexts = keyed.join(again, keyed["own"] == again["doc"], "inner").select("doc_id", "text", "places", "cls", "own").sortWithinPartitions("own").drop("own").mapInArrow(_contexts(width), "key long, doc long, cls long, at long, text binary")
-    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, cls long, spans binary").groupBy("doc").agg(F.collect_list(F.struct("cls", "spans")).alias("found"))
-    # both joins of the texts are by the id alone, so that the texts are dealt out once
-    all_ = keyed.join(found, keyed["own"] == found["doc"], "left").join(copies.withColumnRenamed("own", "copied"), F.col("own") == F.col("copied"), "left")
-    return all_.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "cls", "found").mapInArrow(_cut(width), _CUT)
+    copies = digest.join(least, "sha").where("own > least").select(F.col("own").alias("doc"), F.col("cls").alias("of")).distinct().withColumn("copy", F.lit(True))
+    same = lambda x: (F.col("own") == x["doc"]) & (F.col("cls") == x["of"])
+    contexts = docs.join(again, same(again)).select("doc_id", "text", "places", "cls", "own").sortWithinPartitions("own").drop("own").mapInArrow(_contexts(width), "key long, doc long, cls long, at long, text binary")
+    found = contexts.repartition(n, "key").sortWithinPartitions("key", "doc", "at").mapInArrow(_find(width), "doc long, cls long, spans binary").withColumnRenamed("cls", "of").groupBy("doc", "of").agg(F.collect_list("spans").alias("found"))
+    # both joins of the texts are by the same keys, so that the texts are dealt out once
+    all_ = docs.join(found, same(found), "left").drop("doc", "of").join(copies, same(copies), "left")
+    return all_.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found").mapInArrow(_cut(width), _CUT)
 
 
 def op2_suffix_array(spark, sf_dir: str) -> DataFrame:
