@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import frame, rows, sentence
 from pyspark.sql import functions as F
@@ -73,8 +74,8 @@ def brute_spans(data, width=100):
     return sorted(out, key=str)
 
 
-def suffix(spark, data):
-    return sorted((tuple(r)[:5] for r in op02_suffix.repeated_spans(frame(spark, data)).collect()), key=str)
+def suffix(spark, data, **kw):
+    return sorted((tuple(r)[:5] for r in op02_suffix.repeated_spans(frame(spark, data), **kw).collect()), key=str)
 
 
 def test_suffix_odd_rows(spark):
@@ -88,12 +89,12 @@ def test_suffix_periodic_and_overlapping(spark):
     assert suffix(spark, data) == brute_spans(data)
 
 
-def test_suffix_many_variants_of_one_passage(spark, monkeypatch):
-    monkeypatch.setattr(op02_suffix, "HOT", 20)  # local workers fork from this process' files, so also run it unpatched
+@pytest.mark.parametrize("hot", [1, 20, 2_000])
+def test_suffix_many_variants_of_one_passage(spark, hot):
     r = random.Random(3)
     passage = sentence(r, 40)
-    data = [(k, sentence(r, 5) + " " + passage + " " + sentence(r, 5)) for k in range(60)]
-    assert suffix(spark, data) == brute_spans(data)
+    data = [(k, sentence(r, 5) + " " + passage + " " + sentence(r, 5)) for k in range(60)] + [(70, passage[30:]), (71, passage + " " + passage)]
+    assert suffix(spark, data, hot=hot) == brute_spans(data)
 
 
 def test_suffix_empty_table_and_repeated_rows(spark):
@@ -107,6 +108,9 @@ def test_suffix_rows_that_share_an_id(spark):
     a, b = sentence(r, 40), sentence(r, 40)
     data = [(5, a + " x " + b), (5, a + " y"), (5, "zz " + a), (7, b + a), (None, b), (None, a[:150])]
     assert suffix(spark, data) == brute_spans(data)
+    # one row of an id is a copy, the other stands nowhere else
+    data = [(3, a), (5, a), (5, b), (8, None), (8, a[:120])]
+    assert suffix(spark, data) == brute_spans(data)
 
 
 def test_difference_cover_ranks():
@@ -227,6 +231,66 @@ def test_jaccard_windows_in_any_order(spark):
             assert jaccard(spark, data) == brute_components(data)
 
 
+def near_copies(r, n=60, size=80):
+    base = [f"w{k}" for k in range(size)]
+    out = []
+    for _ in range(n):
+        w = base[: size - r.randrange(14)]
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("sparse, hot, hub, block", [(0, 10, 3, 8), (0, 20_000, 5_000, 6_144), (1_000, 7, 2, 5), (1, 25, 4, 12)])
+def test_jaccard_every_way_of_dealing(spark, monkeypatch, sparse, hot, hub, block):
+    for name, value in (("SPARSE", sparse), ("HOT", hot), ("HUB", hub), ("BLOCK_DOCS", block), ("BROADCAST_IDS", block)):
+        monkeypatch.setattr(op10_jaccard, name, value)
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0 if sparse == 1 else 500_000)  # rounds of joins
+    r = random.Random(sparse + hot)
+    boiler = sentence(r, 60)
+    data = list(enumerate(near_copies(r, 50) + [boiler + " " + sentence(r, 14) for _ in range(40)] + [sentence(r, 25) for _ in range(10)]))
+    data += [(None, t) for _, t in data[::9]] + [(3, data[7][1])]
+    assert jaccard(spark, data) == brute_components(data)
+
+
+def test_jaccard_classes_without_an_id(spark):
+    w = [f"w{k}" for k in range(140)]
+    a, b, c = (" ".join(w[k : k + 104]) for k in (0, 9, 18))
+    assert jaccard(spark, [(10, a), (None, b)]) == brute_components([(10, a), (None, b)]) == [(10, 100, 10), (None, 100, 10)]
+    chain = [(7, a), (None, b), (None, b), (9, c), (None, c.upper()), (None, "else " + sentence(random.Random(1), 30))]
+    assert jaccard(spark, chain) == brute_components(chain)
+    none = [(None, a), (None, b), (None, a)]
+    assert jaccard(spark, none) == brute_components(none)
+
+
+def test_shared_shingles_are_never_undercounted(monkeypatch):
+    monkeypatch.setattr(op10_jaccard, "DEALT", 120)
+    r = random.Random(4)
+    texts = near_copies(r, 12) + [sentence(r, 30) for _ in range(8)] + near_copies(r, 6)
+    texts += texts[:5]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    keys = np.arange(7)
+    dealt = list(op10_jaccard._dealt(keys, 5)(batch.slice(k, 5) for k in range(0, len(texts), 5)))
+    by_bucket = {}
+    for b in dealt:
+        for k in range(len(b)):
+            by_bucket.setdefault(b.column(0)[k].as_py(), []).append(b.slice(k, 1))
+    got, here = {}, {}
+    for rows_ in by_bucket.values():
+        for b in op10_jaccard._shared(iter(rows_)):
+            for c, n, h in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if h is None:
+                    got[c] = got.get(c, 0) + n
+                else:
+                    here[c] = min(here.get(c, 1 << 60), h)
+    sets = {op10_jaccard.class_of(s): {int(x) for x in s if x % op10_jaccard.COUNTED == 0} for _, s in op10_jaccard.sets(next(op10_jaccard.text_chunks(batch)), 5)}
+    for c, s in sets.items():
+        true = len({x for x in s if any(x in other for d, other in sets.items() if d != c)})
+        assert true <= got.get(c, 0) + here.get(c, 0) <= 2 * true
+    assert here and len(dealt) > 3
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard(spark, []) == []
 

@@ -5,21 +5,25 @@ class, and only classes are joined.
 
 1. Reduction.  If x has a partner at similarity s, at most n - ceil(s n) of its n shingles are in no other
    set.  A third of all shingles (by hash) is dealt out by value to count the classes of each; a class with
-   more lone shingles than that has no link and is done.
+   more lone shingles than that has no link and is done.  A shingle that several classes of one task hold is
+   settled there and leaves it once, so that no shingle's classes meet in one place.
 2. Search.  The rest are dealt out by the shingles of their prefix (the n - ceil(s n) + 1 smallest: linked
    sets share one of them).  Those that meet are points of an R-tree: coordinate g of a point counts the
    shingles of hash group g, and the sum of coordinate minima bounds the overlap from above, for two points
-   as for a point and a node's corner of maxima.  Pairs within the bound join candidate groups.
-3. Verification.  Each candidate group is compared exactly; a large one in blocks by set size, so that no
-   task holds more than two blocks.  Points that are already joined aren't compared again, and the links
-   that remain span the true components.
+   as for a point and a node's corner of maxima.  A prefix shingle that very many classes share (HOT) is
+   dealt out by pairs of parts of them.  Where few pairs are within the bound, all of them are candidates;
+   where there are many, a spanning forest of them is, and its trees are noted as groups.
+3. Verification.  Candidate pairs are compared exactly, gathered by one of the two (a hub with very many
+   pairs in parts).  A group whose members the links join is done.  Of any other, the members outside its
+   largest component are compared with all members, in blocks by set size, so that no task holds more than
+   two blocks.
 
 Nothing is capped: every pair that could reach the threshold is either verified or already joined by
 verified links.
 
-Nulls: a null text, or one without words, has an empty set and links with nothing.  A null id takes part by its
-class; a class without any id is compared with no other, and its component id is null.  Repeated rows return a row each.  An empty table gives
-an empty result.  Other columns are not read.
+Nulls: a null text, or one without words, has an empty set and links with nothing.  A null id takes part by
+its class, also in a class without any id, whose component id is the smallest id that links reach, or null.
+Repeated rows return a row each.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_and_text, mix, partitions, read, shingles, text_chunks, words, written
+from .common import _BASE, held, id_and_text, mix, partitions, read, shingles, text_chunks, words, written
 from .graph import components
 
 #: Coordinates of a point, entries of a tree node, and what a block of a candidate group holds.
@@ -40,6 +44,14 @@ BROADCAST_IDS = 1_000_000
 COUNTED = np.uint64(3)
 #: Shingles that a task deals out at a time.
 DEALT = 1_000_000
+#: Candidate pairs a member that a list may have before only a spanning forest of them is taken.
+SPARSE = 8
+#: Classes that share a prefix shingle before it is dealt out by parts, and how many such shingles are looked up at most.
+HOT, HOT_SHINGLES = 20_000, 100_000
+#: Pairs of one hub that a task compares.
+HUB = 5_000
+#: Stands for classes whose common shingle was settled in an earlier task.
+_MET = -(1 << 63)
 
 
 def spare(n, percent: int):
@@ -72,19 +84,29 @@ def bucket(s: np.ndarray, n: int) -> np.ndarray:
 def _classes(size):
     def run(batches):
         for b in batches:
+            at, text_of = 0, b.column(b.schema.get_field_index("by_text"))
             for t in text_chunks(b):
                 n, cls, counted = (np.zeros(len(t), np.int64) for _ in range(3))
                 for i, s in sets(t, size):
                     n[i], cls[i], counted[i] = len(s), class_of(s), np.count_nonzero(s % COUNTED == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(n), pa.array(cls), pa.array(counted)], names=["doc_id", "n", "cls", "counted"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(n), pa.array(cls), pa.array(counted), text_of.slice(at, len(t))], names=["doc_id", "n", "cls", "counted", "by_text"])
+                at += len(t)
 
     return run
 
 
 def _dealt(keys, size):
-    """For each bucket the counted shingles of some documents, by class."""
+    """For each bucket the counted shingles of some documents, by class; with an empty set, how many of each class are settled here."""
 
     def pack(s, c):
+        order = np.argsort(s, kind="stable")
+        same = np.concatenate(([False], s[order][1:] == s[order][:-1]))
+        met = np.zeros(len(s), bool)  # in several classes here: a class comes once
+        met[order[same]] = True
+        met[order[np.flatnonzero(same) - 1]] = True
+        own, n = np.unique(c[met], return_counts=True)
+        settled = np.unique(s[met])
+        s, c = np.concatenate((s[~met], settled)), np.concatenate((c[~met], np.full(len(settled), _MET)))
         at = bucket(s, len(keys)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         s, c, at = s[order], c[order], at[order]
@@ -97,6 +119,9 @@ def _dealt(keys, size):
             rows[1].append(s[lo:hi].tobytes())
             rows[2].append(c[lo:hi][first].tobytes())
             rows[3].append(np.diff(np.append(first, hi - lo)).astype(np.uint16 if hi - lo < 65536 else np.uint32).tobytes())
+        if len(own):
+            rows[0].append(int(keys[int(own[0]) % len(keys)]))
+            rows[1].append(b""), rows[2].append(own.tobytes()), rows[3].append(n.astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "s", "cls", "times"])
 
     def run(batches):
@@ -121,12 +146,20 @@ def _dealt(keys, size):
 
 
 def _shared(batches):
-    """Counts by class the shingles that another class has too."""
+    """(cls, shared, here): how many shingles another class has too, by a bucket, or as settled in one task (here).
+
+    A class that several tasks met sent each of its shingles from each of them or settled it there, so that the
+    least of its settled counts, with what the buckets count, is no less than its number of shared shingles.
+    """
+    names = ["cls", "shared", "here"]
     s, c = [], []
     for b in batches:
         for x, y, z in zip(*(b.column(i) for i in (1, 2, 3)), strict=True):
             own = np.frombuffer(x.as_buffer(), np.uint64)
             cls, times = np.frombuffer(y.as_buffer(), np.int64), z.as_buffer()
+            if not len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(np.frombuffer(times, np.uint32).astype(np.int64))], names=names)
+                continue
             times = np.frombuffer(times, np.uint16 if times.size == 2 * len(cls) else np.uint32)
             s.append(own), c.append(np.repeat(cls, times))
     if not s:
@@ -137,7 +170,7 @@ def _shared(batches):
     edge = np.concatenate(([True], s[1:] != s[:-1], [True]))
     starts = np.flatnonzero(edge)
     differ = np.maximum.reduceat(c, starts[:-1]) != np.minimum.reduceat(c, starts[:-1])
-    hit = np.repeat(differ, np.diff(starts))
+    hit = np.repeat(differ, np.diff(starts)) & (c != _MET)
     # a class may be there twice, from two tasks: each (shingle, class) counts once
     pair = np.lexsort((c[hit], s[hit]))
     s, c = s[hit][pair], c[hit][pair]
@@ -145,7 +178,8 @@ def _shared(batches):
         lone = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))
         cls, n = np.unique(c[lone], return_counts=True)
         for i in range(0, len(cls), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(cls[i : i + 65536]), pa.array(n[i : i + 65536])], names=["cls", "shared"])
+            some = cls[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[i : i + 65536]), pa.nulls(len(some), pa.int64())], names=names)
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -173,18 +207,60 @@ def _sets_of(size):
     return run
 
 
-def _prefixes(keys, percent):
+def prefix_of(s: np.ndarray, percent: int) -> np.ndarray:
+    return np.sort(mix(s))[: spare(len(s), percent) + 1]
+
+
+def _prefix_counts(percent):
+    """Prefix shingles that several classes of a task share, with how many."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def some():
+            s, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= 4
+            return pa.RecordBatch.from_arrays([pa.array(s[often].astype(np.int64)), pa.array(times[often])], names=["s", "n"])
+
+        for b in batches:
+            for raw in b.column(0):
+                held.append(prefix_of(np.frombuffer(raw.as_buffer(), np.uint64), percent))
+                n += len(held[-1])
+            if n >= DEALT:
+                yield some()
+                held, n = [], 0
+        if n:
+            yield some()
+
+    return run
+
+
+def _parted(prefix: np.ndarray, cls: int, hot: dict[int, int]) -> np.ndarray:
+    """A prefix's keys: its shingles, and of a hot one a key for each pair of parts that the class' own part is in."""
+    keys = []
+    for s in prefix[np.isin(prefix, np.fromiter(hot, np.uint64, len(hot)))]:
+        parts = hot[int(s)]
+        own, j = cls % parts, np.arange(parts)
+        keys.append(mix(s + _BASE * (np.minimum(own, j) * parts + np.maximum(own, j) + 1).astype(np.uint64)))
+        prefix = prefix[prefix != s]
+    return np.concatenate([prefix, *keys]) if keys else prefix
+
+
+def _prefixes(keys, percent, hot):
     def run(batches):
         for b in batches:
             out = [[], [], [], [], []]
             for cls, n, raw, p in zip(*(b.column(i) for i in range(4)), strict=True):
-                s, n = np.frombuffer(raw.as_buffer(), np.uint64), n.as_py()
-                prefix = np.sort(mix(s))[: spare(n, percent) + 1]
-                at = bucket(prefix, len(keys))
+                own, n = prefix_of(np.frombuffer(raw.as_buffer(), np.uint64), percent), n.as_py()
+                if hot:
+                    own = _parted(own, cls.as_py(), hot)
+                at = bucket(mix(own), len(keys))  # prefixes are smallest hashes: their own high bits are all alike
+                order = np.argsort(at, kind="stable")
+                own, at = own[order], at[order]
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 for lo, hi in zip(first, np.append(first[1:], len(at)), strict=True):
                     out[0].append(int(keys[int(at[lo])])), out[1].append(cls.as_py()), out[2].append(n)
-                    out[3].append(prefix[lo:hi].tobytes()), out[4].append(p.as_buffer().to_pybytes())
+                    out[3].append(own[lo:hi].tobytes()), out[4].append(p.as_buffer().to_pybytes())
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["bucket", "cls", "n", "prefix", "point"])
 
@@ -252,8 +328,32 @@ class Tree:
         return self.order[at]
 
 
-def _candidates(percent):
-    """Edges that span the candidate pairs of a bucket: pairs with a common prefix shingle and a sufficient bound."""
+def _spread(own: np.ndarray, label: np.ndarray, near, forest: Forest, edges: list) -> None:
+    """Edges that span the candidate pairs of a list.  label: components so far; near(k): candidates of the list's k-th member."""
+
+    def probe(k):
+        others = near(k)
+        met, first = np.unique(label[others], return_index=True)
+        met, first = met[met != label[k]], first[met != label[k]]
+        for j in others[first]:
+            forest.join(int(own[k]), int(own[j]))
+            edges.append((own[k], own[j], True))
+        if len(met):
+            label[np.isin(label, met)] = label[k]
+
+    probe(0)
+    for k in range(1, len(own)):
+        # of two members that aren't joined, one at least is outside the largest component
+        if k % 64 == 1:
+            kinds, n = np.unique(label, return_counts=True)
+            most = label == kinds[n.argmax()]
+            main = np.flatnonzero(most)[0]
+        if label[k] != label[main]:
+            probe(k)
+
+
+def _candidates(percent, sparse):
+    """(a, b, dense): the candidate pairs of a bucket, or edges that span them where there are many; b is the smaller class."""
 
     def run(batches):
         cls, n, keys, points = [], [], [], []
@@ -264,32 +364,42 @@ def _candidates(percent):
         if not keys:
             return
         cls, n, points = np.concatenate(cls), np.concatenate(n), np.stack(points)
+        by = np.argsort(cls, kind="stable")
+        cls, n, points, keys = cls[by], n[by], points[by], [keys[i] for i in by]
         doc, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
         order = np.lexsort((doc, key))
         doc, key = doc[order], key[order]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        forest, done = Forest(len(cls)), set()
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        long_first = np.argsort(-np.diff(cuts), kind="stable")
+        forest, done, edges = Forest(len(cls)), set(), []
+        for lo, hi in zip(cuts[long_first], cuts[long_first + 1], strict=True):
             if hi - lo < 2:
-                continue
+                break
             own = doc[lo:hi]
             if (mark := own.tobytes()) in done:
                 continue
             done.add(mark)
-            if len({forest.find(i) for i in own}) < 2:
+            label = np.array([forest.find(i) for i in own])
+            if (label == label[0]).all():
                 continue
             tree = Tree(points[own], n[own], percent)
-            for x in own:
-                root = forest.find(x)
-                for y in own[tree.near(points[x], int(n[x]))]:
-                    if y != x and forest.find(y) != root:
-                        forest.join(x, y)
-                        root = forest.find(x)
-        roots = forest.roots()
-        linked = np.flatnonzero(roots != np.arange(len(roots)))
-        for i in range(0, len(linked), 65536):
-            some = linked[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[roots[some]])], names=["a", "b"])
+            near = lambda k, tree=tree, own=own: tree.near(points[own[k]], int(n[own[k]]))
+            few, limit = [], sparse * len(own)
+            for k in range(len(own)):
+                others = near(k)
+                few += [(k, j) for j in others[others > k]]
+                if len(few) > limit:
+                    break
+            if len(few) <= limit:
+                edges += [(own[k], own[j], False) for k, j in few if label[k] != label[j]]
+            else:
+                _spread(own, label, near, forest, edges)
+        if edges:
+            x, y = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+            dense = np.array([e[2] for e in edges])
+            a, b = cls[np.maximum(x, y)], cls[np.minimum(x, y)]
+            for i in range(0, len(a), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 65536]) for v in (a, b, dense)], names=["a", "b", "dense"])
 
     return run
 
@@ -305,11 +415,15 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def spanning(sets_: list[np.ndarray], points: np.ndarray, percent: int) -> Forest:
-    """Joins all linked sets; a pair is compared unless it is joined already or the bound rules it out."""
+def spanning(sets_: list[np.ndarray], points: np.ndarray, percent: int, known: np.ndarray | None = None) -> Forest:
+    """Joins all linked sets; a pair is compared unless it is joined already or the bound rules it out. known: components so far."""
     n = np.array([len(s) for s in sets_], np.int64)
     forest, leaders = Forest(len(sets_)), []
-    for i in range(len(sets_)):  # a first pass only: most members of a group are linked with one of its first
+    if known is not None:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        for i, j in enumerate(first[of]):
+            forest.join(i, int(j))
+    for i in range(len(sets_) if known is None else 0):  # a first pass only: most members of a group are linked with one of its first
         for l in leaders:
             if linked(sets_[i], sets_[l], percent):
                 forest.join(i, l)
@@ -332,12 +446,30 @@ def spanning(sets_: list[np.ndarray], points: np.ndarray, percent: int) -> Fores
     return forest
 
 
+def _compare(percent):
+    """Rows sorted by hub, part and side: a hub's set, then those that are compared with it."""
+
+    def run(batches):
+        hub = None
+        for b in batches:
+            links = [[], []]
+            for side, x, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if side == 0:
+                    hub = np.frombuffer(raw.as_buffer().to_pybytes(), np.uint64)
+                elif linked(np.frombuffer(raw.as_buffer(), np.uint64), hub, percent):
+                    links[0].append(x), links[1].append(h)
+            if links[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in links], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent):
     """Rows sorted by task: one task's documents at a time."""
 
     def edges(held):
-        cls = np.array([h[0] for h in held], np.int64)
-        forest = spanning([h[1] for h in held], np.stack([h[2] for h in held]), percent)
+        cls, known = (np.array([h[k] for h in held], np.int64) for k in (0, 3))
+        forest = spanning([h[1] for h in held], np.stack([h[2] for h in held]), percent, known)
         roots = forest.roots()
         at = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(cls[roots[at]])], names=["a", "b"])
@@ -345,62 +477,100 @@ def _verify(percent):
     def run(batches):
         task, held = None, []
         for b in batches:
-            for t, c, s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for t, c, s, p, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
                 if t != task:
                     if len(held) > 1:
                         yield edges(held)
                     task, held = t, []
-                held.append((c, np.frombuffer(s.as_buffer().to_pybytes(), np.uint64), np.frombuffer(p.as_buffer().to_pybytes(), np.uint8)))
+                held.append((c, np.frombuffer(s.as_buffer().to_pybytes(), np.uint64), np.frombuffer(p.as_buffer().to_pybytes(), np.uint8), r))
         if len(held) > 1:
             yield edges(held)
 
     return run
 
 
-def _tasks(of: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(task, cls, s, point): every pair of a candidate group whose sizes can match meets in a task."""
+_TASK = "array<struct<grp:bigint,band:int,kind:string,i:int,up:int,j:int>>"
+
+
+def _tasks(of: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(task, cls, root, s, point): each pair of a group whose sizes can match meets in a task, unless both are of its largest component.
+
+    members: node, grp, root, out (not of the group's largest component).
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
-    rows = written(of.select("cls", "n").join(found, F.col("cls") == F.col("node")).select(F.col("root").alias("grp"), "cls", "n"), "candidates").withColumn("band", band)
-    need = lambda docs, n: F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    by_band = rows.groupBy("grp", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-    whole = by_band.groupBy("grp").agg(need(F.sum("docs"), F.sum("n")).alias("all_parts"))
-    size = by_band.select("grp", "band", need(F.col("docs"), F.col("n")).alias("parts"))
-    large = size.join(whole.where("all_parts > 1").select("grp"), "grp")
-    after = large.select("grp", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    before = large.select("grp", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    large = written(large.join(after, ["grp", "band"], "left").join(before, ["grp", "band"], "left"), "blocks")
-    small = rows.join(large.select("grp").distinct(), "grp", "left_anti").select(F.struct("grp", F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("up"), F.lit(0).alias("j")).alias("task"), "cls")
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    cut = rows.join(large, ["grp", "band"]).withColumn("part", part)
-    task = lambda band, i, up, j: F.struct("grp", band.alias("band"), i.alias("i"), up.alias("up"), j.alias("j"))
-    span = lambda m: F.sequence(F.lit(0), m - 1)
-    own = F.transform(span(F.col("parts")), lambda j: task(F.col("band"), F.least("part", j), F.lit(0), F.greatest("part", j)))
-    none = F.array().cast("array<struct<grp:bigint,band:int,i:int,up:int,j:int>>")
-    over = F.when(F.col("above").isNotNull(), F.transform(span(F.coalesce("above", F.lit(1))), lambda j: task(F.col("band"), F.col("part"), F.lit(1), j))).otherwise(none)
-    under = F.when(F.col("below").isNotNull(), F.transform(span(F.coalesce("below", F.lit(1))), lambda i: task(F.col("band") - 1, i, F.lit(1), F.col("part")))).otherwise(none)
-    tasks = small.select("cls", F.array("task").alias("tasks")).union(cut.select("cls", F.concat(own, over, under)))
-    placed = tasks.select(F.col("cls").alias("of"), "tasks")
-    return of.join(placed, F.col("cls") == F.col("of")).select(F.explode("tasks").alias("task"), "cls", "s", "point")
+    rows = written(of.select("cls", "n").join(members, F.col("cls") == F.col("node")).select("grp", "cls", "n", "root", "out"), "candidates").withColumn("band", band)
+    need = lambda docs, n: F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    of_kind = lambda out: need(F.count_if("out" if out else ~F.col("out")), F.coalesce(F.sum(F.when(F.col("out") == out, F.col("n"))), F.lit(0)))
+    size = rows.groupBy("grp", "band").agg(of_kind(True).alias("outs"), of_kind(False).alias("mains"))
+    whole = rows.groupBy("grp").agg(need(F.count("*"), F.sum("n")).alias("all_parts")).where("all_parts > 1").select("grp")
+    large = size.join(whole, "grp")
+    beside = lambda d, name: large.select("grp", (F.col("band") - d).alias("band"), *(F.col(k).alias(f"{k}_{name}") for k in ("outs", "mains")))
+    large = written(large.join(beside(1, "above"), ["grp", "band"], "left").join(beside(-1, "below"), ["grp", "band"], "left").na.fill(0), "blocks")
+    task = lambda band, kind, i, up, j: F.struct("grp", band.alias("band"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.lit(up).alias("up"), j.cast("int").alias("j"))
+    each = lambda m, f: F.when(F.col(m) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(m), F.lit(1)) - 1), f)).otherwise(F.array().cast(_TASK))
+    small = rows.join(large.select("grp").distinct(), "grp", "left_anti").select("cls", "root", F.array(task(F.lit(-1), "all", F.lit(0), 0, F.lit(0))).alias("tasks"))
+    own, here, under = F.col("part"), F.col("band"), F.col("band") - 1
+    cut = rows.join(large, ["grp", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.greatest(F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains")), F.lit(1))).cast("int"))
+    outs = F.concat(
+        each("outs", lambda j: task(here, "outs", F.least(own, j), 0, F.greatest(own, j))), each("mains", lambda k: task(here, "out, main", own, 0, k)),
+        each("outs_above", lambda j: task(here, "outs", own, 1, j)), each("mains_above", lambda k: task(here, "out, main", own, 1, k)),
+        each("outs_below", lambda i: task(under, "outs", i, 1, own)), each("mains_below", lambda k: task(under, "main, out", k, 1, own)),
+    )
+    mains = F.concat(each("outs", lambda i: task(here, "out, main", i, 0, own)), each("outs_above", lambda j: task(here, "main, out", own, 1, j)), each("outs_below", lambda i: task(under, "out, main", i, 1, own)))
+    placed = small.union(cut.select("cls", "root", F.when(F.col("out"), outs).otherwise(mains).alias("tasks"))).withColumnRenamed("cls", "of")
+    return of.join(placed, F.col("cls") == F.col("of")).select(F.explode("tasks").alias("task"), "cls", "root", "s", "point")
+
+
+def _links(of: DataFrame, edges: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The candidate pairs that are links: each meets in a task of its hub b."""
+    salts = F.ceil(F.count("*") / HUB).cast("int")
+    hubs = edges.groupBy("b").agg(salts.alias("salts"))
+    near = F.broadcast if edges.count() <= BROADCAST_IDS else lambda x: x
+    pairs = edges.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+    compared = of.join(near(pairs), F.col("cls") == F.col("a")).select("b", "salt", F.lit(1).alias("side"), "cls", "s")
+    hub = of.join(near(hubs), F.col("cls") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "cls", "s")
+    met = compared.union(hub).repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "side")
+    return met.select("side", "cls", "b", "s").mapInArrow(_compare(percent), "a long, b long")
+
+
+def _open_members(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, grp, root, out: the members of groups that the links so far don't join."""
+    groups = components(edges.where("dense")).select("node", F.col("root").alias("grp"))
+    state = written(groups.join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("node", "grp", F.coalesce("root", "node").alias("root")), "group-members")
+    sizes = state.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("grp", "main")
+    return written(state.join(most, "grp").select("node", "grp", "root", (F.col("root") != F.col("main")).alias("out")), "open-members")
 
 
 def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (a set's identity) for every row."""
     spark = df.sparkSession
     docs, n_parts = id_and_text(df, id_col, text_col), partitions(df.sparkSession)
-    members = held(docs.mapInArrow(_classes(size), "doc_id long, n long, cls long, counted long"))
-    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.count("*").alias("rows"))
+    by_text = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    members = held(docs.withColumn("by_text", by_text).mapInArrow(_classes(size), "doc_id long, n long, cls long, counted long, by_text long"))
+    classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.count("*").alias("rows"), F.min("by_text").alias("by_text"))
     keys = deal(spark, n_parts)
-    shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cls long, shared long, here long")
+    shared = shared.groupBy("cls").agg((F.coalesce(F.sum("shared"), F.lit(0)) + F.coalesce(F.min("here"), F.lit(0))).alias("shared"))
     open_ = classes.join(shared, "cls", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100))
-    open_ = written(open_.where("least is not null").select(F.col("least").alias("by"), "cls"), "open-classes")
+    open_ = written(open_.select(F.col("least").alias("by"), "cls", "by_text"), "open-classes")
     near = F.broadcast if open_.count() <= BROADCAST_IDS else lambda x: x
-    chosen = docs.join(near(open_), F.col("doc_id") == F.col("by")).select("doc_id", "text", "cls").mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary")
-    of = held(chosen)
-    pairs = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(keys, percent), "bucket long, cls long, n long, prefix binary, point binary").repartition(n_parts, "bucket").mapInArrow(_candidates(percent), "a long, b long")
-    found = written(components(pairs), "groups")
-    tasks = _tasks(of, found, percent)
-    links = tasks.repartition(n_parts, "task").sortWithinPartitions("task").select(F.to_json("task").alias("task"), "cls", "s", "point").mapInArrow(_verify(percent), "a long, b long")
-    roots = written(components(links), "roots")
+    chosen = docs.join(near(open_.where("by is not null").drop("by_text")), F.col("doc_id") == F.col("by")).select("doc_id", "text", "cls")
+    without_id = open_.where("by is null").select("cls", "by_text")
+    if not without_id.isEmpty():  # classes that no id names are named by a text of theirs
+        texts = docs.where("doc_id is null").select(F.xxhash64("text").alias("by_text"), "text").join(near(without_id), "by_text").groupBy("cls").agg(F.first("text").alias("text"))
+        chosen = chosen.union(texts.select(F.lit(None).cast("long").alias("doc_id"), "text", "cls"))
+    of = held(chosen.mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary"))
+    often = of.select("s").mapInArrow(_prefix_counts(percent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    hot = {r["s"] % (1 << 64): -(-r["n"] // HOT) for r in often.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).collect()}  # 16 bytes each
+    entries = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(keys, percent, hot), "bucket long, cls long, n long, prefix binary, point binary")
+    pairs = entries.repartition(n_parts, "bucket").mapInArrow(_candidates(percent, SPARSE), "a long, b long, dense boolean")
+    edges = written(pairs.where("a <> b").groupBy("a", "b").agg(F.max("dense").alias("dense")), "candidate-pairs")
+    roots = written(components(_links(of, edges, percent, n_parts)), "roots")
+    if not (left := _open_members(edges, roots)).isEmpty():
+        tasks = _tasks(of, left, percent)
+        links = tasks.repartition(n_parts, "task").sortWithinPartitions("task").select(F.to_json("task").alias("task"), "cls", "s", "point", "root").mapInArrow(_verify(percent), "a long, b long")
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "roots")
     grouped = roots.join(classes, F.col("node") == F.col("cls")).select("cls", "root", "least")
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component"))
     joined = grouped.join(lowest, "root").select(F.col("cls").alias("of"), "component")
