@@ -220,6 +220,39 @@ def test_no_python_in_the_plan(spark):
 
 
 def test_sketch_is_deep_enough(spark):
-    it = spark.createDataFrame([(k, " ".join(f"w{k}-{x}" for x in range(n))) for k, n in enumerate((1, 5, 9, 30, 104))], "doc_id long, text string")
-    for r in op04_decontaminate.item_sketches(it).groupBy("item_id", "q").agg(F.count_if("sketch").alias("k")).collect():
-        assert r["k"] == r["q"] - -(-80 * r["q"] // 100) + 1
+    """Whatever a containing document lacks, it meets the need of its partition, and most of the sketch."""
+    sizes = (1, 2, 3, 5, 6, 9, 30, 31, 32, 63, 64, 104, 500)
+    it = spark.createDataFrame([(n, " ".join(f"w{n}-{x}" for x in range(n + 4))) for n in sizes], "doc_id long, text string")
+    got = op04_decontaminate.item_sketches(it).groupBy("item_id", "size_class", "spare", "need").agg(F.count("*").alias("depth")).collect()
+    assert sorted(r["item_id"] for r in got) == sorted(sizes)
+    for r in got:
+        q = r["item_id"]
+        assert 2 ** r["size_class"] <= q < 2 ** (r["size_class"] + 1) and r["spare"] >= q - -(-80 * q // 100)
+        assert r["need"] == r["depth"] - r["spare"] and 2 * r["need"] > r["depth"] and r["depth"] <= q
+
+
+def test_search_decides_what_is_verified(spark, monkeypatch):
+    """Documents that hold too little of a sketch aren't found, and what isn't found isn't returned."""
+    r = random.Random(21)
+    item = sentence(r, 60)
+    w = item.split()
+    data = [(1, item), (2, sentence(r, 30) + " " + item), (3, " ".join(w[:20]) + " " + sentence(r, 40)), (4, sentence(r, 60)), (5, " ".join(w[:3]))]
+    it = spark.createDataFrame([(1, item)], "item_id long, text string")
+    sketches = op04_decontaminate.item_sketches(it.toDF("doc_id", "text"))
+    found = op04_decontaminate.candidates(frame(spark, data).select("doc_id", "text"), sketches)
+    assert sorted(x["doc_id"] for x in found.collect()) == [1, 2]
+    search = op04_decontaminate.candidates
+    monkeypatch.setattr(op04_decontaminate, "candidates", lambda *a: search(*a).where("doc_id <> 2"))
+    assert [x["doc_id"] for x in op04_decontaminate.contaminated(frame(spark, data), it).collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_rows_are_judged_by_themselves(spark, monkeypatch, most):
+    monkeypatch.setattr(op04_decontaminate, "BROADCAST_HASHES", most)
+    r = random.Random(22)
+    item, other = sentence(r, 50), sentence(r, 20)
+    w = item.split()
+    data = [(None, " ".join(w[:30])), (None, " ".join(w[20:])), (None, item + " end"), (7, " ".join(w[:30])), (7, " ".join(w[20:])), (8, item), (8, item), (8, " ".join(w[:45])), (9, other)]
+    it = spark.createDataFrame([(1, item), (1, item), (None, other), (4, None), (5, " ")], "item_id long, text string")
+    got = sorted(((x["doc_id"], x["item_id"], x["matched"], x["item_shingles"]) for x in op04_decontaminate.contaminated(frame(spark, data), it).collect()), key=str)
+    assert got == sorted([(None, 1, 46, 46), (8, 1, 46, 46), (9, None, 16, 16)], key=str)

@@ -1,64 +1,99 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, DataFrame operations only.
 
 An item is its distinct word shingles (q of them).  A document contains it when it has at least ``percent``
-of those.  Items are partitioned by size; a partition's sketch keeps each item's smallest k = q - ceil(q *
-percent / 100) + 1 shingle hashes (bottom-k MinHash, as deep as the item's size needs): a document that
-contains the item has one of them, however long it is, so the search misses nothing.  A document is
-looked up only in partitions whose items are small enough for its own number of shingles.  Candidates are
-then verified by counting all of the item's shingles in the document.
+of those, however long it is.
 
-Shingle hashes that occur in some item are picked out of the documents once (and only those are kept); both
-the search and the verification read that table.  The items' hashes are broadcast when there are at most
-``BROADCAST_HASHES`` of them, and otherwise joined by a shuffle.
+1. Sketches.  Items are partitioned by size (powers of two).  A partition has one spare, the number of
+   shingles that a document may lack of its largest items, and one sketch depth, twice that and one: a sketch
+   is an item's so many smallest shingle hashes (bottom-k MinHash).
+2. Search.  The documents' shingle hashes are joined with the sketches of those partitions whose smallest
+   items fit the document's own number of shingles.  A document that contains an item lacks at most the
+   partition's spare of its sketch, that is less than half of it; what meets fewer goes no further.
+3. Verification.  Only the pairs that the search found are read again: their distinct shingles are compared
+   as texts.
+
+Sketches and found pairs are broadcast when there are at most ``BROADCAST_HASHES`` of them, and otherwise
+joined by a shuffle.
 
 Nulls: a null text or one without words has no shingle; such an item is in no document.  Fewer than five
-words make one shingle, which only an equally short text holds.  Repeated items are pairs each only by
-their ids; documents are taken by id.  Empty tables give an empty result.  Other columns are not read.
+words make one shingle, which only an equally short text holds.  Each row is judged by itself: rows that
+share an id (or have none) don't add up, and a pair of ids is returned once, with its best row.  Of repeated
+items with one id the same holds.  Empty tables give an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_and_text, read
+from .common import held, id_and_text, read, written
 
-#: 16 bytes each: at most about 32 MB of hashes go to every executor.
+#: Sketch hashes of 20 bytes each, or pairs: at most about 40 MB go to every executor.
 BROADCAST_HASHES = 2_000_000
 
 
-def hashed(df: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, h: the hashes of all shingles of a row (with repeats), in an array; rows without a word are left out."""
+def _words() -> Column:
     plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    w = F.array_remove(F.split(plain, r"[\x20\x09-\x0D]+"), "")
-    # the words are bound once, as a lambda's variable: else the optimiser would split the text anew for every shingle
-    each = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, size)))
-    return df.where("text is not null and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select("doc_id", F.explode(F.transform(F.array(w), each)).alias("h"))
+    return F.array_remove(F.split(plain, r"[\x20\x09-\x0D]+"), "")
+
+
+def _each_shingle(of, size: int) -> Column:
+    """``of`` applied to the array of words of every shingle of a row (with repeats).
+
+    The words are bound once, as a lambda's variable: else the optimiser would split the text anew for every shingle.
+    """
+    every = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: of(F.slice(w, i, size)))
+    return F.transform(F.array(_words()), every)[0]
+
+
+def _worded(df: DataFrame) -> DataFrame:
+    return df.where("text is not null and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+
+
+def hashed(df: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, row (the text's own number), h: the hashes of all shingles of a row, in an array; rows without a word are left out."""
+    return _worded(df).select("doc_id", F.xxhash64("text").alias("row"), _each_shingle(F.xxhash64, size).alias("h"))
 
 
 def item_sketches(items: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """item_id, h, q, size_class, sketch: every distinct shingle of every item, and whether the item's sketch holds it."""
-    a = hashed(items, size).select(F.col("doc_id").alias("item_id"), F.array_sort(F.array_distinct("h")).alias("h"))
+    """item_id, row, h, size_class, spare, need: the sketch hashes of every item, and how many of them a document that contains it has at least."""
+    a = hashed(items, size).select(F.col("doc_id").alias("item_id"), "row", F.array_sort(F.array_distinct("h")).alias("h"))
     q = F.size("h")
-    k = q - F.floor((q * percent + 99) / 100) + 1
-    return a.select("item_id", q.alias("q"), F.floor(F.log2(q.cast("double"))).cast("int").alias("size_class"), k.alias("k"), F.posexplode("h").alias("at", "h")).select("item_id", "h", "q", "size_class", (F.col("at") < F.col("k")).alias("sketch"))
+    size_class = F.floor(F.log2(q.cast("double"))).cast("int")
+    largest = F.pow(F.lit(2), F.col("size_class") + 1).cast("int") - 1
+    spare = (largest - F.floor((largest * percent + 99) / 100)).cast("int")
+    depth = F.least(q, 2 * F.col("spare") + 1)
+    a = a.withColumn("size_class", size_class).withColumn("spare", spare)
+    return a.select("item_id", "row", "size_class", "spare", (depth - F.col("spare")).alias("need"), F.explode(F.slice("h", 1, depth)).alias("h"))
+
+
+def candidates(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """doc_id, row, item_id, item_row: pairs of which the document meets enough of the item's sketch. docs: doc_id, text."""
+    near = F.broadcast if sketches.count() <= BROADCAST_HASHES else lambda x: x
+    rows = hashed(docs, size)
+    own = rows.select("doc_id", "row", F.size("h").alias("n"), F.explode("h").alias("h"))
+    known = sketches.select("h", "item_id", F.col("row").alias("item_row"), "size_class", "need")
+    fits = F.pow(F.lit(2), "size_class") * percent <= F.col("n") * 100
+    met = own.join(near(known), "h").where(fits).select("doc_id", "row", "item_id", "item_row", "need", "h").distinct()
+    return met.groupBy("doc_id", "row", "item_id", "item_row").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").drop("met", "need")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, matched, item_shingles, containment: every document with every item that it contains."""
-    sketches = held(item_sketches(id_and_text(items, item_col, item_text_col), percent, size).distinct())
-    near = F.broadcast if sketches.count() <= BROADCAST_HASHES else lambda x: x
-    known = sketches.select("h").distinct()
-    rows = hashed(id_and_text(docs, id_col, text_col), size)
-    hits = rows.select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h")).join(near(known), "h").groupBy("doc_id", "h").agg(F.max("n").alias("n"))
-    hits = held(hits)
-    # search: in the partitions of items that such a document can contain
-    least = F.col("q") * percent <= F.col("n") * 100
-    found = hits.join(near(sketches.where("sketch")), "h").where((F.pow(F.lit(2), "size_class") * percent <= F.col("n") * 100) & least).select(F.col("doc_id").alias("doc"), F.col("item_id").alias("item")).distinct()
-    # verification: all of the item's shingles
-    counted = hits.join(near(sketches.drop("sketch")), "h").groupBy("doc_id", "item_id", "q").agg(F.count("*").alias("matched")).where(F.col("matched") * 100 >= F.col("q") * percent)
-    exact = counted.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & F.col("item_id").eqNullSafe(F.col("item")), "left_semi")
-    return exact.select("doc_id", "item_id", "matched", F.col("q").cast("long").alias("item_shingles"), (F.col("matched") / F.col("q")).alias("containment"))
+    docs, items = id_and_text(docs, id_col, text_col), id_and_text(items, item_col, item_text_col)
+    found = written(candidates(docs, held(item_sketches(items, percent, size)), percent, size), "candidates")
+    near = F.broadcast if found.count() <= BROADCAST_HASHES else lambda x: x
+    # the search decides which rows are read again, and with which items they are compared
+    texts = F.array_distinct(_each_shingle(lambda w: F.array_join(w, " "), size))
+    wanted = found.select(F.col("doc_id").alias("doc"), F.col("row").alias("doc_row")).distinct()
+    mine = _worded(docs).withColumn("row", F.xxhash64("text")).join(near(wanted), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("doc_row")), "left_semi")
+    mine = mine.dropDuplicates(["doc_id", "row"]).join(near(found.withColumnsRenamed({"doc_id": "doc", "row": "doc_row"})), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("doc_row")))
+    mine = mine.select("doc_id", "item_id", "item_row", texts.alias("doc_shingles"))
+    theirs = _worded(items).select(F.col("doc_id").alias("item"), F.xxhash64("text").alias("of_row"), texts.alias("item_shingles")).dropDuplicates(["item", "of_row"])
+    both = mine.join(theirs, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("item_row") == F.col("of_row")))
+    counted = both.select("doc_id", "item_id", F.size(F.array_intersect("item_shingles", "doc_shingles")).cast("long").alias("matched"), F.size("item_shingles").cast("long").alias("q"))
+    exact = counted.where(F.col("matched") * 100 >= F.col("q") * percent).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "q"), F.col("matched") / F.col("q")).alias("best"))
+    return exact.select("doc_id", "item_id", "best.matched", F.col("best.q").alias("item_shingles"), (F.col("best.matched") / F.col("best.q")).alias("containment"))
 
 
 def op4_minhash_containment(spark, sf_dir: str) -> DataFrame:
