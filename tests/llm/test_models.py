@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from fixtures import frame, rows, sentence
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def test_score_is_the_sum_of_conditionals(spark):
     p = op09_pseudo.unpack(model.flat)
     # class and member probabilities of every place add up to one
     ctx = np.array([[0, 0, 3, 4]])
-    total = sum(np.exp(op09_pseudo.log_probabilities(p, ctx, np.array([w]), 1)[0]) for w in range(op09_pseudo.CLASSES * op09_pseudo.MEMBERS))
+    total = sum(np.exp(op09_pseudo.log_probabilities(p, ctx, np.array([w]))[0]) for w in range(op09_pseudo.CLASSES * op09_pseudo.MEMBERS))
     assert abs(total - 1) < 1e-4
     assert op09_pseudo.scored(frame(spark, []), model).collect() == []
     empty = op09_pseudo.train(frame(spark, []).select("doc_id", "text"), one_in=1, rounds=1)
@@ -131,7 +133,7 @@ def test_gradient_by_differences():
     flat = op09_pseudo.first_model(r.integers(1, 90, op09_pseudo.CLASSES * op09_pseudo.MEMBERS).astype(float), 5).astype(np.float64)
     ctx, target = r.integers(0, 1024, (6, 2 * op09_pseudo.WINDOW)), r.integers(0, 1024, 6)
     g = op09_pseudo.gradients(op09_pseudo.unpack(flat), ctx, target)
-    loss = lambda f: -op09_pseudo.log_probabilities(op09_pseudo.unpack(f), ctx, target, 1).mean()
+    loss = lambda f: -op09_pseudo.log_probabilities(op09_pseudo.unpack(f), ctx, target).mean()
     for k in np.flatnonzero(np.abs(g) > 1e-3)[:: max(1, int((np.abs(g) > 1e-3).sum() // 25))]:
         up, down = flat.copy(), flat.copy()
         up[k] += 1e-5
@@ -139,37 +141,73 @@ def test_gradient_by_differences():
         assert abs((loss(up) - loss(down)) / 2e-5 - g[k]) < 1e-3
 
 
-def test_rare_words_are_predicted_themselves(spark):
+def brute_score(model, counts, text):
+    """The sum of a text's log-probabilities, number by number."""
+    import math
+
+    v, p = model.vocabulary, {k: x.astype(float).tolist() for k, x in op09_pseudo.unpack(model.flat).items()}
+    entry = dict(zip(v.words.tolist(), v.entries.tolist(), strict=True))
+    h, _ = op09_pseudo.words(next(op09_pseudo.text_chunks(pa.record_batch({"doc_id": [1], "text": [text]}))))
+    h = h.tolist()
+    ids = [entry.get(x, 1) for x in h]
+    beside = [op09_pseudo.CLASSES * op09_pseudo.MEMBERS + x % op09_pseudo.HASHED if i == 1 else i for i, x in zip(ids, h, strict=True)]
+    others, kinds = sum(n for x, n in counts.items() if x not in entry), sum(x not in entry for x in counts)
+    out = 0.0
+    for k, target in enumerate(ids):
+        x = [e for d in (-2, -1, 1, 2) for e in p["emb"][beside[k + d] if 0 <= k + d < len(ids) else 0]]
+        times = lambda vec, mat: [sum(a * row[j] for a, row in zip(vec, mat, strict=True)) for j in range(len(mat[0]))]
+        hidden = [math.tanh(a + b) for a, b in zip(times(x, p["w"]), p["b"], strict=True)]
+        soft = lambda z, j: z[j] - math.log(sum(map(math.exp, z)))
+        c, m = divmod(target, op09_pseudo.MEMBERS)
+        out += soft([a + b for a, b in zip(times(hidden, p["wc"]), p["bc"], strict=True)], c)
+        g = [math.tanh(a + b) for a, b in zip(hidden, p["ec"][c], strict=True)]
+        out += soft([a + b for a, b in zip(times(g, p["wm"]), p["bm"][c], strict=True)], m)
+        if target == 1:
+            n = counts.get(h[k], 0)
+            out += math.log((n - 0.5 if n else (kinds / 2 + 1) / (kinds + 1)) / (others + 1))
+    return out
+
+
+@pytest.mark.parametrize("known", [0, 50, 200_000])
+def test_scores_from_the_weights_and_counts(spark, monkeypatch, known):
+    """By plain loops over the trained network; with the counts in the model or in the table beside it."""
     r = random.Random(6)
-    made = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
-    docs = [(k, " ".join(made() for _ in range(60))) for k in range(60)]  # about 3,600 kinds
-    model = op09_pseudo.train(frame(spark, docs).select("doc_id", "text"), one_in=1)
-    known = {int(x) for x in model.words}
-    texts = ["zzzzqqqq", "abcdefgh", "abcdefgi", "a zzzzqqqq b", "a zzzzqqqx b"]
-    t = next(op09_pseudo.text_chunks(__import__("pyarrow").record_batch({"doc_id": list(range(5)), "text": texts})))
-    h, edges, *places = op09_pseudo.letters(t)
-    assert all(np.array_equal(x, y) for x, y in zip((h, edges), op09_pseudo.words(t), strict=True))
-    assert not {int(h[k]) for k in (0, 1, 2)} & known
-    got = {x["doc_id"]: x["sum_logprob"] for x in op09_pseudo.scored(frame(spark, list(enumerate(texts))), model).collect()}
-    assert len(set(got.values())) == 5 and got[1] > got[0] + 5
-    # the spelling's rows are distributions, and a word's spelling is the sum of its steps
-    assert np.allclose(np.exp(model.spelling).reshape(-1, op09_pseudo.BYTES).sum(1), 1)
-    steps = [(256, 256, "z"), (256, "z", "z"), ("z", "z", "z"), ("z", "z", "z"), ("z", "z", "q"), ("z", "q", "q"), ("q", "q", "q"), ("q", "q", "q"), ("q", "q", 256)]
-    code = lambda x: np.int64(x if isinstance(x, int) else ord(x))
-    want = sum(model.spelling[op09_pseudo._after(code(a), code(b)) + code(c)] for a, b, c in steps)
-    assert abs(op09_pseudo.spelled(model.spelling, *places)[0] - want) < 1e-9
+    made = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 6)))
+    docs = [(k, " ".join(made() for _ in range(60))) for k in range(40)]
+    docs += [(None, docs[3][1]), (None, docs[3][1]), (50, docs[4][1]), (50, docs[4][1]), (4, "one more"), (60, None), (61, "zzzzqqqq"), (62, "x " * 9000)]
+    vocabulary = op09_pseudo.vocabulary
+    monkeypatch.setattr(op09_pseudo, "vocabulary", lambda d: vocabulary(d, known=known))
+    model = op09_pseudo.train(frame(spark, docs).select("doc_id", "text"), rounds=2)
+    counts = {}
+    for _, t in docs:
+        for x in op09_pseudo.words(next(op09_pseudo.text_chunks(pa.record_batch({"doc_id": [1], "text": [t or ""]}))))[0].tolist():
+            counts[x] = counts.get(x, 0) + 1
+    assert (model.vocabulary.rest is not None) == (known < 200_000) and len(counts) > 1022 + 50
+    want = [(i, len((t or "").split()), brute_score(model, counts, t or "")) for i, t in docs + [(70, "nowhere met aaaa")] if len(t or "") < 9000]
+    got = [(x["doc_id"], x["n_tokens"], x["sum_logprob"]) for x in op09_pseudo.scored(frame(spark, docs + [(70, "nowhere met aaaa")]), model).where("n_tokens < 5000").collect()]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * max(1, abs(b[2]))
 
 
 def test_training_reads_every_row_once(spark, monkeypatch):
     r = random.Random(9)
     few = [(k, sentence(r, 40)) for k in range(3)] + [(None, "again and again"), (5, None)] + [(None, "again and again")] * 4
     docs = frame(spark, few).select("doc_id", "text")
-    monkeypatch.setattr(op09_pseudo, "vocabulary", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(op09_pseudo.CLASSES * op09_pseudo.MEMBERS)))
-    tables = []
-    table = op09_pseudo.spelling_table
-    monkeypatch.setattr(op09_pseudo, "spelling_table", lambda met: tables.append(met.copy()) or table(met))
+    seen = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: [seen.append(x["seen"]) or x if "seen" in self.columns and x["block"] == 0 else x for x in collect(self)])
     op09_pseudo.train(docs)
-    ends = tables[-1].reshape(op09_pseudo.SPELLING, op09_pseudo.BYTES)[:, 256].sum()
-    assert ends == sum(len((t or "").split()) for _, t in few)
+    assert sum(seen) == sum(len((t or "").split()) for _, t in few)
     one = op09_pseudo.train(frame(spark, [(1, "only these words")]).select("doc_id", "text"))  # whatever its hash, it is trained on
-    assert not np.array_equal(one.flat, op09_pseudo.first_model(np.zeros(op09_pseudo.CLASSES * op09_pseudo.MEMBERS), 11))
+    assert not np.array_equal(one.flat, op09_pseudo.first_model(one.vocabulary.counts, 11))
+
+
+def test_repeated_texts_score_apart(spark):
+    """A text whose words occur once in the corpus, and one that the corpus has twice."""
+    r = random.Random(10)
+    made = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    texts = [" ".join(r.choice(("the", made(), made())) for _ in range(60)) for _ in range(120)]
+    docs = list(enumerate(texts + texts[:20]))
+    got = {x["doc_id"]: x["mean_logprob"] for x in op09_pseudo.scored(frame(spark, docs), op09_pseudo.train(frame(spark, docs).select("doc_id", "text"))).collect()}
+    assert np.mean([got[k] for k in range(20)]) > np.mean([got[k] for k in range(20, 120)]) + 0.3

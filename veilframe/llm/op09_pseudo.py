@@ -5,18 +5,21 @@ each neighbour's embedding goes through a hidden layer, which gives a distributi
 with the class, one over its members.  A document's score is the sum of its words' conditional
 log-probabilities, each predicted with all its neighbours in place.
 
-The vocabulary and its counts come from the whole corpus, and training is one pass over all of it: rows are
-dealt over the rounds in turn by their places in the table, so that copies of a text and rows that share an
-id fall in all rounds.  Each task trains a copy of the network on its rows by numpy, and the copies are
-averaged, weighted by words, between rounds.  ``one_in`` trains on fewer texts, where asked.  Averages are formed
-block by block of the parameters, so the driver receives one network a round, whatever the corpus' size.
+The vocabulary is every word of the corpus, with its count.  The network has an entry for each of the most
+frequent words and one for any other, which is then told apart by its frequency: its probability is the
+entry's times its share of the counts of such words (by absolute discounting, so that a word that the corpus
+lacks has some too).  As a neighbour, such a word has an embedding by its hash, one of ``HASHED``.  The counts
+of the ``KNOWN`` most frequent of these words go with the model; all others stay a table, which grows with the
+corpus, and scoring brings the words of texts to it by a shuffle.
+
+Training is one pass over all texts: rows are dealt over the rounds in turn by their places in the table, so
+that copies of a text and rows that share an id fall in all rounds.  Each task trains a copy of the network on
+its rows by numpy, and the copies are averaged, weighted by words, between rounds.  ``one_in`` trains on fewer
+texts, where asked.  Averages are formed block by block of the parameters, so the driver receives one network
+a round, whatever the corpus' size.
 
 Scoring covers whole texts.  Nulls: a null or wordless text has no words and scores 0 with null mean and
-perplexity.  No word is unknown: the network has an entry for each of the most frequent ones and one for any
-other word, which is then spelled, byte by byte, by a model of the bytes of such words (counted in the
-same pass); its probability is the entry's times the spelling's.  As a neighbour, such a word
-has an embedding by its hash, one of ``HASHED``.  Repeated rows return a row each; an empty table gives an
-empty result.  Other columns are not read.
+perplexity.  Repeated rows return a row each; an empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, held, id_and_text, read, run_hashes, runs, text_chunks, words
+from .common import held, id_and_text, partitions, read, text_chunks, words, written
+from .op10_jaccard import bucket, deal
 
-#: Entries are CLASSES x MEMBERS; entry 0 pads a text's ends, entry 1 is any other word, which is spelled.
+#: Entries are CLASSES x MEMBERS; entry 0 pads a text's ends, entry 1 is any other word.
 CLASSES, MEMBERS, DIM, HIDDEN, WINDOW = 32, 32, 8, 32, 2
 ONE_IN, ROUNDS, STEP = 1, 3, 2048
 #: Embeddings that other words share, by hash.
 HASHED = 8192
-#: Rows of the spelling's table (of the two bytes before, by hash), its symbols (a byte, or the word's end) and what each has beforehand.
-SPELLING, BYTES, BEFOREHAND = 1024, 257, 0.1
+#: Words without an entry whose counts go with the model (16 bytes each), and what each count is discounted by.
+KNOWN, DISCOUNT = 200_000, 0.5
+#: Words without a known count that a task deals out at a time.
+DEALT = 500_000
 #: Parameters that one group averages.
 BLOCK = 4096
 
@@ -55,62 +61,42 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 @dataclass
-class Model:
-    words: np.ndarray  # sorted hashes of the vocabulary
+class Vocabulary:
+    words: np.ndarray  # sorted hashes of the words with entries
     entries: np.ndarray  # their entries, 2...
-    flat: np.ndarray
-    spelling: np.ndarray  # log-probabilities, SPELLING x BYTES, flat
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.ones(len(h), np.int64)
-        k = np.searchsorted(self.words, h)
-        k[k == len(self.words)] = 0
-        return np.where(self.words[k] == h, self.entries[k], 1)
+    counts: np.ndarray  # by entry
+    known: np.ndarray  # sorted hashes of the most frequent other words
+    times: np.ndarray  # their counts
+    kinds: int  # other words
+    rest: DataFrame | None = None  # w, n: the words that are neither
 
 
-def as_neighbours(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Embeddings of words: that of the entry, or one by hash."""
-    return np.where(ids == 1, CLASSES * MEMBERS + (h % np.uint64(HASHED)).astype(np.int64), ids)
-
-
-def _after(two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Where the spelling's row begins for the bytes before (256 at a word's start)."""
-    return ((two * BYTES + one) * 2654435761 >> 16 & SPELLING - 1) * BYTES
-
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    flat: np.ndarray
 
-def letters(t):
-    """Word hashes, row offsets into them, starts and ends, and places in the spelling's table: of each byte, and of each word's end."""
-    starts, ends = runs(~WHITE[t.data], t.offsets)
-    low = LOWER[t.data]
-    s = low.astype(np.int64)
-    one, two = np.full(len(s), 256), np.full(len(s), 256)
-    one[1:], two[2:] = s[:-1], s[:-2]
-    one[starts] = two[starts] = 256
-    two[starts[starts + 1 < len(s)] + 1] = 256
-    last = s[ends - 1]
-    end = _after(np.where(ends - starts > 1, s[ends - 2], 256), last) + 256
-    return run_hashes(low, starts, ends), np.searchsorted(starts, t.offsets), starts, ends, _after(two, one) + s, end
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        return looked_up(h, self.vocabulary.words, self.vocabulary.entries, 1)
 
 
-def spelled(table: np.ndarray, starts, ends, at, end) -> np.ndarray:
-    """Log-probability of each word's bytes and end."""
-    upto = np.concatenate(([0], np.cumsum(table[at])))
-    return upto[ends] - upto[starts] + table[end]
+def looked_up(h: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
+    """The value of each h among sorted keys, or ``other``."""
+    if not len(keys):
+        return np.full(len(h), other, np.int64)
+    k = np.searchsorted(keys, h)
+    k[k == len(keys)] = 0
+    return np.where(keys[k] == h, values[k], other)
 
 
-def spelling_counts(some: np.ndarray, starts, ends, at, end) -> np.ndarray:
-    """How often each place of the spelling's table is met in some of the words."""
-    edge = np.zeros(len(at) + 1, np.int64)
-    np.add.at(edge, starts[some], 1)
-    np.add.at(edge, ends[some], -1)
-    own = at[np.cumsum(edge)[:-1] > 0]
-    return np.bincount(np.concatenate((own, end[some])), minlength=SPELLING * BYTES)
+def log_share(n: np.ndarray, all_: float, kinds: int) -> np.ndarray:
+    """Log-probability of words without an entry that the corpus has n times (0: nowhere) of ``all_`` such words of so many kinds."""
+    return np.log(np.where(n > 0, n - DISCOUNT, (kinds * DISCOUNT + 1) / (kinds + 1)) / (all_ + 1))
 
 
-def spelling_table(counts: np.ndarray) -> np.ndarray:
-    grid = counts.reshape(SPELLING, BYTES) + BEFOREHAND
-    return np.log(grid / grid.sum(1, keepdims=True)).ravel()
+def as_neighbours(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Embeddings of words: that of the entry, or one by hash."""
+    return np.where(ids == 1, CLASSES * MEMBERS + (h % np.uint64(HASHED)).astype(np.int64), ids)
 
 
 def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -141,12 +127,13 @@ def forward(p: dict, ctx: np.ndarray, target: np.ndarray):
     return c, m, at, x, h, pc, g, pm
 
 
-def log_probabilities(p: dict, ctx: np.ndarray, target: np.ndarray, unknown_kinds: int = 1) -> np.ndarray:
+def log_probabilities(p: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of entries."""
     out = np.empty(len(target))
     for i in range(0, len(target), 16384):
         c, m, at, _, _, pc, _, pm = forward(p, ctx[i : i + 16384], target[i : i + 16384])
         out[i : i + 16384] = np.log(np.maximum(pc[at, c], 1e-30)) + np.log(np.maximum(pm[at, m], 1e-30))
-    return out - np.where(target == 1, np.log(max(1, unknown_kinds)), 0)
+    return out
 
 
 def gradients(p: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -189,8 +176,8 @@ class Adam:
         flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, entries, counts by entry) of the most frequent words of all texts."""
+def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS, known: int = KNOWN) -> Vocabulary:
+    """All words of all texts; the most frequent of them are numbered."""
 
     def run(batches):
         held, n = {}, 0
@@ -206,18 +193,23 @@ def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS) -> tuple[np.nd
             for i in range(0, len(h), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 65536].astype(np.int64)), pa.array(times[i : i + 65536])], names=["w", "n"])
 
-    all_ = held(docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total = all_.agg(F.sum("n")).first()[0]
-    top = all_.orderBy(F.desc("n"), "w").limit(entries - 2).collect()  # at most ``entries`` rows
-    h, n = np.array([r["w"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64)
+    all_ = written(docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    total, kinds = all_.agg(F.sum("n"), F.count("*")).first()
+    top = all_.orderBy(F.desc("n"), "w").limit(entries - 2 + known).toArrow()  # 16 bytes each
+    h, n = top["w"].to_numpy().astype(np.uint64), top["n"].to_numpy()
+    full = len(h) == entries - 2 + known
     # frequent words are dealt over the classes; entries 0 and 1 are taken
     grid = np.arange(entries).reshape(CLASSES, MEMBERS).T.ravel()
-    at = grid[grid > 1][: len(top)]
+    at = grid[grid > 1][: len(h)]
     counts = np.zeros(entries)
-    counts[at] = n
-    counts[1] = (total or 0) - n.sum()
-    order = np.argsort(h)
-    return h[order], at[order], counts
+    counts[at] = n[: len(at)]
+    counts[1] = (total or 0) - n[: len(at)].sum()
+    order, late = np.argsort(h[: len(at)]), np.argsort(h[len(at) :])
+    rest = None
+    if full:  # the table goes on where the collected part ends
+        last, low = int(n[-1]), int(top["w"][-1].as_py())
+        rest = all_.where((F.col("n") < last) | ((F.col("n") == last) & (F.col("w") > low)))
+    return Vocabulary(h[: len(at)][order], at[order], counts, h[len(at) :][late], n[len(at) :][late], max(0, kinds - len(at)), rest)
 
 
 def _summed(held: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -227,32 +219,28 @@ def _summed(held: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: float = 0.01, seed: int = 11) -> Model:
     """docs: doc_id, text; its rows keep their order from job to job, as those of a file do."""
-    h, at, counts = vocabulary(docs)
-    met = np.zeros(SPELLING * BYTES)
-    model = Model(h, at, first_model(counts, seed), spelling_table(met))
+    v = vocabulary(docs)
+    model = Model(v, first_model(v.counts, seed))
     share = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else docs
     share = share.withColumn("nth", F.pmod(F.monotonically_increasing_id(), F.lit(rounds)))
-    size = len(model.flat)
 
-    def run(model, nth):
+    def run(flat, nth, vocabulary):
         def task(batches):
-            flat, seen, opt = model.flat.copy(), 0, Adam(size, rate / (1 + nth))
-            p, r, met = unpack(flat), np.random.default_rng(seed + nth), np.zeros(SPELLING * BYTES)
+            own, seen, opt = flat.copy(), 0, Adam(len(flat), rate / (1 + nth))
+            p, r, model = unpack(own), np.random.default_rng(seed + nth), Model(vocabulary, own)
             for b in batches:
                 for t in text_chunks(b):
-                    hashes, edges, *places = letters(t)
-                    ids = model.ids(hashes)
-                    met += spelling_counts(ids == 1, *places)
-                    ctx = contexts(as_neighbours(ids, hashes), edges)
+                    h, edges = words(t)
+                    ids = model.ids(h)
+                    ctx = contexts(as_neighbours(ids, h), edges)
                     order = r.permutation(len(ids))
                     for i in range(0, len(order), STEP):
                         some = order[i : i + STEP]
-                        opt.step(flat, gradients(p, ctx[some], ids[some]))
+                        opt.step(own, gradients(p, ctx[some], ids[some]))
                     seen += len(ids)
             if seen:
-                both = np.concatenate((flat.astype(np.float64) * seen, met))
-                blocks = range(0, len(both), BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(blocks)))), pa.array([float(seen)] * len(blocks)), pa.array([both[i : i + BLOCK].tobytes() for i in blocks])], names=["block", "seen", "v"])
+                blocks = range(0, len(own), BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(blocks)))), pa.array([float(seen)] * len(blocks)), pa.array([(own[i : i + BLOCK].astype(np.float64) * seen).tobytes() for i in blocks])], names=["block", "seen", "v"])
 
         return task
 
@@ -265,15 +253,21 @@ def train(docs: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS, rate: flo
 
     for nth in range(rounds):
         kind = "block long, seen double, v binary"
-        got = share.where(F.col("nth") == nth).select("doc_id", "text").mapInArrow(run(model, nth), kind).groupBy("block").applyInArrow(_one(total), kind).collect()  # one network
+        task = run(model.flat, nth, _carried(v))
+        got = share.where(F.col("nth") == nth).select("doc_id", "text").mapInArrow(task, kind).groupBy("block").applyInArrow(_one(total), kind).collect()  # one network
         if not got:
             continue  # fewer rows than rounds
         both = np.concatenate([np.frombuffer(bytes(r["v"])) for r in sorted(got, key=lambda r: r["block"])])
-        met += both[size:]
-        model = Model(h, at, (both[:size] / got[0]["seen"]).astype(np.float32), spelling_table(met))
+        model = Model(v, (both / got[0]["seen"]).astype(np.float32))
     return model
 
 
+def _carried(v: Vocabulary, known: bool = False) -> Vocabulary:
+    """What tasks receive of a vocabulary."""
+    none = np.zeros(0, np.uint64)
+    return Vocabulary(v.words, v.entries, v.counts, v.known if known else none, v.times if known else none, v.kinds)
+
+
 def _one(total):
     def run(key, table):
         return pa.Table.from_batches(list(total(key, table.to_batches())))
@@ -281,26 +275,109 @@ def _one(total):
     return run
 
 
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, sum_logprob, mean_logprob, perplexity."""
+def _scores(flat, v: Vocabulary, keys):
+    """Rows of two kinds: a text's own score (bucket null), and packs of words whose counts aren't known here, with their texts' keys.
+
+    Of equal rows of a pack, only the first (flag ``first``) deals out its words.
+    """
+    own_names = ["doc_id", "n", "sum", "text_key", "first", "bucket", "w", "of"]
+
+    def packed(w, of):
+        at = bucket(w, len(keys)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        w, of = w[order], of[order]
+        cuts = np.searchsorted(at[order], np.arange(len(keys) + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        none = lambda k: pa.nulls(len(some), k)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.int64()), none(pa.bool_()), pa.array(keys[some]), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in (w, of))], names=own_names)
 
     def run(batches):
-        p = unpack(model.flat)
+        p, model, others = unpack(flat), Model(v, flat), float(v.counts[1])
+        met, held, count = set(), [], 0
         for b in batches:
+            text_keys, base = b.column(b.schema.get_field_index("text_key")).to_numpy(), 0
             for t in text_chunks(b):
-                h, edges, *places = letters(t)
+                h, edges = words(t)
                 ids = model.ids(h)
                 lp = log_probabilities(p, contexts(as_neighbours(ids, h), edges), ids)
-                lp += np.where(ids == 1, spelled(model.spelling, *places), 0)
                 n, sums = np.diff(edges), np.zeros(len(t))
+                key = text_keys[base : base + len(t)]
+                other = np.flatnonzero(ids == 1)
+                times = looked_up(h[other], v.known, v.times, 0)
+                lp[other] += np.where(times > 0, log_share(np.maximum(times, 1), others, v.kinds), 0)
                 full = np.flatnonzero(n)
                 if len(full):
                     sums[full] = np.add.reduceat(lp, edges[full])
-                mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(n), pa.array(sums), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], names=["doc_id", "n_tokens", "sum_logprob", "mean_logprob", "perplexity"])
+                first = np.array([not (k in met or met.add(k)) for k in key.tolist()])
+                row = np.searchsorted(edges, other[times == 0], "right") - 1
+                late = first[row]
+                held.append((h[other[times == 0]][late], key[row][late]))
+                count += len(held[-1][0])
+                none = lambda k, t=t: pa.nulls(len(t), k)
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(n), pa.array(sums), pa.array(key), pa.array(first), none(pa.int64()), none(pa.binary()), none(pa.binary())], names=own_names)
+                base += len(t)
+                if count >= DEALT:
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    met, held, count = set(), [], 0
+        if count:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _dealt_counts(keys):
+    """The table of further words in packs by bucket: hashes and counts."""
+
+    def run(batches):
+        for b in batches:
+            w, n = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy()
+            at = bucket(w, len(keys)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(len(keys) + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), *(pa.array([x[order][cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in (w, n)), pa.array([True] * len(some))], names=["bucket", "w", "of", "counts"])
+
+    return run
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double, mean_logprob double, perplexity double")
+
+def _shares(others: float, kinds: int):
+    """A bucket's words with their counts -> (text_key, part): summed log-shares by text."""
+
+    def run(batches):
+        got = {True: ([], []), False: ([], [])}
+        for b in batches:
+            for w, of, counts in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                got[counts][0].append(np.frombuffer(w.as_buffer(), np.uint64)), got[counts][1].append(np.frombuffer(of.as_buffer(), np.int64))
+        if not got[False][0]:
+            return
+        w, of = (np.concatenate(x) for x in got[False])
+        known, n = (np.concatenate(x) for x in got[True]) if got[True][0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(known)
+        share = log_share(looked_up(w, known[order], n[order], 0), others, kinds)
+        key, at = np.unique(of, return_inverse=True)
+        part = np.bincount(at, share)
+        for i in range(0, len(key), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 65536]), pa.array(part[i : i + 65536])], names=["text_key", "part"])
+
+    return run
+
+
+def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, sum_logprob, mean_logprob, perplexity."""
+    v, n = model.vocabulary, partitions(df.sparkSession)
+    keys = deal(df.sparkSession, n)
+    docs = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", "text"))
+    all_ = written(docs.mapInArrow(_scores(model.flat, _carried(v, True), keys), "doc_id long, n long, sum double, text_key long, first boolean, bucket long, w binary, of binary"), "scores")
+    own, packs = all_.where("bucket is null"), all_.where("bucket is not null").select("bucket", "w", "of", F.lit(False).alias("counts"))
+    if v.rest is not None:
+        packs = packs.union(v.rest.select("w", "n").mapInArrow(_dealt_counts(keys), "bucket long, w binary, of binary, counts boolean"))
+    parts = packs.repartition(n, "bucket").mapInArrow(_shares(float(v.counts[1]), v.kinds), "text_key long, part double").groupBy("text_key").agg(F.sum("part").alias("part"))
+    # equal rows of several packs dealt their words out as often
+    dealt = own.where("first").groupBy("text_key").agg(F.count("*").alias("packs"))
+    more = parts.join(dealt, "text_key").select(F.col("text_key").alias("of_key"), (F.col("part") / F.col("packs")).alias("more"))
+    total = own.join(more, F.col("text_key") == F.col("of_key"), "left").select("doc_id", "n", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"))
+    mean = F.when(F.col("n") > 0, F.col("sum") / F.col("n"))
+    return total.select("doc_id", F.col("n").alias("n_tokens"), F.col("sum").alias("sum_logprob"), mean.alias("mean_logprob"), F.exp(-mean).alias("perplexity"))
 
 
 def op9_masked_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:
