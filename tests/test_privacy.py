@@ -62,7 +62,7 @@ def test_masked_rows_leak_nothing_and_restore(spark):
     assert leakscan.leaks(bodies, values).count() == 0
     raw = df.select(F.col("id").alias("body_id"), F.to_json(F.struct("*")).alias("body"))
     assert leakscan.leaks(raw, values).where("kind = 'value'").select("body_id").distinct().count() == 300
-    back = restore.restore_column(masked.select("id", "name"), "name", "id", tokens)
+    back = restore.restore_column(masked.select("id", "name"), "name", tokens)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.select("id", "name").collect()))
 
 
@@ -164,12 +164,65 @@ def test_scan_equals_independent_scan(spark):
     assert a == b == {k for k in range(0, 90, 3)}
 
 
-def test_large_dictionaries_give_the_same_leaks(spark, monkeypatch):
-    bodies = spark.createDataFrame([(k, f'say "name{k}x" or 80{k:03d}-89999 and 80{k:03d}') for k in range(60)], "body_id int, body string")
-    values = spark.createDataFrame([(f"name{k}x",) for k in range(50)] + [(f"80{k:03d}",) for k in range(10)], "value string")
-    small = sorted(map(tuple, leakscan.leaks(bodies, values).collect()))
+@pytest.mark.parametrize("parts", [0, 500_000])
+def test_large_dictionaries_give_the_same_leaks(spark, monkeypatch, parts):
+    bodies = spark.createDataFrame([(k, f'say "name{k}x" or 80{k:03d}-89999 and 80{k:03d}') for k in range(60)] + [(7, "abc, abcd"), (None, "Name3x"), (8, None), (9, "")], "body_id int, body string")
+    values = spark.createDataFrame([(f"name{k}x",) for k in range(50)] + [(f"80{k:03d}",) for k in range(10)] + [("abcd",)], "value string")
+    monkeypatch.setattr(leakscan, "BROADCAST_VALUES", 100_000)
+    small = sorted(map(tuple, leakscan.leaks(bodies, values).collect()), key=str)
     monkeypatch.setattr(leakscan, "BROADCAST_VALUES", 7)
-    assert sorted(map(tuple, leakscan.leaks(bodies, values).collect())) == small and len(small) == 60
+    monkeypatch.setattr(leakscan, "BROADCAST_PARTS", parts)
+    assert sorted(map(tuple, leakscan.leaks(bodies, values).collect()), key=str) == small and len(small) == 62
+
+
+def test_large_dictionaries_give_the_same_scan(spark, monkeypatch):
+    values = [f"Zed{k} Quill{k % 7}" for k in range(40)] + ["Mirek Tolan", "(217) 640-0138", "KX-00417", "64210", "1987-05-23"]
+    cells = spark.createDataFrame([("ABCD"[k % 4], v) for k, v in enumerate(values)], "column string, value string")
+    texts = [f"{v.upper()} came" for v in values[::3]] + ["2176400138 or 64,210", "kx 00417", "on the 23rd of May 1987", "zed3_quill3", "tolan asked", "nothing here", "", None]
+    bodies = spark.createDataFrame([(k % 11, t) for k, t in enumerate(texts)], "body_id int, text string")
+    forms, days = audit.dictionary(cells), audit.date_dictionary(cells)
+    get = lambda: sorted(map(tuple, audit.scan(bodies, forms, days).collect()))
+    small = get()
+    monkeypatch.setattr(audit, "BROADCAST_FORMS", 3)
+    large = get()
+    monkeypatch.setattr(audit, "BROADCAST_FORMS", 0)
+    assert large == small == get() and {k for _, _, k, _, _ in small} >= {"exact", "date", "digits", "normalized", "number", "word"}
+
+
+def test_large_maps_give_the_same_substitution(spark, monkeypatch):
+    names = [f"{a}{k}" for k in range(30) for a in ("Zed", "Quill", "Yor ")] + ["—", "日本", "1987-05-23", "ab"]
+    tokens = spark.createDataFrame([(v, f"TEXT_{k:03d}") for k, v in enumerate(names)], "value string, token string")
+    texts = [f"saw {v} and {v.lower()}x, {v.upper()}" for v in names] + ["on May 23, 1987", "日本語 — ab AB", None, "", "nothing"] * 2
+    df = spark.createDataFrame([(None if k % 5 == 0 else k % 9, t) for k, t in enumerate(texts)], "k int, t string")
+    small = sorted(map(str, substitute.substituted(df, "t", tokens).collect()))
+    monkeypatch.setattr(substitute, "BROADCAST_VALUES", 10)
+    assert sorted(map(str, substitute.substituted(df, "t", tokens).collect())) == small and len(small) == len(texts) and any("TEXT_092" in x for x in small)
+
+
+def test_restoring_keeps_rows_with_repeated_and_null_keys(spark):
+    tokens = spark.createDataFrame([("PERSON_001", "Zed"), ("PERSON_0012", "Quill"), ("ID_001", None)], "token string, value string")
+    df = spark.createDataFrame([(1, "hi PERSON_001"), (1, "PERSON_0012, PERSON_001PERSON_001 and PERSON_999"), (None, "no token"), (None, "ID_001"), (1, "hi PERSON_001"), (2, None), (3, "")], "k int, t string")
+    got = sorted(map(str, restore.restore_column(df, "t", tokens).collect()))
+    values = {"PERSON_001": "Zed", "PERSON_0012": "Quill"}
+    want = [(k, None if t is None else restore.restore_text(t, values)) for k, t in df.collect()]
+    assert got == sorted(str(spark.createDataFrame([w], df.schema).first()) for w in want)
+
+
+@pytest.mark.parametrize("taken", [[], [1], [3, 4, 5], [1, 2, 3, 7, 9, 10, 400], [50_000_000_000]])
+def test_numbers_go_around_taken_tokens(spark, taken):
+    cells = spark.createDataFrame([(f"v{k}", ("ID", "PERSON")[k % 2], k, 0) for k in range(30)], "value string, kind string, row int, pos int")
+    reserved = spark.createDataFrame([(f"{kind}_{n:03d}",) for n in taken for kind in ("ID", "TEXT")], "token string")
+    got = {r["value"]: r["token"] for r in mask.token_map(cells, reserved=reserved).collect()}
+    free = [n for n in range(1, 60) if n not in taken]
+    assert got == {f"v{k}": f"{('ID', 'PERSON')[k % 2]}_{(free[k // 2] if k % 2 == 0 else k // 2 + 1):03d}" for k in range(30)}
+
+
+def test_first_cells_are_found_in_one_pass(spark):
+    df = spark.createDataFrame([(k, "x@y.org" if k > 1500 and k % 2 else None, float(k) if k > 1200 else None) for k in range(2400)], "k int, mail string, n double")
+    cells = classify.first_cells(df, ["mail", "n"], ["k"])
+    assert {r["column"]: (r["c"], r["m"]) for r in cells.groupBy("column").agg(F.count("*").alias("c"), F.min("text").alias("m")).collect()} == {"mail": (200, "x@y.org"), "n": (200, "1201.0")}
+    got = {p.letter: p.private for p in classify.suggest(df, ["k"])}
+    assert got["B"] and not got["C"]
 
 
 # ---------------------------------------------------------------- questions

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from weakref import WeakSet
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.folding import fold_map
 from ..functions.variants import Form, accept, code_projection, digit_projection, variants
+from ..sources.rows import written
 from .mask import TOKEN
 
 _TOKEN = re.compile(TOKEN.replace(r"\b", ""), re.IGNORECASE)
@@ -23,6 +25,8 @@ _BIN = re.compile(r"^(?:0|0-9|-9-0|([1-9])(0+)-\1(9+)|-([1-9])(9+)--\4(0+))$")
 MONTH = re.compile(r"^\d{4}-(0[1-9]|1[0-2])$")
 #: Forms that are broadcast to the texts at most.
 BROADCAST_FORMS = 200_000
+#: Characters of the part by which a form is looked up beyond that; forms have so many at least.
+PART = 4
 
 
 def is_bin(text: str) -> bool:
@@ -117,35 +121,63 @@ def date_dictionary(cells: DataFrame) -> DataFrame:
 def scan(texts: DataFrame, forms: DataFrame, days: DataFrame | None = None, key: str = "body_id", text: str = "text") -> DataFrame:
     """key, column, kind, start, end of every hit.
 
-    The dictionary is built into automata on the executors; it is sent whole up to BROADCAST_FORMS forms, and in
-    slices beyond, each of which passes over all texts.
+    Up to BROADCAST_FORMS forms go to every executor and become automata there; of more, each text receives those
+    that share a part with it.  Days are joined where they are more than that.
     """
-    n = forms.count()
-    slices = max(1, -(-n // BROADCAST_FORMS))
     kind = dict(texts.dtypes)[key]
     base = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = f"key {kind}, column string, kind string, start int, end int"
     day_map: dict[str, set[str]] = {}
-    if days is not None:
-        if days.count() <= BROADCAST_FORMS:
-            for r in days.collect():  # at most BROADCAST_FORMS short rows
-                day_map.setdefault(r["day"], set()).add(r["column"])
-        else:
-            return scan(texts, forms, None, key, text).unionByName(_date_join(base, days, kind).withColumnRenamed("key", key))
-    out = None
-    cut = forms.withColumn("_s", F.pmod(F.xxhash64("form"), F.lit(slices)))
-    for k in range(slices):
-        part = cut.where(F.col("_s") == k) if slices > 1 else cut
-        rows = texts.sparkSession.sparkContext.broadcast([(r["column"], r["form"], r["kind"], r["rule"]) for r in part.collect()])  # at most about BROADCAST_FORMS rows
-
-        def run(batches, rows=rows, first=k == 0):
-            m = Matcher(rows.value, day_map if first else None)
+    few_days = days is None or days.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS
+    if days is not None and few_days:
+        for r in days.collect():  # at most BROADCAST_FORMS short rows
+            day_map.setdefault(r["day"], set()).add(r["column"])
+    if forms.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
+        rows = texts.sparkSession.sparkContext.broadcast([(r["column"], r["form"], r["kind"], r["rule"]) for r in forms.collect()])  # at most BROADCAST_FORMS rows
+
+        def run(batches):
+            m = Matcher(rows.value, day_map)
             for pdf in batches:
                 got = [(b, *h) for b, t in zip(pdf["key"], pdf["text"], strict=True) if t for h in m.hits(t)]
                 yield pd.DataFrame(got, columns=["key", "column", "kind", "start", "end"])
 
-        one = base.mapInPandas(run, f"key {kind}, column string, kind string, start int, end int")
-        out = one if out is None else out.union(one)
-    return out.dropDuplicates(["key", "column", "kind"]).withColumnRenamed("key", key)
+        out = base.mapInPandas(run, schema)
+    else:
+
+        def run(batches):
+            for pdf in batches:
+                got = [(b, *h) for b, t, own in zip(pdf["key"], pdf["text"], pdf["own"], strict=True) if t for h in Matcher([] if own is None else [(x["column"], x["form"], x["kind"], x["rule"]) for x in own], day_map).hits(t)]
+                yield pd.DataFrame(got, columns=["key", "column", "kind", "start", "end"])
+
+        out = _with_forms(base, forms).mapInPandas(run, schema)
+    if not few_days:
+        out = out.unionByName(_date_join(base, days, kind))
+    # the earliest of each column and kind, also where a key has several texts
+    first = out.groupBy("key", "column", "kind").agg(F.min(F.struct("start", "end")).alias("at"))
+    return first.select(F.col("key").alias(key), "column", "kind", "at.start", "at.end")
+
+
+def _projected(text: str) -> dict[str, str]:
+    low = fold_map(text)[0]
+    return {"text": low, "digits": digit_projection(low)[0], "code": code_projection(low)[0]}
+
+
+def _with_forms(base: DataFrame, forms: DataFrame) -> DataFrame:
+    """key, text, own: each text with the forms whose rarest part (PART characters, of the form's own projection) it holds."""
+    texts = written(base.withColumn("_row", F.monotonically_increasing_id()), "bodies")
+    forms = written(forms.withColumn("group", F.when(F.col("rule").isin("digits", "code"), F.col("rule")).otherwise("text")), "forms")
+    cut = forms.select("group", "form").distinct().select("group", "form", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("form") - (PART - 1), F.lit(1))), lambda i: F.substring("form", i, F.lit(PART)))).alias("part")).distinct()
+    often = cut.groupBy("group", "part").agg(F.count("*").alias("n"))
+    rarest = cut.join(often, ["group", "part"]).groupBy("group", "form").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+
+    def parts(batches):
+        for pdf in batches:
+            got = [(r, g, p) for r, t in zip(pdf["_row"], pdf["text"], strict=True) if t for g, body in _projected(t).items() for p in {body[i : i + PART] for i in range(len(body) - PART + 1)}]
+            yield pd.DataFrame(got, columns=["_row", "group", "part"])
+
+    met = texts.select("_row", "text").mapInPandas(parts, "_row long, group string, part string").join(rarest, ["group", "part"]).select("_row", "group", "form").distinct()
+    own = met.join(forms, ["group", "form"]).groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("column", "form", "kind", "rule")).alias("own"))  # what one text may hold
+    return texts.join(own, F.col("_row") == F.col("_of"), "left").select("key", "text", "own")
 
 
 def _date_join(base: DataFrame, days: DataFrame, kind: str) -> DataFrame:
@@ -287,7 +319,7 @@ def passed(bodies: DataFrame, hits: DataFrame, wrong: DataFrame, key: str = "bod
 class Audited:
     """A request that passed: made here only, and only the very object may be sent."""
 
-    _issued: set[int] = set()
+    _issued: WeakSet = WeakSet()
 
     def __init__(self, body: str, mode: str):
         raise TypeError("requests are issued by issue()")
@@ -299,13 +331,12 @@ def issue(body: str, want: Expected, matcher: Matcher) -> Audited | Result:
         return r
     a = object.__new__(Audited)
     a.body, a.mode = body, want.mode
-    a._keep = a
-    Audited._issued.add(id(a))
+    Audited._issued.add(a)
     return a
 
 
 def genuine(a) -> bool:
-    return isinstance(a, Audited) and id(a) in Audited._issued and getattr(a, "_keep", None) is a
+    return isinstance(a, Audited) and a in Audited._issued
 
 
 __all__ = ["Audited", "Expected", "Form", "Matcher", "Result", "audit", "date_dictionary", "dictionary", "genuine", "is_bin", "issue", "locate", "passed", "scan", "structural"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..formula import gate
@@ -35,6 +35,9 @@ KIND_WORDS = {
     "thing": "product item company business brand store shop course project file sheet table team department dept event place location city street school organization organisation org account domain host server app model category vendor supplier program plan campaign region country state".split(),
     "alone": "first last middle".split(),
 }
+#: What a list's words say of a column's stand-ins, and how strongly; values have their say beside them.
+VOTES = {"email": (6, "EMAIL"), "strong id": (5, "ID"), "name": (4, "PERSON"), "weak id": (3, "ID"), "person": (2, "PERSON"), "alone": (2, "PERSON")}
+VALUE_VOTES = {"email": (6, "EMAIL"), "id": (1, "ID"), "none": (0, "TEXT")}
 TREATMENTS = {True: ("stand_in", "range", "month", "exclude"), False: ("as_is", "exclude")}
 
 
@@ -80,20 +83,17 @@ def default_treatment(kind: str) -> str:
 
 
 def token_kind(header: str, kind: str, id_share: float = 0.0, email_share: float = 0.0) -> str:
-    """PERSON, EMAIL, ID or TEXT: by header words first, else by what most sampled values are."""
-    words = set(header_words(header))
-    has = lambda k: bool(words & set(KIND_WORDS[k]))
-    if has("email") or email_share > 0.5:
-        return "EMAIL"
-    if has("strong id"):
-        return "ID"
-    if has("name") and not has("thing"):
-        return "PERSON"
-    if has("weak id"):
-        return "ID"
-    if has("person") or (len(header_words(header)) == 1 and has("alone")):
-        return "PERSON"
-    return "ID" if kind not in ("number", "date") and id_share > 0.5 else "TEXT"
+    """PERSON, EMAIL, ID or TEXT: the strongest vote of the header's words and of what most sampled values are.
+
+    A thing's name is no person's, a lone word of a name needs to be alone, and numbers and dates are no ids by being so shaped.
+    """
+    words = header_words(header)
+    heard = {k for k, known in KIND_WORDS.items() if not set(known).isdisjoint(words)}
+    heard -= {"name"} if "thing" in heard else set()
+    heard -= {"alone"} if len(words) > 1 else set()
+    says = [VOTES[k] for k in VOTES if k in heard]
+    says += [VALUE_VOTES[k] for k, share in (("email", email_share), ("id", 0.0 if kind in ("number", "date") else id_share)) if share > 0.5]
+    return max([*says, VALUE_VOTES["none"]])[1]
 
 
 def shares(df: DataFrame, column: str, order: list[str]) -> tuple[float, float]:
@@ -130,7 +130,7 @@ HEAD_ROWS = 1_000
 
 
 def patterns(df: DataFrame, columns: list[str], order: list[str], kinds: dict[str, str], rows: int) -> dict[str, dict]:
-    """Value patterns of every column: one job reads the first rows; a column with too few filled cells there is sampled by itself."""
+    """Value patterns of every column: one job reads the first rows; of columns with too few filled cells there, another reads the first filled ones."""
     head = df.orderBy(*order).select(*columns).limit(HEAD_ROWS).collect()
     cells, late = [], []
     for c in columns:
@@ -145,11 +145,22 @@ def patterns(df: DataFrame, columns: list[str], order: list[str], kinds: dict[st
         if own:
             for r in value_patterns(local.where(F.col("column").isin(own)).groupBy("column"), kind).collect():
                 out[r["column"]] = r.asDict()
-    for c in late:
-        out[c] = value_patterns(sample(df, c, order), kinds[c]).first().asDict()
+    for kind in ("text", "number", "other"):
+        own = [c for c in late if (kinds[c] if kinds[c] in ("text", "number") else "other") == kind]
+        if own:
+            for r in value_patterns(first_cells(df, own, order).groupBy("column"), kind).collect():  # a row a column
+                out[r["column"]] = r.asDict()
     return out
 
 
+def first_cells(df: DataFrame, columns: list[str], order: list[str], most: int = SAMPLE_CELLS) -> DataFrame:
+    """column, text, value of each column's first filled cells: one pass, in which every task keeps its own first ones only."""
+    number = lambda c: F.col(c).cast("double") if dict(df.dtypes)[c] not in ("string", "date", "timestamp", "boolean") else F.lit(None).cast("double")
+    cells = df.select(F.struct(*order).alias("_at"), F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), number(c).alias("value")) for c in columns)))).where(~shapes.is_blank(F.col("text")))
+    w = Window.partitionBy("column").orderBy("_at")  # its row limit is applied before the shuffle too
+    return cells.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("column", "text", "value")
+
+
 def alias_for(header: str, letter: str) -> str | None:
     """A neutral header where the header itself reveals something."""
     return f"Field {letter}" if set(header_words(header)) & set(REVEALING_WORDS) else None

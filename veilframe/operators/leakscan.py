@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.rows import written
+
 LEAST, LEAST_DIGITS = 4, 7
-#: Values that a broadcast scan takes at most; beyond, an automaton does, in slices of this size.
-BROADCAST_VALUES = 20_000
+#: Forms that every body is compared with one by one at most; more are looked up by a part of theirs.
+BROADCAST_VALUES = 200
+#: Parts (hashes of 8 bytes, with their forms) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_PARTS = 500_000
+#: Lengths of the parts, and from which length of a form on the longer one is taken.
+SHORT, LONG = 4, 8
 _BIN = r"(?<![\d-])-?([1-9])(0+|9+)--?\1(0+|9+)(?![\d-])|(?<![\d-])-?[09]--?[09](?![\d-])"
 
 
@@ -37,50 +43,39 @@ def leaks(bodies: DataFrame, values: DataFrame, canaries: DataFrame | None = Non
     """body_id, kind, id, variant: each value that a body holds, by its plainest form.
 
     A number that is only the bound of a bin is no leak: bins are taken out before numbers are looked for.
-    A small dictionary is broadcast to the bodies; a large one runs through an automaton on the executors.
+    A small dictionary is broadcast to the bodies; a large one meets them by an equi-join of parts.
     """
     forms = variants(values.select("value").distinct(), canaries)
     texts = bodies.select(F.col(body_id).alias("body_id"), F.lower(body).alias("text")).withColumn("bare", F.regexp_replace("text", _BIN, "|"))
-    if forms.count() <= BROADCAST_VALUES:
-        hit = F.when(F.col("numeric"), F.contains("bare", "form")).otherwise(F.contains("text", "form"))
+    hit = F.when(F.col("numeric"), F.contains("bare", "form")).otherwise(F.contains("text", "form"))
+    if forms.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
         found = texts.join(F.broadcast(forms), hit)  # at most BROADCAST_VALUES short rows
     else:
-        found = automaton(texts, forms)
+        found = by_parts(texts, forms).where(hit)
     return found.groupBy("body_id", "kind", "id").agg(F.min_by("variant", "rank").alias("variant"))
 
 
-def automaton(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """The same hits by Aho-Corasick: the dictionary is cut into slices, and every body meets every slice once."""
-    import pandas as pd
-
-    n = -(-forms.count() // BROADCAST_VALUES)
-    sliced = forms.withColumn("slice", F.pmod(F.xxhash64("form"), F.lit(n)).cast("int"))
-    every = texts.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        owners: dict[str, list[int]] = {}
-        for k, form in enumerate(right["form"]):
-            owners.setdefault(form, []).append(k)
-        for form in owners:
-            a.add_word(form, form)
-        rows = []
-        if len(a):
-            a.make_automaton()
-            for body, text, bare in zip(left["body_id"], left["text"], left["bare"], strict=True):
-                full = {f for _, f in a.iter(text)} if text else set()
-                cut = {f for _, f in a.iter(bare)} if bare else set()
-                rows += [(body, *right.iloc[k][["id", "kind", "numeric", "rank", "variant"]]) for f in full for k in owners[f] if not right["numeric"].iloc[k] or f in cut]
-        return pd.DataFrame(rows, columns=["body_id", "id", "kind", "numeric", "rank", "variant"])
-
-    kind = dict(texts.dtypes)["body_id"]
-    # bodies of a slice are spread, so that no task gets them all
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = every.withColumn("part", F.pmod(F.xxhash64("body_id"), F.lit(parts)).cast("int"))
-    copied = sliced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return spread.groupBy("slice", "part").cogroup(copied.groupBy("slice", "part")).applyInPandas(search, f"body_id {kind}, id string, kind string, numeric boolean, rank int, variant string")
+def _parts(c: Column, size: int) -> Column:
+    """Hashes of all stretches of ``size`` characters, each once."""
+    every = F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(size))))
+    return F.when(F.length(c) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+
+def by_parts(texts: DataFrame, forms: DataFrame) -> DataFrame:
+    """Bodies with the forms that they may hold: those whose rarest part (among all forms' parts) occurs in them.
+
+    All inside the JVM: bodies are cut into parts, an equi-join finds the forms, and only those pairs see the body again.
+    """
+    texts = written(texts.withColumn("_row", F.monotonically_increasing_id()), "bodies")
+    forms = written(forms, "forms")
+    long_ = F.length("form") >= LONG
+    cut = forms.select("form").distinct().select("form", F.explode(F.when(long_, _parts(F.col("form"), LONG)).otherwise(_parts(F.col("form"), SHORT))).alias("part"))
+    often = cut.groupBy("part").agg(F.count("*").alias("n"))
+    rarest = written(cut.join(often, "part").groupBy("form").agg(F.min_by("part", F.struct("n", "part")).alias("part")), "parts")
+    near = F.broadcast if rarest.count() <= BROADCAST_PARTS else lambda x: x
+    held = texts.select("_row", F.explode(F.array_distinct(F.concat(_parts(F.col("text"), SHORT), _parts(F.col("text"), LONG)))).alias("part"))
+    pairs = held.join(near(rarest), "part").select("_row", "form").distinct()
+    return pairs.join(texts, "_row").join(forms, "form")
 
 
 def report(bodies: DataFrame, found: DataFrame, body_id: str = "body_id", mode: str = "mode") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, shapes
 from ..functions.numbers import render_range
-from ..sources.rows import numbered, written
+from ..sources.rows import asof, numbered, written
 from .classify import Policy, lettered
 
 KINDS = ("PERSON", "EMAIL", "ID", "TEXT")
@@ -59,18 +59,31 @@ def token_map(cells: DataFrame, prefix: str = "", reserved: DataFrame | None = N
     ranked = placed.join(F.broadcast(start), "kind").withColumn("n", F.col("_n") - F.col("_start") + 1 + F.coalesce("_used", F.lit(0)))
     if reserved is not None:
         taken = reserved.select(F.regexp_extract("token", rf"^{prefix}([A-Z]+)_", 1).alias("kind"), F.regexp_extract("token", r"_(\d+)$", 1).cast("long").alias("t")).where("kind <> ''").distinct()
-        # the k-th free number: the numbers that are left after the taken ones, in order
-        most = ranked.groupBy("kind").agg((F.max("n")).alias("most"), F.min("n").alias("least")).join(taken.groupBy("kind").agg(F.count("*").alias("more")), "kind", "left")
-        free = most.select("kind", F.explode(F.sequence(F.col("least"), F.col("most") + F.coalesce("more", F.lit(0)))).alias("t")).join(taken, ["kind", "t"], "left_anti")
-        free = written(numbered(free, "kind", "t", name="_f"), "free-numbers")
-        base = free.groupBy("kind").agg(F.min("_f").alias("_b"))
-        free = free.join(F.broadcast(base), "kind").select("kind", (F.col("_f") - F.col("_b")).alias("rank"), "t")
-        lowest = ranked.groupBy("kind").agg(F.min("n").alias("_low"))
-        ranked = ranked.join(F.broadcast(lowest), "kind").withColumn("rank", F.col("n") - F.col("_low")).join(free, ["kind", "rank"]).withColumn("n", F.col("t"))
+        taken = written(taken.where(F.col("kind").isin(*KINDS)), "taken")
+        if not taken.isEmpty():
+            ranked = _around(ranked, taken)
     out = ranked.select("value", "kind", token(prefix, F.col("kind"), F.col("n")).alias("token"))
     return out if known is None else known.select("value", "kind", "token").unionByName(out)
 
 
+def _around(ranked: DataFrame, taken: DataFrame) -> DataFrame:
+    """``ranked`` with n moved past taken numbers (kind, t), in order.
+
+    Before the j-th taken number t of a kind stand t - least - (j - 1) free ones, so a value of that rank or more skips
+    j numbers at least: an as-of join of ranks with taken numbers, both in the order of kind and number.
+    """
+    place = lambda kind, x: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("long") * (1 << 48) + x
+    lowest = ranked.groupBy("kind").agg(F.min("n").alias("_low"))  # a row a kind
+    above = numbered(taken.join(F.broadcast(lowest), "kind").where("t >= _low"), "kind", "t", name="_j")
+    first = above.groupBy("kind").agg(F.min("_j").alias("_first"))
+    skips = above.join(F.broadcast(first), "kind").withColumn("_skip", F.col("_j") - F.col("_first") + 1)
+    free = skips.select(place(F.col("kind"), F.col("t") - F.col("_low") - F.col("_skip") + 1).alias("_at"), "_skip")
+    none = lowest.select(place(F.col("kind"), F.lit(0)).alias("_at"), F.lit(0).cast("long").alias("_skip"))
+    right = free.union(none).groupBy("_at").agg(F.max("_skip").alias("_skip"))
+    left = ranked.join(F.broadcast(lowest), "kind").withColumn("_rank", place(F.col("kind"), F.col("n") - F.col("_low")))
+    return asof(left, "_rank", right, "_at", "_skip", "_over").withColumn("n", F.col("n") + F.col("_over"))
+
+
 def tokenised(df: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
     """The column's values replaced by their tokens; blanks stay null."""
     t = tokens.select(F.col("value").alias("_v"), F.col("token").alias("_t"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..formula.syntax import tokenize
+from ..sources.rows import written
 from .mask import TOKEN
 
 _TOKEN = re.compile(TOKEN)
@@ -46,13 +47,20 @@ def restore_text(text: str, values: dict[str, str], prefix: str = "", reserved:
     return _TOKEN.sub(lambda m: resolve(m[0], values, prefix, reserved) or m[0], text)
 
 
-def restore_column(df: DataFrame, column: str, key: str, tokens: DataFrame) -> DataFrame:
-    """Texts with their tokens replaced: texts are cut around tokens, tokens are joined with the map, and put together."""
+def restore_column(df: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
+    """Texts with their tokens replaced.  Rows are numbered, so that repeated and null keys don't matter.
+
+    Only the tokens of a text travel to the map and back; a text without any isn't touched.
+    """
+    columns = df.columns
+    rows = written(df.withColumn("_row_of_text", F.monotonically_increasing_id()), "texts")
+    found = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"({TOKEN})"), F.lit(1)))
+    values = tokens.select(F.col("token").alias("_token"), F.col("value").alias("_value")).dropDuplicates(["_token"])
+    own = rows.select(F.col("_row_of_text").alias("_of"), F.explode(found).alias("_token")).join(values, "_token")
+    known = own.groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("_token", "_value"))).alias("_known"))  # a row's own tokens
     parts = F.split(F.col(column), f"(?={TOKEN})|(?<=[A-Z]_\\d{{3,12}})(?!\\d)")
-    cut = df.select(key, F.posexplode(parts).alias("_at", "_part"))
-    joined = cut.join(tokens.select(F.col("token").alias("_part"), F.col("value").alias("_value")), "_part", "left")
-    texts = joined.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_value", "_part").alias("x")))), lambda s: s["x"]), "").alias("_text"))
-    return df.drop(column).join(texts, key, "left").withColumnRenamed("_text", column)
+    text = F.when(F.col("_known").isNull(), F.col(column)).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("_known", p), p)), ""))
+    return rows.join(known, F.col("_row_of_text") == F.col("_of"), "left").withColumn(column, text).select(columns)
 
 
 def segments(text: str) -> list[tuple[str, bool]]:

@@ -13,6 +13,7 @@ from ..functions import dates
 from ..functions.folding import fold_map
 from ..functions.folding import fold
 from ..functions.variants import accept
+from ..sources.rows import written
 
 LEAST_FOLDED = 4
 
@@ -83,31 +84,55 @@ class Substituter:
         return "".join([*out, text[at:]])
 
 
-#: Values that one automaton holds at most; larger maps pass over the texts slice by slice, longest values first.
-SLICE = 200_000
+#: Values that are sent to every executor at most; more are brought only to the texts that may hold them.
+BROADCAST_VALUES = 50_000
+#: What a value's match is found by: a run of letters and digits, one ideograph, or one other character.
+_RUN = re.compile(r"[぀-鿿]|(?:(?![぀-鿿])\w)+|[^\w\s]")
 
 
 def substituted(df: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
     """The column with private values replaced; tokens: value, token."""
-    spark, n = df.sparkSession, tokens.count()
-    slices = max(1, -(-n // SLICE))
-    out = df
-    ordered = tokens.select("value", "token")
-    cuts = ordered.select(F.length("value").alias("n")).approxQuantile("n", [k / slices for k in range(slices - 1, 0, -1)], 0.01) if slices > 1 else []
-    bounds = [float("inf"), *cuts, -1.0]
-    for hi, lo in zip(bounds, bounds[1:], strict=False):
-        part = ordered.where((F.length("value") <= hi) & (F.length("value") > lo)) if slices > 1 else ordered
-        rows = spark.sparkContext.broadcast([(r["value"], r["token"]) for r in part.collect()])  # about SLICE rows
-        schema = out.schema
-
-        def run(batches, rows=rows):
-            s = Substituter([Entry(*r) for r in rows.value])
-            for pdf in batches:
-                pdf[column] = [None if t is None else s.replace(t) for t in pdf[column]]
-                yield pdf
-
-        out = out.mapInPandas(run, schema)
-    return out
+    if tokens.limit(BROADCAST_VALUES + 1).count() > BROADCAST_VALUES:
+        return _substituted_by_join(df, column, tokens)
+    rows = df.sparkSession.sparkContext.broadcast(sorted((r["value"], r["token"]) for r in tokens.select("value", "token").collect()))  # at most BROADCAST_VALUES rows
+
+    def run(batches):
+        s = Substituter([Entry(*r) for r in rows.value])
+        for pdf in batches:
+            pdf[column] = [None if t is None else s.replace(t) for t in pdf[column]]
+            yield pdf
+
+    return df.mapInPandas(run, df.schema)
+
+
+def _substituted_by_join(df: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
+    """Values meet the texts that hold their rarest run (matches are of whole words, so a match has it whole) or one of their days."""
+    columns = df.columns
+    rows = written(df.withColumn("_row_of_text", F.monotonically_increasing_id()), "texts")
+
+    def of_values(batches):
+        for pdf in batches:
+            got = [(v, t, k, kind) for v, t in zip(pdf["value"], pdf["token"], strict=True) for kind, keys in (("run", set(_RUN.findall(fold(v)))), ("day", dates.text_dates(v))) for k in keys]
+            yield pd.DataFrame(got, columns=["value", "token", "key", "by"])
+
+    def of_texts(batches):
+        for pdf in batches:
+            got = [(r, k, kind) for r, t in zip(pdf["_row_of_text"], pdf[column], strict=True) if t for kind, keys in (("run", set(_RUN.findall(fold(t)))), ("day", {d for f in dates.find_dates(t) for d in f.dates})) for k in keys]
+            yield pd.DataFrame(got, columns=["_row_of_text", "key", "by"])
+
+    keyed = tokens.select("value", "token").where("value is not null").mapInPandas(of_values, "value string, token string, key string, by string")
+    often = keyed.where("by = 'run'").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keyed.where("by = 'run'").join(often, "key").groupBy("value", "token").agg(F.min_by("key", F.struct("n", "key")).alias("key")).withColumn("by", F.lit("run"))
+    met = rows.select("_row_of_text", column).mapInPandas(of_texts, "_row_of_text long, key string, by string")
+    found = met.join(rarest.unionByName(keyed.where("by = 'day'")), ["key", "by"]).select(F.col("_row_of_text").alias("_of"), "value", "token").distinct()
+    own = found.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("value", "token"))).alias("_entries"))  # what one text may hold
+
+    def run(batches):
+        for pdf in batches:
+            pdf[column] = [t if t is None or e is None else Substituter([Entry(x["value"], x["token"]) for x in e]).replace(t) for t, e in zip(pdf[column], pdf["_entries"], strict=True)]
+            yield pdf[columns]
+
+    return rows.join(own, F.col("_row_of_text") == F.col("_of"), "left").select(*columns, "_entries").mapInPandas(run, df.schema)
 
 
 def headers_hidden(text: str, aliases: dict[str, str]) -> str:

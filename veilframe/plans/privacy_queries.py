@@ -387,7 +387,7 @@ def _t24(s, d):
 def _t25(s, d):
     masked, tokens = masked_customers(s, d)
     texts = masked.select("c_custkey", F.concat(F.lit("Balance of "), "c_name", F.lit(".")).alias("text"))
-    return restore.restore_column(texts, "text", "c_custkey", tokens)
+    return restore.restore_column(texts, "text", tokens)
 
 
 @query("t26_prefix_rule", "SELECT * FROM (VALUES (1, 'Ana'), (2, 'Ana'), (3, 'ID_007'), (4, NULL)) t(k, value)")

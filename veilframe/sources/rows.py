@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where the session names none and runs in one process."""
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
     if not (now := sc._jsc.sc().getCheckpointDir()).isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
