@@ -45,7 +45,9 @@ COUNTED = np.uint64(3)
 #: Shingles that a task deals out at a time.
 DEALT = 1_000_000
 #: Candidate pairs a member that a list may have before only a spanning forest of them is taken.
-SPARSE = 8
+SPARSE = 1
+#: Buckets of prefix shingles; as many at every size, so that a class has no more rows on more machines.
+CELLS = 4096
 #: Classes that share a prefix shingle before it is dealt out by parts, and how many such shingles are looked up at most.
 HOT, HOT_SHINGLES = 20_000, 100_000
 #: Pairs of one hub that a task compares.
@@ -246,7 +248,7 @@ def _parted(prefix: np.ndarray, cls: int, hot: dict[int, int]) -> np.ndarray:
     return np.concatenate([prefix, *keys]) if keys else prefix
 
 
-def _prefixes(keys, percent, hot):
+def _prefixes(percent, hot):
     def run(batches):
         for b in batches:
             out = [[], [], [], [], []]
@@ -254,12 +256,12 @@ def _prefixes(keys, percent, hot):
                 own, n = prefix_of(np.frombuffer(raw.as_buffer(), np.uint64), percent), n.as_py()
                 if hot:
                     own = _parted(own, cls.as_py(), hot)
-                at = bucket(mix(own), len(keys))  # prefixes are smallest hashes: their own high bits are all alike
+                at = bucket(mix(own), CELLS)  # prefixes are smallest hashes: their own high bits are all alike
                 order = np.argsort(at, kind="stable")
                 own, at = own[order], at[order]
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 for lo, hi in zip(first, np.append(first[1:], len(at)), strict=True):
-                    out[0].append(int(keys[int(at[lo])])), out[1].append(cls.as_py()), out[2].append(n)
+                    out[0].append(int(at[lo])), out[1].append(cls.as_py()), out[2].append(n)
                     out[3].append(own[lo:hi].tobytes()), out[4].append(p.as_buffer().to_pybytes())
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["bucket", "cls", "n", "prefix", "point"])
@@ -364,9 +366,9 @@ def _candidates(percent, sparse):
         if not keys:
             return
         cls, n, points = np.concatenate(cls), np.concatenate(n), np.stack(points)
-        by = np.argsort(cls, kind="stable")
-        cls, n, points, keys = cls[by], n[by], points[by], [keys[i] for i in by]
-        doc, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+        cls, first, of = np.unique(cls, return_index=True, return_inverse=True)  # a class comes once a cell
+        n, points = n[first], points[first]
+        doc, key = np.repeat(of, [len(k) for k in keys]), np.concatenate(keys)
         order = np.lexsort((doc, key))
         doc, key = doc[order], key[order]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -563,7 +565,7 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     of = held(chosen.mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary"))
     often = of.select("s").mapInArrow(_prefix_counts(percent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
     hot = {r["s"] % (1 << 64): -(-r["n"] // HOT) for r in often.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).collect()}  # 16 bytes each
-    entries = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(keys, percent, hot), "bucket long, cls long, n long, prefix binary, point binary")
+    entries = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(percent, hot), "bucket long, cls long, n long, prefix binary, point binary")
     pairs = entries.repartition(n_parts, "bucket").mapInArrow(_candidates(percent, SPARSE), "a long, b long, dense boolean")
     edges = written(pairs.where("a <> b").groupBy("a", "b").agg(F.max("dense").alias("dense")), "candidate-pairs")
     roots = written(components(_links(of, edges, percent, n_parts)), "roots")
