@@ -47,7 +47,7 @@ def test_asof(spark, larger, exact):
 
 def people(spark, n=300):
     r = random.Random(3)
-    names = [f"{r.choice(['Ana', 'Bo', 'Cy', 'Dee'])} {r.choice(['Lopez', 'Ruiz', 'Stone'])}{r.randrange(40)}" for _ in range(n)]
+    names = [f"{r.choice(['Ana', 'Bo', 'Cy', 'Dee'])} {r.choice(['Tolan', 'Quill', 'Stone'])}{r.randrange(40)}" for _ in range(n)]
     return spark.createDataFrame([(k, names[k], None if k % 17 == 0 else r.uniform(-9e6, 9e6)) for k in range(n)], "id int, name string, pay double")
 
 
@@ -125,7 +125,7 @@ def test_dates_are_found_in_any_form(day, form):
 def test_date_vectors():
     assert set(dates.find_dates("3/15/85")[0].dates) == {"1985-03-15", "2085-03-15"}
     assert set(dates.find_dates("4/2/1990")[0].dates) == {"1990-04-02", "1990-02-04"}
-    for t in ("in March 1985", "123-45-6789", "4111 1111 1111 1111", "(831) 555-0199"):
+    for t in ("in March 1985", "123-45-6789", "4111 1111 1111 1111", "(217) 640-0138"):
         assert not dates.find_dates(t)
     assert dates.text_dates("Wed, March 4, 2026 10:30 AM") == ("2026-03-04",)
     assert list(dates.eight_digits("20240131")) == ["2024-01-31"] and not list(dates.eight_digits("11111111"))
@@ -133,23 +133,23 @@ def test_date_vectors():
 
 
 def test_substitution_rules():
-    s = substitute.Substituter([substitute.Entry("Maria Lopez", "PERSON_001"), substitute.Entry("An", "PERSON_002"), substitute.Entry("Lopez", "PERSON_003"), substitute.Entry("5", "ID_001"), substitute.Entry("1988-07-04", "TEXT_001"), substitute.Entry("ΣΊΣΥΦΟΣ", "PERSON_004")], {"Salary": "Column C"})
-    assert s.replace("MARIA   lopez and An, not an or Anna; Lopezes, Lopez") == "PERSON_001 and PERSON_002, not an or Anna; Lopezes, PERSON_003"
+    s = substitute.Substituter([substitute.Entry("Mirek Tolan", "PERSON_001"), substitute.Entry("An", "PERSON_002"), substitute.Entry("Tolan", "PERSON_003"), substitute.Entry("5", "ID_001"), substitute.Entry("1988-07-04", "TEXT_001"), substitute.Entry("ΣΊΣΥΦΟΣ", "PERSON_004")], {"Salary": "Column C"})
+    assert s.replace("MIREK   tolan and An, not an or Anna; Tolanes, Tolan") == "PERSON_001 and PERSON_002, not an or Anna; Tolanes, PERSON_003"
     assert s.replace("5 and 5.5 and 15 and 1,5") == "ID_001 and 5.5 and 15 and 1,5"
     assert s.replace("the 4th of July 1988, a salary, σίσυφος") == "the TEXT_001, a Column C, PERSON_004"
-    assert s.replace("O’Brien") == "O’Brien"
+    assert s.replace("D’Arvel") == "D’Arvel"
 
 
 def test_variants_are_found_and_neighbours_are_not(spark):
     def hits(value, text):
         return {k for _, k, _, _ in audit.Matcher([("C", *f) for f in audit.forms_of(value)]).hits(text)}
 
-    assert "digits" in hits("(831) 555-0199", "8315550199") and "json" in hits('Ana "AJ" Ruiz', 'x Ana \\"AJ\\" Ruiz')
-    assert "word" in hits("Maria Lopez", "Maria asked") and not hits("Maria Lopez", "Mariana asked")
-    assert hits("Seán O'Brien", "sean o’brien") and hits("Seán O'Brien", "OBrien") and hits("Müller-Lang", "mueller")
-    assert hits("EMP-00123", "emp_00123") and hits("83500", "83,500") and not hits("83500", "183,500") and not hits("83500", "83,500.25")
-    assert not hits("2024", "in 2024x") and not hits("Maria Lopez", "PERSON_001")
-    assert hits("ＡＢＣ12345", "abc12345") and hits("Ana Ruiz", "A​na Ruiz")
+    assert "digits" in hits("(217) 640-0138", "2176400138") and "json" in hits('Ilse "Bo" Quill', 'x Ilse \\"Bo\\" Quill')
+    assert "word" in hits("Mirek Tolan", "Mirek asked") and not hits("Mirek Tolan", "Mirekson asked")
+    assert hits("Zoë D'Arvel", "zoe d’arvel") and hits("Zoë D'Arvel", "DArvel") and hits("Müller-Lang", "mueller")
+    assert hits("KX-00417", "kx_00417") and hits("83500", "83,500") and not hits("83500", "183,500") and not hits("83500", "83,500.25")
+    assert not hits("2024", "in 2024x") and not hits("Mirek Tolan", "PERSON_001")
+    assert hits("ＡＢＣ12345", "abc12345") and hits("Ilse Quill", "I​lse Quill")
     assert {f.rule for f in variants("x")} == set() and accept("a1b", 1, 2, "any")
 
 
@@ -218,9 +218,9 @@ def test_numbers_go_around_taken_tokens(spark, taken):
 
 
 def test_first_cells_are_found_in_one_pass(spark):
-    df = spark.createDataFrame([(k, "x@y.org" if k > 1500 and k % 2 else None, float(k) if k > 1200 else None) for k in range(2400)], "k int, mail string, n double")
+    df = spark.createDataFrame([(k, "x@y.org" if k > 1500 and k % 2 else None, k + 0.25 if k > 1200 else None) for k in range(2400)], "k int, mail string, n double")
     cells = classify.first_cells(df, ["mail", "n"], ["k"])
-    assert {r["column"]: (r["c"], r["m"]) for r in cells.groupBy("column").agg(F.count("*").alias("c"), F.min("text").alias("m")).collect()} == {"mail": (200, "x@y.org"), "n": (200, "1201.0")}
+    assert {r["column"]: (r["c"], r["m"]) for r in cells.groupBy("column").agg(F.count("*").alias("c"), F.min("text").alias("m")).collect()} == {"mail": (200, "x@y.org"), "n": (200, "1201.25")}
     got = {p.letter: p.private for p in classify.suggest(df, ["k"])}
     assert got["B"] and not got["C"]
 
@@ -229,13 +229,13 @@ def test_first_cells_are_found_in_one_pass(spark):
 
 
 def test_partial_matches(spark):
-    cells = spark.createDataFrame([("Maria Lopez", "A2"), ("Maria Lopez", "A3"), ("Juan Lopez", "A4"), ("Pat O'Brien", "A5")], "value string, cell string")
+    cells = spark.createDataFrame([("Mirek Tolan", "A2"), ("Mirek Tolan", "A3"), ("Jorun Tolan", "A4"), ("Pat D'Arvel", "A5")], "value string, cell string")
     tokens = mask.token_map(cells.select("value", F.lit("PERSON").alias("kind"), F.col("cell").alias("row"), F.lit(0).alias("pos")))
-    m = partial.find_partial("Orders of Lopez or O'Brien?", cells, tokens, ["Orders"])
-    assert [x.fragment for x in m] == ["Lopez", "O'Brien"] and [c.value for c in m[0].candidates] == ["Maria Lopez", "Juan Lopez"]
+    m = partial.find_partial("Orders of Tolan or D'Arvel?", cells, tokens, ["Orders"])
+    assert [x.fragment for x in m] == ["Tolan", "D'Arvel"] and [c.value for c in m[0].candidates] == ["Mirek Tolan", "Jorun Tolan"]
     assert not m[0].auto and m[1].auto
-    text = partial.apply_choices("Orders of Lopez or O'Brien?", m, {"lopez": ["PERSON_001", "PERSON_002"], "o'brien": ["PERSON_999"]})
-    assert text == "Orders of PERSON_001 or PERSON_002 or O'Brien?"
+    text = partial.apply_choices("Orders of Tolan or D'Arvel?", m, {"tolan": ["PERSON_001", "PERSON_002"], "d'arvel": ["PERSON_999"]})
+    assert text == "Orders of PERSON_001 or PERSON_002 or D'Arvel?"
 
 
 @settings(max_examples=150, deadline=None)
@@ -250,16 +250,16 @@ def test_restoring_changes_only_literals(text):
 def test_audit_fails_closed_and_names_columns_only(spark):
     columns = [{"letter": "A", "header": "Name", "type": "text", "private": True, "treatment": "stand_in", "note": None, "stats": {"blank": 0, "distinct": 2, "avg_words": 2, "max_len": 9}}]
     want = audit.Expected("m/x", requests.SYSTEM, columns, {"PERSON_001"}, 2, "substituted")
-    matcher = audit.Matcher([("A", *f) for f in audit.forms_of("Maria Lopez")])
+    matcher = audit.Matcher([("A", *f) for f in audit.forms_of("Mirek Tolan")])
     import json
 
     def body(task, rows_):
         return requests.build("m/x", "substituted", "S", json.dumps(columns), "A1:A3", 2, task, json.dumps(rows_), len(rows_))[0]
 
     assert audit.audit(body("How many?", [["PERSON_001"], [None]]), want, matcher).ok
-    leaked = audit.audit(body("Is lopez there?", [["PERSON_001"]]), want, matcher)
-    assert not leaked.ok and "A" in leaked.message() and "opez" not in leaked.message()
-    assert not audit.audit(body("How many?", [["Maria Lopez"]]), want, matcher).ok
+    leaked = audit.audit(body("Is tolan there?", [["PERSON_001"]]), want, matcher)
+    assert not leaked.ok and "A" in leaked.message() and "olan" not in leaked.message()
+    assert not audit.audit(body("How many?", [["Mirek Tolan"]]), want, matcher).ok
     assert not audit.audit(body("How many?", [["PERSON_002"]]), want, matcher).ok
     assert not audit.audit(body("How many?", [["PERSON_001"]]) + " ", want, matcher).ok
     assert audit.audit("nonsense", want, matcher).error and audit.audit(None, want, matcher).error

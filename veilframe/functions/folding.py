@@ -13,6 +13,7 @@ ALIKE = {
     "'": "‘’‚‛ʼʹ′´`＇ʻʽ׳",
     '"': "“”„‟″＂״",
     "-": "‐‑‒–—―−﹘﹣－⁃",
+    "/": "∕⁄／", "\\": "﹨⧵＼",
     "o": "ø", "l": "ł", "d": "đ", "h": "ħ", "t": "ŧ", "i": "ı", "σ": "ς",
 }
 _MAP = {ord(x): k for k, v in ALIKE.items() for x in v}

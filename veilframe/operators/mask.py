@@ -149,10 +149,27 @@ def mask(df: DataFrame, policies: list[Policy], kinds: dict[str, str], row: list
     return out, table
 
 
+def loose_columns(cells: DataFrame) -> DataFrame:
+    """column of those whose eight-digit cells are dates; cells: column, value."""
+    eight, good = _eight_digit_dates(F.col("value"))
+    return cells.groupBy("column").agg(F.count_if(eight).alias("n"), F.count_if(eight & good).alias("good")).where("n > 0 and good * 2 >= n").select("column")
+
+
 def loose_date_share(df: DataFrame, column: str) -> Column:
     """Whether an eight-digit column holds dates: half its eight-digit values are valid in some reading, placeholders aside."""
-    t = F.trim(F.col(column).cast("string"))
+    eight, good = _eight_digit_dates(F.col(column))
+    return df.agg(F.coalesce(F.count_if(eight & good) * 2 >= F.count_if(eight), F.lit(False)) & (F.count_if(eight) > 0)).scalar()
+
+
+def with_loose(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """Tokens with ``loose``: whether a column whose eight digits are dates holds the value; cells: column, value."""
+    of = cells.join(F.broadcast(loose_columns(cells)), "column").select("value").distinct().withColumn("loose", F.lit(True))  # a row a column
+    return tokens.join(of, "value", "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+
+
+def _eight_digit_dates(c: Column) -> tuple[Column, Column]:
+    """Whether a cell is eight digits that aren't all alike, and whether they are a day from 1900 to 2100."""
+    t = F.trim(c.cast("string"))
     eight = t.rlike(r"^\d{8}$") & ~t.rlike(r"^(\d)\1{7}$")
     ok = lambda fmt: F.try_to_date(t, fmt).between(F.lit("1900-01-01").cast("date"), F.lit("2100-12-31").cast("date"))
-    good = F.coalesce(ok("yyyyMMdd"), F.lit(False)) | F.coalesce(ok("MMddyyyy"), F.lit(False)) | F.coalesce(ok("ddMMyyyy"), F.lit(False))
-    return df.agg(F.coalesce(F.count_if(eight & good) * 2 >= F.count_if(eight), F.lit(False)) & (F.count_if(eight) > 0)).scalar()
+    return F.coalesce(eight, F.lit(False)), F.coalesce(ok("yyyyMMdd"), F.lit(False)) | F.coalesce(ok("MMddyyyy"), F.lit(False)) | F.coalesce(ok("ddMMyyyy"), F.lit(False))

