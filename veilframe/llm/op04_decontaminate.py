@@ -38,12 +38,13 @@ def _words() -> Column:
 
 
 def _each_shingle(of, size: int) -> Column:
-    """``of`` applied to the array of words of every shingle of a row (with repeats).
+    """An array of one: ``of`` applied to the array of words of every shingle of a row (with repeats).
 
-    The words are bound once, as a lambda's variable: else the optimiser would split the text anew for every shingle.
+    The words are bound once, as a lambda's variable, and the result comes out by explode: else the optimiser would split the
+    text anew for every shingle, and make the shingles anew for every use of them.
     """
     every = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: of(F.slice(w, i, size)))
-    return F.transform(F.array(_words()), every)[0]
+    return F.transform(F.array(_words()), every)
 
 
 def _worded(df: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def _worded(df: DataFrame) -> DataFrame:
 
 def hashed(df: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, row (the text's own number), h: the hashes of all shingles of a row, in an array; rows without a word are left out."""
-    return _worded(df).select("doc_id", F.xxhash64("text").alias("row"), _each_shingle(F.xxhash64, size).alias("h"))
+    return _worded(df).select("doc_id", F.xxhash64("text").alias("row"), F.explode(_each_shingle(F.xxhash64, size)).alias("h"))
 
 
 def item_sketches(items: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -84,7 +85,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, size: int
     found = written(candidates(docs, held(item_sketches(items, percent, size)), percent, size), "candidates")
     near = F.broadcast if found.count() <= BROADCAST_HASHES else lambda x: x
     # the search decides which rows are read again, and with which items they are compared
-    texts = F.array_distinct(_each_shingle(lambda w: F.array_join(w, " "), size))
+    texts = F.explode(F.transform(_each_shingle(lambda w: F.array_join(w, " "), size), F.array_distinct))
     wanted = found.select(F.col("doc_id").alias("doc"), F.col("row").alias("doc_row")).distinct()
     mine = _worded(docs).withColumn("row", F.xxhash64("text")).join(near(wanted), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("doc_row")), "left_semi")
     mine = mine.dropDuplicates(["doc_id", "row"]).join(near(found.withColumnsRenamed({"doc_id": "doc", "row": "doc_row"})), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("doc_row")))
