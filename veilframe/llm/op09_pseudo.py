@@ -194,21 +194,23 @@ def vocabulary(docs: DataFrame, entries: int = CLASSES * MEMBERS, known: int = K
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 65536].astype(np.int64)), pa.array(times[i : i + 65536])], names=["w", "n"])
 
     all_ = written(docs.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    total, kinds = all_.agg(F.sum("n"), F.count("*")).first()
-    top = all_.orderBy(F.desc("n"), "w").limit(entries - 2 + known).toArrow()  # 16 bytes each
-    h, n = top["w"].to_numpy().astype(np.uint64), top["n"].to_numpy()
-    full = len(h) == entries - 2 + known
+    # the lowest count down to which words still number no more than asked for, by steps of counts (a few hundred rows)
+    steps = all_.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 4).alias("step")).agg(F.min("n").alias("low"), F.sum("n").alias("n"), F.count("*").alias("kinds")).orderBy(F.desc("step")).collect()
+    total, kinds = sum(r["n"] for r in steps), sum(r["kinds"] for r in steps)
+    upto = np.cumsum([r["kinds"] for r in steps])
+    taken = int(np.count_nonzero(upto <= entries - 2 + known))
+    top = all_.where(F.col("n") >= (steps[taken - 1]["low"] if taken else (1 << 62))).toArrow()  # 16 bytes each
+    h, n = top["w"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((h, -n))
+    h, n = h[order].astype(np.uint64), n[order]
     # frequent words are dealt over the classes; entries 0 and 1 are taken
     grid = np.arange(entries).reshape(CLASSES, MEMBERS).T.ravel()
     at = grid[grid > 1][: len(h)]
     counts = np.zeros(entries)
     counts[at] = n[: len(at)]
-    counts[1] = (total or 0) - n[: len(at)].sum()
+    counts[1] = total - n[: len(at)].sum()
     order, late = np.argsort(h[: len(at)]), np.argsort(h[len(at) :])
-    rest = None
-    if full:  # the table goes on where the collected part ends
-        last, low = int(n[-1]), int(top["w"][-1].as_py())
-        rest = all_.where((F.col("n") < last) | ((F.col("n") == last) & (F.col("w") > low)))
+    rest = all_.where(F.col("n") < steps[taken - 1]["low"] if taken else F.lit(True)) if taken < len(steps) else None
     return Vocabulary(h[: len(at)][order], at[order], counts, h[len(at) :][late], n[len(at) :][late], max(0, kinds - len(at)), rest)
 
 
