@@ -1,5 +1,6 @@
 """The pipeline's stages against plain loops, on a table with the odd cases and planted ones."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -9,6 +10,7 @@ from test_dedup import brute_components, lower
 from test_files import check_packing
 
 from veilframe.llm import op07_toxicity
+from veilframe.llm.common import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +62,11 @@ def test_every_stage(spark, tables):
     assert sorted(kept.select("doc_id", "text").collect(), key=str) == sorted(((i, t) for i, t in data), key=str)
 
     check_packing(stage["packing"](spark, kept, folder).collect(), data, 4096)
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
     check_packing(corpus_pipeline.run(spark, folder).collect(), data, 4096)
+    left = {x.split("-")[0] for x in set(os.listdir(shared)) - before}
+    assert "decontamination" in left and not left & {"toxicity", "exact_dedup", "near_duplicates", "candidates", "roots", "exact", "near", "benchmark"}
 
 
 def test_repeated_rows_and_empty_tables(spark, tables):

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not (now := sc._jsc.sc().getCheckpointDir()).isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get().rstrip("/")
@@ -39,15 +42,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What was made inside temporary(): folders, and DataFrames that executors hold.
+_SCOPES: list[list] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are written or held inside go at its end; results have to be stored before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for made in _SCOPES.pop():
+            free_of(spark, made) if isinstance(made, str) else made.unpersist()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there."""
     path = fresh_path(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return stored(df, path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held(df: DataFrame) -> DataFrame:
     """``df`` kept by the executors for several readers; what a lost executor held is computed anew, with equal rows."""
+    if _SCOPES:
+        _SCOPES[-1].append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
