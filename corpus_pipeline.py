@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import op03_exact, op04_decontaminate, op05_packing, op07_toxicity, op10_jaccard
-from veilframe.llm.common import read, written
+from veilframe.llm.common import free_of, fresh_path, read, stored, temporary, written
 
 
 #: Column that holds a row's number inside a stage.
@@ -74,9 +74,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The packed pieces.  A stage's own tables go once its result is stored, and that result once the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            free_of(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
