@@ -10,14 +10,17 @@ from hypothesis import strategies as st
 from veilframe.formula import ALLOWED, FUNCTIONS, Context, FormulaError, Workbook, check
 from veilframe.formula import syntax as S
 from veilframe.formula.gate import WHY, combined, covered, lineage, qualified, whole_columns
-from veilframe.plans.privacy_queries import GATE
+from veilframe.plans.rule_queries import FORMULAS
 
 CTX = Context("Sheet1", [S.Area("Sheet1", 0, 0, 500, 5), S.Area("Regions", 0, 0, 4, 1)], ["Sheet1"], {"Orders": S.Area("Sheet1", 0, 0, 500, 5)})
 
 
-@pytest.mark.parametrize("formula,ok", GATE)
+STOCK = Context("Stock", [S.Area("Stock", 0, 0, 899, 3), S.Area("Rates", 0, 0, 39, 1)], ["Stock", "Rates"], {"Lots": S.Area("Stock", 0, 0, 899, 3)})
+
+
+@pytest.mark.parametrize("formula,ok", FORMULAS)
 def test_gate(formula, ok):
-    assert check(formula, CTX).ok is ok
+    assert check(formula.format(r=31, n=70213, w="lot"), STOCK).ok is ok
 
 
 @pytest.mark.parametrize(
@@ -144,3 +147,53 @@ def test_plans_join_instead_of_looping(book):
 def test_rank_of_rows(book):
     got = {r["k"]: r["v"] for r in book.fill({"v": "=RANK.AVG(A2,A:A)"}, "T", keep=["k"]).collect()}
     assert got == {1: 4, 2: 3, 3: 2, 4: 1}
+
+
+@pytest.fixture(scope="module")
+def numbers_book(spark):
+    r = random.Random(12)
+    rows = [(k, None if k % 11 == 0 else round(r.uniform(0.9, 1.1), 3)) for k in range(120)]
+    b = Workbook(spark)
+    b.add("N", spark.createDataFrame(rows, "k int, x double").repartition(5), ["k"])
+    return b, [x for _, x in rows]
+
+
+@pytest.mark.parametrize("merged", [0, 1_000_000])
+def test_percentiles_by_ranks(numbers_book, monkeypatch, merged):
+    from veilframe.formula import functions
+
+    monkeypatch.setattr(functions, "MERGED_ROWS", merged)
+    b, x = numbers_book
+    s = sorted(v for v in x if v is not None)
+
+    def want(p):
+        at = p * (len(s) - 1)
+        return s[math.floor(at)] + (s[math.ceil(at)] - s[math.floor(at)]) * (at - math.floor(at))
+
+    for formula, value in (("=MEDIAN(B:B)", want(0.5)), ("=PERCENTILE.INC(B:B,0.37)", want(0.37)), ("=QUARTILE.INC(B:B,3)", want(0.75)), ("=PERCENTILE.INC(B:B,1)", s[-1]), ("=LARGE(B:B,COUNT(B:B)/2)", s[::-1][len(s) // 2 - 1]), ("=SMALL(B:B,COUNT(B:B))", s[-1]), ("=PERCENTILE.INC(B:B,1/COUNT(B:B))", want(1 / len(s)))):
+        assert abs(b.cell(formula, "N").first()[0] - value) < 1e-9, formula
+    assert b.cell("=PERCENTILE.INC(B:B,1.5)", "N").first()[0] is None
+
+
+def test_spread_of_several_values(numbers_book):
+    b, _ = numbers_book
+    for formula, value in (("=MEDIAN(4,1,3,10)", 3.5), ("=MEDIAN(7,1,3)", 3), ("=STDEV.S(2,4,4,4,5,5,7,9)", math.sqrt(32 / 7)), ("=STDEV.P(2,4,4,4,5,5,7,9)", 2), ("=VAR.S(1,2)", 0.5), ("=VAR.P(1,2)", 0.25)):
+        assert abs(b.cell(formula, "N").first()[0] - value) < 1e-9, formula
+
+
+def test_running_folds(numbers_book, monkeypatch):
+    from veilframe.formula import arrays
+
+    b, x = numbers_book
+    get = lambda f: [r["v"] for r in b.spill(f, "N", ["v"]).collect()]
+    acc = {"+": 2.0, "*": 2.0, "MAX": 1.0, "MIN": 1.0}
+    want = {k: [] for k in acc}
+    for v in x:
+        for k, step in (("+", lambda a, v: a + v), ("*", lambda a, v: a * v), ("MAX", max), ("MIN", min)):
+            acc[k] = step(acc[k], v if v is not None else {"*": 1.0, "+": 0.0, "MIN": 0.0}.get(k, acc[k]))
+            want[k].append(acc[k])
+    for formula, k in (("=SCAN(2,B:B,LAMBDA(a,v,a+v))", "+"), ("=SCAN(1,B:B,LAMBDA(a,v,MAX(a,v)))", "MAX"), ("=SCAN(1,B:B,LAMBDA(a,v,MIN(a,v)))", "MIN")):
+        assert all(abs(p - q) < 1e-9 for p, q in zip(get(formula), want[k], strict=True)), formula
+    monkeypatch.setattr(arrays, "MOST_FOLDED", 50)
+    with pytest.raises(FormulaError):
+        b.cell("=REDUCE(1,B:B,LAMBDA(a,v,a/2+v))", "N").collect()

@@ -442,9 +442,15 @@ def _items(c, node, env, f: Fn, body):
     return inner.scope.build().select(v.key().alias("_row"), number(cell).alias("x"))
 
 
-def _ordered(c, node, env, then):
-    """``then`` of all items in row order, as one array: only for folds whose steps depend on each other."""
-    v = c.eval(node, env)
+#: Items of a fold whose steps depend on each other and of one that also keeps each step: they meet in one row.
+MOST_FOLDED, MOST_KEPT = 1_000_000, 50_000
+
+
+def _ordered(c, node, env, then, most: int | None = None):
+    """``then`` of all items in row order, as one array: only for folds whose steps depend on each other, and refused above ``most``."""
+    v, most = c.eval(node, env), MOST_FOLDED if most is None else most
+    if v.frame().limit(most + 1).count() > most:
+        raise Unsupported(f"a fold that isn't a sum, product, maximum or minimum takes at most {most} cells")
     cell = v.cells()[0]
     items = F.transform(F.array_sort(F.collect_list(F.struct(v.key().alias("k"), (number(cell) if cell.kind == "number" else cell.col).alias("v")))), lambda s: s["v"])
     return v.frame().agg(then(items, cell.kind).alias("x"))
@@ -471,10 +477,12 @@ def _reduce(c, args, env):
 def _scan(c, args, env):
     init, f = c.scalar(args[0], env), c.function_of(args[2], env)
     shape = _folding(f)
-    if shape and shape[0] == "+":
-        df = running(_items(c, args[1], env, f, shape[1]), F.coalesce(F.col("x"), F.lit(0.0)), "sum", "_row")
-        return named(df, [number(init) + F.col("sum")])
+    if shape:
+        none, fold, join = {"+": (0.0, "sum", lambda a, b: a + b), "*": (1.0, "product", lambda a, b: a * b), "MAX": (None, "max", F.greatest), "MIN": (None, "min", F.least)}[shape[0]]
+        item = F.col("x") if none is None else F.coalesce(F.col("x"), F.lit(none))
+        df = running(_items(c, args[1], env, f, shape[1]), item, "so_far", "_row", fold=fold)
+        return named(df, [join(number(init), F.col("so_far"))])
     steps = lambda items, kind: F.aggregate(items, F.array(init.col), lambda a, v: F.concat(a, F.array(c.apply(f, [Cell(F.element_at(a, -1), init.kind), Cell(v, kind)]).col)))
-    df = _ordered(c, args[1], env, steps).select(F.posexplode(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0)))).alias("_row", "c1"))
+    df = _ordered(c, args[1], env, steps, MOST_KEPT).select(F.posexplode(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0)))).alias("_row", "c1"))
     return Grid(df.select(F.col("_row").cast("long").alias("_row"), "c1"), ["c1"], True)
 

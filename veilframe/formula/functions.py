@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.rows import asof, running
+from ..sources.rows import asof, numbered, running
 from . import syntax as S
 from .compile import Cell, Compiler, Fn, Grid, Row, Unsupported, Vec, compared, criterion, fresh, function, join_key, lit
 from .values import date, number, parsed, serial, stamp, text, truth, whole, wildcard
@@ -158,7 +158,15 @@ def pooled(name: str, over, kind="number"):
             cols = F.filter(F.array(*(number(x) for x in cells)), lambda v: v.isNotNull())
             if name == "AVERAGE":
                 return Cell(F.when(F.size(cols) > 0, F.aggregate(cols, F.lit(0.0), lambda a, b: a + b) / F.size(cols)), kind)
-            raise Unsupported(f"{name} of several values")
+            n = F.size(cols)
+            if name == "MEDIAN":
+                ordered = F.array_sort(cols)
+                return Cell(F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2), kind)
+            mean = F.aggregate(cols, F.lit(0.0), lambda a, b: a + b) / n
+            spread = F.aggregate(F.transform(cols, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, b: a + b)
+            less = 1 if name.endswith(".S") else 0
+            var = F.when(n > less, spread / (n - less))
+            return Cell(F.sqrt(var) if name.startswith("STDEV") else var, kind)
         if got is None:
             return c.scalar(args[0], env) if name in ("AVERAGE", "MEDIAN") else Cell(F.lit(None).cast("double"), kind, const=True)
         df, cells, _ = got
@@ -167,11 +175,36 @@ def pooled(name: str, over, kind="number"):
             return Cell(F.lit(None).cast("double"), kind, const=True)
         v = fresh("x")
         flat = df.select(cols[0].alias(v)) if len(cols) == 1 else df.select(F.explode(F.array(*cols)).alias(v))
+        if name == "MEDIAN":
+            return Cell(_quantile(flat.where(F.col(v).isNotNull()), v, F.lit(0.5)), kind, const=True)
         return Cell(flat.agg(over(F.col(v))).scalar(), kind, const=True)
 
 
+#: Rows up to which one task merges a column's distinct values for a percentile; of more, the rows are numbered by a range sort.
+MERGED_ROWS = 1_000_000
+
+
+def _at_rank(placed, v: str, at):
+    """The value at a place from 0 of numbered rows (_n); between two places, what lies between their values."""
+    low = F.floor(at)
+    near = placed.where(F.col("_n").between(low, F.ceil(at))).agg(F.min(v).alias("a"), F.max(v).alias("b"))
+    return near.select(F.col("a") + (F.col("b") - F.col("a")) * (at - low)).scalar()
+
+
+def _quantile(df, v: str, p):
+    """p: a column, the same for all rows."""
+    if df.limit(MERGED_ROWS + 1).count() <= MERGED_ROWS:
+        n = df.agg(F.count("*")).scalar()
+        ordered = df.agg(F.array_sort(F.collect_list(v)).alias("x"))  # at most MERGED_ROWS numbers
+        at = p * (n - 1)
+        value = lambda k: F.get("x", k.cast("int"))
+        return ordered.select(F.when((p >= 0) & (p <= 1) & (n > 0), value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * (at - F.floor(at)))).scalar()
+    placed = numbered(df.select(v), v, name="_n")
+    return _at_rank(placed, v, F.when((p >= 0) & (p <= 1), p * placed.agg(F.max("_n")).scalar()))
+
+
 pooled("AVERAGE", F.avg)
-pooled("MEDIAN", lambda x: F.percentile(x, F.lit(0.5)))
+pooled("MEDIAN", None)
 pooled("STDEV.S", F.stddev_samp)
 pooled("STDEV.P", F.stddev_pop)
 pooled("VAR.S", F.var_samp)
@@ -304,7 +337,10 @@ def _nth(largest):
         df, v = _flat(c, args[0], env)
         k = c.scalar(args[1], env)
         if not isinstance(k.value, (int, float)):
-            raise Unsupported("LARGE and SMALL take a constant k")
+            if not k.const:
+                raise Unsupported("LARGE and SMALL take one k for all rows")
+            placed = numbered(df.select(v), F.desc(v) if largest else F.asc(v), name="_n")
+            return Cell(_at_rank(placed, v, F.floor(number(k)) - 1), "number", const=True)
         n = int(k.value)
         top = df.orderBy(F.desc(v) if largest else F.asc(v)).limit(n)
         got = top.agg(F.when(F.count("*") == n, F.min(v) if largest else F.max(v))).scalar()
@@ -320,9 +356,9 @@ function("SMALL", whole=True)(_nth(False))
 def _percentile(c, args, env, scale):
     df, v = _flat(c, args[0], env)
     p = c.scalar(args[1], env)
-    if not isinstance(p.value, (int, float)):
-        raise Unsupported("a percentile takes a constant")
-    return Cell(df.agg(F.percentile(v, F.lit(p.value / scale))).scalar(), "number", const=True)
+    if not isinstance(p.value, (int, float)) and not p.const:
+        raise Unsupported("a percentile takes one share for all rows")
+    return Cell(_quantile(df, v, (F.lit(float(p.value)) if isinstance(p.value, (int, float)) else number(p)) / scale), "number", const=True)
 
 
 function("PERCENTILE.INC", whole=True)(lambda c, args, env: _percentile(c, args, env, 1))

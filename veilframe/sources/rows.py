@@ -45,13 +45,19 @@ def numbered(df: DataFrame, *keys, name: str = "_row") -> DataFrame:
     return r.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
-def running(df: DataFrame, value, out: str, *keys) -> DataFrame:
-    """The running sum of ``value`` in the order of the keys: within partitions, plus the sums of those before."""
+#: Folds whose steps can be taken partition by partition: the aggregate, how two results join, and what nothing gives.
+FOLDS = {"sum": (F.sum, lambda a, b: a + b, 0.0), "product": (F.product, lambda a, b: a * b, 1.0), "max": (F.max, F.greatest, None), "min": (F.min, F.least, None)}
+
+
+def running(df: DataFrame, value, out: str, *keys, fold: str = "sum") -> DataFrame:
+    """The running sum (or other fold) of ``value`` in the order of the keys: within partitions, joined with that of those before."""
+    agg, join, none = FOLDS[fold]
     r = _ranged(df.withColumn("_v", value), list(keys))
-    sums = r.groupBy("_part").agg(F.sum("_v").alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("_part", "_before")  # a row a partition
+    sums = r.groupBy("_part").agg(agg("_v").alias("_s"))
+    above = agg("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    before = sums.withColumn("_before", above if none is None else F.coalesce(above, F.lit(none))).select("_part", "_before")
     w = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
-    return r.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.sum("_v").over(w)).drop("_part", "_local", "_before", "_v")
+    return r.join(F.broadcast(before), "_part").withColumn(out, join(F.col("_before"), agg("_v").over(w))).drop("_part", "_local", "_before", "_v")
 
 
 def asof(left: DataFrame, key: str, right: DataFrame, right_key: str, value: str, out: str, larger: bool = False, exact: bool = True) -> DataFrame:
