@@ -107,7 +107,7 @@ def _s13(s, d):
 def _profile_sql(table, cols):
     parts = []
     for k, (c, kind) in enumerate(cols):
-        words = f"CASE WHEN count(*) FILTER (WHERE {c} <> '') = 0 THEN NULL ELSE floor(sum(len(list_filter(string_split_regex(trim({c}), '\\s+'), lambda x: x <> ''))) FILTER (WHERE {c} <> '') / count(*) FILTER (WHERE {c} <> '') * 10 + 0.5) / 10 END" if kind == "text" else "CAST(NULL AS DOUBLE)"
+        words = f"CASE WHEN count(*) FILTER (WHERE {c} <> '') = 0 THEN NULL ELSE floor(sum(len(list_filter(regexp_split_to_array({c}, '[\\x09-\\x0D\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> ''))) FILTER (WHERE {c} <> '') / count(*) FILTER (WHERE {c} <> '') * 10 + 0.5) / 10 END" if kind == "text" else "CAST(NULL AS DOUBLE)"
         longest = f"max(length({c}))" if kind == "text" else "CAST(NULL AS BIGINT)"
         full = f"{c} IS NOT NULL" + (f" AND {c} <> ''" if kind == "text" else "")
         parts.append(f"SELECT {k} AS ord, '{chr(65 + k)}' AS letter, '{c}' AS header, '{kind}' AS type, count(*) FILTER (WHERE {full}) AS non_empty, count(*) - count(*) FILTER (WHERE {full}) AS blank, count(DISTINCT {c}) FILTER (WHERE {full}) AS \"distinct\", {words} AS avg_words, {longest} AS max_len FROM {table}")
@@ -122,8 +122,7 @@ _KINDS = {
 }
 for _t, _c in _KINDS.items():
     Q[f"p1_profile_{_t}"] = lambda s, d, t=_t: profile.profile(read(s, d, t))
-    SQL[f"p1_profile_{_t}"] = _profile_sql(_t, _c) if _t != "documents" else ""
-SQL.pop("p1_profile_documents")
+    SQL[f"p1_profile_{_t}"] = _profile_sql(_t, _c)
 
 
 @query("p2_cell_kind", "SELECT k, kind FROM (VALUES (1, 'text'), (2, 'number'), (3, 'date'), (4, 'boolean'), (5, 'empty'), (6, 'error'), (7, 'number'), (8, 'other')) t(k, kind)")
@@ -171,12 +170,6 @@ def _p8(s, d):
 
 
 
-@query("p9_header_words")
-def _p9(s, d):
-    heads = [c for t in ("customer", "orders", "lineitem", "part", "events") for c in read(s, d, t).columns] + ["FirstName", "E-mail", "EmployeeID", "HTTPServer2"]
-    return small(s, [(h, classify.header_words(h), classify.header_keywords(h)) for h in heads], "header string, words array<string>, keywords array<string>")
-
-
 @query("p11_detect_email_docs", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z.]{2,}')) AS INTEGER) AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z.]{2,}')")
 def _p11(s, d):
     pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z.]{2,}"
@@ -200,7 +193,26 @@ def _p13(s, d):
     return profile.value_patterns(profile.sample(c, "c_name", ["c_custkey"]), "text").withColumn("n", F.col("n").cast("int"))
 
 
-@query("p14_suggest")
+def _suggest_sql(table, key, columns):
+    """Policies by the same rules: a header that says something, identifiers among the first numbers, texts that mostly differ."""
+    parts = []
+    for k, (c, kind) in enumerate(columns):
+        if c.endswith("_name"):
+            why = "['the header says name']"
+        elif kind == "number":
+            why = f"(SELECT CASE WHEN count(*) FILTER (WHERE {c} = floor({c}) AND length(CAST(CAST({c} AS BIGINT) AS VARCHAR)) BETWEEN 5 AND 15) >= 0.8 * count(*) AND count(DISTINCT {c}) > 0.9 * count(*) THEN ['values look like identifiers'] ELSE [] END FROM (SELECT * FROM {table} ORDER BY {key} LIMIT 200))"
+        elif kind == "text":
+            why = f"(SELECT CASE WHEN count(DISTINCT {c}) FILTER (WHERE {c} <> '') > 0.5 * count(*) FILTER (WHERE {c} <> '') THEN ['most values differ'] ELSE [] END FROM {table})"
+        else:
+            why = "[]"
+        parts.append(f"SELECT '{chr(65 + k)}' AS letter, CAST({why} AS VARCHAR[]) AS reasons, '{'range' if kind == 'number' else 'month' if kind == 'date' else 'stand_in'}' AS way, '{table}' AS \"table\"")
+    return " UNION ALL ".join(parts)
+
+
+_SUGGESTED = " UNION ALL ".join(_suggest_sql(t, k, c) for t, k, c in (("customer", "c_custkey", _KINDS["customer"]), ("orders", "o_orderkey", _KINDS["orders"]), ("supplier", "s_suppkey", [("s_suppkey", "number"), ("s_name", "text"), ("s_nationkey", "number"), ("s_acctbal", "number")])))
+
+
+@query("p14_suggest", f"SELECT letter, len(reasons) > 0 AS private, CASE WHEN len(reasons) > 0 THEN way ELSE 'as_is' END AS treatment, CAST(NULL AS VARCHAR) AS alias, reasons, \"table\" FROM ({_SUGGESTED})")
 def _p14(s, d):
     out = None
     for t, key in (("customer", ["c_custkey"]), ("orders", ["o_orderkey"]), ("supplier", ["s_suppkey"])):
@@ -386,7 +398,7 @@ def _a8(s, d):
     return audit.scan(_planted_docs(s, d), forms, key="body_id", text="body").where("kind = 'exact'").select("body_id", "column")
 
 
-@query("a10_dictionary")
+@query("a10_dictionary", "SELECT DISTINCT 'B' AS \"column\", unnest(f).form AS form, unnest(f).kind AS kind, unnest(f).rule AS rule FROM (SELECT [{'form': lower(s_name), 'kind': 'exact', 'rule': 'any'}, {'form': 'supplier', 'kind': 'word', 'rule': 'word'}, {'form': s_name[10:], 'kind': 'digits', 'rule': 'digits'}, {'form': 'supplier' || s_name[10:], 'kind': 'normalized', 'rule': 'code'}] || list_transform(['####', '####-', '****', '****-', 'xxxx', 'xxxx-'], lambda x: {'form': x || s_name[-4:], 'kind': 'digits', 'rule': 'any'}) AS f FROM supplier)")
 def _a10(s, d):
     return audit.dictionary(read(s, d, "supplier").select(F.lit("B").alias("column"), F.col("s_name").alias("value")))
 
@@ -427,10 +439,19 @@ def _passed(s, d):
 # ---------------------------------------------------------------- requests, replies, records
 
 
-@query("r1_structure_only")
+_TURN_SQL = (
+    "WITH p AS (" + _profile_sql("customer", _KINDS["customer"]) + """), n AS (SELECT count(*) + 1 AS last FROM customer),
+c AS (SELECT string_agg('{"letter":"' || letter || '","header":"' || header || '","type":"' || type || '","private":' || (letter IN ('B', 'D')) || ',"treatment":"' || CASE letter WHEN 'B' THEN 'stand_in' WHEN 'D' THEN 'range' ELSE 'as_is' END
+  || '","note":null,"stats":{"blank":' || blank || ',"distinct":' || "distinct" || CASE WHEN type = 'text' THEN ',"avg_words":' || regexp_replace(CAST(avg_words AS VARCHAR), '[.]0$', '') || ',"max_len":' || max_len ELSE '' END || '}}', ',' ORDER BY ord) AS columns FROM p),
+t AS (SELECT '{"protocol":"0.1","mode":"structure_only","sheet":"customer","table":"customer","range":{"address":"A1:E' || last || '","header_row":1,"first_data_row":2,"last_data_row":' || last || '},"columns":[' || columns || '],"context_ranges":[],"allowed_ranges":[],"task":"Total balance by segment"}' AS turn FROM n, c)
+SELECT turn, strlen(turn) AS bytes FROM t"""
+)
+
+
+@query("r1_structure_only", _TURN_SQL)
 def _r1(s, d):
     body, *_ = _request(s, d, "Total balance by segment")
-    return small(s, [(body,)], "body string").select(F.get_json_object("body", "$.messages[1].content").alias("turn"), requests.size(F.col("body")).alias("bytes"))
+    return small(s, [(body,)], "body string").select(F.get_json_object("body", "$.messages[1].content").alias("turn")).withColumn("bytes", requests.size(F.col("turn")))
 
 
 @query("r2_sample_rows", "SELECT '[' || string_agg('[\"' || r_name || '\",' || r_regionkey || ']', ',' ORDER BY r_regionkey) || ']' AS rows, count(*) AS n FROM region")

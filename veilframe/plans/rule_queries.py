@@ -82,6 +82,7 @@ def codes(formula: str, ctx: Context = CTX, shift: int = 0) -> str:
 # ---------------------------------------------------------------- classification and text
 
 over("p10_header_keywords", lambda h: "|".join(classify.header_keywords(h)), "keywords string", [("First{n}Name", "'first|name'"), ("{w} E-mail", "'email'"), ("ZIPCode{n}", "'zip'"), ("{w}", "''"), ("DateOfBirth_{w}", "'birth'")])
+over("p9_header_words", lambda h: "|".join(classify.header_words(h)), "words string", [("{w}Name", "w || '|name'"), ("E-mail {w}", "'e|mail|' || w || '|email'"), ("HTTPServer{n}", "'http|server|' || n"), ("{w}_{n}-ID", "w || '|' || n || '|id'"), ("{c_mktsegment}", "lower(c_mktsegment)"), ("", "''")])
 over("p18_aliases", lambda h, a: classify.alias_for(h, a), "alias string", [(("Diagnosis {w}", "B"), "'Field B'"), (("{w} region", "C"), "NULL"), (("{w}Gender", "D"), "'Field D'")])
 over("p20_alias_reveals", classify.reveals, "reveals boolean", [(("The {w} (net)", "{w}"), "TRUE"), (("{w}man", "{w}"), "FALSE"), (("Cafè {w} x", "cafe {w}"), "TRUE"), (("x{n}", "{n}"), "FALSE")])
 over("p21_set_policy", lambda letter, treatment: classify.set_policy(classify.Policy(letter), treatment=treatment).effective(), "treatment string", [(("{w}", "as_is"), "'stand_in'"), (("{w}", "exclude"), "'exclude'"), (("{w}", "range"), "'range'"), (("{w}", "month"), "'month'")])
