@@ -37,7 +37,9 @@ from .common import _BASE, held, id_and_text, mix, partitions, read, shingles, t
 from .graph import components
 
 #: Coordinates of a point, entries of a tree node, and what a block of a candidate group holds.
-GROUPS, NODE, BLOCK_DOCS, BLOCK_SHINGLES = 64, 32, 6_144, 4_000_000
+GROUPS, NODE, BLOCK_DOCS, BLOCK_SHINGLES = 64, 32, 3_072, 2_000_000
+#: Coordinates of the finer points that a block compares before the sets themselves.
+FINE = 1024
 #: Ids of open classes that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: One of so many shingles, by hash, is counted in the reduction.
@@ -46,7 +48,7 @@ COUNTED = np.uint64(3)
 DEALT = 1_000_000
 #: Candidate pairs a member that a list may have before only a spanning forest of them is taken.
 SPARSE = 1
-#: Buckets of prefix shingles; as many at every size, so that a class has no more rows on more machines.
+#: Buckets of prefix shingles, and of classes; as many at every size, so that a class has no more rows on more machines.
 CELLS = 4096
 #: Classes that share a prefix shingle before it is dealt out by parts, and how many such shingles are looked up at most.
 HOT, HOT_SHINGLES = 20_000, 100_000
@@ -148,19 +150,23 @@ def _dealt(keys, size):
 
 
 def _shared(batches):
-    """(cls, shared, here): how many shingles another class has too, by a bucket, or as settled in one task (here).
+    """(cell, cls, n, here), packed: how many shingles of a class another class has too, by a bucket, or as settled in one task (here)."""
+
+    def packed(cls, n, here):
+        cell = cls.astype(np.uint64) >> np.uint64(52)
+        order = np.argsort(cell, kind="stable")
+        cls, n, cell = cls[order], n[order].astype(np.int64), cell[order]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        last = np.append(first[1:], len(cell))
+        return pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int64)), *(pa.array([x[a:z].tobytes() for a, z in zip(first, last, strict=True)], pa.binary()) for x in (cls, n)), pa.array([here] * len(first))], names=["cell", "cls", "n", "here"])
 
-    A class that several tasks met sent each of its shingles from each of them or settled it there, so that the
-    least of its settled counts, with what the buckets count, is no less than its number of shared shingles.
-    """
-    names = ["cls", "shared", "here"]
     s, c = [], []
     for b in batches:
         for x, y, z in zip(*(b.column(i) for i in (1, 2, 3)), strict=True):
             own = np.frombuffer(x.as_buffer(), np.uint64)
             cls, times = np.frombuffer(y.as_buffer(), np.int64), z.as_buffer()
             if not len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(np.frombuffer(times, np.uint32).astype(np.int64))], names=names)
+                yield packed(cls, np.frombuffer(times, np.uint32), True)
                 continue
             times = np.frombuffer(times, np.uint16 if times.size == 2 * len(cls) else np.uint32)
             s.append(own), c.append(np.repeat(cls, times))
@@ -178,10 +184,28 @@ def _shared(batches):
     s, c = s[hit][pair], c[hit][pair]
     if len(s):
         lone = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))
-        cls, n = np.unique(c[lone], return_counts=True)
-        for i in range(0, len(cls), 65536):
-            some = cls[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[i : i + 65536]), pa.nulls(len(some), pa.int64())], names=names)
+        yield packed(*np.unique(c[lone], return_counts=True), False)
+
+
+def _totals(batches):
+    """(cls, shared) of a cell's classes.
+
+    A class that several tasks met sent each of its shingles from each of them or settled it there, so that the
+    least of its settled counts, with what the buckets count, is no less than its number of shared shingles.
+    """
+    got = {True: ([], []), False: ([], [])}
+    for b in batches:
+        for cls, n, here in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+            got[here][0].append(np.frombuffer(cls.as_buffer(), np.int64)), got[here][1].append(np.frombuffer(n.as_buffer(), np.int64))
+    join = lambda here: [np.concatenate(x) if x else np.zeros(0, np.int64) for x in got[here]]
+    (sent, times), (own, settled) = join(False), join(True)
+    cls, at = np.unique(np.concatenate((sent, own)), return_inverse=True)
+    total = np.bincount(at[: len(sent)], times, len(cls)).astype(np.int64)
+    least = np.full(len(cls), np.iinfo(np.int64).max)
+    np.minimum.at(least, at[len(sent) :], settled)
+    total += np.where(least == np.iinfo(np.int64).max, 0, least)
+    for i in range(0, len(cls), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(cls[i : i + 65536]), pa.array(total[i : i + 65536])], names=["cls", "shared"])
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -330,6 +354,14 @@ class Tree:
         return self.order[at]
 
 
+def fine_points(sets_: list[np.ndarray]) -> np.ndarray:
+    """Counts by FINE hash groups, cut off at 255."""
+    out = np.zeros((len(sets_), FINE), np.uint8)
+    for i, s in enumerate(sets_):
+        out[i] = np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE), 255)
+    return out
+
+
 def _spread(own: np.ndarray, label: np.ndarray, near, forest: Forest, edges: list) -> None:
     """Edges that span the candidate pairs of a list.  label: components so far; near(k): candidates of the list's k-th member."""
 
@@ -437,10 +469,15 @@ def spanning(sets_: list[np.ndarray], points: np.ndarray, percent: int, known: n
     most = np.bincount(roots).argmax()
     if (roots == most).all():
         return forest
-    tree = Tree(points, n, percent)
+    tree, fine = Tree(points, n, percent), fine_points(sets_)
+    cut = fine.max(1, initial=0) == 255  # groups of theirs may hold more: no bound
     # of two sets that aren't joined, one at least is outside the largest component: the search starts from each of those
     for i in np.flatnonzero(roots != most):
-        for j in tree.near(points[i], int(n[i])):
+        near = tree.near(points[i], int(n[i]))
+        near = near[roots[near] != roots[i]]
+        overlap = np.minimum(fine[near], fine[i]).sum(1, dtype=np.int64)
+        near = near[cut[near] | cut[i] | (overlap * (100 + percent) >= percent * (n[near] + n[i]))]
+        for j in near:
             if roots[i] != roots[j] and linked(sets_[i], sets_[j], percent):
                 forest.join(int(i), int(j))
                 low, high = sorted((roots[i], roots[j]))
@@ -552,8 +589,7 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     members = held(docs.withColumn("by_text", by_text).mapInArrow(_classes(size), "doc_id long, n long, cls long, counted long, by_text long"))
     classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.count("*").alias("rows"), F.min("by_text").alias("by_text"))
     keys = deal(spark, n_parts)
-    shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cls long, shared long, here long")
-    shared = shared.groupBy("cls").agg((F.coalesce(F.sum("shared"), F.lit(0)) + F.coalesce(F.min("here"), F.lit(0))).alias("shared"))
+    shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cell long, cls binary, n binary, here boolean").repartition(n_parts, "cell").mapInArrow(_totals, "cls long, shared long")
     open_ = classes.join(shared, "cls", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100))
     open_ = written(open_.select(F.col("least").alias("by"), "cls", "by_text"), "open-classes")
     near = F.broadcast if open_.count() <= BROADCAST_IDS else lambda x: x
