@@ -117,7 +117,7 @@ def _name(page) -> str:
 
 def _page(name: str):
     page = name.strip("<>").rsplit(":", 1)[1]
-    return None if page == "null" else int(page)
+    return int(page) if name.startswith("<urn:page:") and page != "null" else None  # records of others have no page's number
 
 
 def record(page, url, payload: bytes, refers_to) -> bytes:
@@ -219,6 +219,29 @@ def write_packages(df: DataFrame, folder: str, least: int = 100, package_bytes:
     return sorted(r["path"] for r in with_targets(t, least).mapInArrow(_write(folder, package_bytes), "path string").collect())
 
 
+def indexed(package: Package) -> list[tuple[str, int, int]]:
+    """(archive member, offset, length) of every record that the package's indexes list, by place.
+
+    Indexes are members of indexes/, plain or gzipped: lines of JSON, or of a key and a time before the JSON (CDXJ).  An
+    entry may name its archive; else it is the package's only one.
+    """
+    archives = sorted(m for m in package.members if m.startswith("archive/") and m.endswith((".warc.gz", ".warc")))
+    out = []
+    for name in sorted(m for m in package.members if m.startswith("indexes/")):
+        raw = package.range(name, 0, package.members[name][1])
+        for line in (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).splitlines():
+            at = line.find(b"{")
+            if at < 0 or line.startswith(b"!"):
+                continue
+            e = json.loads(line[at:])
+            if "offset" in e and "length" in e:
+                own = f"archive/{e['filename'].rsplit('/', 1)[-1]}" if "filename" in e else archives[0] if len(archives) == 1 else None
+                if own not in package.members:
+                    raise ValueError(f"an entry of {name} names no archive of the package")
+                out.append((own, int(e["offset"]), int(e["length"])))
+    return sorted(set(out))
+
+
 def read_packages(spark, folder: str, names: list[str], ahead: int = 8 << 20) -> DataFrame:
     """One row per record, by ranged reads: neighbours in the index are fetched together, up to ``ahead`` bytes."""
 
@@ -228,17 +251,18 @@ def read_packages(spark, folder: str, names: list[str], ahead: int = 8 << 20) ->
                 fs, path = store(f"{folder}/{names[k]}")
                 with fs.open_input_file(path) as f:
                     package, rows = Package(f), []
-                    first, _ = package.locate(DATA)
-                    entries = [json.loads(x) for x in package.range(INDEX, 0, package.members[INDEX][1]).splitlines()]
-                    at = 0
+                    entries, at = indexed(package), 0
+                    starts = {m: package.locate(m)[0] for m in {e[0] for e in entries}}
                     while at < len(entries):
-                        end = at + 1
-                        while end < len(entries) and entries[end]["offset"] + entries[end]["length"] - entries[at]["offset"] <= ahead:
+                        member, lo, length = entries[at]
+                        end, last = at + 1, lo + length
+                        while end < len(entries) and entries[end][0] == member and max(last, sum(entries[end][1:])) - lo <= ahead:
+                            last = max(last, sum(entries[end][1:]))
                             end += 1
-                        lo, last = entries[at]["offset"], entries[end - 1]
-                        raw = f.read_at(last["offset"] + last["length"] - lo, first + lo)
-                        for e in entries[at:end]:
-                            r = parse(zlib.decompress(raw[e["offset"] - lo : e["offset"] - lo + e["length"]], 31))
+                        raw = f.read_at(last - lo, starts[member] + lo)
+                        for _, offset, length in entries[at:end]:
+                            piece = raw[offset - lo : offset - lo + length]
+                            r = parse(zlib.decompress(piece, 31) if piece[:2] == b"\x1f\x8b" else piece)
                             del r["payload"]
                             rows.append(r)
                         at = end
