@@ -33,6 +33,25 @@ def test_encoder_equals_the_tokenizer():
             assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_level", "small_letters_only"])
+def test_encoder_of_other_vocabularies(tmp_path, name):
+    """A file that keeps white space or case isn't split at words or folded."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocab = {c: k for k, c in enumerate([*letters, "[UNK]"])}
+    t = Tokenizer(models.BPE(vocab=vocab, merges=[], unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False) if name == "byte_level" else pre_tokenizers.Whitespace()
+    if name != "byte_level":
+        t.normalizer = normalizers.NFC()
+    t.save(str(tmp_path / "t.json"))
+    e = Encoder(str(tmp_path / "t.json"))
+    assert not e.by_small_letters and e.by_parts is (name != "byte_level")
+    for _ in range(2):
+        for text in ("Two words, and two Words.", " a  b\n", "", "Words words"):
+            assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -186,6 +205,31 @@ def test_directories_as_zipfile_reads_them(spark, tmp_path):
     os.remove(big)
 
 
+@pytest.mark.parametrize("packed_index", [False, True])
+def test_packages_with_several_archives_and_other_indexes(spark, tmp_path, packed_index):
+    """Archives of other makers: CDXJ lines, an index of its own format, gzip members and plain records."""
+    import gzip
+
+    lines, want = ["!meta 1"], []
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        for archive in ("one.warc.gz", "two.warc"):
+            body = b""
+            for k in range(5):
+                page = k + (10 if archive == "two.warc" else 0)
+                raw = op06_zip_warc.record(page, f"http://x.org/{page}", (f"<p>{page}" * 60).encode(), None)
+                raw = gzip.compress(raw) if archive.endswith("gz") else raw
+                lines.append(f'org,x)/{page} 2020010100000{k} {{"url": "http://x.org/{page}", "filename": "{archive}", "offset": "{len(body)}", "length": "{len(raw)}"}}')
+                want.append((page, f"http://x.org/{page}"))
+                body += raw
+            z.writestr(f"archive/{archive}", body)
+        index = "\n".join(lines).encode()
+        z.writestr("indexes/index.cdx.gz" if packed_index else "indexes/index.cdxj", gzip.compress(index) if packed_index else index)
+        z.writestr("datapackage.json", "{}")
+    for ahead in (100, 8 << 20):
+        got = [(r["page_id"], r["url"]) for r in op06_zip_warc.read_packages(spark, str(tmp_path), ["a.zip"], ahead).collect()]
+        assert sorted(got) == sorted(want)
+
+
 # ---------------------------------------------------------------- decontamination
 
 

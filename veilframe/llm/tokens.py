@@ -9,6 +9,8 @@ from functools import lru_cache
 #: Words that one Python worker remembers; more are encoded anew each time, with equal results.
 REMEMBERED = 600_000
 LONGEST = 48
+#: Texts on which a file's splitting is tried.
+PROBES = ["Two words, and Another one.", " leading  and trailing \n", "Tabs\tand\nlines\r\nof TEXT", "naïve Straße 日本語 x", "The the THE It's 3.14 unbelievableness", "A. B, c"]
 
 
 def default_path() -> str:
@@ -20,8 +22,9 @@ def default_path() -> str:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and splits words at it, so a text's ids are those of its
-    blank-separated parts in turn; equal parts are encoded once.
+    Where a vocabulary drops white space and splits words at it, a text's ids are those of its
+    blank-separated parts in turn; equal parts are encoded once.  Whether that holds for a file, and
+    whether it minds case and stops, is tried on PROBES; a file that fails is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -30,6 +33,11 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.known.update(zip(".,", self._ids([".", ","]), strict=True))
+        one = lambda x: self._ids([x])[0]
+        parts = lambda x: b"".join(map(one, x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        self.by_parts = all(one(x) == parts(x) for x in PROBES)
+        words = [w for x in PROBES for w in x.split() if w.isascii() and w.isalpha()]
+        self.by_small_letters = self.by_parts and all(one(w) == one(w.lower()) and one(w + stop) == one(w.lower()) + one(stop) for w in words for stop in ".,")
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))]
@@ -37,7 +45,7 @@ class Encoder:
     def _composed(self, w: str) -> bytes | None:
         """A word that ends in one stop after an ASCII letter splits there, and ASCII capitals count as small letters: the ids by known parts, if they are known."""
         known = self.known
-        if w.isascii():
+        if self.by_small_letters and w.isascii():
             if (v := known.get(w.lower())) is not None and "<|" not in w:
                 return v
             if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and (v := known.get(w[:-1].lower())) is not None and "<|" not in w:
@@ -45,6 +53,8 @@ class Encoder:
         return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            return self._ids(texts)
         known, out, open_ = self.known, [], {}
         get = known.get
         for k, x in enumerate(texts):
