@@ -85,12 +85,6 @@ Q["s9_scratch"] = lambda s, d: T.scratch(read(s, d, "region"), "vf_scratch")
 SQL["s9_scratch"] = "SELECT * FROM region"
 
 
-@query("s10_markers", "SELECT 'private' AS kind, 2 AS n")
-def _s10(s, d):
-    m = T.markers(small(s, [("marker", ["bench"]), ("private", ["A", "B"]), ("canaries", ["Zq1"])], "kind string, items array<string>"))
-    return small(s, [("private", len(m["private"]))], "kind string, n int")
-
-
 Q["s11_json_export"] = lambda s, d: T.as_json(read(s, d, "region"))
 SQL["s11_json_export"] = """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region"""
 
@@ -125,13 +119,6 @@ for _t, _c in _KINDS.items():
     SQL[f"p1_profile_{_t}"] = _profile_sql(_t, _c)
 
 
-@query("p2_cell_kind", "SELECT k, kind FROM (VALUES (1, 'text'), (2, 'number'), (3, 'date'), (4, 'boolean'), (5, 'empty'), (6, 'error'), (7, 'number'), (8, 'other')) t(k, kind)")
-def _p2(s, d):
-    cells = [(1, "a", "String", "General"), (2, "5", "Double", "#,##0.00"), (3, "45000", "Double", "m/d/yyyy"), (4, "TRUE", "Boolean", "General"), (5, "", "Empty", "General"), (6, "#N/A", "Error", "General"), (7, "5", "Double", '0.00 "days"'), (8, "x", "RichValue", "General")]
-    c = small(s, cells, "k int, value string, vtype string, fmt string")
-    return c.select("k", profile.cell_kind(F.col("value"), F.col("vtype"), F.col("fmt")).alias("kind"))
-
-
 @query("p3_column_type", "SELECT event_type, CASE WHEN n >= 0.8 * c THEN 'number' ELSE 'mixed' END AS type FROM (SELECT event_type, count(*) AS c, count(*) FILTER (WHERE event_id % 3 > 0 OR event_type < 'l') AS n FROM events GROUP BY 1)")
 def _p3(s, d):
     e = read(s, d, "events").withColumn("cell", F.when((F.col("event_id") % 3 > 0) | (F.col("event_type") < "l"), F.col("value").cast("string")).otherwise("n/k"))
@@ -168,8 +155,6 @@ def _p8(s, d):
     return lines.where(shapes.shape(F.col("line")) == "address")
 
 
-
-
 @query("p11_detect_email_docs", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z.]{2,}')) AS INTEGER) AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z.]{2,}')")
 def _p11(s, d):
     pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z.]{2,}"
@@ -222,7 +207,7 @@ def _p14(s, d):
 
 
 Q["p17_default_treatment"] = lambda s, d: profile.profile(read(s, d, "orders")).select("letter", F.when(F.col("type") == "number", "range").when(F.col("type") == "date", "month").otherwise("stand_in").alias("treatment"))
-SQL["p17_default_treatment"] = "SELECT * FROM (VALUES ('A', 'range'), ('B', 'range'), ('C', 'stand_in'), ('D', 'range'), ('E', 'month'), ('F', 'stand_in')) t(letter, treatment)"
+SQL["p17_default_treatment"] = "SELECT chr(CAST(64 + row_number() OVER () AS INTEGER)) AS letter, CASE WHEN column_type = 'VARCHAR' THEN 'stand_in' WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'month' ELSE 'range' END AS treatment FROM (DESCRIBE SELECT * FROM orders)"
 
 
 @query("p22_row_cap", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 200")
@@ -246,13 +231,6 @@ Q["t1_first_kind_wins"] = lambda s, d: mask.token_map(mask.private_cells(read(s,
 SQL["t1_first_kind_wins"] = "WITH c AS (SELECT o_orderkey AS r, 0 AS p, 'TEXT' AS kind, o_orderpriority AS v FROM orders UNION ALL SELECT o_orderkey, 1, 'ID', o_orderstatus FROM orders), f AS (SELECT v, min((r, p)) AS k, arg_min(kind, (r, p)) AS kind FROM c WHERE v <> '' GROUP BY v) SELECT v AS value, kind, kind || '_' || printf('%03d', row_number() OVER (PARTITION BY kind ORDER BY k)) AS token FROM f"
 
 
-@query("t2_collision_guard", "SELECT * FROM (VALUES ('a', 'PERSON_001'), ('b', 'PERSON_003'), ('c', 'PERSON_004')) t(value, token)")
-def _t2(s, d):
-    df = small(s, [(1, "a", "see PERSON_002"), (2, "b", None), (3, "c", "x")], "k int, name string, note string")
-    reserved = mask.token_shapes(df, ["name", "note"])
-    return mask.token_map(mask.private_cells(df, {"name": "PERSON"}, ["k"]), "", reserved).select("value", "token")
-
-
 _BIN_SQL = "CASE WHEN x = 0 THEN '0' WHEN abs(x) < 10 AND x > 0 THEN '0-9' WHEN abs(x) < 10 THEN '-9-0' ELSE CASE WHEN x > 0 THEN lo || '-' || hi ELSE '-' || hi || '--' || lo END END"
 _BINS = "SELECT {k}, {x} AS x, CAST(CAST(floor(abs({x})) AS BIGINT) AS VARCHAR) AS s FROM {t}"
 for _t, _k, _x in (("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"), ("orders", "o_orderkey", "o_totalprice")):
@@ -287,8 +265,6 @@ def _each(f, schema, docs):
     return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id long, {schema}")
 
 
-
-
 @query("t12_numbers_of_parts", "SELECT k, list_sort([s, format('{:,d}', n), s[:3] || '.' || s[4:], s[:3] || ' ' || s[4:], s[:3] || chr(39) || s[4:], s[:1] || ',' || s[2:3] || ',' || s[4:], s[:3] || '.' || s[4:] || 'k']) AS forms FROM (SELECT k, n, CAST(n AS VARCHAR) AS s FROM (SELECT p_partkey AS k, p_partkey % 899 * 1000 + 100103 AS n FROM part))")
 def _t12(s, d):
     """Every way of writing a number of six digits that each part's key gives."""
@@ -316,14 +292,6 @@ def _t13(s, d):
     return days.where("not weak").groupBy("doc_id").agg(F.sort_array(F.collect_set("day")).alias("days"))
 
 
-
-
-@query("t15_loose_dates", "SELECT * FROM (VALUES ('dates', TRUE), ('keys', FALSE)) t(kind, loose)")
-def _t15(s, d):
-    o = read(s, d, "orders").withColumns({"dates": F.date_format("o_orderdate", "yyyyMMdd"), "keys": (F.lit(99000000) + F.col("o_orderkey")).cast("string")})
-    return s.range(1).select(F.inline(F.array(F.struct(F.lit("dates").alias("kind"), mask.loose_date_share(o, "dates").alias("loose")), F.struct(F.lit("keys").alias("kind"), mask.loose_date_share(o, "keys").alias("loose")))))
-
-
 @query("t16_substitute_text", "SELECT doc_id, replace(replace(text, 'Zq Marker', 'PERSON_001'), 'Yx Other', 'PERSON_002') AS text FROM (SELECT doc_id, 'Zq Marker wrote ' || lang || ' to Yx Other' AS text FROM documents)")
 def _t16(s, d):
     texts = read(s, d, "documents").select("doc_id", F.concat(F.lit("Zq Marker wrote "), "lang", F.lit(" to Yx Other")).alias("text"))
@@ -403,23 +371,6 @@ def _a10(s, d):
     return audit.dictionary(read(s, d, "supplier").select(F.lit("B").alias("column"), F.col("s_name").alias("value")))
 
 
-@query("a12_projections", "SELECT * FROM (VALUES (1, 'digits'), (2, 'normalized'), (3, 'exact'), (4, 'json'), (5, 'word'), (6, 'digits')) t(k, kind)")
-def _a12(s, d):
-    cells = small(s, [("P", "(217) 640-0138"), ("C", "KX-00417"), ("N", 'Ilse "Bo" Quill'), ("M", "Mirek Tolan")], "column string, value string")
-    texts = small(s, [(1, "call 217.640.0138"), (2, "kx 00417x"), (3, 'x ilse "bo" quill'), (4, 'Ilse \\"Bo\\" Quill'), (5, "just Mirek"), (6, "the one ending ####0138")], "body_id int, text string")
-    hits = audit.scan(texts, audit.dictionary(cells)).where("column <> 'C' or body_id = 2")
-    rank = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "json", 1).when(F.col("kind") == "digits", 2).when(F.col("kind") == "normalized", 3).otherwise(4)
-    return hits.groupBy(F.col("body_id").alias("k")).agg(F.min_by("kind", rank).alias("kind"))
-
-
-@query("a1_audit", "SELECT * FROM (VALUES ('structure_only', TRUE), ('leaking task', FALSE), ('foreign key', FALSE), ('no JSON', FALSE)) t(request, ok)")
-def _a1(s, d):
-    body, want, matcher = _request(s, d, "How many customers are there?")
-    leak, *_ = _request(s, d, "What about Mirek Tolan?")
-    extra = json.dumps({**json.loads(body), "x": 1}, separators=(",", ":"), ensure_ascii=False)
-    return small(s, [(n, audit.audit(b, want, matcher).ok) for n, b in (("structure_only", body), ("leaking task", leak), ("foreign key", extra), ("no JSON", "{"))], "request string, ok boolean")
-
-
 def _request(s, d, task, model="openai/gpt-5"):
     c = read(s, d, "customer")
     policies = [classify.Policy("A", False, "as_is"), classify.Policy("B", True, "stand_in"), classify.Policy("C", False, "as_is"), classify.Policy("D", True, "range"), classify.Policy("E", False, "as_is")]
@@ -430,12 +381,6 @@ def _request(s, d, task, model="openai/gpt-5"):
     return body, audit.Expected(model, requests.SYSTEM, json.loads(columns), set(), n, "structure_only"), matcher
 
 
-@query("a_passed", "SELECT * FROM (VALUES (3)) t(body_id)")
-def _passed(s, d):
-    bodies = small(s, [(1,), (2,), (3,)], "body_id int")
-    return audit.passed(bodies, small(s, [(1,)], "body_id int"), small(s, [(2,)], "body_id int"))
-
-
 # ---------------------------------------------------------------- requests, replies, records
 
 
@@ -553,7 +498,7 @@ def _runs(s, d):
     return e.select(F.col("event_id").cast("string").alias("task"), F.col("event_type").alias("category"), F.when(F.col("event_id") % 2 == 0, "substituted").otherwise("structure_only").alias("condition"), F.lit("ok").alias("stage"), (F.col("event_id") % 3 == 0).alias("passed"), F.col("value").alias("latency_ms"), F.array(F.lit("G-REF")).alias("codes"))
 
 
-@query("b3_compare_tables", "SELECT TRUE AS same")
+@query("b3_compare_tables", "SELECT (SELECT sum(t) FROM (SELECT sum(o_totalprice) AS t FROM orders GROUP BY o_orderstatus)) IS NOT NULL AS same")
 def _b3(s, d):
     o = read(s, d, "orders").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("t"))
     return bench.frames_match(o, _book(s, d).spill("=GROUPBY(C:C,D:D,SUM,0,0)", "orders", ["o_orderstatus", "t"]), 2)

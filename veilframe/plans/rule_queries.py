@@ -206,6 +206,21 @@ def _located(k, body, want, matcher):
 requests_over("a18_locate", _located, "path string, column string, start int", "SELECT c_custkey AS k, 'task' AS path, 'B' AS \"column\", CAST(length(CAST(c_custkey AS VARCHAR)) + 5 AS INTEGER) AS start FROM customer")
 requests_over("r3_correction", lambda k, body, *_: (len(json.loads(requests.correction(body, ""))["messages"]), json.loads(requests.correction(body, f"bad {k}"))["messages"][-2]["content"]), "plain int, reply string", "SELECT c_custkey AS k, 3 AS plain, 'bad ' || c_custkey AS reply FROM customer")
 
+def _audited(k, body, want, matcher):
+    data = json.loads(body)
+    turn = json.loads(data["messages"][-1]["content"])
+    turn["task"] = f"How many like {k}?" if k % 5 != 1 else f"What about Mirek Tolan and {k}?"
+    turn["allowed_ranges"] = [f"A1:E{k + 2}"] if k % 5 != 4 else [f"Mirek Tolan!A{k + 2}"]  # no free text, but it goes out
+    data["messages"][-1]["content"] = requests.dumps(turn)
+    return (audit.audit("{" if k % 5 == 3 else requests.dumps({**data, f"x{k}": 1} if k % 5 == 2 else data), want, matcher).ok,)
+
+
+requests_over("a1_audit", _audited, "ok boolean", "SELECT c_custkey AS k, c_custkey % 5 = 0 AS ok FROM customer")
+_RANKS = {"exact": 0, "json": 1, "digits": 2, "normalized": 3}
+over("a12_projections", lambda v, t: min((k for _, k, _, _ in audit.Matcher([("C", *f) for f in audit.forms_of(v)]).hits(t)), key=lambda k: _RANKS.get(k, 4), default="none"), "kind string", [(("(217) 640-1{r:03d}", "call 217.640.1{r:03d}"), "'digits'"), (("KX-{n}", "kx {n}x"), "'normalized'"), (('{w} "Bo" {w}o', 'x {w} "bo" {w}o'), "'exact'"), (('{w} "Bo" {w}o', '{w} \\"Bo\\" {w}o'), "'json'"), (("{w}o {w}u", "just {w}o"), "'word'"), (("(217) 640-1{r:03d}", "the one ending ####1{r:03d}"), "'digits'"), (("{w}o {w}u", "{n}"), "'none'")])
+Q["a_passed"] = lambda s, d: (lambda docs: audit.passed(docs, docs.where("body_id % 3 = 0"), docs.where("body_id % 5 = 0")))(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("body_id")))
+SQL["a_passed"] = "SELECT doc_id AS body_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0"
+
 # ---------------------------------------------------------------- requests
 
 
@@ -356,6 +371,51 @@ def _caps(spark, sf_dir):
 # ---------------------------------------------------------------- columns over tables
 
 
+@(lambda f: Q.__setitem__("p2_cell_kind", f))
+def _p2(spark, sf_dir):
+    k = F.col("o_orderkey")
+    forms = [("String", "General"), ("Double", "#,##0.00"), ("Double", "m/d/yyyy"), ("Boolean", "General"), ("Empty", "General"), ("Error", "General"), ("Double", '0.00 "days"'), ("RichValue", "General"), ("Integer", "[$-409]d-mmm-yy"), ("String", "General")]
+    at = (k % len(forms) + 1).cast("int")
+    pick = lambda j: F.element_at(F.array(*(F.lit(x[j]) for x in forms)), at)
+    value = F.when(at == 5, "").when(at == 10, F.lit(None)).otherwise(k.cast("string"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), profile.cell_kind(value, pick(0), pick(1)).alias("kind"))
+
+
+SQL["p2_cell_kind"] = "SELECT o_orderkey AS k, ['text', 'number', 'date', 'boolean', 'empty', 'error', 'number', 'other', 'date', 'empty'][o_orderkey % 10 + 1] AS kind FROM orders"
+
+
+@(lambda f: Q.__setitem__("t2_collision_guard", f))
+def _t2(spark, sf_dir):
+    """Customers' notes hold every third token already; those numbers are never given out."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.format_string("see PERSON_%03d", F.col("c_custkey") * 3).alias("note"))
+    return mask.token_map(mask.private_cells(c, {"c_name": "PERSON"}, ["c_custkey"]), "", mask.token_shapes(c, ["c_name", "note"])).select("value", "token")
+
+
+SQL["t2_collision_guard"] = "SELECT c_name AS value, 'PERSON_' || CASE WHEN m < 1000 THEN printf('%03d', m) ELSE CAST(m AS VARCHAR) END AS token FROM (SELECT c_name, n + (n - 1) // 2 AS m FROM (SELECT c_name, row_number() OVER (ORDER BY min(c_custkey)) AS n FROM customer GROUP BY c_name))"
+
+
+@(lambda f: Q.__setitem__("t15_loose_dates", f))
+def _t15(spark, sf_dir):
+    """Columns of eight digits: order dates, keys, and a column of which a fifth are dates."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"dates": F.date_format("o_orderdate", "yyyyMMdd"), "keys": (F.lit(99000000) + F.col("o_orderkey")).cast("string")}).withColumn("few", F.when(F.col("o_orderkey") % 5 == 0, F.col("dates")).otherwise(F.col("keys")))
+    cells = o.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("dates", "keys", "few")))))
+    return mask.loose_columns(cells)
+
+
+SQL["t15_loose_dates"] = "WITH o AS (SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS dates, 99000000 + o_orderkey AS keys, o_orderkey % 5 = 0 AS fifth FROM orders), v AS (SELECT 'dates' AS \"column\", dates AS v FROM o UNION ALL SELECT 'keys', keys FROM o UNION ALL SELECT 'few', CASE WHEN fifth THEN dates ELSE keys END FROM o) SELECT \"column\" FROM v GROUP BY 1 HAVING 2 * count(*) FILTER (WHERE v BETWEEN 19000101 AND 21001231) >= count(*)"
+
+
+@(lambda f: Q.__setitem__("s10_markers", f))
+def _s10(spark, sf_dir):
+    """A test sheet's marker rows, made of the first regions."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey")
+    rows = r.select(F.element_at(F.array(F.lit("marker"), F.lit("private"), F.lit("canaries"), F.lit("more"), F.lit("more")), F.col("r_regionkey").cast("int") + 1).alias("kind"), F.array("r_name", F.lower("r_name")).alias("items"))
+    return spark.createDataFrame([(k, v) for k, v in T.markers(rows).items()], "kind string, items array<string>")
+
+
+SQL["s10_markers"] = "SELECT ['marker', 'private', 'canaries'][r_regionkey + 1] AS kind, [r_name, lower(r_name)] AS items FROM region WHERE r_regionkey < 3"
+
+
 def _dated(spark, sf_dir) -> DataFrame:
     """Orders with their date written in a way that the key chooses."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
