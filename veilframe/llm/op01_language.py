@@ -120,9 +120,12 @@ def learn(df: DataFrame, dim: int = 1024, n: int = 3, seed: int = 7, sample: int
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.tobytes() for s in sums.values()])], names=["lang", "v"])
 
-    found: dict[str, np.ndarray] = {}
-    for r in rows.select("text", "lang").repartition(16).mapInArrow(run, "lang string, v binary").collect():  # 16 rows a language
-        found[r["lang"]] = found.get(r["lang"], 0) + np.frombuffer(bytes(r["v"]))
+    def total(key, table):
+        v = sum(np.frombuffer(x.as_buffer()) for x in table.column("v"))
+        return pa.table({"lang": pa.array([key[0].as_py()]), "v": pa.array([v.tobytes()], pa.binary())})
+
+    sums = rows.select("text", "lang").repartition(16).mapInArrow(run, "lang string, v binary").groupBy("lang").applyInArrow(total, "lang string, v binary")
+    found = {r["lang"]: np.frombuffer(bytes(r["v"])) for r in sums.collect()}  # a row a language of the sample
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(found.items()) if np.linalg.norm(v) > 0}
 
 
