@@ -197,3 +197,19 @@ def test_running_folds(numbers_book, monkeypatch):
     monkeypatch.setattr(arrays, "MOST_FOLDED", 50)
     with pytest.raises(FormulaError):
         b.cell("=REDUCE(1,B:B,LAMBDA(a,v,a/2+v))", "N").collect()
+
+
+def test_grouping_forms(spark):
+    rows = [(k, "ab"[k % 2], "xyz"[k % 3], float(k), float(k * k), "AB"[k % 2]) for k in range(24)]
+    b = Workbook(spark)
+    b.add("G", spark.createDataFrame(rows, "k int, a string, b string, v double, w double, c string"), ["k"])
+    got = sorted(tuple(r) for r in b.spill("=GROUPBY(B:B,D:D,SUM,0,0,1,E:E>100)", "G", ["a", "v"]).collect())
+    assert got == [(x, sum(r[3] for r in rows if r[1] == x and r[4] > 100)) for x in "ab"]
+    got = [list(r) for r in b.spill("=PIVOTBY(B:B,B:C,D:E,SUM,0,0,1,0)", "G").collect()]
+    heads = sorted({(r[1], r[2]) for r in rows})
+    assert got[0][1:] == [h[0] for h in heads for _ in "vw"] and got[1][1:] == [h[1] for h in heads for _ in "vw"] and sorted(r[0] for r in got[2:]) == ["a", "b"]
+    for line, x in zip(sorted(got[2:], key=lambda r: r[0]), "ab", strict=True):
+        want = [sum(r[i] for r in rows if r[1] == x and (r[1], r[2]) == h) if h[0] == x else None for h in heads for i in (3, 4)]
+        assert [None if v is None else float(v) for v in line[1:]] == want
+    assert sorted(tuple(r) for r in b.spill("=UNIQUE(B:F,TRUE)", "G").collect()) == sorted(r[1:5] for r in rows)
+    assert sorted(tuple(r) for r in b.spill("=UNIQUE(B:F,TRUE,TRUE)", "G").collect()) == sorted(r[2:5] for r in rows)

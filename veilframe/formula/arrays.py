@@ -103,9 +103,14 @@ def _sortby(c, args, env):
 @function("UNIQUE", whole=True)
 def _unique(c, args, env):
     g = c.grid(args[0], env)
-    if len(args) > 1 and args[1] is not None and c.scalar(args[1], env).value:
-        raise Unsupported("UNIQUE over columns")
     once = len(args) > 2 and bool(c.scalar(args[2], env).value)
+    if len(args) > 1 and args[1] is not None and c.scalar(args[1], env).value:
+        # columns are alike when two sums of hashes of their cells and places are; one pass, a value a column
+        sums = [F.sum(F.xxhash64(F.lit(seed), "_row", _order_key(x)).cast("decimal(38,0)")) for x in g.cells() for seed in (1, 2)]
+        got = tuple(g.df.agg(*(x.alias(f"s{k}") for k, x in enumerate(sums))).first())
+        marks = [got[2 * k : 2 * k + 2] for k in range(len(g.columns))]
+        kept = [n for k, n in enumerate(g.columns) if (marks.count(marks[k]) == 1 if once else marks.index(marks[k]) == k)]
+        return named(g.df, [F.col(n) for n in kept], F.col("_row"))
     keys = {fresh("u"): _order_key(x) for x in g.cells()}
     df = g.df.withColumns(keys).groupBy(*keys).agg(F.min("_row").alias("_row"), F.count("*").alias("_n"), *(F.min_by(x, "_row").alias(x) for x in g.columns))
     return Grid((df.where("_n = 1") if once else df).select("_row", *g.columns), g.columns, False)
@@ -328,13 +333,16 @@ def _groupby(c, args, env):
     agg = _aggregate_of(c, args[2], env)
     totals = _int(c, args, 4, env, 1)
     sort = _int(c, args, 5, env, None)
-    if len(args) > 6 and args[6] is not None:
-        raise Unsupported("a filter inside GROUPBY")
     _same_rows(fields, values)
+    rows = fields.frame()
+    if len(args) > 6 and args[6] is not None:
+        keep, name = c.lifted(fields.sheet, fields.lo, fields.hi, rows), fresh("keep")
+        test = truth(keep.scalar(args[6], env))
+        rows = keep.scope.build().withColumn(name, test).where(F.col(name))
     n, k = len(fields.columns), len(values.columns)
     keys = {f"c{i + 1}": x.col for i, x in enumerate(fields.cells())}
     vals = {f"c{n + i + 1}": (x.col.cast("double") if x.kind == "number" else x.col) for i, x in enumerate(values.cells())}
-    df = fields.frame().select(*(x.alias(a) for a, x in keys.items()), *(x.alias(a) for a, x in vals.items()))
+    df = rows.select(*(x.alias(a) for a, x in keys.items()), *(x.alias(a) for a, x in vals.items()))
     if totals:
         total = df.agg(*(agg(a).alias(a) for a in vals)).select(F.lit(None).cast(dict(df.dtypes)["c1"]).alias("c1"), *vals)
     out = df.groupBy(*keys).agg(*(agg(a).alias(a) for a in vals))
@@ -355,21 +363,23 @@ def _pivotby(c, args, env):
     agg = _aggregate_of(c, args[3], env)
     row_totals, col_totals = _int(c, args, 5, env, 1), _int(c, args, 7, env, 1)
     _same_rows(rows, cols, values)
-    if len(cols.columns) != 1 or len(values.columns) != 1:
-        raise Unsupported("several column fields or values")
-    n = len(rows.columns)
-    keys = [f"k{i}" for i in range(n)]
-    v = values.cells()[0]
-    df = rows.frame().select(*(text(Cell(x.col, x.kind)).alias(a) for a, x in zip(keys, rows.cells(), strict=True)), text(Cell(cols.cells()[0].col, cols.cells()[0].kind)).alias("p"), (v.col.cast("double") if v.kind == "number" else v.col).alias("v"))
-    heads = [r["p"] for r in df.select("p").distinct().orderBy("p").limit(16_385).collect()]
-    if len(heads) > 16_384:
+    n, over = len(rows.columns), len(cols.columns)
+    keys, fields, vals = [f"k{i}" for i in range(n)], [f"p{i}" for i in range(over)], [f"v{i}" for i in range(len(values.columns))]
+    shown = lambda v, names: [text(Cell(x.col, x.kind)).alias(a) for a, x in zip(names, v.cells(), strict=True)]
+    df = rows.frame().select(*shown(rows, keys), *shown(cols, fields), *((x.col.cast("double") if x.kind == "number" else x.col).alias(a) for a, x in zip(vals, values.cells(), strict=True)))
+    heads = [tuple(r) for r in df.select(*fields).distinct().orderBy(*fields).limit(16_385).collect()]
+    if len(heads) * len(vals) > 16_384:
         raise Unsupported("more columns than a sheet has")
-    cells = [agg(F.when(F.col("p") == h, F.col("v"))) for h in heads] + ([agg("v")] if col_totals else [])
+    here = lambda h: reduce(lambda a, b: a & b, (F.col(p).eqNullSafe(F.lit(x)) for p, x in zip(fields, h, strict=True)))
+    cells = [agg(F.when(here(h), F.col(v))) for h in heads for v in vals] + ([agg(v) for v in vals] if col_totals else [])
     names = [f"c{i + 1}" for i in range(n + len(cells))]
     body = numbered(df.groupBy(*keys).agg(*(x.alias(m) for x, m in zip(cells, names[n:], strict=True))), *keys)
-    body = body.select((F.col("_row") + 1).alias("_row"), *(F.col(k).alias(m) for k, m in zip(keys, names, strict=False)), *(F.col(m).cast("string").alias(m) for m in names[n:]))
-    head = c.book.spark.range(1).select(F.lit(0).cast("long").alias("_row"), *(F.lit("").alias(m) for m in names[:n]), *(F.lit(h).alias(m) for h, m in zip([*heads, *(["Total"] if col_totals else [])], names[n:], strict=True)))
-    out = head.union(body)
+    body = body.select((F.col("_row") + over).alias("_row"), *(F.col(k).alias(m) for k, m in zip(keys, names, strict=False)), *(F.col(m).cast("string").alias(m) for m in names[n:]))
+    # a row of heads for each column field
+    tops = [[h[i] for h in heads for _ in vals] + (["Total" if i == 0 else ""] * len(vals) if col_totals else []) for i in range(over)]
+    out = body
+    for i, top in reversed(list(enumerate(tops))):
+        out = c.book.spark.range(1).select(F.lit(i).cast("long").alias("_row"), *(F.lit("").alias(m) for m in names[:n]), *(F.lit(h).cast("string").alias(m) for h, m in zip(top, names[n:], strict=True))).union(out)
     if row_totals:
         total = df.agg(*(x.alias(m) for x, m in zip(cells, names[n:], strict=True)))
         out = out.union(total.select(F.lit(1 << 62).alias("_row"), *(F.lit("Total" if i == 0 else "").alias(m) for i, m in enumerate(names[:n])), *(F.col(m).cast("string").alias(m) for m in names[n:])))
