@@ -89,12 +89,12 @@ def test_suffix_periodic_and_overlapping(spark):
     assert suffix(spark, data) == brute_spans(data)
 
 
-@pytest.mark.parametrize("hot", [1, 20, 2_000])
-def test_suffix_many_variants_of_one_passage(spark, hot):
+@pytest.mark.parametrize("hot, share", [(1, 16), (20, 1), (4, 2), (2_000, 16)])
+def test_suffix_many_variants_of_one_passage(spark, hot, share):
     r = random.Random(3)
     passage = sentence(r, 40)
-    data = [(k, sentence(r, 5) + " " + passage + " " + sentence(r, 5)) for k in range(60)] + [(70, passage[30:]), (71, passage + " " + passage)]
-    assert suffix(spark, data, hot=hot) == brute_spans(data)
+    data = [(k, sentence(r, 5) + " " + passage + " " + sentence(r, 5)) for k in range(60)] + [(70, passage[30:]), (71, passage + " " + passage), (72, passage), (72, passage), (None, passage + " x"), (72, "one " + passage)]
+    assert suffix(spark, data, hot=hot, share=share) == brute_spans(data)
 
 
 def test_suffix_empty_table_and_repeated_rows(spark):

@@ -9,6 +9,8 @@ document and earlier start).  Strings are judged on the input.
 2. Contexts.  Around each repeated anchor the bytes of its windows (about 1.5 x width) are dealt out by the
    anchor.  Equal contexts collapse into their first, in each task and again where they meet; an anchor that
    very many texts share (HOT) is dealt out window by window instead, so that no group grows with the corpus.
+   Most of those are known beforehand, from a share of the texts (which decides nothing but the way that they
+   are dealt out): their places don't meet at all.
 3. Suffix sort.  Contexts of an anchor that still differ are concatenated and sorted by the difference-cover
    algorithm (modulo 3): triples at places 1 and 2 modulo 3 get names in sorted order, the string of names is
    sorted by recursion, the remaining suffixes are merged in by their first byte and the rank that follows.
@@ -39,6 +41,8 @@ WIDTH, GRAM = 100, 32
 HOT = 2_000
 #: Bytes of contexts that one suffix sort takes (more only if one anchor has more).
 SORT_BYTES = 600_000
+#: One text in so many is looked at for hot anchors, and how many of these are looked up at most.
+SHARE, HOT_ANCHORS = 16, 100_000
 #: Anchors that a task deals out at a time, and contexts that it remembers.
 DEALT, SEEN = 200_000, 200_000
 _PLACE = np.uint64((1 << 28) - 1)
@@ -90,8 +94,45 @@ def _ids(t) -> np.ndarray:
     return np.array([_FIRST if i is None else i for i in t.ids], np.int64)
 
 
-def _deal_anchors(keys, width):
-    """For each bucket the anchors of some documents; of equal texts among these only the first has any."""
+def _often(width, least):
+    """Anchors that several of a task's texts have, with how many."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def some():
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[times >= least].astype(np.int64)), pa.array(times[times >= least])], names=["h", "n"])
+
+        for b in batches:
+            for t in text_chunks(b):
+                row, _, h, _, _ = anchors(t, width)
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                held.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))] if len(h) else h)
+                n += len(held[-1])
+                if n >= DEALT:
+                    yield some()
+                    held, n = [], 0
+        if n:
+            yield some()
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, width: int, hot: int, share: int) -> np.ndarray:
+    """Anchors that about ``hot`` texts have, by a share of them; sorted."""
+    least = max(2, hot // share)
+    some = docs.where(F.pmod(F.xxhash64("own", "text"), F.lit(share)) == 0).select(F.col("own").alias("doc_id"), "text")
+    often = some.mapInArrow(_often(width, min(16, least)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(HOT_ANCHORS).collect()], np.int64).astype(np.uint64))  # 8 bytes each
+
+
+def _deal_anchors(keys, width, known):
+    """For each bucket the anchors of some documents; of equal texts among these only the first has any.
+
+    Anchors known as hot need no others: their places go along with a bucket's rows, without hashes.
+    """
 
     def pack(ids, cls, row, at, h):
         order = np.lexsort((ids, cls))
@@ -99,11 +140,18 @@ def _deal_anchors(keys, width):
         lone[order[1:]] = cls[order[1:]] != cls[order[:-1]]
         use = lone[row]
         row, at, h = row[use], at[use], h[use]
+        settled = np.isin(h, known)
+        out = [[] for _ in range(6)]
+        if settled.any():
+            own, n = np.unique(row[settled], return_counts=True)
+            order = np.argsort(row[settled], kind="stable")
+            for x, y in zip(out, (int(keys[int(h[settled][0] % np.uint64(len(keys)))]), b"", at[settled][order].astype(np.uint32).tobytes(), ids[own].tobytes(), cls[own].tobytes(), n.astype(np.uint32).tobytes()), strict=True):
+                x.append(y)
+            row, at, h = row[~settled], at[~settled], h[~settled]
         where = bucket(mix(h), len(keys)).astype(np.int64)  # anchors are smallest hashes: their own high bits are all alike
         order = np.argsort(where, kind="stable")
         row, at, h, where = row[order], at[order], h[order], where[order]
         cuts = np.searchsorted(where, np.arange(len(keys) + 1))
-        out = [[] for _ in range(6)]
         for k in np.flatnonzero(np.diff(cuts)):
             lo, hi = cuts[k], cuts[k + 1]
             first = np.flatnonzero(np.concatenate(([True], row[lo + 1 : hi] != row[lo : hi - 1])))
@@ -138,6 +186,10 @@ def _repeated(hot):
         for b in batches:
             for h, at, ids, cls, times in zip(*(b.column(i) for i in range(1, 6)), strict=True):
                 n = np.frombuffer(times.as_buffer(), np.uint32)
+                if not h.as_buffer().size:  # places of anchors known as hot
+                    places, ends = np.frombuffer(at.as_buffer(), np.uint32).astype(np.int64) << 1 | 1, np.cumsum(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (ids, cls)] + [pa.array([places[z - k : z].tobytes() for k, z in zip(n, ends, strict=True)], pa.binary())], names=["doc", "of", "places"])
+                    continue
                 got[0].append(np.frombuffer(h.as_buffer(), np.uint64)), got[1].append(np.frombuffer(at.as_buffer(), np.uint32))
                 got[2].append(np.repeat(np.frombuffer(ids.as_buffer(), np.int64), n)), got[3].append(np.repeat(np.frombuffer(cls.as_buffer(), np.int64), n))
         if not got[0]:
@@ -443,7 +495,7 @@ def _cut(width):
     return run
 
 
-def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, share: int = SHARE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (UTF-8 byte offsets) of every row."""
     if width < GRAM:
         raise ValueError(f"a window has at least {GRAM} bytes")
@@ -451,7 +503,7 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     # a row is known by its id and its text's digest: by both, rows that share an id are also dealt apart
     docs = id_and_text(df, id_col, text_col).withColumns({"own": F.coalesce("doc_id", F.lit(_FIRST)), "cls": F.xxhash64("text")})
     keys = deal(spark, n)
-    again = docs.select(F.col("own").alias("doc_id"), "text", "cls").mapInArrow(_deal_anchors(keys, width), "bucket long, h binary, at binary, ids binary, cls binary, times binary").repartition(n, "bucket").mapInArrow(_repeated(hot), "doc long, of long, places binary")
+    again = docs.select(F.col("own").alias("doc_id"), "text", "cls").mapInArrow(_deal_anchors(keys, width, hot_anchors(docs, width, hot, share)), "bucket long, h binary, at binary, ids binary, cls binary, times binary").repartition(n, "bucket").mapInArrow(_repeated(hot), "doc long, of long, places binary")
     again = again.groupBy("doc", "of").agg(F.collect_list("places").alias("places"))  # a document's own
     digest = docs.select("own", "cls", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     least = digest.groupBy("sha").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least")
