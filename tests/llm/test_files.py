@@ -73,6 +73,22 @@ def check_packing(got, data, size):
         assert [(r["start"], r["length"], r["ids_crc32"]) for r in own] == [(k, len(ids[k : k + size]), crc(ids[k : k + size])) for k in range(0, len(ids), size)]
 
 
+def test_packing_rows_without_an_id(spark):
+    data = [(None, "one two three"), (None, None), (None, "one two three"), (4, "x " * 90), (4, "")]
+    got = op05_packing.packed(frame(spark, data), size=64).collect()
+    want = sorted(((i, k // 64, k, len(ids[k : k + 64]), crc(ids[k : k + 64])) for i, t in data for ids in [[*ids_of(t), 1]] for k in range(0, len(ids), 64)), key=str)
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=str) == want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_packing_odd_rows(spark):
     data = [x for x in rows() if x[0] is not None]
     got = op05_packing.packed(frame(spark, data), size=64).collect()

@@ -59,6 +59,44 @@ def test_lone_letters_get_a_language(spark):
     assert np.array_equal(op01_language.bundles(["A."], 64, 3, 7)[0], t[0][0] * t[1][int(s[ord("a")])] * t[2][0])
 
 
+def test_language_of_very_long_and_repeated_texts(spark):
+    docs = [(1, "the thing is here and there"), (2, "das ding ist nicht hier und dort")]
+    learnt = spark.createDataFrame([(i, t, lang) for (i, t), lang in zip(docs, ("en", "de"), strict=True)], "doc_id long, text string, lang string")
+    p = op01_language.learn(learnt)
+    assert sorted(p) == ["de", "en"]
+    long_ = [(i + 10, (t + " ") * 30_000) for i, t in docs]  # about 900,000 characters
+    got = {(r["doc_id"], r["lang_pred"]) for r in op01_language.identify(frame(spark, long_ + long_[:1] + [(None, docs[1][1])]), p).collect()}
+    assert got == {(11, "en"), (12, "de"), (None, "de")}
+
+
+def test_languages_by_plain_loops(spark):
+    """Cosines of n-gram sums with the prototypes, gram by gram."""
+    texts = ["the cat and the dog", "le chat et le chien", "der hund und die katze", "a", "mixed le dog"]
+    learnt = spark.createDataFrame([(k, t, "abc"[k]) for k, t in enumerate(texts[:3])], "doc_id long, text string, lang string")
+    p = op01_language.learn(learnt, dim=256)
+    t, s = op01_language.letters(256, 3, 7), op01_language.symbols()
+
+    def bundle(text):
+        places = [0]
+        for ch in text:
+            places.append(int(s[ord(ch)]))
+        places.append(0)
+        v = np.zeros(256)
+        for a, b, c in zip(places, places[1:], places[2:], strict=False):
+            if b:
+                v += t[0][a].astype(float) * t[1][b] * t[2][c]
+        return v / np.linalg.norm(v)
+
+    want = []
+    for k, text in enumerate(texts):
+        cos = {lang: float(bundle(text) @ bundle(texts["abc".index(lang)])) for lang in "abc"}
+        best = max(cos, key=cos.get)
+        want.append((k, best, max(0.0, cos[best])))
+    got = op01_language.identify(frame(spark, list(enumerate(texts))), p).collect()
+    for r, w in zip(sorted(got), want, strict=True):
+        assert (r["doc_id"], r["lang_pred"]) == w[:2] and abs(r["score"] - w[2]) < 1e-4
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -82,6 +120,8 @@ def test_toxicity_odd_rows(spark):
     none = op07_toxicity.learn(frame(spark, []), labels.limit(0))
     assert {r["score"] < 1e-6 for r in op07_toxicity.score(frame(spark, rows()), none).collect()} == {True}
     assert op07_toxicity.score(frame(spark, []), model).collect() == []
+    long_ = op07_toxicity.score(frame(spark, [(1, "All is well here. " * 50_000), (1, "All is well here. " * 50_000), (None, "x" * 900_000)]), model).collect()
+    assert len(long_) == 3 and all(0 <= r["score"] <= 1 for r in long_) and long_[0]["score"] == long_[1]["score"]
     kept = op07_toxicity.accepted(frame(spark, rows()), none)
     assert kept.count() == len(rows()) and kept.columns == frame(spark, rows()).columns
 
