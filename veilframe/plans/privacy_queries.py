@@ -366,6 +366,36 @@ def _a8(s, d):
     return audit.scan(_planted_docs(s, d), forms, key="body_id", text="body").where("kind = 'exact'").select("body_id", "column")
 
 
+_FOLDED = f"translate(lower(text), '{MARKED}', '{PLAIN}')"
+
+
+@query("a8_scan_documents", f"SELECT doc_id AS body_id, count(*) AS values FROM documents JOIN ({_WORDS}) ON contains({_FOLDED}, lower(w)) GROUP BY 1")
+def _a8b(s, d):
+    """Whole documents against every form of the words that mustn't go out; a column each, so that each counts."""
+    forms = audit.dictionary(_words(s, d).select(F.col("value").alias("column"), "value"))
+    found = audit.scan(read(s, d, "documents"), forms, key="doc_id", text="text").where("kind = 'exact'")
+    return found.groupBy(F.col("doc_id").alias("body_id")).agg(F.count("*").alias("values"))
+
+
+@query("t16_substitute_documents", f"SELECT doc_id, w AS value FROM documents JOIN (SELECT min(w) AS w FROM ({_WORDS}) GROUP BY lower(w)) ON regexp_matches({_FOLDED}, '(^|[^\\p{{L}}\\p{{N}}_])' || lower(w) || '($|[^\\p{{L}}\\p{{N}}_])')")
+def _t16b(s, d):
+    """Which words of whole documents become which stand-ins."""
+    words = _words(s, d).groupBy(F.lower("value").alias("low")).agg(F.min("value").alias("value"))
+    tokens = words.select("value", F.concat(F.lit("TEXT_"), F.abs(F.xxhash64("value")).cast("string")).alias("token"))
+    texts = substitute.substituted(read(s, d, "documents").select("doc_id", "text"), "text", tokens)
+    found = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(TEXT_\d{5,})"), F.lit(1)))).alias("token"))
+    return found.join(tokens, "token").select("doc_id", "value")
+
+
+@query("t21_partial_customers", "WITH p AS (SELECT lower(regexp_extract(c_name, '[A-Za-z]+')) AS part, c_name AS value FROM customer UNION ALL SELECT regexp_extract(c_name, '[0-9]+'), c_name FROM customer), w AS (SELECT DISTINCT part FROM p JOIN customer ON c_name = value WHERE c_custkey % 10 = 0 AND length(part) >= 4), c AS (SELECT part, value, count(*) AS count FROM p JOIN w USING (part) GROUP BY 1, 2) SELECT part, value, count, count(*) OVER (PARTITION BY part) AS of_all FROM c QUALIFY row_number() OVER (PARTITION BY part ORDER BY count DESC, value) <= 30")
+def _t21b(s, d):
+    """The names that parts of every tenth customer's name may stand for."""
+    c = read(s, d, "customer")
+    cells = c.select(F.col("c_name").alias("value"), F.concat(F.lit("B"), F.col("c_custkey") + 2).alias("cell"))
+    words = c.where("c_custkey % 10 = 0").select(F.explode(partial.parts(F.col("c_name"))).alias("part"))
+    return partial.candidates(words, cells, _tokens(s, d)).select("part", "value", "count", "of_all")
+
+
 @query("a10_dictionary", "SELECT DISTINCT 'B' AS \"column\", unnest(f).form AS form, unnest(f).kind AS kind, unnest(f).rule AS rule FROM (SELECT [{'form': lower(s_name), 'kind': 'exact', 'rule': 'any'}, {'form': 'supplier', 'kind': 'word', 'rule': 'word'}, {'form': s_name[10:], 'kind': 'digits', 'rule': 'digits'}, {'form': 'supplier' || s_name[10:], 'kind': 'normalized', 'rule': 'code'}] || list_transform(['####', '####-', '****', '****-', 'xxxx', 'xxxx-'], lambda x: {'form': x || s_name[-4:], 'kind': 'digits', 'rule': 'any'}) AS f FROM supplier)")
 def _a10(s, d):
     return audit.dictionary(read(s, d, "supplier").select(F.lit("B").alias("column"), F.col("s_name").alias("value")))
