@@ -197,11 +197,11 @@ def _suggest_sql(table, key, columns):
 _SUGGESTED = " UNION ALL ".join(_suggest_sql(t, k, c) for t, k, c in (("customer", "c_custkey", _KINDS["customer"]), ("orders", "o_orderkey", _KINDS["orders"]), ("supplier", "s_suppkey", [("s_suppkey", "number"), ("s_name", "text"), ("s_nationkey", "number"), ("s_acctbal", "number")])))
 
 
-@query("p14_suggest", f"SELECT letter, len(reasons) > 0 AS private, CASE WHEN len(reasons) > 0 THEN way ELSE 'as_is' END AS treatment, CAST(NULL AS VARCHAR) AS alias, reasons, \"table\" FROM ({_SUGGESTED})")
+@query("p14_suggest", f"SELECT letter, len(reasons) > 0 AS private, CASE WHEN len(reasons) > 0 THEN way ELSE 'as_is' END AS treatment, CAST(NULL AS VARCHAR) AS alias, coalesce(array_to_string(reasons, '|'), '') AS reasons, \"table\" FROM ({_SUGGESTED})")
 def _p14(s, d):
     out = None
     for t, key in (("customer", ["c_custkey"]), ("orders", ["o_orderkey"]), ("supplier", ["s_suppkey"])):
-        p = classify.policy_frame(s, classify.suggest(read(s, d, t), key)).withColumn("table", F.lit(t))
+        p = classify.policy_frame(s, classify.suggest(read(s, d, t), key)).withColumns({"table": F.lit(t), "reasons": F.array_join("reasons", "|")})
         out = p if out is None else out.union(p)
     return out
 
@@ -265,22 +265,22 @@ def _each(f, schema, docs):
     return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id long, {schema}")
 
 
-@query("t12_numbers_of_parts", "SELECT k, list_sort([s, format('{:,d}', n), s[:3] || '.' || s[4:], s[:3] || ' ' || s[4:], s[:3] || chr(39) || s[4:], s[:1] || ',' || s[2:3] || ',' || s[4:], s[:3] || '.' || s[4:] || 'k']) AS forms FROM (SELECT k, n, CAST(n AS VARCHAR) AS s FROM (SELECT p_partkey AS k, p_partkey % 899 * 1000 + 100103 AS n FROM part))")
+@query("t12_numbers_of_parts", "SELECT k, array_to_string(list_sort([s, format('{:,d}', n), s[:3] || '.' || s[4:], s[:3] || ' ' || s[4:], s[:3] || chr(39) || s[4:], s[:1] || ',' || s[2:3] || ',' || s[4:], s[:3] || '.' || s[4:] || 'k']), '|') AS forms FROM (SELECT k, n, CAST(n AS VARCHAR) AS s FROM (SELECT p_partkey AS k, p_partkey % 899 * 1000 + 100103 AS n FROM part))")
 def _t12(s, d):
     """Every way of writing a number of six digits that each part's key gives."""
     import pandas as pd
 
     def batches(it):
         for pdf in it:
-            yield pd.DataFrame([(k, sorted({x.replace(" ", " ").replace(" ", " ") for x in numbers.forms(str(k % 899 * 1000 + 100103))})) for k in pdf["k"]], columns=["k", "forms"])
+            yield pd.DataFrame([(k, "|".join(sorted({x.replace(" ", " ").replace(" ", " ") for x in numbers.forms(str(k % 899 * 1000 + 100103))}))) for k in pdf["k"]], columns=["k", "forms"])
 
-    return read(s, d, "part").select(F.col("p_partkey").cast("long").alias("k")).mapInPandas(batches, "k long, forms array<string>")
+    return read(s, d, "part").select(F.col("p_partkey").cast("long").alias("k")).mapInPandas(batches, "k long, forms string")
 
 
 DATES = ["{y}-{m}-{d}", "{d}. Juli {y}", "the {d}th of March {y}", "{y}年{m}月{d}日", "{m}/{d}/{y}", "July {d}, '85", "{d} de marzo de {y}"]
 
 
-@query("t13_find_dates", "SELECT doc_id, list_sort(list_distinct(CASE doc_id % 7 WHEN 1 THEN [y || '-07-' || dd] WHEN 2 THEN [y || '-03-' || dd] WHEN 4 THEN [y || '-' || mm || '-' || dd, y || '-' || dd || '-' || mm] WHEN 5 THEN ['1985-07-' || dd, '2085-07-' || dd] WHEN 6 THEN [y || '-03-' || dd] ELSE [y || '-' || mm || '-' || dd] END)) AS days FROM (SELECT doc_id, CAST(1950 + doc_id % 120 AS VARCHAR) AS y, lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS mm, lpad(CAST(doc_id % 11 + 1 AS VARCHAR), 2, '0') AS dd FROM documents)")
+@query("t13_find_dates", "SELECT doc_id, array_to_string(list_sort(list_distinct(CASE doc_id % 7 WHEN 1 THEN [y || '-07-' || dd] WHEN 2 THEN [y || '-03-' || dd] WHEN 4 THEN [y || '-' || mm || '-' || dd, y || '-' || dd || '-' || mm] WHEN 5 THEN ['1985-07-' || dd, '2085-07-' || dd] WHEN 6 THEN [y || '-03-' || dd] ELSE [y || '-' || mm || '-' || dd] END)), '|') AS days FROM (SELECT doc_id, CAST(1950 + doc_id % 120 AS VARCHAR) AS y, lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS mm, lpad(CAST(doc_id % 11 + 1 AS VARCHAR), 2, '0') AS dd FROM documents)")
 def _t13(s, d):
     """Whole documents with one more sentence, which names a day in some form."""
     k = F.col("doc_id")
@@ -289,7 +289,7 @@ def _t13(s, d):
         say = F.replace(say, F.lit(mark), value.cast("string"))
     texts = read(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" | due "), say, F.lit(" |")).alias("text"))
     days = _each(lambda t: [(x, f.weak) for f in dates.find_dates(t) for x in f.dates], "day string, weak boolean", texts)
-    return days.where("not weak").groupBy("doc_id").agg(F.sort_array(F.collect_set("day")).alias("days"))
+    return days.where("not weak").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("day")), "|").alias("days"))
 
 
 @query("t16_substitute_text", "SELECT doc_id, replace(replace(text, 'Zq Marker', 'PERSON_001'), 'Yx Other', 'PERSON_002') AS text FROM (SELECT doc_id, 'Zq Marker wrote ' || lang || ' to Yx Other' AS text FROM documents)")

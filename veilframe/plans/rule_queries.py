@@ -410,10 +410,10 @@ def _s10(spark, sf_dir):
     """A test sheet's marker rows, made of the first regions."""
     r = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey")
     rows = r.select(F.element_at(F.array(F.lit("marker"), F.lit("private"), F.lit("canaries"), F.lit("more"), F.lit("more")), F.col("r_regionkey").cast("int") + 1).alias("kind"), F.array("r_name", F.lower("r_name")).alias("items"))
-    return spark.createDataFrame([(k, v) for k, v in T.markers(rows).items()], "kind string, items array<string>")
+    return spark.createDataFrame([(k, "|".join(v)) for k, v in T.markers(rows).items()], "kind string, items string")
 
 
-SQL["s10_markers"] = "SELECT ['marker', 'private', 'canaries'][r_regionkey + 1] AS kind, [r_name, lower(r_name)] AS items FROM region WHERE r_regionkey < 3"
+SQL["s10_markers"] = "SELECT ['marker', 'private', 'canaries'][r_regionkey + 1] AS kind, r_name || '|' || lower(r_name) AS items FROM region WHERE r_regionkey < 3"
 
 
 def _dated(spark, sf_dir) -> DataFrame:
