@@ -183,8 +183,6 @@ def test_gradient_by_differences():
 
 def brute_score(model, counts, text):
     """The sum of a text's log-probabilities, number by number."""
-    import math
-
     v, p = model.vocabulary, {k: x.astype(float).tolist() for k, x in op09_pseudo.unpack(model.flat).items()}
     entry = dict(zip(v.words.tolist(), v.entries.tolist(), strict=True))
     h, _ = op09_pseudo.words(next(op09_pseudo.text_chunks(pa.record_batch({"doc_id": [1], "text": [text]}))))
@@ -196,11 +194,12 @@ def brute_score(model, counts, text):
     for k, target in enumerate(ids):
         x = [e for d in (-2, -1, 1, 2) for e in p["emb"][beside[k + d] if 0 <= k + d < len(ids) else 0]]
         times = lambda vec, mat: [sum(a * row[j] for a, row in zip(vec, mat, strict=True)) for j in range(len(mat[0]))]
-        hidden = [math.tanh(a + b) for a, b in zip(times(x, p["w"]), p["b"], strict=True)]
+        squash = lambda z: z / (1 + abs(z))
+        hidden = [squash(a + b) for a, b in zip(times(x, p["w"]), p["b"], strict=True)]
         soft = lambda z, j: z[j] - math.log(sum(map(math.exp, z)))
         c, m = divmod(target, op09_pseudo.MEMBERS)
         out += soft([a + b for a, b in zip(times(hidden, p["wc"]), p["bc"], strict=True)], c)
-        g = [math.tanh(a + b) for a, b in zip(hidden, p["ec"][c], strict=True)]
+        g = [squash(a + b) for a, b in zip(hidden, p["ec"][c], strict=True)]
         out += soft([a + b for a, b in zip(times(g, p["wm"]), p["bm"][c], strict=True)], m)
         if target == 1:
             n = counts.get(h[k], 0)

@@ -113,16 +113,21 @@ def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    z = np.exp(np.clip(z, -80, 80))
+    return z / (z @ np.ones(z.shape[1], z.dtype))[:, None]
+
+
+def _squashed(z: np.ndarray) -> np.ndarray:
+    """Between -1 and 1; its slope is (1 - |result|) squared."""
+    return z / (1 + np.abs(z))
 
 
 def forward(p: dict, ctx: np.ndarray, target: np.ndarray):
     c, m, at = target // MEMBERS, target % MEMBERS, np.arange(len(target))
     x = p["emb"][ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ p["w"] + p["b"])
+    h = _squashed(x @ p["w"] + p["b"])
     pc = _softmax(h @ p["wc"] + p["bc"])
-    g = np.tanh(h + p["ec"][c])
+    g = _squashed(h + p["ec"][c])
     pm = _softmax(g @ p["wm"] + p["bm"][c])
     return c, m, at, x, h, pc, g, pm
 
@@ -146,11 +151,11 @@ def gradients(p: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     pm /= n
     by_class = np.zeros((CLASSES, n), np.float32)
     by_class[c, at] = 1
-    dg = (pm @ p["wm"].T) * (1 - g * g)
-    dh = ((pc @ p["wc"].T) + dg) * (1 - h * h)
+    dg = (pm @ p["wm"].T) * np.square(1 - np.abs(g))
+    dh = ((pc @ p["wc"].T) + dg) * np.square(1 - np.abs(h))
     dx = (dh @ p["w"].T).reshape(-1, DIM)
-    flat = ctx.ravel()
-    emb = np.stack([np.bincount(flat, dx[:, k], len(p["emb"])) for k in range(DIM)], 1)
+    at = ctx.ravel()[:, None] * DIM + np.arange(DIM)
+    emb = np.bincount(at.ravel(), dx.ravel(), p["emb"].size).astype(np.float32)
     parts = {"emb": emb, "w": x.T @ dh, "b": dh.sum(0), "wc": h.T @ pc, "bc": pc.sum(0), "ec": by_class @ dg, "wm": g.T @ pm, "bm": by_class @ pm}
     return np.concatenate([parts[k].ravel() for k, _ in shapes()]).astype(np.float32)
 
