@@ -16,6 +16,8 @@ NAMED = [
     ("op08_planes", "op8_plane_files"),
     ("op09_pseudo", "op9_masked_pseudo_likelihood"),
     ("op10_jaccard", "op10_count_rtree"),
+    ("op11_fingerprint", "op11_multiset_hash"),
+    ("op12_audit", "op12_bitmap_audit"),
 ]
 
 
