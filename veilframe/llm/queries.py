@@ -18,6 +18,7 @@ NAMED = [
     ("op10_jaccard", "op10_count_rtree"),
     ("op11_fingerprint", "op11_multiset_hash"),
     ("op12_audit", "op12_bitmap_audit"),
+    ("op13_spelling", "op13_range_reporting"),
 ]
 
 
