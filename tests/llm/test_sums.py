@@ -55,7 +55,7 @@ def test_tail_edits_of_a_hot_id_and_of_repeated_rows(spark):
 
 def test_tail_edits_of_one_row_and_of_none(spark):
     (only,) = op11.tail_edits(frame(spark, [(3, "one two\nthree four")])).collect()
-    assert only.near_next == 1.0 and only.edited_sha256 == hashlib.sha256(b"one two\nthreeone ").hexdigest()
+    assert only.near_next == 1.0 and only.edited_sha256 == hashlib.sha256(b"one two\nthree one ").hexdigest()
     assert op11.tail_edits(frame(spark, [])).collect() == []
 
 

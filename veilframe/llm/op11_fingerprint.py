@@ -1,7 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A text is cut into paragraphs: at line breaks, and inside a line after each word whose hash is divisible by
-PICK, so that a text in one line has several as well.  Where a cut falls depends on the words beside it alone.
+A text is cut into paragraphs: at line breaks, and inside a line after each word of LONG bytes or more whose hash
+is divisible by PICK, so that a text in one line has several as well (short words are the frequent ones, after
+which the same few words would follow again and again).  Where a cut falls depends on the word before it alone.
 Each paragraph's 512-bit digest gives a wide vector: four lanes that are uniform modulo 2^64, and 256 lanes of
 +1 or -1 modulo 2^32.  A text's fingerprint is the sum of its paragraphs' vectors.
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, LOWER, WHITE, id_and_text, partitions, read, run_hashes, runs, text_chunks
 
-#: A paragraph in a long line has so many words on average.
-PICK = 8
+#: In a long line every so manieth long word ends a paragraph.
+PICK, LONG = 4, 5
 CHECKS, LANES = 4, 256
 #: Paragraphs whose signs are spread out at a time.
 STEP = 8192
@@ -64,7 +65,8 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         part = data[lo:hi]
         inside = offsets[np.searchsorted(offsets, lo, "left") : np.searchsorted(offsets, hi, "right")] - lo
         starts, stops = runs(~WHITE[part], np.concatenate(([0], inside, [hi - lo])))
-        ends.append(stops[run_hashes(LOWER[part], starts, stops) % np.uint64(PICK) == 0] + lo)
+        picked = (run_hashes(LOWER[part], starts, stops) % np.uint64(PICK) == 0) & (stops - starts >= LONG)
+        ends.append(stops[picked] + lo)
     ends = np.unique(np.concatenate(ends))
     return ends, np.searchsorted(ends, offsets, "right")
 
