@@ -285,7 +285,7 @@ def _sequence(c, args, env):
 def _makearray(c, args, env):
     rows, cols, f = _int(c, args, 0, env), _int(c, args, 1, env), c.function_of(args[2], env)
     names = [f"c{k + 1}" for k in range(cols)]
-    inner = Compiler(c.book, c.home, Scope(c.book.spark.range(rows), None, True))
+    inner = c.inner(Scope(c.book.spark.range(rows), None, True))
     cells = [inner.apply(f, [Cell((F.col("id") + 1).cast("double"), "number"), lit(k + 1)]) for k in range(cols)]
     return Grid(inner.scope.build().select(F.col("id").alias("_row"), *(x.col.alias(n) for x, n in zip(cells, names, strict=True))), names, True)
 
@@ -399,7 +399,7 @@ def _map(c, args, env):
         cells = [inner.apply(f, [v.cells()[k] for v in vecs]) for k in range(len(vecs[0].columns))]
         return named(inner.scope.build(), [x.col for x in cells], vecs[0].key())
     if len(vecs) == 1 and isinstance(vecs[0], Grid):
-        inner = Compiler(c.book, c.home, Scope(vecs[0].df, None, True))
+        inner = c.inner(Scope(vecs[0].df, None, True))
         cells = [inner.apply(f, [x]) for x in vecs[0].cells()]
         out = named(inner.scope.build(), [x.col for x in cells])
         out.dense = vecs[0].dense
@@ -410,7 +410,7 @@ def _map(c, args, env):
 @function("BYROW", whole=True)
 def _byrow(c, args, env):
     v, f = c.eval(args[0], env), c.function_of(args[1], env)
-    inner = c.lifted(v.sheet, v.lo, v.hi, v.frame()) if isinstance(v, Vec) else Compiler(c.book, c.home, Scope(v.df, None, True))
+    inner = c.lifted(v.sheet, v.lo, v.hi, v.frame()) if isinstance(v, Vec) else c.inner(Scope(v.df, None, True))
     cell = inner.apply(f, [Row(v.cells())])
     return named(inner.scope.build(), [cell.col], v.key())
 
@@ -447,7 +447,7 @@ def _items(c, node, env, f: Fn, body):
     v = c.eval(node, env)
     if len(v.columns) != 1:
         raise Unsupported("a fold over several columns")
-    inner = c.lifted(v.sheet, v.lo, v.hi, v.frame()) if isinstance(v, Vec) else Compiler(c.book, c.home, Scope(v.df, None, True))
+    inner = c.lifted(v.sheet, v.lo, v.hi, v.frame()) if isinstance(v, Vec) else c.inner(Scope(v.df, None, True))
     cell = inner.eval(body, {**f.env, f.params[1]: v.cells()[0]})
     return inner.scope.build().select(v.key().alias("_row"), number(cell).alias("x"))
 

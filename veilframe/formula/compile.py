@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import syntax as S
+from .moving import Moving, moves, of_reference, row_of
 from .values import Cell, Fn, Grid, Row, Scope, Sheet, Vec, kind_of, number, text, truth, wildcard
 
 _ids = itertools.count()
@@ -87,7 +88,7 @@ class Workbook:
         if clash:
             raise S.FormulaError("C-PLACE", clash[0])
         scope = Scope(sheet.rows() if any(needs_rows(x) for x in nodes.values()) else sheet.df, sheet)
-        c = Compiler(self, sheet, scope)
+        c = Compiler(self, sheet, scope, filling=True)
         out = {n: c.scalar(x, {}) for n, x in nodes.items()}
         return scope.build().select(*(keep if keep is not None else sheet.columns), *(v.col.alias(n) for n, v in out.items()))
 
@@ -101,18 +102,32 @@ class Workbook:
 
 
 def needs_rows(node) -> bool:
-    """Whether a filled-down formula looks at positions."""
+    """Whether a filled-down formula looks at positions, or asks each row's question of other rows."""
     for n in S.walk(node):
-        if isinstance(n, S.Ref) and n.area.top is not None and n.area.top == n.area.bottom and (n.fixed[0] or n.area.top != 1):
+        if isinstance(n, S.Ref) and n.area.top is not None:
+            if moves(n) and not (n.area.top == n.area.bottom == 1 and not any(n.fixed[::2]) and not n.area.sheet):
+                return True  # but for cells of the row itself
+            if n.area.top == n.area.bottom and n.fixed[0]:
+                return True
+        if isinstance(n, S.Call) and n.name in CONDITIONAL and any(isinstance(x, S.Binary) and x.op in ("&", "<", ">", "<=", ">=") for a in n.args for x in S.walk(a)):
             return True
-        if isinstance(n, S.Call) and n.name in ("ROW",):
+        if isinstance(n, S.Call) and n.name == "ROW" or isinstance(n, S.Binary) and n.op == ":":
             return True
     return False
 
 
+#: Functions whose criteria may ask each row's question of other rows.
+CONDITIONAL = ("SUMIFS", "SUMIF", "COUNTIFS", "COUNTIF", "AVERAGEIFS", "AVERAGEIF", "MAXIFS", "MINIFS", "SUMPRODUCT")
+
+
 class Compiler:
-    def __init__(self, book: Workbook, home: Sheet, scope: Scope):
-        self.book, self.home, self.scope = book, home, scope
+    """filling: references without $ move with the row that the formula is filled down to, also inside arrays."""
+
+    def __init__(self, book: Workbook, home: Sheet, scope: Scope, filling: bool = False):
+        self.book, self.home, self.scope, self.filling = book, home, scope, filling
+
+    def inner(self, scope: Scope) -> Compiler:
+        return Compiler(self.book, self.home, scope, self.filling)
 
     # ------------------------------------------------------------ references
 
@@ -128,25 +143,83 @@ class Compiler:
             return Vec(sheet, columns)
         return Vec(sheet, columns, max(0, a.top - 1), a.bottom - 1)
 
+    def moving(self, node, env) -> Moving | None:
+        """The range that a node is in each fill row, if that differs from row to row."""
+        if isinstance(node, S.Name):
+            v = env.get(node.name.casefold())
+            return v if isinstance(v, Moving) else None
+        if isinstance(node, S.Binary) and node.op == ":":
+            return self.computed(node, env)
+        if not (self.filling and isinstance(node, S.Ref) and moves(node)) or node.spill:
+            return None
+        if node.area.top == node.area.bottom and node.fixed[0] == node.fixed[2]:
+            return None  # one row: its cells
+        if self.scope.lifted:
+            raise Unsupported("a range that moves with the row, inside an array")
+        sheet = self.book.sheet(node.area.sheet) if node.area.sheet else self.home
+        if node.area.right >= len(sheet.columns):
+            raise S.FormulaError("G-REF", node.text)
+        return of_reference(sheet, sheet.columns[node.area.left : node.area.right + 1], node)
+
+    def corner(self, node, env) -> tuple[Sheet, int, int, tuple]:
+        """(sheet, first column, last column, position) of one end of a computed range."""
+        if isinstance(node, S.Ref) and node.area.top is not None and node.area.left is not None and node.area.top == node.area.bottom:
+            sheet = self.book.sheet(node.area.sheet) if node.area.sheet else self.home
+            kind = "row" if self.filling and not node.fixed[0] else "fixed"
+            return sheet, node.area.left, node.area.right, (kind, node.area.top - 1)
+        if isinstance(node, S.Call) and node.name == "INDEX" and isinstance(node.args[0], (S.Ref, S.Struct, S.Name)):
+            v = self.whole(node.args[0], env)
+            if isinstance(v, Vec):
+                k = self.scalar(node.args[2], env).value if len(node.args) > 2 else 1
+                n = self.scalar(node.args[1], env) if node.args[1] is not None else None
+                if isinstance(k, (int, float)) and n is not None and n.value != 0:
+                    column = v.sheet.columns.index(v.columns[int(k) - 1])
+                    place = ("fixed", int(n.value) - 1 + (v.lo or 0)) if isinstance(n.value, (int, float)) else ("computed", F.when(number(n) >= 1, number(n) - 1 + (v.lo or 0)))
+                    return v.sheet, column, column, place
+        raise Unsupported("a computed range whose ends are no cells and no INDEX")
+
+    def computed(self, node: S.Binary, env):
+        if self.scope.lifted or not self.filling:
+            raise Unsupported("a computed range outside a filled-down column")
+        a, b = self.corner(node.left, env), self.corner(node.right, env)
+        if a[0] is not b[0]:
+            raise S.FormulaError("G-REF", "ends on two sheets")
+        left, right = min(a[1], b[1]), max(a[2], b[2])
+        if right >= len(a[0].columns):
+            raise S.FormulaError("G-REF", "a column that isn't there")
+        return Moving(a[0], a[0].columns[left : right + 1], a[3], b[3])
+
     def at(self, vec: Vec) -> Cell:
         """A single cell."""
         return Cell(vec.frame().agg(F.max(vec.columns[0])).scalar(), vec.sheet.kinds[vec.columns[0]], plain=True, const=True)
 
     def reference(self, ref: S.Ref):
-        vec = self.vec(ref)
+        if (m := self.moving(ref, {})) is not None:
+            return m
         s = self.scope
+        if self.filling and moves(ref) and not ref.spill:
+            if s.lifted:
+                raise Unsupported("a cell that moves with the row, inside an array")
+            if ref.area.right > ref.area.left:
+                return row_of(self, ref)
+        vec = self.vec(ref)
         if s.lifted and s.sheet is vec.sheet and len(vec.columns) == 1 and (vec.lo is None or vec.lo != vec.hi):
             return Cell(F.col(vec.columns[0]), vec.sheet.kinds[vec.columns[0]], plain=True)
-        if vec.lo is None or vec.lo != vec.hi or len(vec.columns) > 1:
+        above = self.filling and moves(ref) and ref.area.top == ref.area.bottom == 0  # the header, over the first row
+        if not above and (vec.lo is None or vec.lo != vec.hi or len(vec.columns) > 1):
             return vec
-        if s.frame is None or s.lifted or vec.sheet is not s.sheet or ref.fixed[0]:
+        if s.frame is None or s.lifted or ref.fixed[0] or not self.filling:
             return self.at(vec)
         column, kind = vec.columns[0], vec.sheet.kinds[vec.columns[0]]
-        if vec.lo == 0:
+        offset = ref.area.top - 1  # the header is at -1
+        if offset == 0 and vec.sheet is s.sheet:
             return Cell(F.col(column), kind, plain=True)
         name, other = fresh(), vec.sheet.rows()
-        shifted = other.select((F.col("_row") - vec.lo).alias(name + "r"), F.col(column).alias(name))
+        shifted = other.select((F.col("_row") - offset).alias(name + "r"), F.col(column).alias(name))
         s.joins.append(lambda df: df.join(shifted, df["_row"] == shifted[name + "r"], "left").drop(name + "r"))
+        if offset < 0:  # the first row's cell is the header: no number, so an error there
+            blank = {"text": F.lit(""), "number": F.lit(0.0)}.get(kind)
+            return Cell(F.when(F.col("_row") + offset >= 0, F.col(name) if blank is None else F.coalesce(F.col(name).cast("double") if kind == "number" else F.col(name), blank)), kind)
         return Cell(F.col(name), kind, plain=True)
 
     def struct(self, node: S.Struct):
@@ -195,7 +268,7 @@ class Compiler:
             c = self.scalar(node.operand, env)
             return Cell(-number(c), "number", const=c.const, value=-c.value if isinstance(c.value, (int, float)) else None)
         if isinstance(node, S.Binary):
-            return self.binary(node, env)
+            return self.computed(node, env) if node.op == ":" else self.binary(node, env)
         if isinstance(node, S.Array):
             return self.constants([[v.value if v.kind != "error" else None for v in r] for r in node.rows])
         if isinstance(node, S.Apply):
@@ -247,8 +320,8 @@ class Compiler:
         return Grid(self.book.spark.createDataFrame(data, "_row long, " + ", ".join(f"c{k + 1} {t}" for k, t in enumerate(kinds))), [f"c{k + 1}" for k in range(n)])
 
     def binary(self, node: S.Binary, env) -> Cell:
-        if node.op in (":", " "):
-            raise Unsupported("a computed range")
+        if node.op == " ":
+            raise Unsupported("an intersection")
         a, b = self.scalar(node.left, env), self.scalar(node.right, env)
         const = a.const and b.const
         op = node.op
@@ -271,6 +344,8 @@ class Compiler:
         if node is None or isinstance(node, (S.Literal, S.Array)):
             return None
         if isinstance(node, S.Ref):
+            if self.moving(node, env) is not None:
+                raise Unsupported("a range that moves with the row, inside an array")
             v = self.vec(node)
             one = v.lo is not None and v.lo == v.hi
             return None if one or len(v.columns) > 1 else v.sheet
@@ -287,6 +362,8 @@ class Compiler:
     def whole(self, node, env):
         """A reference as the range it is, also where ranges stand for their cell in the row."""
         if isinstance(node, S.Ref):
+            if self.filling and moves(node):
+                return self.reference(node)
             v = self.vec(node)
             return v if v.lo is None or v.lo != v.hi or len(v.columns) > 1 else self.reference(node)
         if isinstance(node, S.Struct) and node.part == "data" and self.scope.lifted:
@@ -296,12 +373,12 @@ class Compiler:
     def lifted(self, sheet: Sheet, lo=None, hi=None, frame: DataFrame | None = None) -> Compiler:
         if frame is None:
             frame = sheet.df if lo is None else sheet.rows().where(F.col("_row").between(lo, hi))
-        return Compiler(self.book, self.home, Scope(frame, sheet, True, lo, hi))
+        return self.inner(Scope(frame, sheet, True, lo, hi))
 
     def bounds(self, node, env) -> tuple:
         """The positions of the first bounded range in an expression."""
         for n in S.walk(node):
-            v = self.vec(n) if isinstance(n, S.Ref) else env.get(n.name.casefold()) if isinstance(n, S.Name) else None
+            v = self.vec(n) if isinstance(n, S.Ref) and not (self.filling and moves(n)) else env.get(n.name.casefold()) if isinstance(n, S.Name) else None
             if isinstance(v, Vec) and v.lo is not None and v.lo != v.hi:
                 return v.lo, v.hi
         return None, None

@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.ranges import HOW, NARROW, below, below_both, folded
 from ..sources.rows import asof, numbered, running
 from . import syntax as S
 from .compile import Cell, Compiler, Fn, Grid, Row, Unsupported, Vec, compared, criterion, fresh, function, join_key, lit
+from .moving import Criterion, Moving, comparable, criterion_of, criterion_of_literals, moving_states, pattern_matches, windowed
 from .values import date, number, parsed, serial, stamp, text, truth, whole, wildcard
 
 
@@ -95,6 +97,12 @@ def aggregate(name: str, over, rows, combine, empty, kind="number"):
     def run(c: Compiler, args, env):
         parts, const = [], True
         for a in args:
+            if (m := c.moving(a, env)) is not None:
+                const = False
+                cols = _numbers(m.cells())
+                how = {"MAX": "max", "MIN": "min", "PRODUCT": "product"}.get(name, "sum")
+                parts.append(moving_states(c, m, {"s": (_together(name, cols), how)})["s"] if cols else F.lit(None).cast("double"))
+                continue
             got = c.array(a, env)
             if got is None:
                 x = c.scalar(a, env)
@@ -141,6 +149,14 @@ def _count(cols):
     return _plus([x.isNotNull().cast("double") for x in cols])
 
 
+def _together(name: str, cols) -> Column:
+    """What one row of a range adds to an aggregate of numbers; null if it has none."""
+    some = cols[0].isNotNull()
+    for x in cols[1:]:
+        some = some | x.isNotNull()
+    return F.when(some, {"SUM": _plus, "PRODUCT": _times, "MAX": _most, "MIN": _least, "COUNT": _count}[name](cols))
+
+
 aggregate("SUM", _of(F.sum, _plus), _plus, _plus, 0.0)
 aggregate("PRODUCT", _of(F.product, _times), _times, _times, 0.0)
 aggregate("MAX", _of(F.max, _most), _most, _most, 0.0)
@@ -153,6 +169,15 @@ def pooled(name: str, over, kind="number"):
 
     @function(name, whole=True)
     def run(c: Compiler, args, env):
+        moving = [m for a in args if (m := c.moving(a, env)) is not None]
+        if moving:
+            if name != "AVERAGE" or len(args) > 1:
+                raise Unsupported(f"{name} of a range that moves with the row")
+            cols = _numbers(moving[0].cells())
+            if not cols:
+                return Cell(F.lit(None).cast("double"), kind)
+            got = moving_states(c, moving[0], {"s": (_together("SUM", cols), "sum"), "n": (_count(cols), "sum")})
+            return Cell(F.when(got["n"] > 0, got["s"] / got["n"]), kind)
         if len(args) > 1 or isinstance(got := c.array(args[0], env), Row):
             cells = got.cells if len(args) == 1 else [c.scalar(a, env) for a in args]
             cols = F.filter(F.array(*(number(x) for x in cells)), lambda v: v.isNotNull())
@@ -222,8 +247,16 @@ def _countblank(c, args, env):
 
 
 def _blank_count(c, args, env, test, skip):
-    parts = []
+    parts, own = [], False
     for a in args:
+        if (m := c.moving(a, env)) is not None:
+            own = True
+            filled = moving_states(c, m, {"n": (_plus([F.when(F.coalesce(x.col.cast("string"), F.lit("")) != "", 1.0) for x in m.cells()]), "sum")})["n"]
+            lo, hi = (F.lit(v) if k == "fixed" else F.col("_row") + v if k == "row" else v for k, v in (m.lo, m.hi))
+            heads = F.when(F.least(lo, hi) < 0, len(m.columns)).otherwise(0)  # the header's cells
+            filled = F.coalesce(filled, F.lit(0.0)) + heads
+            parts.append((F.abs(hi - lo) + 1) * len(m.columns) - filled if skip else filled)
+            continue
         got = c.array(a, env)
         if got is None:
             parts.append(F.coalesce(test(c.scalar(a, env).col), F.lit(0)).cast("double"))
@@ -231,11 +264,50 @@ def _blank_count(c, args, env, test, skip):
             parts.append(_plus([F.coalesce(test(x.col), F.lit(0)).cast("double") for x in got.cells]))
         else:
             parts.append(got[0].agg(_plus([F.count(test(x.col)).cast("double") for x in got[1]])).scalar())
-    return Cell(_plus(parts), "number", const=not any(isinstance(c.array(a, env), Row) for a in args))
+    return Cell(_plus(parts), "number", const=not own and not any(isinstance(c.array(a, env), Row) for a in args))
+
+
+_FLIPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "=", "<>": "<>"}
+
+
+def _factors(node) -> list:
+    """Of a product; two signs before a condition only make it a number."""
+    if isinstance(node, S.Binary) and node.op == "*":
+        return [*_factors(node.left), *_factors(node.right)]
+    if isinstance(node, S.Unary) and node.op == "-" and isinstance(node.operand, S.Unary) and node.operand.op == "-":
+        return _factors(node.operand.operand)
+    return [node]
+
+
+def _asks(c, node, env) -> bool:
+    """Whether an expression has a cell of the fill row in it."""
+    return c.filling and not c.scope.lifted and any(isinstance(n, S.Ref) and n.area.top is not None and not n.fixed[0] or isinstance(n, S.Struct) and n.part == "row" for n in S.walk(node))
+
+
+def _product_by_row(c, args, env):
+    """A product of conditions on ranges, some with a value of the row, and of ranges: a sum over the rows that meet them."""
+    conditions, rest = [], None
+    for f in [x for a in args for x in _factors(a)]:
+        if isinstance(f, S.Binary) and f.op in _FLIPPED and _asks(c, f, env):
+            left = not _asks(c, f.left, env)
+            conditions.append((f.left, f.op, f.right) if left else (f.right, _FLIPPED[f.op], f.left))
+        else:
+            rest = f if rest is None else S.Binary("*", rest, f)
+    vecs = [c.whole(r, env) for r, _, _ in conditions]
+    if not all(isinstance(v, Vec) and len(v.columns) == 1 for v in vecs) or len({(id(v.sheet), v.lo, v.hi) for v in vecs}) > 1:
+        raise Unsupported("conditions on ranges of different rows")
+    v = vecs[0]
+    inner = c.lifted(v.sheet, v.lo, v.hi)
+    x = number(inner.scalar(rest, env)) if rest is not None else F.lit(1.0)
+    points = inner.scope.build().withColumn("_x", x)
+    asked = [(y.cells()[0], Criterion(op, c.scalar(node, env))) for y, (_, op, node) in zip(vecs, conditions, strict=True)]
+    return _asked(c, points, asked, F.col("_x"), "SUM")
 
 
 @function("SUMPRODUCT", whole=True)
 def _sumproduct(c, args, env):
+    if any(_asks(c, f, env) for a in args for f in _factors(a)):
+        return _product_by_row(c, args, env)
     vecs = [c.eval(a, env) if isinstance(a, (S.Ref, S.Struct, S.Name)) else None for a in args]
     if len(args) == 1 or (all(isinstance(v, Vec) for v in vecs) and len({(id(v.sheet), v.lo, v.hi) for v in vecs}) == 1):
         if len(args) == 1:
@@ -255,46 +327,207 @@ def _sumproduct(c, args, env):
 # ---------------------------------------------------------------- conditional aggregates
 
 
-def conditional(c: Compiler, env, value, pairs, agg, empty):
-    """agg(value column) over the rows that meet all (range, criterion) pairs."""
-    target = c.whole(pairs[0][0], env)
-    if not isinstance(target, (Vec, Grid)):
+#: Aggregate -> its states, each a column of the value (or of 1) and how it is summed up.
+_PARTS = {"SUM": {"s": "sum"}, "AVERAGE": {"s": "sum", "n": "sum"}, "MAX": {"s": "max"}, "MIN": {"s": "min"}, "COUNT": {"n": "sum"}}
+
+
+def _finished(what: str, got: dict[str, Column]) -> Column:
+    if what == "AVERAGE":
+        return F.when(got["n"] > 0, got["s"] / got["n"])
+    return F.coalesce(got["n" if what == "COUNT" else "s"], F.lit(0.0))
+
+
+def _resolved(c: Compiler, q: Criterion) -> Criterion:
+    """A criterion that is the same for all rows but no literal, with its value: it may hold operators and wildcards."""
+    if q.value.const and q.value.value is None and q.value.kind == "text":
+        (v,) = c.book.spark.range(1).select(text(q.value)).first()
+        return Criterion(q.op, lit(v or ""))
+    return q
+
+
+def _met(target: Cell, q: Criterion) -> Column:
+    """Whether a cell meets a criterion that is the same for all rows."""
+    v = q.value
+    if isinstance(v.value, str):
+        return criterion(target, lit(("" if q.op == "=" and not v.value else q.op) + v.value))
+    if q.op == "=":
+        return criterion(target, v)
+    pair = comparable(target, v)
+    if pair is None:
+        return F.lit(q.op == "<>")
+    x, y = pair
+    return F.coalesce({"<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[q.op], F.lit(q.op == "<>"))
+
+
+def conditional(c: Compiler, env, value, pairs, what: str):
+    """An aggregate of the value column over the rows that meet all (range, criterion) pairs."""
+    get = lambda node: c.moving(node, env) or c.whole(node, env)
+    ranges = [get(r) for r, _ in pairs]
+    target = ranges[0]
+    values = get(value) if value is not None else target
+    if not isinstance(target, (Vec, Grid, Moving)):
         raise Unsupported("criteria need a range")
-    frame = target.frame()
-    ranges = [c.whole(r, env) for r, _ in pairs]
-    values = c.whole(value, env) if value is not None else target
-    if any(isinstance(target, Vec) and isinstance(r, Vec) and (r.sheet is not target.sheet or (r.lo, r.hi) != (target.lo, target.hi)) for r in [*ranges, values]):
-        raise S.FormulaError("C-SHAPE", "ranges of criteria differ")
-    given = [c.scalar(x, env) for _, x in pairs]
+    for r in [*ranges, values]:
+        differs = not target.same_rows(r) if isinstance(target, Moving) else isinstance(r, Moving) or (isinstance(target, Vec) and isinstance(r, Vec) and (r.sheet is not target.sheet or (r.lo, r.hi) != (target.lo, target.hi)))
+        if differs:
+            raise S.FormulaError("C-SHAPE", "ranges of criteria differ")
+    asked = [_resolved(c, criterion_of(c, x, env)) for _, x in pairs]
     cells = [r.cells()[0] for r in ranges]
     of = values.cells()[0]
     x = of.col.cast("double") if of.kind == "number" else serial(of.col) if of.kind == "date" else F.lit(None).cast("double")
-    if agg is None:
-        x, agg = F.lit(1.0), F.sum
-    fixed, open_ = [k for k in range(len(given)) if given[k].const], [k for k in range(len(given)) if not given[k].const]
-    for k in fixed:
-        frame = frame.where(criterion(cells[k], given[k]))
-    if not open_:
-        got = frame.agg(agg(x)).scalar()
-        return Cell(got if empty is None else F.coalesce(got, F.lit(empty)), "number", const=True)
-    # a key of the row: one grouped aggregate for all rows, joined
+    moving = target if isinstance(target, Moving) else None
+    points = moving.sheet.rows() if moving else target.frame()
+    for cell, q in zip(cells, asked, strict=True):
+        if q.value.const:
+            points = points.where(_met(cell, q))
+    return _asked(c, points, [(cell, q) for cell, q in zip(cells, asked, strict=True) if not q.value.const], x, what, moving)
+
+
+def _asked(c: Compiler, points, conditions: list[tuple[Cell, Criterion]], x: Column, what: str, moving: Moving | None = None) -> Cell:
+    """The aggregate of x over the points that meet each row's conditions."""
+    numbers = {"s": x, "n": F.lit(1.0) if what == "COUNT" else F.when(x.isNotNull(), 1.0)}
+    how = {n: h for n, h in _PARTS[what].items()}
+    if moving and not conditions:  # what doesn't meet the fixed criteria is no point
+        names = {n: fresh() for n in how}
+        windowed(c, moving, points.select("_row", *(numbers[n].alias(names[n]) for n in how)), {names[n]: h for n, h in how.items()})
+        return Cell(_finished(what, {n: F.col(names[n]) for n in how}), "number")
+    if moving and moving.lo[0] == moving.hi[0] == "row" and abs(moving.hi[1] - moving.lo[1]) < NARROW and not any(q.pattern for _, q in conditions):
+        return Cell(_finished(what, _near(c, points, conditions, {n: (numbers[n], h) for n, h in how.items()}, moving)), "number")
+    equal, order, differ, pattern = [], [], [], []
+    for cell, q in conditions:
+        if q.op == "=" and not q.pattern:
+            q = _with_signs(c, cell, q)
+        if q.pattern:
+            if cell.kind != "text":
+                raise Unsupported("a pattern over cells that are no text")
+            (differ if q.op == "<>" else pattern).append((cell, q))
+        elif q.op in ("=", "<>"):
+            if cell.kind != q.value.kind and {cell.kind, q.value.kind} != {"number", "date"}:
+                raise Unsupported("criteria of another type than their range")
+            (equal if q.op == "=" else differ).append((cell, q))
+        else:
+            pair = comparable(cell, q.value)
+            if pair is None:
+                raise Unsupported("an order between cells of two types")
+            order.append((*pair, q.op))
+    if moving:
+        (lo_kind, lo), (hi_kind, hi) = moving.lo, moving.hi
+        a, b = (F.lit(v) if k == "fixed" else F.col("_row") + v if k == "row" else v for k, v in (moving.lo, moving.hi))
+        at = F.col("_row").cast("double")
+        if lo_kind == "fixed" and hi_kind == "row" and lo <= hi:
+            points = points.where(F.col("_row") >= lo)
+            order.append((at, b.cast("double"), "<="))
+        else:
+            order += [(at, F.least(a, b).cast("double"), ">="), (at, F.greatest(a, b).cast("double"), "<=")]
+    return Cell(_finished(what, _states(c, points, {n: (numbers[n], h) for n, h in how.items()}, equal, order, pattern, differ)), "number")
+
+
+def _near(c: Compiler, points, conditions, values, moving: Moving) -> dict[str, Column]:
+    """Of a narrow window: each row meets its few positions by an equi-join, and the conditions are tried there."""
     name = fresh()
-    keys = [f"{name}k{k}" for k in open_]
-    grouped = frame.groupBy(*(join_key(cells[k]).alias(n) for k, n in zip(open_, keys, strict=True))).agg(agg(x).alias(name))
-    mine = [join_key(given[k]) for k in open_]
-    if any(cells[k].kind != given[k].kind for k in open_):
-        raise Unsupported("criteria of another type than their range")
+    states = {f"{name}{n}": h for n, (_, h) in values.items()}
+    lo, hi = sorted((moving.lo[1], moving.hi[1]))
+    tests, wants, theirs = [], [], []
+    for k, (cell, q) in enumerate(conditions):
+        pair = (join_key(cell), join_key(q.value)) if q.op in ("=", "<>") and cell.kind == q.value.kind else comparable(cell, q.value)
+        if pair is None:
+            raise Unsupported("criteria of another type than their range")
+        theirs.append(pair[0].alias(f"{name}p{k}"))
+        wants.append(pair[1].alias(f"{name}q{k}"))
+        a, b = F.col(f"{name}p{k}"), F.col(f"{name}q{k}")
+        met = {"=": a == b, "<>": a == b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[q.op]
+        tests.append(~F.coalesce(met, F.lit(False)) if q.op == "<>" else F.coalesce(met, F.lit(False)))
+    given = points.select(F.col("_row").alias(f"{name}at"), *theirs, *(v.alias(f"{name}{n}") for n, (v, _) in values.items()))
 
     def join(df):
-        df = df.withColumns({n + "m": m for n, m in zip(keys, mine, strict=True)})
-        cond = [df[n + "m"] == grouped[n] for n in keys]
-        on = cond[0]
-        for y in cond[1:]:
-            on = on & y
-        return df.join(grouped, on, "left").drop(*keys, *(n + "m" for n in keys))
+        asked = df.select(F.col("_row").alias("_id"), *wants, F.explode(F.sequence(F.col("_row") + lo, F.col("_row") + hi)).alias(f"{name}at"))
+        met = asked.join(given, f"{name}at")
+        for t in tests:
+            met = met.where(t)
+        return df.join(folded(met, ["_id"], states).withColumnRenamed("_id", "_row"), "_row", "left")
 
     c.scope.joins.append(join)
-    return Cell(F.col(name) if empty is None else F.coalesce(F.col(name), F.lit(empty)), "number")
+    return {n: F.col(f"{name}{n}") for n in values}
+
+
+def _with_signs(c: Compiler, cell: Cell, q: Criterion) -> Criterion:
+    """A text cell as a criterion may itself hold wildcards; operators in cells are refused rather than read as text."""
+    if cell.kind != "text" or q.value.kind != "text" or not q.value.plain or c.scope.frame is None or c.scope.joins:
+        return q
+    odd = c.scope.frame.where(q.value.col.rlike(r"[*?~]|^[<>=]")).select(q.value.col.rlike("^[<>=]")).limit(1).first()
+    if odd is not None and c.scope.frame.where(q.value.col.rlike("^[<>=]")).limit(1).count():
+        raise Unsupported("criteria cells that begin with an operator")
+    return q if odd is None else Criterion(q.op, q.value, True)
+
+
+def _states(c: Compiler, points, values: dict[str, tuple[Column, str]], equal, order, pattern, differ) -> dict[str, Column]:
+    """Columns of the fill row with each state of the points that meet its conditions."""
+    if differ:  # all, less those that are equal
+        (cell, q), rest = differ[0], differ[1:]
+        if all(h == "sum" for _, h in values.values()):
+            all_ = _states(c, points, values, equal, order, pattern, rest)
+            same = _states(c, points, values, equal if q.pattern else [*equal, (cell, q)], order, [*pattern, (cell, q)] if q.pattern else pattern, rest)
+            return {n: F.coalesce(all_[n], F.lit(0.0)) - F.coalesce(same[n], F.lit(0.0)) for n in values}
+        if rest or order or pattern or q.pattern:
+            raise Unsupported("the greatest or least of what differs, with further conditions")
+        return _of_others(c, points, values, equal, cell, q)
+    name = fresh()
+    states = {f"{name}{n}": h for n, (_, h) in values.items()}
+    out = {n: F.col(f"{name}{n}") for n in values}
+    mine = [v.alias(f"{name}{n}") for n, (v, _) in values.items()]
+    keys = [f"{name}k{k}" for k in range(len(equal))]
+    theirs = [join_key(cell).alias(k) for (cell, _), k in zip(equal, keys, strict=True)]
+    asks = [(join_key(q.value) if q.value.kind == cell.kind else number(q.value)).alias(k) for (cell, q), k in zip(equal, keys, strict=True)]
+    if pattern:
+        if len(pattern) > 1 or order:
+            raise Unsupported("a pattern of the row with further conditions of order")
+        cell, q = pattern[0]
+        texts = points.select(*theirs, cell.col.alias("_text"), *mine)
+
+        def join(df):
+            own = df.withColumns({**{k: a for k, a in zip(keys, asks, strict=True)}, "_pattern": F.lower(text(q.value))})
+            got = pattern_matches(texts, own.select(*keys, "_pattern").distinct(), "_text", states, keys)
+            return own.join(got, [*keys, "_pattern"], "left").drop(*keys, "_pattern")
+
+        c.scope.joins.append(join)
+    elif order:
+        if len(order) > 2:
+            raise Unsupported("more than two conditions of order from the row")
+        given = points.select(*theirs, *(p.alias(f"{name}o{k}") for k, (p, _, _) in enumerate(order)), *mine)
+        wants = [a.alias(f"{name}o{k}") for k, (_, a, _) in enumerate(order)]
+
+        def join(df):
+            asked = df.select(F.col("_row").alias("_id"), *asks, *wants)
+            if len(order) == 1:
+                got = below(given, asked, keys, f"{name}o0", order[0][2], states)
+            else:
+                got = below_both(given, asked, keys, (f"{name}o0", order[0][2]), (f"{name}o1", order[1][2]), states)
+            return df.join(got.withColumnRenamed("_id", "_row"), "_row", "left")
+
+        c.scope.joins.append(join)
+    elif equal:  # one grouped aggregate for all rows, joined
+        grouped = folded(points.select(*theirs, *mine), keys, states)
+        c.scope.joins.append(lambda df: df.withColumns(dict(zip(keys, asks, strict=True))).join(grouped, keys, "left").drop(*keys))
+    else:
+        total = points.agg(*(HOW[h](v).alias(f"{name}{n}") for n, (v, h) in values.items()))
+        return {n: total.select(f"{name}{n}").scalar() for n in values}
+    return out
+
+
+def _of_others(c: Compiler, points, values, equal, cell, q) -> dict[str, Column]:
+    """The greatest or least over the rows that differ from the row's value: of each key the best, and the best of its other values."""
+    name = fresh()
+    (n, (v, how)), *_ = values.items()
+    keys = [f"{name}k{k}" for k in range(len(equal))] or [f"{name}k"]
+    theirs = [join_key(cell_).alias(k) for (cell_, _), k in zip(equal, keys, strict=True)] if equal else [F.lit(0).alias(keys[0])]
+    asks = [join_key(q_.value) for _, q_ in equal] or [F.lit(0)]
+    best = folded(points.select(*theirs, join_key(cell).alias("_of"), v.alias("_v")), [*keys, "_of"], {"_v": how}).where("_v IS NOT NULL")
+    top = best.groupBy(*keys).agg((F.max_by if how == "max" else F.min_by)(F.struct("_of", "_v"), "_v").alias("_top"))
+    second = best.join(top, keys).where(~F.col("_of").eqNullSafe(F.col("_top._of"))).groupBy(*keys).agg(HOW[how]("_v").alias(f"{name}b"))
+    both = top.join(second, keys, "left").select(*keys, F.col("_top._of").alias(f"{name}of"), F.col("_top._v").alias(f"{name}a"), f"{name}b")
+    own = join_key(q.value)
+    c.scope.joins.append(lambda df: df.withColumns(dict(zip(keys, asks, strict=True))).join(both, keys, "left").withColumn(f"{name}v", F.when(F.col(f"{name}of").eqNullSafe(own), F.col(f"{name}b")).otherwise(F.col(f"{name}a"))).drop(*keys, f"{name}of", f"{name}a", f"{name}b"))
+    return {n: F.col(f"{name}v")}
 
 
 def _pairs(args):
@@ -303,12 +536,12 @@ def _pairs(args):
     return list(zip(args[::2], args[1::2], strict=True))
 
 
-for _name, _agg, _empty in (("SUMIFS", F.sum, 0.0), ("AVERAGEIFS", F.avg, None), ("MAXIFS", F.max, 0.0), ("MINIFS", F.min, 0.0)):
-    function(_name, whole=True)(lambda c, args, env, a=_agg, e=_empty: conditional(c, env, args[0], _pairs(args[1:]), a, e))
-function("COUNTIFS", whole=True)(lambda c, args, env: conditional(c, env, None, _pairs(args), None, 0.0))
-function("COUNTIF", whole=True)(lambda c, args, env: conditional(c, env, None, _pairs(args[:2]), None, 0.0))
-function("SUMIF", whole=True)(lambda c, args, env: conditional(c, env, args[2] if len(args) > 2 else args[0], _pairs(args[:2]), F.sum, 0.0))
-function("AVERAGEIF", whole=True)(lambda c, args, env: conditional(c, env, args[2] if len(args) > 2 else args[0], _pairs(args[:2]), F.avg, None))
+for _name, _what in (("SUMIFS", "SUM"), ("AVERAGEIFS", "AVERAGE"), ("MAXIFS", "MAX"), ("MINIFS", "MIN")):
+    function(_name, whole=True)(lambda c, args, env, w=_what: conditional(c, env, args[0], _pairs(args[1:]), w))
+function("COUNTIFS", whole=True)(lambda c, args, env: conditional(c, env, None, _pairs(args), "COUNT"))
+function("COUNTIF", whole=True)(lambda c, args, env: conditional(c, env, None, _pairs(args[:2]), "COUNT"))
+function("SUMIF", whole=True)(lambda c, args, env: conditional(c, env, args[2] if len(args) > 2 else args[0], _pairs(args[:2]), "SUM"))
+function("AVERAGEIF", whole=True)(lambda c, args, env: conditional(c, env, args[2] if len(args) > 2 else args[0], _pairs(args[:2]), "AVERAGE"))
 
 
 # ---------------------------------------------------------------- statistics
@@ -524,7 +757,17 @@ def find(c: Compiler, x: Cell, keys: Vec, value: Column, kind: str, mode: int, l
     name = fresh()
     if mode == 2:
         if not isinstance(x.value, str):
-            raise Unsupported("a pattern must be a constant")
+            if key.kind != "text" or c.scope.frame is None:
+                raise Unsupported("a pattern over cells that are no text")
+            texts = df.select(key.col.alias("_text"), F.struct(order.alias("o"), value.alias("v")).alias(name))
+
+            def join(d):
+                own = d.withColumn("_pattern", F.lower(text(x)))
+                got = pattern_matches(texts, own.select("_pattern").distinct(), "_text", {name: "max" if last else "min"}, [])
+                return own.join(got, "_pattern", "left").drop("_pattern")
+
+            c.scope.joins.append(join)
+            return Cell(F.col(f"{name}.v"), kind)
         return Cell(df.where(key.col.rlike(wildcard(x.value))).agg(pick(value, order)).scalar(), kind, const=True)
     first = df.where(key.col.isNotNull()).groupBy(join_key(Cell(key.col, key.kind)).alias(name + "k")).agg(pick(value, order).alias(name))
     if x.const:
@@ -574,11 +817,16 @@ def _xmatch(c, args, env):
     return _position(c, c.scalar(args[0], env), _range(c, args[1], env), _mode_of(c, args, 2, env, 0), _mode_of(c, args, 3, env, 1) == -1)
 
 
+def _wild(node) -> bool:
+    """Whether a text joined to a value of the row has wildcards, as in B2&"*"."""
+    return isinstance(node, S.Binary) and criterion_of_literals(node)
+
+
 @function("MATCH", whole=True)
 def _match(c, args, env):
     mode = _mode_of(c, args, 2, env, 1)
     x = c.scalar(args[0], env)
-    if mode == 0 and isinstance(x.value, str) and any(ch in x.value for ch in "*?"):
+    if mode == 0 and (_wild(args[0]) or (isinstance(x.value, str) and any(ch in x.value for ch in "*?"))):
         mode = 2
         return _position(c, x, _range(c, args[1], env), 2, False)
     return _position(c, x, _range(c, args[1], env), -mode, mode == 1)  # on sorted keys, the last of equals
@@ -590,7 +838,8 @@ def _vlookup(c, args, env):
     k = _mode_of(c, args, 2, env, 1)
     near = True if len(args) < 4 else bool(c.scalar(args[3], env).value)
     o = v.cells()[k - 1]
-    return find(c, x, Vec(v.sheet, v.columns[:1], v.lo, v.hi), o.col, o.kind, -1 if near else 0, near)
+    mode = -1 if near else 2 if _wild(args[0]) else 0
+    return find(c, x, Vec(v.sheet, v.columns[:1], v.lo, v.hi), o.col, o.kind, mode, near)
 
 
 @function("HLOOKUP", whole=True)

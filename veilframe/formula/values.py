@@ -57,6 +57,7 @@ class Sheet:
         self.columns = columns or [c for c in df.columns if c != "_row"]
         self.kinds = {c: kind_of(t) for c, t in df.dtypes}
         self._numbered = df if "_row" in df.columns else None
+        self.end: int | None = None  # the last position, once it is known
 
     def key(self) -> Column:
         return F.col("_row") if "_row" in self.df.columns else F.struct(*self.order)
