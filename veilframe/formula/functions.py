@@ -11,7 +11,7 @@ from ..sources.ranges import HOW, NARROW, below, below_both, folded
 from ..sources.rows import asof, numbered, running
 from . import syntax as S
 from .compile import Cell, Compiler, Fn, Grid, Row, Unsupported, Vec, compared, criterion, fresh, function, join_key, lit
-from .moving import Criterion, Moving, comparable, criterion_of, criterion_of_literals, moving_states, pattern_matches, windowed
+from .moving import Criterion, Moving, asking, comparable, criterion_of, criterion_of_literals, moving_states, pattern_matches
 from .values import date, number, parsed, serial, stamp, text, truth, whole, wildcard
 
 
@@ -377,9 +377,14 @@ def conditional(c: Compiler, env, value, pairs, what: str):
     x = of.col.cast("double") if of.kind == "number" else serial(of.col) if of.kind == "date" else F.lit(None).cast("double")
     moving = target if isinstance(target, Moving) else None
     points = moving.sheet.rows() if moving else target.frame()
-    for cell, q in zip(cells, asked, strict=True):
-        if q.value.const:
-            points = points.where(_met(cell, q))
+    fixed = [_met(cell, q) for cell, q in zip(cells, asked, strict=True) if q.value.const]
+    if moving and len(fixed) == len(asked):  # only the range moves: what doesn't meet the criteria adds nothing
+        for y in fixed:
+            x = F.when(y, F.lit(1.0) if what == "COUNT" else x) if y is fixed[0] else F.when(y, x)
+        numbers = {"s": x, "n": x if what == "COUNT" else F.when(x.isNotNull(), 1.0)}
+        return Cell(_finished(what, moving_states(c, moving, {n: (numbers[n], h) for n, h in _PARTS[what].items()})), "number")
+    for y in fixed:
+        points = points.where(y)
     return _asked(c, points, [(cell, q) for cell, q in zip(cells, asked, strict=True) if not q.value.const], x, what, moving)
 
 
@@ -387,10 +392,6 @@ def _asked(c: Compiler, points, conditions: list[tuple[Cell, Criterion]], x: Col
     """The aggregate of x over the points that meet each row's conditions."""
     numbers = {"s": x, "n": F.lit(1.0) if what == "COUNT" else F.when(x.isNotNull(), 1.0)}
     how = {n: h for n, h in _PARTS[what].items()}
-    if moving and not conditions:  # what doesn't meet the fixed criteria is no point
-        names = {n: fresh() for n in how}
-        windowed(c, moving, points.select("_row", *(numbers[n].alias(names[n]) for n in how)), {names[n]: h for n, h in how.items()})
-        return Cell(_finished(what, {n: F.col(names[n]) for n in how}), "number")
     if moving and moving.lo[0] == moving.hi[0] == "row" and abs(moving.hi[1] - moving.lo[1]) < NARROW and not any(q.pattern for _, q in conditions):
         return Cell(_finished(what, _near(c, points, conditions, {n: (numbers[n], h) for n, h in how.items()}, moving)), "number")
     equal, order, differ, pattern = [], [], [], []
@@ -440,7 +441,7 @@ def _near(c: Compiler, points, conditions, values, moving: Moving) -> dict[str,
     given = points.select(F.col("_row").alias(f"{name}at"), *theirs, *(v.alias(f"{name}{n}") for n, (v, _) in values.items()))
 
     def join(df):
-        asked = df.select(F.col("_row").alias("_id"), *wants, F.explode(F.sequence(F.col("_row") + lo, F.col("_row") + hi)).alias(f"{name}at"))
+        asked = asking(c, df, F.col("_row").alias("_id"), *wants, F.explode(F.sequence(F.col("_row") + lo, F.col("_row") + hi)).alias(f"{name}at"))
         met = asked.join(given, f"{name}at")
         for t in tests:
             met = met.where(t)
@@ -477,7 +478,8 @@ def _states(c: Compiler, points, values: dict[str, tuple[Column, str]], equal, o
     mine = [v.alias(f"{name}{n}") for n, (v, _) in values.items()]
     keys = [f"{name}k{k}" for k in range(len(equal))]
     theirs = [join_key(cell).alias(k) for (cell, _), k in zip(equal, keys, strict=True)]
-    asks = [(join_key(q.value) if q.value.kind == cell.kind else number(q.value)).alias(k) for (cell, q), k in zip(equal, keys, strict=True)]
+    asks_ = [join_key(q.value) if q.value.kind == cell.kind else number(q.value) for cell, q in equal]
+    asks = [a.alias(k) for a, k in zip(asks_, keys, strict=True)]
     if pattern:
         if len(pattern) > 1 or order:
             raise Unsupported("a pattern of the row with further conditions of order")
@@ -486,7 +488,8 @@ def _states(c: Compiler, points, values: dict[str, tuple[Column, str]], equal, o
 
         def join(df):
             own = df.withColumns({**{k: a for k, a in zip(keys, asks, strict=True)}, "_pattern": F.lower(text(q.value))})
-            got = pattern_matches(texts, own.select(*keys, "_pattern").distinct(), "_text", states, keys)
+            distinct = asking(c, df, *(a.alias(k) for k, a in zip(keys, asks_, strict=True)), F.lower(text(q.value)).alias("_pattern")).distinct()
+            got = pattern_matches(texts, distinct, "_text", states, keys)
             return own.join(got, [*keys, "_pattern"], "left").drop(*keys, "_pattern")
 
         c.scope.joins.append(join)
@@ -497,7 +500,7 @@ def _states(c: Compiler, points, values: dict[str, tuple[Column, str]], equal, o
         wants = [a.alias(f"{name}o{k}") for k, (_, a, _) in enumerate(order)]
 
         def join(df):
-            asked = df.select(F.col("_row").alias("_id"), *asks, *wants)
+            asked = asking(c, df, F.col("_row").alias("_id"), *asks, *wants)
             if len(order) == 1:
                 got = below(given, asked, keys, f"{name}o0", order[0][2], states)
             else:
@@ -763,7 +766,8 @@ def find(c: Compiler, x: Cell, keys: Vec, value: Column, kind: str, mode: int, l
 
             def join(d):
                 own = d.withColumn("_pattern", F.lower(text(x)))
-                got = pattern_matches(texts, own.select("_pattern").distinct(), "_text", {name: "max" if last else "min"}, [])
+                distinct = asking(c, d, F.lower(text(x)).alias("_pattern")).distinct()
+                got = pattern_matches(texts, distinct, "_text", {name: "max" if last else "min"}, [])
                 return own.join(got, "_pattern", "left").drop("_pattern")
 
             c.scope.joins.append(join)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,45 +70,60 @@ def of_reference(sheet: Sheet, columns: list[str], ref: S.Ref) -> Moving:
 # ---------------------------------------------------------------- aggregates of moving ranges
 
 
-def windowed(c, m: Moving, points: DataFrame, states: dict[str, str]) -> None:
-    """Joins the states of the points inside each fill row's range to the row; points: _row, states."""
+def asking(c, df: DataFrame, *columns) -> DataFrame:
+    """Columns of the fill rows: from the sheet where they are its own, so that joins made before aren't made again."""
+    try:
+        return c.scope.frame.select(*columns)
+    except AnalysisException:  # something joined before is asked for
+        return df.select(*columns)
+
+
+def windowed(c, m: Moving, values: dict[str, tuple[Column, str]]) -> None:
+    """Joins aggregates of the points inside each fill row's range to the row; values: name -> (column over the range's rows, how).
+
+    All aggregates over ranges with the same ends are computed together.
+    """
     (lo_kind, lo), (hi_kind, hi) = m.lo, m.hi
-    end = end_of(m.sheet)
+    of = lambda bound: (bound[0], id(bound[1]) if bound[0] == "computed" else bound[1])
+    group = c.scope.windows.setdefault((id(m.sheet), of(m.lo), of(m.hi)), {})
+    first = not group
+    group.update(values)
 
     def join(df: DataFrame) -> DataFrame:
-        rows = df.select("_row")
-        if end < 0:
+        states = {n: how for n, (_, how) in group.items()}
+        points, end = m.sheet.rows().select("_row", *(v.alias(n) for n, (v, _) in group.items())), end_of(m.sheet)
+        rows = c.scope.frame.select("_row")
+        if end < 0 or (lo_kind == "fixed" and lo > end):
             got = rows.limit(0).select("_row", *(F.lit(None).cast(dict(points.dtypes)[n]).alias(n) for n in states))
         elif lo_kind == hi_kind == "row" and abs(hi - lo) < R.NARROW:
             got = R.sliding(points, rows, min(lo, hi), max(lo, hi), states)
         elif lo_kind == "fixed" and hi_kind == "row" and lo <= hi:
-            got = R.upto(points.where(F.col("_row") >= lo), rows.where(F.col("_row") + hi >= lo), hi, states, end) if lo <= end else rows.limit(0).join(points.limit(0), "_row")
+            got = R.upto(points.where(F.col("_row") >= lo), rows.where(F.col("_row") + hi >= lo), hi, states, end)
         elif lo_kind == "row" and hi_kind == "fixed" and lo <= hi:
-            got = _shrinking(points, df, lo, hi, states, end)
+            got = _shrinking(points, rows, lo, hi, states, end)
         else:
             a, b = _position(m.lo), _position(m.hi)
-            asked = df.select(F.col("_row").alias("_id"), F.least(a, b).cast("long").alias("_lo"), F.greatest(a, b).cast("long").alias("_hi")).where(a.isNotNull() & b.isNotNull())
-            got = R.inside(points, asked, states, end).withColumnRenamed("_id", "_row")
+            asked = asking(c, df, F.col("_row").alias("_id"), F.least(a, b).cast("long").alias("_lo"), F.greatest(a, b).cast("long").alias("_hi"), (a.isNotNull() & b.isNotNull()).alias("_known"))
+            got = R.inside(points, asked.where("_known").drop("_known"), states, end).withColumnRenamed("_id", "_row")
         return df.join(got, "_row", "left")
 
-    c.scope.joins.append(join)
+    if first:
+        c.scope.joins.append(join)
 
 
-def _shrinking(points, df, lo, hi, states, end):
+def _shrinking(points, rows, lo, hi, states, end):
     """From a moving row to a fixed one; rows that pass the fixed one have a range that grows below it."""
-    rows = df.select("_row")
     within = R.upto(points.where(F.col("_row") <= hi), rows.where(F.col("_row") + lo <= hi), lo, states, min(hi, end), backward=True)
     beyond = R.upto(points.where(F.col("_row") >= hi), rows.where(F.col("_row") + lo > hi), lo, states, end) if hi <= end else None
     return within if beyond is None else within.unionByName(beyond)
 
 
 def moving_states(c, m: Moving, values: dict[str, tuple[Column, str]]) -> dict[str, Column]:
-    """values: name -> (column over the range's rows, how); gives the aggregated columns of the fill row."""
+    """The aggregated columns of the fill row, by name."""
     from .compile import fresh
 
     names = {n: fresh() for n in values}
-    points = m.sheet.rows().select("_row", *(v.alias(names[n]) for n, (v, _) in values.items()))
-    windowed(c, m, points, {names[n]: how for n, (_, how) in values.items()})
+    windowed(c, m, {names[n]: v for n, v in values.items()})
     return {n: F.col(names[n]) for n in values}
 
 
@@ -185,7 +201,12 @@ _START, _END = "\u0002", "\u0003"
 
 def _grams(x: Column) -> Column:
     """All pieces of a text."""
-    parts = [F.when(F.char_length(x) >= k, F.transform(F.sequence(F.lit(1), F.char_length(x) - (k - 1)), lambda i, k=k: F.substring(x, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in GRAMS]
+    none = F.array().cast("array<string>")
+
+    def of(k: int) -> Column:
+        return F.when(F.char_length(x) >= k, F.transform(F.sequence(F.lit(1), F.char_length(x) - (k - 1)), lambda i: F.substring(x, i, F.lit(k)))).otherwise(none)
+
+    parts = [of(k) for k in GRAMS]
     return F.array_distinct(F.concat(*parts))
 
 

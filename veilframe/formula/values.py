@@ -132,6 +132,7 @@ class Scope:
     lo: int | None = None
     hi: int | None = None
     joins: list = field(default_factory=list)
+    windows: dict = field(default_factory=dict)  # aggregates of ranges that move alike: one join for all
     positioned: bool = False
 
     def build(self) -> DataFrame:

@@ -18,14 +18,14 @@ _PLACED = "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM order
 
 
 def _window(frame: str) -> str:
-    return f"""SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS v_sum, round(avg(o_totalprice) OVER w, 2) AS v_average, CAST(count(*) OVER w AS DOUBLE) AS v_count,
+    return f"""SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS v_sum, round(avg(o_totalprice) OVER w, 6) AS v_average, CAST(count(*) OVER w AS DOUBLE) AS v_count,
   min(o_totalprice) OVER w AS v_min, max(o_totalprice) OVER w AS v_max, CAST(count(*) FILTER (WHERE o_totalprice > 150000) OVER w AS DOUBLE) AS v_over
 FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN {frame})"""
 
 
 def _between(lo: str, hi: str) -> str:
     return f"""WITH o AS ({_PLACED})
-SELECT a.o_orderkey, round(sum(b.o_totalprice), 2) AS v_sum, round(avg(b.o_totalprice), 2) AS v_average, CAST(count(*) AS DOUBLE) AS v_count, min(b.o_totalprice) AS v_min, max(b.o_totalprice) AS v_max,
+SELECT a.o_orderkey, round(sum(b.o_totalprice), 2) AS v_sum, round(avg(b.o_totalprice), 6) AS v_average, CAST(count(*) AS DOUBLE) AS v_count, min(b.o_totalprice) AS v_min, max(b.o_totalprice) AS v_max,
   CAST(count(*) FILTER (WHERE b.o_totalprice > 150000) AS DOUBLE) AS v_over
 FROM o a JOIN o b ON b.p BETWEEN {lo} AND {hi} GROUP BY a.o_orderkey"""
 
@@ -61,16 +61,16 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUND
 FROM o a LEFT JOIN o b ON b.p BETWEEN a.p AND a.p + 9 AND b.o_orderstatus = a.o_orderstatus AND b.o_totalprice > a.o_totalprice GROUP BY a.o_orderkey""",
     ),
     "f2_computed_end": (
-        "orders", (), {"v_sum": "=SUM(D2:INDEX(D:D,B2))", "v_max": "=MAX(INDEX(D:D,B2):INDEX(D:D,B2+40))"}, "o_orderkey",
-        f"""WITH o AS ({_PLACED}), s AS (SELECT p, sum(o_totalprice) OVER (ORDER BY p) AS upto FROM o), e AS (SELECT o.*, least(p, o_custkey - 1) AS lo, greatest(p, o_custkey - 1) AS hi FROM o),
-m AS (SELECT a.o_orderkey, max(b.o_totalprice) AS v_max FROM o a JOIN o b ON b.p BETWEEN a.o_custkey - 1 AND a.o_custkey + 39 GROUP BY a.o_orderkey)
+        "orders", (), {"v_sum": "=SUM(D2:INDEX(D:D,B2+1))", "v_max": "=MAX(INDEX(D:D,B2+1):INDEX(D:D,B2+41))"}, "o_orderkey",
+        f"""WITH o AS ({_PLACED}), s AS (SELECT p, sum(o_totalprice) OVER (ORDER BY p) AS upto FROM o), e AS (SELECT o.*, least(p, o_custkey) AS lo, greatest(p, o_custkey) AS hi FROM o),
+m AS (SELECT a.o_orderkey, max(b.o_totalprice) AS v_max FROM o a JOIN o b ON b.p BETWEEN a.o_custkey AND a.o_custkey + 40 GROUP BY a.o_orderkey)
 SELECT e.o_orderkey, round(b.upto - coalesce(a.upto, 0), 2) AS v_sum, coalesce(v_max, 0) AS v_max
 FROM e JOIN s b ON b.p = least(e.hi, (SELECT max(p) FROM o)) LEFT JOIN s a ON a.p = e.lo - 1 LEFT JOIN m ON m.o_orderkey = e.o_orderkey""",
     ),
     "f6_more_than_mine": (
         "orders", (), {"v_count": '=COUNTIF(D:D,">"&D2)', "v_sum": '=SUMIFS(D:D,D:D,"<="&D2-1000)', "v_average": '=AVERAGEIFS(D:D,E:E,">="&E2)'}, "o_orderkey",
         """SELECT o_orderkey, CAST(count(*) OVER (ORDER BY o_totalprice DESC RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY o_totalprice) AS DOUBLE) AS v_count,
-  round(coalesce(sum(o_totalprice) OVER (ORDER BY o_totalprice RANGE BETWEEN UNBOUNDED PRECEDING AND 1000.0 PRECEDING), 0), 1) AS v_sum, round(avg(o_totalprice) OVER (ORDER BY o_orderdate DESC RANGE UNBOUNDED PRECEDING), 2) AS v_average FROM orders""",
+  round(coalesce(sum(o_totalprice) OVER (ORDER BY o_totalprice RANGE BETWEEN UNBOUNDED PRECEDING AND 1000.0 PRECEDING), 0), 2) AS v_sum, round(avg(o_totalprice) OVER (ORDER BY o_orderdate DESC RANGE UNBOUNDED PRECEDING), 6) AS v_average FROM orders""",
     ),
     "f6_more_than_mine_by_key": (
         "orders", (), {"v_count": '=COUNTIFS(D:D,">"&D2,B:B,B2)', "v_sum": '=SUMIFS(D:D,E:E,"<"&E2,B:B,B2)', "v_max": '=MAXIFS(D:D,E:E,"<"&E2,B:B,B2)'}, "o_orderkey",
@@ -113,17 +113,15 @@ GROUP BY a.o_orderkey""",
 }
 
 #: Results that are sums of money, and how many digits of them are compared.
-_DIGITS = {"v_sum": 2, "v_average": 2, "v_across": 2, "v": 2}
-_FEWER = {"f6_more_than_mine": {"v_sum": 1}}
+_DIGITS = {"v_sum": 2, "v_average": 6, "v_across": 2, "v": 2}
 
 
 def _fill(name: str):
     table, others, formulas, key, _ = FILLS[name]
-    digits = _DIGITS | _FEWER.get(name, {})
 
     def run(spark, sf_dir):
         df = book(spark, sf_dir, table, *others).fill(formulas, table, keep=[key])
-        return df.withColumns({n: F.round(n, digits[n]) for n in formulas if n in digits})
+        return df.withColumns({n: F.round(n, _DIGITS[n]) for n in formulas if n in _DIGITS})
 
     return run
 
