@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veilframe.functions import dates, numbers
+from veilframe.functions import dates, numbers, shapes
 from veilframe.functions.folding import fold, fold_map
 from veilframe.functions.variants import accept, variants
 from veilframe.operators import audit, bench, classify, leakscan, mask, partial, profile, requests, restore, substitute
@@ -123,8 +123,8 @@ def test_dates_are_found_in_any_form(day, form):
 
 
 def test_date_vectors():
-    assert set(dates.find_dates("3/15/85")[0].dates) == {"1985-03-15", "2085-03-15"}
-    assert set(dates.find_dates("4/2/1990")[0].dates) == {"1990-04-02", "1990-02-04"}
+    assert set(dates.find_dates("5/23/87")[0].dates) == {"1987-05-23", "2087-05-23"}
+    assert set(dates.find_dates("6/9/1991")[0].dates) == {"1991-06-09", "1991-09-06"}
     for t in ("in March 1985", "123-45-6789", "4111 1111 1111 1111", "(217) 640-0138"):
         assert not dates.find_dates(t)
     assert dates.text_dates("Wed, March 4, 2026 10:30 AM") == ("2026-03-04",)
@@ -309,3 +309,30 @@ def test_answers():
     assert not bench.table_matches([["West", 5], ["West", 5]], [["West", 5]])
     assert bench.value_matches(True, "TRUE") and bench.value_matches(None, "") and not bench.value_matches("a", "b")
     assert bench.trim_table([[1, None], [None, ""]]) == [[1]] and bench.validate({"id": "x"}) == ["sheet", "category", "prompt", "check", "check kind"]
+
+
+NUMBERS = [
+    (61250.4, "$61,250", {"61250", "61250.4"}), (0.0725, "7.25%", {"7.25", "0.0725"}), (-45100.0, "(45,100)", {"45100"}), (None, "₹7,25,000", {"725000"}), (None, "03154", {"3154"}), (12.0, "12", set()), (None, "KXY-00451", set()), (None, "555-0142", set()),
+    (1234.25, None, {"1234.25", "1234"}), (None, "1,234", {"1234"}), (None, "1.234", {"1234", "1.234"}), (None, "12.345,60 kr", {"12345.60", "12345.6"}), (None, "٤٥٦٧", {"4567"}), (70213.0, "070213", {"70213"}), (None, "EUR 1 234 567", {"1234567"}),
+    (None, "- $4,500.00", {"4500.00", "4500"}), (None, "12 and 4500", set()), (float("nan"), "9876", {"9876"}), (99999.999, "100,000", {"100000", "99999.999"}), (None, None, set()), (None, "", set()), (8100.0, "no digits", {"8100"}), (8100.0, "8,200", {"8100"}), (None, "12,34,567", {"1234567"}), (None, "1,23,45", set()), (None, "1.2.3", set()),
+]
+
+
+def test_shown_numbers(spark):
+    df = spark.createDataFrame([(a, b) for a, b, _ in NUMBERS], "raw double, text string")
+    got = [set(r.x) for r in df.select(numbers.shown_numbers(F.col("raw"), F.col("text")).alias("x")).collect()]
+    assert got == [w for _, _, w in NUMBERS]
+    for raw, text, want in NUMBERS:
+        if raw is None and text is not None:
+            assert set(numbers.typed_numbers(text)) == want
+
+
+LINES = {
+    "12 Harbour Road": True, "7B Old Quarry Lane, Flat 3": True, "Via Dante 9": True, "Lindenweg 5, Bonn": True, "9, rue du Port": True, "Lange Straße 12": True, "221 North Elm St. NW #4": True, "45 5th Ave": True, "Calle Mayor 22": True, "Keizersgracht 120": True, "88 Mill Street apt 4": True,
+    "4 wheel drive": False, "3 ways to place an order": False, "14 days way": False, "Weg 3": False, "street 5": False, "meeting on 5 May": False, "10 Place": False, "some words": False, "": False, "12": False, "88 Mill Street tomorrow noon": False, "2 hrs drive": False,
+}
+
+
+def test_street_lines(spark):
+    df = spark.createDataFrame([(k,) for k in LINES], "t string")
+    assert {r.t: r.x for r in df.select("t", shapes.is_address(F.col("t")).alias("x")).collect()} == LINES

@@ -8,7 +8,7 @@ import unicodedata
 from dataclasses import dataclass
 
 from .folding import fold
-from .numbers import forms, shown_numbers
+from .numbers import forms, typed_numbers
 
 LEAST, LEAST_DIGITS, LEAST_CODE, LEAST_CANARY = 4, 7, 6, 6
 _LETTER = r"[^\W\d_]"
@@ -78,7 +78,7 @@ def variants(value: str, canary: bool = False) -> list[Form]:
     code = re.sub(r"[\s\-_./#]", "", spaced)
     if len(code) >= LEAST_CODE and re.search(r"\d", code) and re.fullmatch(r"[^\W_]+", code):
         add(code, "normalized", "code", LEAST_CODE)
-    for n in shown_numbers(None, spaced):
+    for n in typed_numbers(spaced):
         if len(n.replace(".", "")) < LEAST_DIGITS and not re.fullmatch(r"(19|20)\d\d|2100", n):  # years aren't amounts
             for f in forms(n):
                 add(f, "number", "number")

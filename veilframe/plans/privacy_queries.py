@@ -265,6 +265,23 @@ def _each(f, schema, docs):
     return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id long, {schema}")
 
 
+@query("t11_shown_numbers", r"""
+WITH c AS (SELECT c_custkey, abs(c_acctbal) AS a, format('{:.2f}', abs(c_acctbal)) AS two FROM customer),
+f AS (SELECT *, regexp_replace(two, '\.?0+$', '') AS short, CAST(CAST(round(a) AS BIGINT) AS VARCHAR) AS near, CAST(CAST(floor(a) AS BIGINT) AS VARCHAR) AS down FROM c)
+SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter(
+  CASE c_custkey % 5 WHEN 0 THEN [two, short, near] WHEN 1 THEN CASE WHEN a - floor(a) <= 0.5 THEN [down, short, near] ELSE [short, near] END WHEN 3 THEN [two, short] ELSE [short, near] END, lambda x: length(x) >= 4))), '|') AS shown
+FROM f""")
+def _t11(s, d):
+    """Balances as money, in whole units, without a display, as texts and beside a remark."""
+    x, a = F.col("c_acctbal"), F.abs("c_acctbal")
+    money = F.when(x < 0, F.concat(F.lit("("), F.format_number(a, 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(a, 2)))
+    typed = F.concat(F.translate(F.format_number(a, 2), ",.", ".,"), F.lit(" kr"))
+    k = F.col("c_custkey") % 5
+    text = F.when(k == 0, money).when(k == 1, F.concat(F.lit("EUR "), F.floor(a).cast("string"))).when(k == 3, typed).when(k == 4, F.lit("n/a"))
+    shown = numbers.shown_numbers(F.when(k != 3, x), text)
+    return read(s, d, "customer").select("c_custkey", F.array_join(F.array_sort(shown), "|").alias("shown"))
+
+
 @query("t12_numbers_of_parts", "SELECT k, array_to_string(list_sort([s, format('{:,d}', n), s[:3] || '.' || s[4:], s[:3] || ' ' || s[4:], s[:3] || chr(39) || s[4:], s[:1] || ',' || s[2:3] || ',' || s[4:], s[:3] || '.' || s[4:] || 'k']), '|') AS forms FROM (SELECT k, n, CAST(n AS VARCHAR) AS s FROM (SELECT p_partkey AS k, p_partkey % 899 * 1000 + 100103 AS n FROM part))")
 def _t12(s, d):
     """Every way of writing a number of six digits that each part's key gives."""

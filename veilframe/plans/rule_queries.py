@@ -100,8 +100,6 @@ over("t16_headers_hidden", lambda h, text: substitute.headers_hidden(text, {h: "
 over("t24_restore_formula", lambda v, f: (lambda out: (out[0], "|".join(out[1])))(restore.restore_formula(f, {"PERSON_001": v})), "formula string, unknown string", [(('{w} "{n}"', '=COUNTIF(A:A,"PERSON_001")'), "'=COUNTIF(A:A,\"' || w || ' \"\"' || n || '\"\"\")'", "''"), (("{c_name}", '="PERSON_009 of PERSON_001"&B{r}'), "'=\"PERSON_009 of ' || c_name || '\"&B' || r", "'PERSON_009'"), (("{w}", "=PERSON_001+{r}"), "'=PERSON_001+' || r", "'PERSON_001'")])
 over("t26_prefix_rule", lambda v, t: restore.resolve(t, {"DEID_PERSON_001": v}, "DEID_", frozenset({"ID_007"})), "value string", [(("{w}", "DEID_PERSON_001"), "w"), (("{c_name}", "PERSON_001"), "c_name"), (("{w}", "ID_007"), "'ID_007'"), (("{w}", "ID_{n}"), "NULL")])
 over("t28_segments", restore.segments, "text string, token boolean", [("From PERSON_{n} to {w}.", ("'From '", "FALSE"), ("'PERSON_' || n", "TRUE"), ("' to ' || w || '.'", "FALSE")), ("ID_{n}", ("'ID_' || n", "TRUE")), ("{w}", ("w", "FALSE"))], keep=True)
-over("t11_shown_numbers", lambda raw, text: "|".join(numbers.shown_numbers(float(raw), text)), "shown string", [(("{n}.4", "${n}"), "n || '|' || n || '.4'"), (("0.{n}", "{n}%"), "format('{{:.2f}}', n / 100000)"), (("-{n}", "({n})"), "CAST(n AS VARCHAR)"), (("{n}", "0{n}"), "CAST(n AS VARCHAR)"), (("1{n}", "1{n} kr"), "'1' || n"), (("{r}", "x"), "''")])
-SQL["t11_shown_numbers"] = SQL["t11_shown_numbers"].replace("{{", "{").replace("}}", "}")
 
 # ---------------------------------------------------------------- audit
 
