@@ -194,9 +194,36 @@ def test_running_folds(numbers_book, monkeypatch):
             want[k].append(acc[k])
     for formula, k in (("=SCAN(2,B:B,LAMBDA(a,v,a+v))", "+"), ("=SCAN(1,B:B,LAMBDA(a,v,MAX(a,v)))", "MAX"), ("=SCAN(1,B:B,LAMBDA(a,v,MIN(a,v)))", "MIN")):
         assert all(abs(p - q) < 1e-9 for p, q in zip(get(formula), want[k], strict=True)), formula
-    monkeypatch.setattr(arrays, "MOST_FOLDED", 50)
-    with pytest.raises(FormulaError):
-        b.cell("=REDUCE(1,B:B,LAMBDA(a,v,a/2+v))", "N").collect()
+    from veilframe.sources import folds
+
+    acc, steps = 1.0, []
+    for v in x:
+        acc = acc / 2 + (v or 0.0)
+        steps.append(acc)
+    for few in (arrays.FEW, 5):  # in one array, and passed on from group to group
+        monkeypatch.setattr(arrays, "FEW", few)
+        monkeypatch.setattr(folds, "GROUP", 7)
+        monkeypatch.setattr(folds, "STRIDE", 3)
+        assert b.cell("=REDUCE(1,B:B,LAMBDA(a,v,a/2+v))", "N").first()[0] == pytest.approx(steps[-1])
+        assert [r["_row"] for r in b.spill("=SCAN(1,B:B,LAMBDA(a,v,a/2+v))", "N", ["v"], order=True).orderBy("_row").collect()] == list(range(len(x)))
+        assert [r["v"] for r in b.spill("=SCAN(1,B:B,LAMBDA(a,v,a/2+v))", "N", ["v"], order=True).orderBy("_row").collect()] == pytest.approx(steps)
+        assert b.cell('=REDUCE("",B:B,LAMBDA(a,v,RIGHT(a&INT(v),6)))', "N").first()[0] == "".join(str(int(math.floor(v or 0))) for v in x)[-6:]
+
+
+def test_large_calendars(spark, monkeypatch):
+    import datetime as D
+
+    from veilframe.formula import functions
+
+    r = random.Random(8)
+    day = lambda: D.date(2024, 1, 1) + D.timedelta(r.randrange(300))
+    b = Workbook(spark)
+    b.add("t", spark.createDataFrame([(k, day(), day(), r.randint(-30, 30)) for k in range(60)], "k int, a date, b date, n int"), ["k"])
+    b.add("h", spark.createDataFrame([(k, day()) for k in range(90)] + [(91, None)], "k int, d date"), ["k"])
+    formulas = {"d": "=NETWORKDAYS(B2,C2,h!B:B)", "w": "=WORKDAY(B2,D2,h!B:B)", "i": '=WORKDAY.INTL(B2,D2,"1010000",h!B:B)', "j": "=NETWORKDAYS.INTL(B2,C2,11,h!B:B)"}
+    want = sorted(map(tuple, b.fill(formulas, "t").collect()))
+    monkeypatch.setattr(functions, "MOST_HOLIDAYS", 3)
+    assert sorted(map(tuple, b.fill(formulas, "t").collect())) == want
 
 
 def test_grouping_forms(spark):

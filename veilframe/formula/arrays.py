@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folds import _steps, passed
 from ..sources.rows import numbered, running, written
 from . import syntax as S
 from .compile import Cell, Compiler, Fn, Grid, Row, Scope, Unsupported, Vec, fresh, function, lit
@@ -452,18 +453,25 @@ def _items(c, node, env, f: Fn, body):
     return inner.scope.build().select(v.key().alias("_row"), number(cell).alias("x"))
 
 
-#: Items of a fold whose steps depend on each other and of one that also keeps each step: they meet in one row.
-MOST_FOLDED, MOST_KEPT = 1_000_000, 50_000
+#: Cells up to which a fold whose steps depend on each other is one array in a task; beyond, a state is passed from group to group.
+FEW = 5_000
 
 
-def _ordered(c, node, env, then, most: int | None = None):
-    """``then`` of all items in row order, as one array: only for folds whose steps depend on each other, and refused above ``most``."""
-    v, most = c.eval(node, env), MOST_FOLDED if most is None else most
-    if v.frame().limit(most + 1).count() > most:
-        raise Unsupported(f"a fold that isn't a sum, product, maximum or minimum takes at most {most} cells")
+def _ordered(c, node, env, init: Cell, f: Fn, keep: bool) -> DataFrame:
+    """The fold's last state (x), or each (_row, x), of all items in row order."""
+    v = c.eval(node, env)
+    if isinstance(v, Vec) and v.lo is not None and v.lo == v.hi or len(v.columns) != 1:
+        raise Unsupported("a fold over several columns")
     cell = v.cells()[0]
-    items = F.transform(F.array_sort(F.collect_list(F.struct(v.key().alias("k"), (number(cell) if cell.kind == "number" else cell.col).alias("v")))), lambda s: s["v"])
-    return v.frame().agg(then(items, cell.kind).alias("x"))
+    value = number(cell) if cell.kind == "number" else cell.col
+    step = lambda a, x: c.apply(f, [Cell(a, init.kind), Cell(x, cell.kind)]).col
+    if v.frame().limit(FEW + 1).count() > FEW:
+        return passed(v.placed(), value, init.col, step, keep)
+    items = F.transform(F.array_sort(F.collect_list(F.struct(v.key().alias("k"), value.alias("v")))), lambda s: s["v"])
+    if not keep:
+        return v.frame().agg(F.aggregate(items, init.col, step).alias("x"))
+    rows = v.frame().agg(_steps(items, init.col, step).alias("x")).select(F.posexplode("x").alias("_row", "x"))
+    return rows.select(F.col("_row").cast("long").alias("_row"), "x")
 
 
 @function("REDUCE", whole=True)
@@ -479,8 +487,7 @@ def _reduce(c, args, env):
         x = number(init)
         out = {"+": lambda: x + F.coalesce(got, F.lit(0.0)), "*": lambda: x * F.coalesce(got, F.lit(1.0)), "MAX": lambda: F.greatest(x, got), "MIN": lambda: F.least(x, got)}[op]()
         return Cell(out, "number", const=True)
-    df = _ordered(c, args[1], env, lambda items, kind: F.aggregate(items, init.col, lambda a, v: c.apply(f, [Cell(a, init.kind), Cell(v, kind)]).col))
-    return Cell(df.scalar(), init.kind, const=True)
+    return Cell(_ordered(c, args[1], env, init, f, False).scalar(), init.kind, const=True)
 
 
 @function("SCAN", whole=True)
@@ -492,7 +499,5 @@ def _scan(c, args, env):
         item = F.col("x") if none is None else F.coalesce(F.col("x"), F.lit(none))
         df = running(_items(c, args[1], env, f, shape[1]), item, "so_far", "_row", fold=fold)
         return named(df, [join(number(init), F.col("so_far"))])
-    steps = lambda items, kind: F.aggregate(items, F.array(init.col), lambda a, v: F.concat(a, F.array(c.apply(f, [Cell(F.element_at(a, -1), init.kind), Cell(v, kind)]).col)))
-    df = _ordered(c, args[1], env, steps, MOST_KEPT).select(F.posexplode(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0)))).alias("_row", "c1"))
-    return Grid(df.select(F.col("_row").cast("long").alias("_row"), "c1"), ["c1"], True)
+    return Grid(_ordered(c, args[1], env, init, f, True).withColumnRenamed("x", "c1"), ["c1"], True)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ranges import HOW, NARROW, below, below_both, folded
@@ -1189,11 +1189,13 @@ def _weekend(c, node, env) -> list[int]:
     return [(n + 4) % 7, (n + 5) % 7] if n <= 7 else [(n - 12) % 7]
 
 
-#: Days off that a calendar holds at most: they are read once and are part of the expression.
+#: Days off up to which they are read once and are part of the expression; of more, days are counted by as-of joins.
 MOST_HOLIDAYS = 4_000
+#: The calendar of worksheets.
+FIRST_DAY, LAST_DAY = "1900-01-01", "9999-12-31"
 
 
-def _holidays(c, node, env) -> Column:
+def _holidays(c, node, env) -> Column | DataFrame:
     if node is None:
         return F.array().cast("array<date>")
     got = c.array(node, env)
@@ -1201,9 +1203,10 @@ def _holidays(c, node, env) -> Column:
         return F.array(date(c.scalar(node, env)))
     if isinstance(got, Row):
         return F.array(*(date(x) for x in got.cells))
-    days = got[0].select(date(Cell(got[1][0].col, got[1][0].kind)).alias("d")).where("d is not null").distinct().limit(MOST_HOLIDAYS + 1).collect()
+    free = got[0].select(date(Cell(got[1][0].col, got[1][0].kind)).alias("d")).where("d is not null").distinct()
+    days = free.limit(MOST_HOLIDAYS + 1).collect()
     if len(days) > MOST_HOLIDAYS:
-        raise Unsupported(f"more than {MOST_HOLIDAYS} holidays")
+        return free
     return F.array(*(F.lit(r["d"]) for r in days)).cast("array<date>")
 
 
@@ -1211,10 +1214,31 @@ def _worked(day: Column, off, holidays) -> Column:
     return ~F.weekday(day).isin(*off) & ~F.array_contains(holidays, day)
 
 
+def _day(x: Column) -> Column:
+    return F.datediff(x, F.lit(FIRST_DAY).cast("date"))
+
+
+def _ranked(days: DataFrame, name: str) -> DataFrame:
+    """name+k: a day's number; name: how many of the days are not after it."""
+    return numbered(days.select(_day(F.col("d")).alias(name + "k")), name + "k", name="_n").select(name + "k", (F.col("_n") + 1).alias(name))
+
+
+def _up_to(c, x: Column, ranked: DataFrame, name: str, exact: bool = True) -> Column:
+    """How many of the ranked days are not after (or, not ``exact``, before) each row's date."""
+    out = fresh()
+    c.scope.joins.append(lambda df: asof(df.withColumn(out + "d", _day(x)), out + "d", ranked, name + "k", name, out=out, exact=exact).drop(out + "d"))
+    return F.coalesce(F.col(out), F.lit(0))
+
+
 def _networkdays(c, args, env, weekend, free):
     a, b = date(c.scalar(args[0], env)), date(c.scalar(args[1], env))
     off, days = _weekend(c, weekend, env), _holidays(c, free, env)
     lo, hi = F.least(a, b), F.greatest(a, b)
+    if isinstance(days, DataFrame):
+        name = fresh()
+        ranked = _ranked(days.where(~F.weekday("d").isin(*off)), name)
+        n = F.size(F.filter(F.sequence(lo, hi), lambda d: ~F.weekday(d).isin(*off))) - _up_to(c, hi, ranked, name) + _up_to(c, lo, ranked, name, exact=False)
+        return Cell(F.when(a <= b, n).otherwise(-n).cast("double"), "number")
     n = F.size(F.filter(F.sequence(lo, hi), lambda d: _worked(d, off, days)))
     return Cell(F.when(a <= b, n).otherwise(-n).cast("double"), "number")
 
@@ -1227,6 +1251,14 @@ def _workday(c, args, env, weekend, free):
     """The nth day of work after (or before) a date: among so many days there are enough."""
     a, n = date(c.scalar(args[0], env)), whole(c.scalar(args[1], env))
     off, days = _weekend(c, weekend, env), _holidays(c, free, env)
+    if isinstance(days, DataFrame):
+        name = fresh()
+        calendar = c.book.spark.range(1).select(F.explode(F.sequence(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))).alias("d"))
+        ranked = _ranked(calendar.where(~F.weekday("d").isin(*off)).join(days, "d", "left_anti"), name)
+        place = F.when(n > 0, _up_to(c, a, ranked, name) + n).otherwise(_up_to(c, a, ranked, name, exact=False) + n + 1)
+        at = ranked.select(F.col(name).alias(name + "i"), F.date_add(F.lit(FIRST_DAY).cast("date"), F.col(name + "k")).alias(name + "v"))
+        c.scope.joins.append(lambda df: df.withColumn(name + "p", place).join(at, F.col(name + "p") == F.col(name + "i"), "left").drop(name + "p", name + "i"))
+        return Cell(F.when(n == 0, a).otherwise(F.col(name + "v")), "date")
     reach = F.abs(n) * 7 + F.size(days) * 7 + 14
     step = F.when(n < 0, -1).otherwise(1)
     ahead = F.filter(F.transform(F.sequence(F.lit(1), reach), lambda k: F.date_add(a, k * step)), lambda d: _worked(d, off, days))
