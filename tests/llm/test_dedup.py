@@ -244,7 +244,7 @@ def near_copies(r, n=60, size=80):
 
 @pytest.mark.parametrize("sparse, hot, hub, block", [(0, 10, 3, 8), (0, 20_000, 5_000, 6_144), (1_000, 7, 2, 5), (1, 25, 4, 12)])
 def test_jaccard_every_way_of_dealing(spark, monkeypatch, sparse, hot, hub, block):
-    for name, value in (("SPARSE", sparse), ("HOT", hot), ("HUB", hub), ("BLOCK_DOCS", block), ("BROADCAST_IDS", block)):
+    for name, value in (("SPARSE", sparse), ("HOT", hot), ("HUB", hub), ("BLOCK_DOCS", block), ("BROADCAST_IDS", block), ("HELD_ROWS", hub), ("CELL_CLASSES", 1 if hub < 100 else 8_192), ("CELLS", 4 if hub < 100 else 4_096)):
         monkeypatch.setattr(op10_jaccard, name, value)
     monkeypatch.setattr(graph, "LOCAL_EDGES", 0 if sparse == 1 else 500_000)  # rounds of joins
     r = random.Random(sparse + hot)

@@ -48,8 +48,11 @@ COUNTED = np.uint64(3)
 DEALT = 1_000_000
 #: Candidate pairs a member that a list may have before only a spanning forest of them is taken.
 SPARSE = 1
-#: Buckets of prefix shingles, and of classes; as many at every size, so that a class has no more rows on more machines.
-CELLS = 4096
+#: Buckets of prefix shingles, whatever the number of machines, so that a class has no more rows on more of them; twice as
+#: many, again and again, where more than CELL_CLASSES open classes would come to one.
+CELLS, CELL_CLASSES = 4096, 8_192
+#: Rows of prefixes that a task holds at a time, in whole buckets.
+HELD_ROWS = 200_000
 #: Classes that share a prefix shingle before it is dealt out by parts, and how many such shingles are looked up at most.
 HOT, HOT_SHINGLES = 20_000, 100_000
 #: Pairs of one hub that a task compares.
@@ -261,26 +264,36 @@ def _prefix_counts(percent):
     return run
 
 
-def _parted(prefix: np.ndarray, cls: int, hot: dict[int, int]) -> np.ndarray:
-    """A prefix's keys: its shingles, and of a hot one a key for each pair of parts that the class' own part is in."""
+def cells_of(classes: int) -> int:
+    cells = CELLS
+    while classes > cells * CELL_CLASSES:
+        cells *= 2
+    return cells
+
+
+def _parted(prefix: np.ndarray, cls: int, hot: np.ndarray, parts_of: np.ndarray) -> np.ndarray:
+    """A prefix's keys: its shingles, and of a hot one a key for each pair of parts that the class' own part is in.  hot: sorted."""
     keys = []
-    for s in prefix[np.isin(prefix, np.fromiter(hot, np.uint64, len(hot)))]:
-        parts = hot[int(s)]
+    at = np.minimum(np.searchsorted(hot, prefix), len(hot) - 1)
+    found = hot[at] == prefix
+    for s, parts in zip(prefix[found], parts_of[at[found]].tolist(), strict=True):
         own, j = cls % parts, np.arange(parts)
         keys.append(mix(s + _BASE * (np.minimum(own, j) * parts + np.maximum(own, j) + 1).astype(np.uint64)))
         prefix = prefix[prefix != s]
     return np.concatenate([prefix, *keys]) if keys else prefix
 
 
-def _prefixes(percent, hot):
+def _prefixes(percent, hot: dict[int, int], cells: int):
     def run(batches):
+        known = np.array(sorted(hot), np.uint64)
+        parts_of = np.array([hot[s] for s in known.tolist()], np.int64)
         for b in batches:
             out = [[], [], [], [], []]
             for cls, n, raw, p in zip(*(b.column(i) for i in range(4)), strict=True):
                 own, n = prefix_of(np.frombuffer(raw.as_buffer(), np.uint64), percent), n.as_py()
                 if hot:
-                    own = _parted(own, cls.as_py(), hot)
-                at = bucket(mix(own), CELLS)  # prefixes are smallest hashes: their own high bits are all alike
+                    own = _parted(own, cls.as_py(), known, parts_of)
+                at = bucket(mix(own), cells)  # prefixes are smallest hashes: their own high bits are all alike
                 order = np.argsort(at, kind="stable")
                 own, at = own[order], at[order]
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -387,16 +400,39 @@ def _spread(own: np.ndarray, label: np.ndarray, near, forest: Forest, edges: lis
 
 
 def _candidates(percent, sparse):
-    """(a, b, dense): the candidate pairs of a bucket, or edges that span them where there are many; b is the smaller class."""
+    """(a, b, dense): the candidate pairs of some buckets, or edges that span them where there are many; b is the smaller class.  Rows come by bucket."""
+
+    def some_buckets(batches):
+        held, rows = [], 0
+        for b in batches:
+            while len(b):
+                if rows < HELD_ROWS:
+                    held.append(b.slice(0, min(len(b), HELD_ROWS - rows)))
+                    b = b.slice(len(held[-1]))
+                    rows += len(held[-1])
+                    continue
+                # the bucket that is open goes to its end
+                last = held[-1].column(0)[len(held[-1]) - 1].as_py()
+                more = int(np.searchsorted(b.column(0).to_numpy(), last, "right"))
+                if more:
+                    held.append(b.slice(0, more))
+                    b = b.slice(more)
+                if len(b):
+                    yield held
+                    held, rows = [], 0
+        if held:
+            yield held
 
     def run(batches):
+        for some in some_buckets(batches):
+            yield from pairs_of(some)
+
+    def pairs_of(batches):
         cls, n, keys, points = [], [], [], []
         for b in batches:
             cls.append(b.column(1).to_numpy()), n.append(b.column(2).to_numpy())
             keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)]
             points += [np.frombuffer(x.as_buffer(), np.uint8) for x in b.column(4)]
-        if not keys:
-            return
         cls, n, points = np.concatenate(cls), np.concatenate(n), np.stack(points)
         cls, first, of = np.unique(cls, return_index=True, return_inverse=True)  # a class comes once a cell
         n, points = n[first], points[first]
@@ -592,7 +628,8 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     shared = docs.mapInArrow(_dealt(keys, size), "bucket long, s binary, cls binary, times binary").repartition(n_parts, "bucket").mapInArrow(_shared, "cell long, cls binary, n binary, here boolean").repartition(n_parts, "cell").mapInArrow(_totals, "cls long, shared long")
     open_ = classes.join(shared, "cls", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100))
     open_ = written(open_.select(F.col("least").alias("by"), "cls", "by_text"), "open-classes")
-    near = F.broadcast if open_.count() <= BROADCAST_IDS else lambda x: x
+    n_open = open_.count()
+    near = F.broadcast if n_open <= BROADCAST_IDS else lambda x: x
     chosen = docs.join(near(open_.where("by is not null").drop("by_text")), F.col("doc_id") == F.col("by")).select("doc_id", "text", "cls")
     without_id = open_.where("by is null").select("cls", "by_text")
     if not without_id.isEmpty():  # classes that no id names are named by a text of theirs
@@ -601,8 +638,8 @@ def jaccard_components(df: DataFrame, percent: int = 80, size: int = 5, id_col:
     of = held(chosen.mapInArrow(_sets_of(size), "cls long, n long, s binary, point binary"))
     often = of.select("s").mapInArrow(_prefix_counts(percent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
     hot = {r["s"] % (1 << 64): -(-r["n"] // HOT) for r in often.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).collect()}  # 16 bytes each
-    entries = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(percent, hot), "bucket long, cls long, n long, prefix binary, point binary")
-    pairs = entries.repartition(n_parts, "bucket").mapInArrow(_candidates(percent, SPARSE), "a long, b long, dense boolean")
+    entries = of.select("cls", "n", "s", "point").mapInArrow(_prefixes(percent, hot, cells_of(n_open)), "bucket long, cls long, n long, prefix binary, point binary")
+    pairs = entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent, SPARSE), "a long, b long, dense boolean")
     edges = written(pairs.where("a <> b").groupBy("a", "b").agg(F.max("dense").alias("dense")), "candidate-pairs")
     roots = written(components(_links(of, edges, percent, n_parts)), "roots")
     if not (left := _open_members(edges, roots)).isEmpty():
