@@ -336,3 +336,17 @@ LINES = {
 def test_street_lines(spark):
     df = spark.createDataFrame([(k,) for k in LINES], "t string")
     assert {r.t: r.x for r in df.select("t", shapes.is_address(F.col("t")).alias("x")).collect()} == LINES
+
+
+def test_dates_of_long_texts_are_those_of_the_whole(monkeypatch):
+    """Looking around numbers only finds what looking through everything finds."""
+    r = random.Random(11)
+    bits = ["3/9/2021", "on the 14th of October 1999,", "May 6, '07", "le 3 mars 1984", "2011-11-05", "20190407", "2019年4月7日", "12.5.2003", "x12/13/14y", "7", "1,250", "Wednesday", "é", "②", "1 2 3 4 5", "September", "of", "the"]
+    for k in range(60):
+        text = " ".join(r.choice(bits) if r.random() < 0.15 else r.choice(["lorem", "ipsum", "naïve", "dolor\n", "amet-sit"]) for _ in range(400))
+        text = text if k % 3 else text.encode("ascii", "ignore").decode()
+        near = dates.find_dates(text)
+        with monkeypatch.context() as m:
+            m.setattr(dates, "SHORT", 1 << 30)
+            assert dates.find_dates(text) == near
+        assert near and all(text[f.start : f.end].strip() for f in near)

@@ -49,6 +49,8 @@ def fold(text: str) -> str:
 
 def fold_map(text: str) -> tuple[str, list[int], list[bool]]:
     """The folded text, the place in ``text`` of each of its characters, and whether something invisible was dropped before it."""
+    if text.isascii():  # a character each, and none that can't be seen
+        return text.lower(), list(range(len(text) + 1)), [False] * len(text)
     out, at, gaps, gap = [], [], [], False
     for k, ch in enumerate(text):
         f = _unit(ch)
