@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..formula.syntax import index_to_letters
@@ -30,18 +30,39 @@ def _kind(dtype: str) -> str:
     return {"bool": "boolean"}.get(kind_of(dtype), kind_of(dtype))
 
 
+def _same(c: str, dtype: str) -> Column:
+    """A column's values as texts that are equal where the values are; null for blank ones."""
+    x = F.col(c)
+    if dtype in ("float", "double"):
+        x = F.when(x == 0, F.lit(0).cast(dtype)).otherwise(x)  # 0 and -0 are equal
+    elif dtype == "timestamp":
+        x = F.unix_micros(x)  # an hour of autumn is there twice as a text
+    return F.when(~shapes.is_blank(F.col(c)), x.cast("string"))
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """ord, distinct of each column: (column, value) pairs are made distinct in one shuffle, and counted.
+
+    A row gives a pair of two fields for each column, where a distinct count of several columns at once would give a
+    whole row for each.
+    """
+    kinds = dict(df.dtypes)
+    pairs = F.array(*(F.struct(F.lit(k).alias("ord"), _same(c, kinds[c]).alias("value")) for k, c in enumerate(columns)))
+    return df.select(F.inline(pairs)).where("value IS NOT NULL").distinct().groupBy("ord").agg(F.count("*").alias("distinct"))
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """One row a column: ord, letter, header, type, non_empty, blank, distinct, avg_words, max_len.  One aggregation.
+    """One row a column: ord, letter, header, type, non_empty, blank, distinct, avg_words, max_len.
 
     approximate: count distinct values by a sketch, for tables where exact counts of every column cost too much.
     """
     columns = columns or [c for c in df.columns if c != "_row"]
     kinds = {c: _kind(t) for c, t in df.dtypes}
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
     aggs = []
     for k, c in enumerate(columns):
         full = F.when(~shapes.is_blank(F.col(c)), F.col(c))
-        aggs += [F.count("*").alias(f"rows{k}"), F.count(full).alias(f"n{k}"), distinct(full).alias(f"d{k}")]
+        aggs += [F.count("*").alias(f"rows{k}"), F.count(full).alias(f"n{k}")]
+        aggs += [F.approx_count_distinct(full).alias(f"d{k}")] if approximate else []
         if kinds[c] == "text":
             aggs += [F.sum(shapes.word_count(full)).alias(f"w{k}"), F.max(F.length(full)).alias(f"m{k}")]
     one = df.agg(*aggs)
@@ -53,11 +74,16 @@ def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool =
         items.append(
             F.struct(
                 F.lit(k).alias("ord"), F.lit(index_to_letters(k)).alias("letter"), F.lit(c if c.strip() else f"Column {index_to_letters(k)}").alias("header"),
-                F.when(n == 0, "empty").otherwise(kinds[c]).alias("type"), n.alias("non_empty"), (F.col(f"rows{k}") - n).alias("blank"), F.col(f"d{k}").alias("distinct"),
+                F.when(n == 0, "empty").otherwise(kinds[c]).alias("type"), n.alias("non_empty"), (F.col(f"rows{k}") - n).alias("blank"), (F.col(f"d{k}") if approximate else F.lit(0).cast("long")).alias("distinct"),
                 F.when(n > 0, words).alias("avg_words"), F.when(n > 0, longest).alias("max_len"),
             )
         )
-    return one.select(F.inline(F.array(*items)))
+    rows = one.select(F.inline(F.array(*items)))
+    if approximate:
+        return rows
+    counted = F.broadcast(distinct_counts(df, columns))  # a row a column
+    names = rows.columns
+    return rows.drop("distinct").join(counted, "ord", "left").select(*(F.coalesce("distinct", F.lit(0).cast("long")).alias("distinct") if c == "distinct" else c for c in names))
 
 
 def infos(df: DataFrame, **options) -> list[ColumnInfo]:
