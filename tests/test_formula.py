@@ -240,3 +240,18 @@ def test_grouping_forms(spark):
         assert [None if v is None else float(v) for v in line[1:]] == want
     assert sorted(tuple(r) for r in b.spill("=UNIQUE(B:F,TRUE)", "G").collect()) == sorted(r[1:5] for r in rows)
     assert sorted(tuple(r) for r in b.spill("=UNIQUE(B:F,TRUE,TRUE)", "G").collect()) == sorted(r[2:5] for r in rows)
+
+
+def test_a_pivot_of_very_many_heads(spark):
+    b = Workbook(spark)
+    b.add("w", spark.createDataFrame([(k, f"r{k % 3}", f"h{k % 900:05d}", float(k)) for k in range(2700)], "k int, a string, h string, v double"), ["k"])
+    got = b.spill("=PIVOTBY(B:B,C:C,D:D,SUM,0,1,1,1)", "w")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" not in plan and "pivotfirst" in plan.lower()
+    rows = {r[0]: r for r in got.collect()}
+    assert set(rows) == {"", "r0", "r1", "r2", "Total"} and len(rows[""]) == 902
+    for j in range(0, 900, 150):
+        hits = [k for k in range(2700) if k % 900 == j]
+        assert rows[""][j + 1] == f"h{j:05d}" and float(rows["Total"][j + 1]) == sum(hits)
+        assert float(rows[f"r{j % 3}"][j + 1]) == sum(hits)  # 900 is a multiple of 3
+    assert float(rows["Total"][-1]) == sum(range(2700))

@@ -357,6 +357,20 @@ def _groupby(c, args, env):
     return Grid(out.select("_row", *names), names, False)
 
 
+#: Parts the fields of a column head, where they are one text.
+_PART = "\u0001"
+
+
+def _pivoted(df: DataFrame, keys: list[str], fields: list[str], vals: list[str], heads: list[tuple], agg, totals: bool, names: list[str]) -> DataFrame:
+    """keys, and a column for each head and value, then totals: aggregated by key and head first, then laid out in a row of each key."""
+    own = [agg(F.col(v)).alias(v) for v in vals]
+    wide = df.withColumn("_head", F.concat_ws(_PART, *fields)).groupBy(*keys).pivot("_head", [_PART.join(h) for h in heads]).agg(*own) if heads else df.select(*keys).distinct()
+    wide = wide.toDF(*keys, *names[: len(heads) * len(vals)])
+    if totals:
+        wide = wide.join(df.groupBy(*keys).agg(*(agg(F.col(v)).alias(m) for v, m in zip(vals, names[len(heads) * len(vals) :], strict=True))), keys)
+    return wide
+
+
 @function("PIVOTBY", whole=True)
 def _pivotby(c, args, env):
     """Rows by the first fields, columns by the second; the first row heads the columns; totals on both sides unless told 0."""
@@ -371,10 +385,8 @@ def _pivotby(c, args, env):
     heads = [tuple(r) for r in df.select(*fields).distinct().orderBy(*fields).limit(16_385).collect()]
     if len(heads) * len(vals) > 16_384:
         raise Unsupported("more columns than a sheet has")
-    here = lambda h: reduce(lambda a, b: a & b, (F.col(p).eqNullSafe(F.lit(x)) for p, x in zip(fields, h, strict=True)))
-    cells = [agg(F.when(here(h), F.col(v))) for h in heads for v in vals] + ([agg(v) for v in vals] if col_totals else [])
-    names = [f"c{i + 1}" for i in range(n + len(cells))]
-    body = numbered(df.groupBy(*keys).agg(*(x.alias(m) for x, m in zip(cells, names[n:], strict=True))), *keys)
+    names = [f"c{i + 1}" for i in range(n + len(heads) * len(vals) + (len(vals) if col_totals else 0))]
+    body = numbered(_pivoted(df, keys, fields, vals, heads, agg, bool(col_totals), names[n:]), *keys)
     body = body.select((F.col("_row") + over).alias("_row"), *(F.col(k).alias(m) for k, m in zip(keys, names, strict=False)), *(F.col(m).cast("string").alias(m) for m in names[n:]))
     # a row of heads for each column field
     tops = [[h[i] for h in heads for _ in vals] + (["Total" if i == 0 else ""] * len(vals) if col_totals else []) for i in range(over)]
@@ -382,7 +394,7 @@ def _pivotby(c, args, env):
     for i, top in reversed(list(enumerate(tops))):
         out = c.book.spark.range(1).select(F.lit(i).cast("long").alias("_row"), *(F.lit("").alias(m) for m in names[:n]), *(F.lit(h).cast("string").alias(m) for h, m in zip(top, names[n:], strict=True))).union(out)
     if row_totals:
-        total = df.agg(*(x.alias(m) for x, m in zip(cells, names[n:], strict=True)))
+        total = _pivoted(df.withColumn("_all", F.lit(0)), ["_all"], fields, vals, heads, agg, bool(col_totals), names[n:])
         out = out.union(total.select(F.lit(1 << 62).alias("_row"), *(F.lit("Total" if i == 0 else "").alias(m) for i, m in enumerate(names[:n])), *(F.col(m).cast("string").alias(m) for m in names[n:])))
     return Grid(out, names, False)
 
