@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from fixtures import frame, rows, sentence
 from pyspark.sql import functions as F
 
 from veilframe.llm import op01_language, op07_toxicity, op09_pseudo
-from veilframe.llm.common import crc_mod
+from veilframe.llm.common import LOWER, crc_mod, run_hashes
 
 
 def read(spark, sf_dir, t):
@@ -111,6 +112,40 @@ def test_toxic_documents_and_their_sentences(spark):
     assert r["score"] > 0.5 and "idiot" in text.encode()[r["worst_start"] : r["worst_end"]].decode()
 
 
+def test_noisy_or_by_plain_loops(spark):
+    """Every score, and the worst sentence, anew from the learned weights: sentences by their stops, a word once in each."""
+    docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
+    model = op07_toxicity.learn(docs, labels)
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+
+    def word_hash(w: bytes) -> int:
+        raw = np.frombuffer(w, np.uint8)
+        return int(run_hashes(LOWER[raw], np.array([0]), np.array([len(raw)]))[0])
+
+    def plain(text):
+        passed, worst = 1.0, None
+        for m in re.finditer(rb"[^!.?\n\r]+", (text or "").encode()):
+            found = re.findall(rb"[A-Za-z\x80-\xff]+", m[0])
+            if found:
+                z = model.bias + sum(weights.get(h, 0.0) for h in {word_hash(w) for w in found})
+                p = 1 / (1 + math.exp(-z))
+                passed *= 1 - p
+                if worst is None or p > worst[0] + 1e-12:
+                    worst = (p, m.start(), m.end())
+        return 1 - passed, worst
+
+    data = [*rows(), (50, "You idiot! All is well. You moron? \n Fine."), (51, "ÉÉ idiot\u00e9 moron"), *((r.doc_id, r.text) for r in docs.where("doc_id < 60").collect())]
+    data = [(k, t) for k, (_, t) in enumerate(data)]
+    got = {r["doc_id"]: r for r in op07_toxicity.score(frame(spark, data), model).collect()}
+    for k, t in data:
+        score, worst = plain(t)
+        assert got[k]["score"] == pytest.approx(score, abs=1e-9)
+        assert (worst is None) == (got[k]["worst_score"] is None)
+        if worst:
+            assert got[k]["worst_score"] == pytest.approx(worst[0], abs=1e-9) and (got[k]["worst_start"], got[k]["worst_end"]) == worst[1:]
+    assert any(got[k]["score"] > 0.5 for k in got) and sum(got[k]["score"] > 0.5 for k in got) < len(got) / 2
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (99, 1)], "doc_id long, toxic int")
     model = op07_toxicity.learn(frame(spark, rows()), labels)
