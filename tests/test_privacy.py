@@ -172,6 +172,8 @@ def test_large_dictionaries_give_the_same_leaks(spark, monkeypatch, parts):
     monkeypatch.setattr(leakscan, "BROADCAST_VALUES", 100_000)
     small = sorted(map(tuple, leakscan.leaks(bodies, values).collect()), key=str)
     monkeypatch.setattr(leakscan, "BROADCAST_VALUES", 7)
+    assert sorted(map(tuple, leakscan.leaks(bodies, values).collect()), key=str) == small  # by an automaton
+    monkeypatch.setattr(leakscan, "AUTOMATON_CHARS", 7)
     monkeypatch.setattr(leakscan, "BROADCAST_PARTS", parts)
     assert sorted(map(tuple, leakscan.leaks(bodies, values).collect()), key=str) == small and len(small) == 62
 
