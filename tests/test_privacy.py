@@ -375,3 +375,9 @@ def test_blocks_make_up_their_columns():
     for left, right in ((0, 0), (3, 3), (0, 16383), (5, 12), (1, 16382), (7, 8)):
         covered = sorted(c for level, b in derive._blocks(left, right) for c in range(b << level, (b + 1) << level))
         assert covered == list(range(left, right + 1))
+
+
+def test_number_forms_are_those_of_single_values(spark):
+    values = ["7", "999", "1000", "12500", "70213", "835000", "1250000", "61250.25", "1234567.5", "0.5", "100000000"]
+    df = spark.createDataFrame([(v,) for v in values], "p string").select("p", numbers.number_forms(F.col("p")).alias("x"))
+    assert {r.p: set(r.x) for r in df.collect()} == {v: set(numbers.forms(v)) for v in values}

@@ -394,6 +394,67 @@ def _a8b(s, d):
     return found.groupBy(F.col("doc_id").alias("body_id")).agg(F.count("*").alias("values"))
 
 
+_ASKED = "SELECT o_orderkey, o_custkey, o_orderkey % 6 AS k FROM orders"
+
+
+def _of_customers(s, d, value):
+    """Every form of a private number of each customer."""
+    return audit.dictionary(read(s, d, "customer").select(F.lit("C").alias("column"), value(F.col("c_custkey")).alias("value")))
+
+
+def _mentions(s, d, *forms):
+    """Orders that name their customer in one of several ways, by turns."""
+    n = F.col("o_custkey")
+    return read(s, d, "orders").select("o_orderkey", F.element_at(F.array(*(f(n) for f in forms)), (F.col("o_orderkey") % len(forms) + 1).cast("int")).alias("body"))
+
+
+def _long(c, add=70_000):
+    return (c + add).cast("string")
+
+
+@query("a13_codes_of_customers", f"SELECT o_orderkey, CASE k WHEN 0 THEN 'exact|normalized' ELSE 'normalized' END AS kinds FROM ({_ASKED}) WHERE k <> 4")
+def _a13(s, d):
+    """Codes of letters and digits, however they are parted, but not inside longer digits; the dictionary is all customers'."""
+    codes = _of_customers(s, d, lambda c: F.concat(F.lit("KX-"), _long(c)))
+    bodies = _mentions(s, d, *(lambda n, a=a, b=b: F.concat(F.lit(a), _long(n), F.lit(b)) for a, b in (("KX-", ""), ("KX ", " came"), ("kx_", ""), ("(Kx", ")"), ("KX-1", "99"), ("aKX", "b"))))
+    found = audit.scan(bodies, codes, key="o_orderkey", text="body")
+    return found.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
+
+
+@query("a15_numbers_of_customers", f"SELECT o_orderkey FROM ({_ASKED}) WHERE k IN (0, 4)")
+def _a15(s, d):
+    """Numbers that stand alone, not parts of longer ones."""
+    numbers_ = _of_customers(s, d, _long)
+    bodies = _mentions(s, d, lambda n: _long(n), lambda n: F.concat(F.lit("1"), _long(n)), lambda n: F.concat(_long(n), F.lit(".25")), lambda n: F.concat(_long(n), F.lit(",000")), lambda n: F.concat(F.lit("("), _long(n), F.lit(")")), lambda n: F.concat(F.lit("a"), _long(n)))
+    return audit.scan(bodies, numbers_, key="o_orderkey", text="body").select("o_orderkey").distinct()
+
+
+@query("a20_hidden_digits_of_customers", f"SELECT o_orderkey, (k <> 0) AS hidden FROM ({_ASKED}) WHERE k <> 5 AND k <> 4 OR k = 4 AND (o_custkey + 5000) % 10000 IN (SELECT c_custkey % 10000 FROM customer)")
+def _a20(s, d):
+    """Card numbers, also with all but the last four digits hidden."""
+    cards = _of_customers(s, d, lambda c: F.concat(F.lit("41117"), F.lpad((c % 10000000).cast("string"), 10, "0")))
+    last = lambda n, add=0: F.lpad(((n + add) % 10000).cast("string"), 4, "0")
+    bodies = _mentions(s, d, lambda n: F.concat(F.lit("card 41117"), F.lpad((n % 10000000).cast("string"), 10, "0")), lambda n: F.concat(F.lit("card ####"), last(n)), lambda n: F.concat(F.lit("****-"), last(n)), lambda n: F.concat(F.lit("to xxxx"), last(n), F.lit(".")), lambda n: F.concat(F.lit("card ####"), last(n, 5000)), lambda n: F.concat(F.lit("no "), last(n)))
+    found = audit.scan(bodies, cards, key="o_orderkey", text="body")
+    return found.groupBy("o_orderkey").agg((F.count_if(F.col("kind") == "exact") == 0).alias("hidden"))
+
+
+@query("a16_forms_of_prices", """
+WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n, o_orderkey % 3 AS k FROM orders),
+h AS (SELECT o_orderkey, CAST(n AS VARCHAR) AS w, CASE k WHEN 1 THEN '25' ELSE '' END AS f, n FROM o)
+SELECT o_orderkey, w || CASE f WHEN '' THEN '' ELSE '.' || f END AS plain,
+  CASE WHEN length(w) > 3 THEN format('{:,d}', n) || CASE f WHEN '' THEN '' ELSE '.' || f END END AS english,
+  CASE WHEN length(w) > 3 THEN replace(format('{:,d}', n), ',', '.') || CASE f WHEN '' THEN '' ELSE ',' || f END END AS german,
+  CASE WHEN length(w) > 3 THEN CASE WHEN n >= 100000 THEN CAST(n // 100000 AS VARCHAR) || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') ELSE CAST(n // 1000 AS VARCHAR) END || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') || CASE f WHEN '' THEN '' ELSE '.' || f END END AS indian
+FROM h""")
+def _a16(s, d):
+    """Prices in whole and with decimals, by three of the ways in which they may be written."""
+    plain = F.concat(F.floor("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 3 == 1, ".25").otherwise(""))
+    f = read(s, d, "orders").select("o_orderkey", plain.alias("plain")).withColumn("f", numbers.number_forms(F.col("plain")))
+    stop = lambda sign: F.filter("f", lambda x: x.rlike(sign))
+    return f.select("o_orderkey", "plain", F.get(stop(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.lit(0)).alias("english"), F.get(stop(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), F.lit(0)).alias("german"), F.get(stop(r"^\d{1,2}(,\d{2})*,\d{3}(\.\d+)?$"), F.lit(0)).alias("indian"))
+
+
 @query("t16_substitute_documents", f"SELECT doc_id, w AS value FROM documents JOIN (SELECT min(w) AS w FROM ({_WORDS}) GROUP BY lower(w)) ON regexp_matches({_FOLDED}, '(^|[^\\p{{L}}\\p{{N}}_])' || lower(w) || '($|[^\\p{{L}}\\p{{N}}_])')")
 def _t16b(s, d):
     """Which words of whole documents become which stand-ins."""
