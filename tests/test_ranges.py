@@ -142,3 +142,19 @@ def test_fills_of_blank_cells_and_of_no_rows(spark):
     assert [(r.s, r.n, r.b, r.m, r.d) for r in got] == [(5, 0, 2, 0, 1), (5, 1, 0, 5, 2), (0, 1, 2, 5, 1)]
     book.add("e", spark.createDataFrame([], "id long, v double"), ["id"])
     assert book.fill({"s": "=SUM(B$2:B2)", "m": "=MAX(B2:B4)"}, "e").collect() == []
+
+
+def test_tables_of_a_fill_can_be_freed(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from veilframe.sources.rows import shared_dir, temporary
+
+    root = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with temporary(spark):
+        book = Workbook(spark)
+        book.add("t", spark.createDataFrame(ROWS, "id long, k string, v double"), ["id"])
+        got = book.fill({"s": "=SUM(C$2:C2)"}, "t").collect()
+        assert set(os.listdir(root)) > before
+    assert sorted(r.s for r in got) == [10, 30, 60, 100] and set(os.listdir(root)) == before

@@ -35,9 +35,8 @@ KIND_WORDS = {
     "thing": "product item company business brand store shop course project file sheet table team department dept event place location city street school organization organisation org account domain host server app model category vendor supplier program plan campaign region country state".split(),
     "alone": "first last middle".split(),
 }
-#: What a list's words say of a column's stand-ins, and how strongly; values have their say beside them.
-VOTES = {"email": (6, "EMAIL"), "strong id": (5, "ID"), "name": (4, "PERSON"), "weak id": (3, "ID"), "person": (2, "PERSON"), "alone": (2, "PERSON")}
-VALUE_VOTES = {"email": (6, "EMAIL"), "id": (1, "ID"), "none": (0, "TEXT")}
+#: What a column's stand-ins are, by the first of these signs that it shows; fixed order.
+PRECEDENCE = [("email", "EMAIL"), ("email values", "EMAIL"), ("strong id", "ID"), ("name", "PERSON"), ("weak id", "ID"), ("person", "PERSON"), ("alone", "PERSON"), ("id values", "ID")]
 TREATMENTS = {True: ("stand_in", "range", "month", "exclude"), False: ("as_is", "exclude")}
 
 
@@ -83,17 +82,17 @@ def default_treatment(kind: str) -> str:
 
 
 def token_kind(header: str, kind: str, id_share: float = 0.0, email_share: float = 0.0) -> str:
-    """PERSON, EMAIL, ID or TEXT: the strongest vote of the header's words and of what most sampled values are.
+    """PERSON, EMAIL, ID or TEXT, by PRECEDENCE: the header's words, and what most sampled values are.
 
     A thing's name is no person's, a lone word of a name needs to be alone, and numbers and dates are no ids by being so shaped.
     """
     words = header_words(header)
-    heard = {k for k, known in KIND_WORDS.items() if not set(known).isdisjoint(words)}
-    heard -= {"name"} if "thing" in heard else set()
-    heard -= {"alone"} if len(words) > 1 else set()
-    says = [VOTES[k] for k in VOTES if k in heard]
-    says += [VALUE_VOTES[k] for k, share in (("email", email_share), ("id", 0.0 if kind in ("number", "date") else id_share)) if share > 0.5]
-    return max([*says, VALUE_VOTES["none"]])[1]
+    shows = {k for k, known in KIND_WORDS.items() if not set(known).isdisjoint(words)}
+    shows -= {"name"} if "thing" in shows else set()
+    shows -= {"alone"} if len(words) > 1 else set()
+    shows |= {"email values"} if email_share > 0.5 else set()
+    shows |= {"id values"} if id_share > 0.5 and kind not in ("number", "date") else set()
+    return next((is_ for sign, is_ in PRECEDENCE if sign in shows), "TEXT")
 
 
 def shares(df: DataFrame, column: str, order: list[str]) -> tuple[float, float]:

@@ -7,12 +7,10 @@ step is to be kept.  No task holds more than a stride, and the driver holds one
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import shared_dir
+from .rows import fresh_path
 
 #: Rows of a group, and groups that one job goes over.
 GROUP, STRIDE = 1_000, 500
@@ -30,7 +28,7 @@ def passed(placed: DataFrame, value: Column, init: Column, step, keep: bool) ->
     step(state, value) -> state, as columns of one type.
     """
     spark = placed.sparkSession
-    root = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "fold")
     own = placed.select("_row", value.alias("v")).withColumn("_group", F.floor(F.col("_row") / GROUP))
     groups = own.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_row", "v"))).alias("items"))  # at most GROUP
     groups = groups.select("_group", F.transform("items", lambda s: s["v"]).alias("items"), F.floor(F.col("_group") / STRIDE).alias("_stride"))

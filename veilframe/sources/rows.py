@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return now.get().rstrip("/")
 
 
+#: Folders made inside temporary(), in this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are written inside go at its end; results that read them have to be stored before."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _MADE.get():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.reset(token)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written once to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
