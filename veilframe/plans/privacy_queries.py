@@ -14,6 +14,7 @@ from ..functions.variants import variants
 from ..operators import audit, bench, classify, leakscan, mask, partial, profile, requests, restore, substitute
 from ..sources import rows as R
 from ..sources import tables as T
+from ..streaming import keep
 from ..streaming import scan as stream
 
 Q: dict = {}
@@ -412,7 +413,7 @@ def _long(c, add=70_000):
     return (c + add).cast("string")
 
 
-@query("a13_codes_of_customers", f"SELECT o_orderkey, CASE k WHEN 0 THEN 'exact|normalized' ELSE 'normalized' END AS kinds FROM ({_ASKED}) WHERE k <> 4")
+@query("a13_codes_of_customers", f"SELECT o_orderkey, CASE WHEN k = 0 THEN 'exact|normalized|number' WHEN k IN (1, 2) THEN 'normalized|number' ELSE 'normalized' END AS kinds FROM ({_ASKED}) WHERE k <> 4")
 def _a13(s, d):
     """Codes of letters and digits, however they are parted, but not inside longer digits; the dictionary is all customers'."""
     codes = _of_customers(s, d, lambda c: F.concat(F.lit("KX-"), _long(c)))
@@ -667,6 +668,19 @@ def _stream(s, d):
     return s.read.parquet(f"{base}/out").select("body_id", "id")
 
 
+@query("r7_arriving_messages", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6")
+def _r7_arriving(s, d):
+    """The last six messages of each conversation, as its turns arrive batch by batch."""
+    import uuid
+
+    base = f"{R.shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    turns = read(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    turns.repartitionByRange(6, "turn").write.parquet(f"{base}/in")
+    rows = keep.last_rows(stream.arriving(s, f"{base}/in", turns.schema, 2), "conv_id", "turn", ["role", "text"], requests.HISTORY)
+    keep.stored(rows, f"{base}/out", f"{base}/check").awaitTermination()
+    return keep.current(s.read.parquet(f"{base}/out/*"), "conv_id").select("conv_id", "turn", "role", "text")
+
+
 Q["x_window_counts"] = lambda s, d: stream.windowed_counts(read(s, d, "events")).withColumn("total", F.round("total", 4))
 SQL["x_window_counts"] = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
