@@ -158,3 +158,17 @@ def test_tables_of_a_fill_can_be_freed(spark):
         got = book.fill({"s": "=SUM(C$2:C2)"}, "t").collect()
         assert set(os.listdir(root)) > before
     assert sorted(r.s for r in got) == [10, 30, 60, 100] and set(os.listdir(root)) == before
+
+
+def test_lookups_of_headers_by_row_and_correlation_of_two_sheets(spark):
+    book = Workbook(spark)
+    book.add("t", spark.createDataFrame([(1, "North", 2.0), (2, "south", 5.0), (3, "east", 1.0)], "id long, k string, v double"), ["id"])
+    book.add("r", spark.createDataFrame([(1, 10.0, 20.0), (2, 30.0, 7.0), (3, 31.0, 8.0)], "n long, north double, south double"), ["n"])
+    got = sorted(book.fill({"a": "=HLOOKUP(B2,r!B:C,3)", "h": '=IFERROR(HLOOKUP(B2,r!B:C,1),"none")'}, "t").collect(), key=lambda x: x.id)
+    assert [(x.a, x.h) for x in got] == [(30, "north"), (7, "south"), (None, "none")]
+    x, y = [2.0, 5.0, 1.0], [10.0, 30.0, 31.0]
+    mx, my = sum(x) / 3, sum(y) / 3
+    want = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+    assert book.cell("=CORREL(C2:C4,r!B2:B4)", "t").first()[0] == pytest.approx(want)
+    assert book.cell("=CORREL(C:C,r!B:B)", "t").first()[0] == pytest.approx(want)
+    assert book.cell("=CORREL(C2:C3,r!B:B)", "t").first()[0] is None

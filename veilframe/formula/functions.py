@@ -604,8 +604,14 @@ function("QUARTILE.INC", whole=True)(lambda c, args, env: _percentile(c, args, e
 @function("CORREL", whole=True)
 def _correl(c, args, env):
     a, b = (c.eval(x, env) for x in args[:2])
+    if not (isinstance(a, (Vec, Grid)) and isinstance(b, (Vec, Grid)) and len(a.cells()) == len(b.cells()) == 1):
+        raise Unsupported("CORREL takes two ranges of one column")
     if not (isinstance(a, Vec) and isinstance(b, Vec) and a.sheet is b.sheet and (a.lo, a.hi) == (b.lo, b.hi)):
-        raise Unsupported("CORREL takes two ranges of the same rows")
+        name = fresh()
+        x, y = (F.when(F.lit(v.cells()[0].kind == "number"), v.cells()[0].col.cast("double")) for v in (a, b))
+        left, right = a.placed().select("_row", x.alias(name + "x"), F.lit(1).alias("_a")), b.placed().select("_row", y.alias(name + "y"), F.lit(1).alias("_b"))
+        both = left.join(right, "_row", "full")  # place by place; ranges of two lengths are an error
+        return Cell(both.agg(F.when(F.count("_a") == F.count("_b"), F.corr(name + "x", name + "y"))).scalar(), "number", const=True)
     return Cell(a.frame().agg(F.corr(a.cells()[0].col.cast("double"), b.cells()[0].col.cast("double"))).scalar(), "number", const=True)
 
 
@@ -846,12 +852,25 @@ def _vlookup(c, args, env):
     return find(c, x, Vec(v.sheet, v.columns[:1], v.lo, v.hi), o.col, o.kind, mode, near)
 
 
+def _of_header(x: Cell, of: dict[str, Column]) -> Column:
+    """The value under the header that equals a text of the row; the first of equal headers counts."""
+    out, asked = None, F.lower(text(x))
+    for name, value in of.items():
+        hit = asked == name.lower()
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out
+
+
 @function("HLOOKUP", whole=True)
 def _hlookup(c, args, env):
     """Over the header row: the header that equals the text, and a row below it."""
     x, v, row = c.scalar(args[0], env), _range(c, args[1], env), _mode_of(c, args, 2, env, 1)
     if not isinstance(x.value, str):
-        raise Unsupported("HLOOKUP takes a constant header")
+        if row == 1:
+            return Cell(_of_header(x, {n: F.lit(n) for n in v.columns}), "text", const=x.const)
+        below = [c.at(Vec(v.sheet, [n], row - 2, row - 2)) for n in v.columns]
+        kind, cols = _same(below)
+        return Cell(_of_header(x, dict(zip(v.columns, cols, strict=True))), kind, const=x.const)
     name = next((n for n in v.columns if n.casefold() == x.value.casefold()), None)
     if name is None:
         return Cell(F.lit(None).cast("double"), "number", const=True)
