@@ -339,13 +339,13 @@ def _t25(s, d):
 
 
 def _planted_docs(s, d):
-    """Documents as bodies: some name a customer, one the balance bin of another."""
+    """Whole documents as bodies: some also name a customer, all end with a balance bin."""
     c = read(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
-    docs = read(s, d, "documents").select(F.col("doc_id").alias("body_id"), F.concat(F.lit("body: "), F.col("lang")).alias("t"), F.when(F.col("doc_id") % 2 == 0, "substituted").otherwise("raw").alias("mode"))
-    return docs.join(c, (F.col("body_id") == F.col("k") * 10), "left").select("body_id", "mode", F.concat_ws(" ", "t", F.upper("c_name"), F.lit("80000-89999")).alias("body"))
+    docs = read(s, d, "documents").select(F.col("doc_id").alias("body_id"), "text", F.when(F.col("doc_id") % 2 == 0, "substituted").otherwise("raw").alias("mode"))
+    return docs.join(c, (F.col("body_id") == F.col("k") * 10), "left").select("body_id", "mode", F.concat_ws(" ", "text", F.upper("c_name"), F.lit("80000-89999")).alias("body"))
 
 
-_BODIES = "SELECT doc_id AS body_id, CASE WHEN doc_id % 2 = 0 THEN 'substituted' ELSE 'raw' END AS mode, concat_ws(' ', 'body: ' || lang, upper(c_name), '80000-89999') AS body FROM documents LEFT JOIN customer ON doc_id = c_custkey * 10"
+_BODIES = "SELECT doc_id AS body_id, CASE WHEN doc_id % 2 = 0 THEN 'substituted' ELSE 'raw' END AS mode, concat_ws(' ', text, upper(c_name), '80000-89999') AS body FROM documents LEFT JOIN customer ON doc_id = c_custkey * 10"
 
 
 @query("a23_leak_scan", f"SELECT body_id, c_name AS id FROM ({_BODIES}) b JOIN customer ON contains(lower(body), lower(c_name))")
@@ -354,7 +354,7 @@ def _a23(s, d):
     return leakscan.leaks(_planted_docs(s, d), values).where("variant = 'exact'").select("body_id", "id")
 
 
-@query("a23_leak_report", f"SELECT mode, count(*) AS requests, count(c_name) AS leaking_requests, CAST(count(c_name) AS BIGINT) AS leaks FROM (SELECT b.*, c_name FROM ({_BODIES}) b LEFT JOIN customer ON body_id = c_custkey * 10) GROUP BY mode")
+@query("a23_leak_report", f"SELECT mode, count(*) AS requests, count(c_name) AS leaking_requests, CAST(count(c_name) AS BIGINT) AS leaks FROM (SELECT b.*, c_name FROM ({_BODIES}) b LEFT JOIN (SELECT DISTINCT body_id AS leaking, 'x' AS c_name FROM ({_BODIES}) JOIN customer ON contains(lower(body), lower(c_name))) ON body_id = leaking) GROUP BY mode")
 def _a23b(s, d):
     values = read(s, d, "customer").select(F.col("c_name").alias("value"))
     bodies = _planted_docs(s, d)
@@ -362,13 +362,13 @@ def _a23b(s, d):
     return leakscan.report(bodies, found)
 
 
-_WORDS = "SELECT DISTINCT w FROM (SELECT split_part(text, ' ', 5) AS w FROM documents WHERE doc_id % 50 = 0) WHERE regexp_full_match(w, '[A-Za-z]{4,}')"
+_WORDS = "SELECT DISTINCT w FROM (SELECT split_part(text, ' ', 5) AS w FROM documents) WHERE regexp_full_match(w, '[A-Za-z]{4,}')"
 
 
 def _words(s, d):
-    """Words of some documents, as values that mustn't go out."""
+    """A word of each document, as values that mustn't go out."""
     w = F.split_part("text", F.lit(" "), F.lit(5))
-    return read(s, d, "documents").where("doc_id % 50 = 0").select(w.alias("value")).where(F.col("value").rlike("^[A-Za-z]{4,}$")).distinct()
+    return read(s, d, "documents").select(w.alias("value")).where(F.col("value").rlike("^[A-Za-z]{4,}$")).distinct()
 
 
 @query("a23_leak_scan_documents", f"SELECT doc_id AS body_id, w AS id FROM documents JOIN ({_WORDS}) ON contains(lower(text), lower(w))")
@@ -377,17 +377,17 @@ def _a23c(s, d):
     return leakscan.leaks(docs, _words(s, d)).select("body_id", "id")
 
 
-@query("a8_text_scan", f"SELECT body_id, 'B' AS column FROM ({_BODIES}) WHERE body_id IN (SELECT c_custkey * 10 FROM customer)")
+@query("a8_text_scan", f"SELECT DISTINCT body_id, 'B' AS column FROM ({_BODIES}) JOIN customer ON contains(lower(body), lower(c_name))")
 def _a8(s, d):
     c = read(s, d, "customer")
     forms = audit.dictionary(c.select(F.lit("B").alias("column"), F.col("c_name").alias("value")))
     return audit.scan(_planted_docs(s, d), forms, key="body_id", text="body").where("kind = 'exact'").select("body_id", "column")
 
 
-_FOLDED = f"translate(lower(text), '{MARKED}', '{PLAIN}')"
+_FOLDED = f"replace(translate(lower(text), '{MARKED}', '{PLAIN}'), 'ß', 'ss')"
 
 
-@query("a8_scan_documents", f"SELECT doc_id AS body_id, count(*) AS values FROM documents JOIN ({_WORDS}) ON contains({_FOLDED}, lower(w)) GROUP BY 1")
+@query("a8_scan_documents", f"WITH t AS MATERIALIZED (SELECT doc_id, {_FOLDED} AS t FROM documents), w AS MATERIALIZED (SELECT w, lower(w) AS low FROM ({_WORDS})) SELECT doc_id AS body_id, count(*) AS values FROM t JOIN w ON contains(t, low) GROUP BY 1")
 def _a8b(s, d):
     """Whole documents against every form of the words that mustn't go out; a column each, so that each counts."""
     forms = audit.dictionary(_words(s, d).select(F.col("value").alias("column"), "value"))
@@ -456,7 +456,7 @@ def _a16(s, d):
     return f.select("o_orderkey", "plain", F.get(stop(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.lit(0)).alias("english"), F.get(stop(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), F.lit(0)).alias("german"), F.get(stop(r"^\d{1,2}(,\d{2})*,\d{3}(\.\d+)?$"), F.lit(0)).alias("indian"))
 
 
-@query("t16_substitute_documents", f"SELECT doc_id, w AS value FROM documents JOIN (SELECT min(w) AS w FROM ({_WORDS}) GROUP BY lower(w)) ON regexp_matches({_FOLDED}, '(^|[^\\p{{L}}\\p{{N}}_])' || lower(w) || '($|[^\\p{{L}}\\p{{N}}_])')")
+@query("t16_substitute_documents", f"SELECT DISTINCT doc_id, w AS value FROM (SELECT doc_id, unnest(regexp_split_to_array({_FOLDED}, '[^\\p{{L}}\\p{{N}}_]+')) AS low FROM documents) JOIN (SELECT lower(w) AS low, min(w) AS w FROM ({_WORDS}) GROUP BY 1) USING (low)")
 def _t16b(s, d):
     """Which words of whole documents become which stand-ins."""
     words = _words(s, d).groupBy(F.lower("value").alias("low")).agg(F.min("value").alias("value"))
@@ -466,12 +466,12 @@ def _t16b(s, d):
     return found.join(tokens, "token").select("doc_id", "value")
 
 
-@query("t21_partial_customers", "WITH p AS (SELECT lower(regexp_extract(c_name, '[A-Za-z]+')) AS part, c_name AS value FROM customer UNION ALL SELECT regexp_extract(c_name, '[0-9]+'), c_name FROM customer), w AS (SELECT DISTINCT part FROM p JOIN customer ON c_name = value WHERE c_custkey % 10 = 0 AND length(part) >= 4), c AS (SELECT part, value, count(*) AS count FROM p JOIN w USING (part) GROUP BY 1, 2) SELECT part, value, count, count(*) OVER (PARTITION BY part) AS of_all FROM c QUALIFY row_number() OVER (PARTITION BY part ORDER BY count DESC, value) <= 30")
+@query("t21_partial_customers", "WITH p AS (SELECT lower(regexp_extract(c_name, '[A-Za-z]+')) AS part, c_name AS value FROM customer UNION ALL SELECT regexp_extract(c_name, '[0-9]+'), c_name FROM customer), w AS (SELECT DISTINCT part FROM p WHERE length(part) >= 4), c AS (SELECT part, value, count(*) AS count FROM p JOIN w USING (part) GROUP BY 1, 2) SELECT part, value, count, count(*) OVER (PARTITION BY part) AS of_all FROM c QUALIFY row_number() OVER (PARTITION BY part ORDER BY count DESC, value) <= 30")
 def _t21b(s, d):
-    """The names that parts of every tenth customer's name may stand for."""
+    """The names that the parts of all customers' names may stand for."""
     c = read(s, d, "customer")
     cells = c.select(F.col("c_name").alias("value"), F.concat(F.lit("B"), F.col("c_custkey") + 2).alias("cell"))
-    words = c.where("c_custkey % 10 = 0").select(F.explode(partial.parts(F.col("c_name"))).alias("part"))
+    words = c.select(F.explode(partial.parts(F.col("c_name"))).alias("part"))
     return partial.candidates(words, cells, _tokens(s, d)).select("part", "value", "count", "of_all")
 
 
