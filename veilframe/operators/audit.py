@@ -222,6 +222,13 @@ class Expected:
     mode: str
 
 
+def messages(found: DataFrame, key: str = "body_id") -> DataFrame:
+    """key, message: what is said of each body that a scan found something in; columns are named in order, values never."""
+    per = found.groupBy(key).agg(F.array_sort(F.collect_set("column")).alias("_columns"))  # at most a name for each private column
+    s = F.when(F.size("_columns") > 1, "s").otherwise("")
+    return per.select(key, F.concat(F.lit("private values of column"), s, F.lit(" "), F.array_join("_columns", ", "), F.lit(" are in the text")).alias("message"))
+
+
 @dataclass
 class Result:
     ok: bool

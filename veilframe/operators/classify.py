@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..formula import gate
 from ..formula.syntax import Area, index_to_letters
+from ..functions import headers as header_columns
 from ..functions import shapes
 from ..functions.folding import fold
 from .profile import SAMPLE_CELLS, ColumnInfo, infos, sample, value_patterns
@@ -211,3 +212,37 @@ def lettered(columns: list[str], policies: list[Policy]) -> dict[str, Policy]:
     """By column; a column without a policy is private."""
     by = {p.letter: p for p in policies}
     return {c: by.get(index_to_letters(k), Policy(index_to_letters(k))) for k, c in enumerate(columns)}
+
+
+# ---------------------------------------------------------------- catalogues: a table of the columns of many sheets
+
+
+def described(columns: DataFrame) -> DataFrame:
+    """Adds keywords, kind and alias to a catalogue (letter, header, type, id_share, email_share), inside the JVM."""
+    h = F.col("header")
+    return columns.select(
+        "*",
+        header_columns.keywords(h, PRIVATE_WORDS, TOGETHER).alias("keywords"),
+        header_columns.kind(h, F.col("type"), F.col("id_share"), F.col("email_share"), KIND_WORDS, PRECEDENCE).alias("kind"),
+        header_columns.alias(h, F.col("letter"), REVEALING_WORDS).alias("alias"),
+    )
+
+
+def effective(private: Column, treatment: Column) -> Column:
+    """A legal treatment: a private column (also one of which it isn't known) is never sent as it is."""
+    private = F.coalesce(private, F.lit(True))
+    return F.when(private, F.when(treatment.isin(*TREATMENTS[True]), treatment).otherwise(TREATMENTS[True][0])).otherwise(F.when(treatment.isin(*TREATMENTS[False]), treatment).otherwise(TREATMENTS[False][0]))
+
+
+def refreshed(columns: DataFrame, chosen: DataFrame, by: list[str] = ("sheet", "letter", "header", "type")) -> DataFrame:
+    """Every column with its policy: a choice stays where sheet, letter, header and type are the same, any other column is private.
+
+    chosen: ``by``, private, treatment, one row a column (of repeated ones a private one).  Null keys match nulls.
+    """
+    strict = chosen.groupBy(*(F.col(k).alias(f"_{k}") for k in by)).agg(F.max(F.struct(F.coalesce("private", F.lit(True)).alias("private"), "treatment")).alias("_of"))
+    same = F.lit(True)
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    private = F.coalesce("_of.private", F.lit(True))
+    own = [c for c in columns.columns if c not in ("private", "treatment")]
+    return columns.select(*own).join(strict, same, "left").select(*own, private.alias("private"), effective(private, F.col("_of.treatment")).alias("treatment"))

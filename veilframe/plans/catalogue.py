@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import formula_queries, moving_queries, privacy_queries, rule_queries
+from . import formula_queries, moving_queries, privacy_queries, rule_queries, table_queries
 from .privacy_queries import flagship
 
-PARTS = [privacy_queries, rule_queries, formula_queries, moving_queries]
+PARTS = [privacy_queries, rule_queries, formula_queries, moving_queries, table_queries]
 
 
 def queries() -> dict:
