@@ -255,3 +255,42 @@ def test_a_pivot_of_very_many_heads(spark):
         assert rows[""][j + 1] == f"h{j:05d}" and float(rows["Total"][j + 1]) == sum(hits)
         assert float(rows[f"r{j % 3}"][j + 1]) == sum(hits)  # 900 is a multiple of 3
     assert float(rows["Total"][-1]) == sum(range(2700))
+
+
+CODES = ["0", "0.00", "#,##0", "#,##0.0", "$#,##0.00", "0%", "0.0%", "000", "0000.00", "0 kg", "-> 0.0 <-", "#", "yyyy-mm-dd", "d.m.yy", "dd mmm yyyy", "dddd, mmmm d", "ddd", "h:mm", "hh:mm:ss", "h:m am/pm", "m/d/yyyy h:mm", "mm:ss"]
+
+
+def test_text_by_a_format_in_the_row(spark):
+    values = [0.0, 1.0, 12.345, 1234567.891, 44927.75, 0.005, 999.995, 45000.061]
+    rows = [(i, v, c) for i, (v, c) in enumerate((v, c) for v in values for c in CODES)]
+    book = Workbook(spark)
+    book.add("t", spark.createDataFrame(rows, "id int, v double, code string"), order=["id"])
+    by_row = {r.id: r.x for r in book.fill({"x": "=TEXT(B2,C2)"}, "t").collect()}
+    names = {f"x{k}": f'=TEXT(B2,"{c}")' for k, c in enumerate(CODES)}
+    constant = {r.id: r for r in book.fill(names, "t").collect()}
+    for i, v, c in rows:
+        assert by_row[i] == constant[i][f"x{CODES.index(c)}"], (v, c)
+
+
+def test_text_by_odd_formats(spark):
+    book = Workbook(spark)
+    odd = ["", None, "0.0.0", "hhh", "yyyyy", "y", "it's d", "[h] {d}", "#,#", "x", "d" * 5000, "-0"]
+    book.add("t", spark.createDataFrame([(i, -1234.5, c) for i, c in enumerate(odd)], "id int, v double, code string"), order=["id"])
+    book.add("u", spark.createDataFrame([(i, 45000.0, c) for i, c in enumerate(odd)], "id int, v double, code string"), order=["id"])
+    got = [r.x for r in sorted(book.fill({"x": "=TEXT(B2,C2)"}, "t").collect(), key=lambda r: r.id)]
+    assert got[2] is None and got[8] == "-1,235" and got[11] == "--1235"
+    dated = [r.x for r in sorted(book.fill({"x": "=TEXT(B2,C2)"}, "u").collect(), key=lambda r: r.id)]
+    assert dated[3:8] == [None, None, None, "it'0 15", "[0] {15}"] and dated[10] is None
+
+
+def test_map_over_several_origins(spark):
+    book = Workbook(spark)
+    a, b = [(i, float(i * 3)) for i in range(40)], [(i, float(i)) for i in range(25)]
+    book.add("a", spark.createDataFrame(a, "id int, v double").repartition(5), order=["id"])
+    book.add("b", spark.createDataFrame(b, "id int, v double").repartition(3), order=["id"])
+    of = lambda f, on="a": [r[0] for r in sorted(((r["c1"], r["_row"]) for r in book.spill(f, on).select("*").collect()), key=lambda r: r[1])] if "_row" in book.spill(f, on).columns else [r[0] for r in book.spill(f, on).collect()]
+    assert sorted(of("=MAP(B2:B26,b!B2:B26,LAMBDA(x,y,x+y))")) == [4.0 * i for i in range(25)]
+    got = of("=MAP(B2:B41,b!B2:B26,LAMBDA(x,y,x-y))")
+    assert sorted(x for x in got if x is not None) == [2.0 * i for i in range(25)] and got.count(None) == 15
+    assert sorted(of("=MAP(SORT(B2:B41,1,-1),SEQUENCE(40),LAMBDA(x,n,x*1000+n))")) == sorted((39 - i) * 3000.0 + i + 1 for i in range(40))
+    assert sorted(of("=MAP(B2:B6,B3:B7,LAMBDA(x,y,x*y))")) == [9.0 * i * (i + 1) for i in range(5)]

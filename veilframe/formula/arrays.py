@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folds import _steps, passed
@@ -406,8 +406,7 @@ def _pivotby(c, args, env):
 def _map(c, args, env):
     f = c.function_of(args[-1], env)
     vecs = [c.eval(a, env) for a in args[:-1]]
-    if all(isinstance(v, Vec) for v in vecs):
-        _same_rows(*vecs)
+    if all(isinstance(v, Vec) and v.sheet is vecs[0].sheet and (v.lo, v.hi) == (vecs[0].lo, vecs[0].hi) for v in vecs):
         inner = c.lifted(vecs[0].sheet, vecs[0].lo, vecs[0].hi, vecs[0].frame())
         cells = [inner.apply(f, [v.cells()[k] for v in vecs]) for k in range(len(vecs[0].columns))]
         return named(inner.scope.build(), [x.col for x in cells], vecs[0].key())
@@ -417,7 +416,26 @@ def _map(c, args, env):
         out = named(inner.scope.build(), [x.col for x in cells])
         out.dense = vecs[0].dense
         return out
-    raise Unsupported("MAP over arrays of different origin")
+    return _map_places(c, f, [placed(c.grid(a, env)) for a in args[:-1]])
+
+
+def _map_places(c, f, grids: list[Grid]) -> Grid:
+    """Arrays of several sheets or computations, place by place: a join on positions; where one has no row the result is an error."""
+    width = len(grids[0].columns)
+    if any(len(g.columns) != width for g in grids):
+        raise Unsupported("MAP over arrays of different widths")
+    rows, own = None, []
+    for k, g in enumerate(grids):
+        own.append([f"m{k}_{i}" for i in range(width)])
+        df = g.df.select("_row", *(F.col(x).alias(n) for x, n in zip(g.columns, own[-1], strict=True)), F.lit(True).alias(f"in_{k}"))
+        rows = df if rows is None else rows.join(df, "_row", "full_outer")
+    cells = [Grid(rows, names).cells() for names in own]
+    inner = c.inner(Scope(rows, None, True))
+    got = [inner.apply(f, [x[i] for x in cells]) for i in range(width)]
+    there = reduce(Column.__and__, (F.col(f"in_{k}").isNotNull() for k in range(len(grids))))
+    out = named(inner.scope.build(), [F.when(there, x.col) for x in got])
+    out.dense = True
+    return out
 
 
 @function("BYROW", whole=True)

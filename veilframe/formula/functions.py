@@ -1041,11 +1041,45 @@ def _textjoin(c, args, env):
 _DATE_CODES = [("yyyy", "yyyy"), ("yy", "yy"), ("mmmm", "MMMM"), ("mmm", "MMM"), ("mm", "MM"), ("m", "M"), ("dddd", "EEEE"), ("ddd", "EEE"), ("dd", "dd"), ("d", "d"), ("hh", "HH"), ("h", "H"), ("ss", "ss"), ("s", "s"), ("am/pm", "a")]
 
 
+#: What a number format is made of: text before, digits, decimals, a percent sign, text behind.
+_NUMBER_CODE = r"^([^#0.,%]*)([#,]*0*)(?:\.(0+))?(%)?([^#0.,%]*)$"
+
+
+def _shown(n: Column, code: Column) -> Column:
+    """A number by the format in its row; null where that is none."""
+    head, digits, decimals, percent, tail = (F.regexp_extract(code, _NUMBER_CODE, k) for k in range(1, 6))
+    places = F.length(decimals)
+    n = n * F.when(percent != "", 100).otherwise(1)
+    by = F.pow(F.lit(10.0), places)
+    rounded = F.signum(n) * F.floor(F.round(F.abs(n) * by, 9) + 0.5) / by
+    body = F.call_function("format_number", rounded, places)
+    bare = F.replace(body, F.lit(","), F.lit(""))
+    zeros = F.length(F.regexp_replace(digits, "[^0]", ""))
+    whole_ = F.replace(bare, F.lit("-"), F.lit(""))
+    padded = F.concat(F.when(rounded < 0, "-").otherwise(""), F.call_function("lpad", whole_, F.greatest(F.length(whole_), zeros + F.when(places > 0, places + 1).otherwise(0)), F.lit("0")))
+    body = F.when(zeros > 1, padded).when(digits.contains(","), body).otherwise(bare)
+    return F.when(code.rlike(_NUMBER_CODE), F.concat(head, body, percent, tail))
+
+
+def _dated(at: Column, code: Column) -> Column:
+    """A date by the format in its row; null where that has runs of letters that mean nothing."""
+    x = F.regexp_replace(F.lower(code), "am/pm", "\x01")
+    ok = ~x.rlike("y{5,}|(?<!y)y(?:yy)?(?!y)|m{5,}|d{5,}|h{3,}|s{3,}")
+    half = x.contains("\x01")
+    x = F.regexp_replace(F.replace(x, F.lit("'"), F.lit("''")), "([^ymdhs\x01]+)", "'$1'")
+    for a, b in (("(?<!m)(?<=h[^dy]{0,60})mm(?!m)", "\x02\x02"), ("(?<!m)(?<=h[^dy]{0,60})m(?!m)", "\x02"), ("dddd", "EEEE"), ("ddd", "EEE")):
+        x = F.regexp_replace(x, a, b)
+    x = F.translate(x, "m\x02\x01", "Mma")
+    x = F.when(half, x).otherwise(F.translate(x, "h", "H"))
+    return F.call_function("date_format", at, F.when(ok, x))
+
+
 @function("TEXT")
 def _text(c, args, env):
     x, f = c.scalar(args[0], env), c.scalar(args[1], env)
     if not isinstance(f.value, str):
-        raise Unsupported("TEXT takes a constant format")
+        code = text(f)
+        return Cell(F.when(code.rlike("(?i)[ymdhs]"), _dated(stamp(x), code)).otherwise(_shown(number(x), code)), "text", const=x.const and f.const)
     code = f.value
     if re.search(r"[ymdhs]", code, re.IGNORECASE):
         out, rest, hours = "", code.lower(), False
