@@ -91,6 +91,8 @@ ON_ORDERS = {
     "concat": ('=CONCAT(C2,"-",A2)', "o_orderstatus || '-' || o_orderkey"),
     "textjoin": ('=TEXTJOIN("|",TRUE,C2,"",A2,F2)', "o_orderstatus || '|' || o_orderkey || '|' || o_orderpriority"),
     "text": ('=TEXT(E2,"yyyy-mm-dd")', "strftime(o_orderdate, '%Y-%m-%d')"),
+    "text_number_by_row": ('=TEXT(A2,REPT("0",MOD(B2,9)+1))', "lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(length(CAST(o_orderkey AS VARCHAR)), o_custkey % 9 + 1) AS INTEGER), '0')"),
+    "text_date_by_row": ('=TEXT(E2,IF(MOD(A2,2)=0,"yyyy/mm/dd","d.m.yy"))', "CASE o_orderkey % 2 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%-d.%-m.%y') END"),
     "text_number": ('=TEXT(A2,"00000")', "lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(5, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0')"),
     "value": ('=VALUE("$"&A2&".5")', "CAST(o_orderkey + 0.5 AS DOUBLE)"),
     "numbervalue": ('=NUMBERVALUE(A2&",25",",",".")', "CAST(o_orderkey + 0.25 AS DOUBLE)"),
@@ -228,6 +230,7 @@ SPILLS = {
     "groupby": ("orders", (), "=GROUPBY(C:C,D:D,SUM)", ["a", "b"], "SELECT CASE WHEN o_orderstatus IS NULL THEN 'Total' ELSE o_orderstatus END AS a, round(sum(o_totalprice), 4) AS b FROM orders GROUP BY ROLLUP (o_orderstatus)", ("b",)),
     "groupby_average": ("customer", (), "=GROUPBY(E:E,D:D,LAMBDA(x,AVERAGE(x)),0,0)", ["a", "b"], "SELECT row_number() OVER (ORDER BY c_mktsegment) - 1 AS _row, c_mktsegment AS a, round(avg(c_acctbal), 4) AS b FROM customer GROUP BY 2", ("b",)),
     "pivotby": ("orders", (), "=PIVOTBY(F:F,C:C,A:A,COUNT)", ["a", "b", "c", "d", "e"], "SELECT '' AS a, 'F' AS b, 'O' AS c, 'P' AS d, 'Total' AS e UNION ALL SELECT coalesce(o_orderpriority, 'Total'), CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS VARCHAR), CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS VARCHAR), CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS VARCHAR), CAST(count(*) AS VARCHAR) FROM orders GROUP BY ROLLUP (o_orderpriority)", ()),
+    "map_two_sheets": ("orders", ("customer",), "=MAP(D:D,customer!D:D,LAMBDA(x,y,x-y))", ["a"], "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _row, o_totalprice FROM orders), c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _row, c_acctbal FROM customer) SELECT _row, round(o_totalprice - c_acctbal, 4) AS a FROM o LEFT JOIN c USING (_row)", ("a",)),
     "map": ("orders", (), "=MAP(D:D,LAMBDA(x,INT(x/1000)))", ["a"], "SELECT floor(o_totalprice / 1000) AS a FROM orders", ()),
     "byrow": ("nation", (), "=BYROW(A:C,LAMBDA(r,SUM(r)))", ["a"], "SELECT n_nationkey AS _row, CAST(n_nationkey + n_regionkey AS DOUBLE) AS a FROM nation", ()),
     "bycol": ("lineitem", (), "=BYCOL(E:H,LAMBDA(c,MAX(c)))", ["a", "b", "c", "d"], "SELECT 0 AS _row, max(l_quantity) AS a, max(l_extendedprice) AS b, max(l_discount) AS c, max(l_tax) AS d FROM lineitem", ()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import headers
-from ..operators import audit, classify, restore
+from ..operators import audit, bench, classify, leakscan, mask, restore
 from .privacy_queries import _FOLDED, _WORDS, _tokens, _words, read
 
 Q: dict = {}
@@ -160,6 +160,18 @@ def _a21(s, d):
     return audit.messages(found, "doc_id")
 
 
+@query("b7_planted_leaks", "SELECT 'raw' AS mode, c_custkey AS body_id, 'Zq' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 10) AS id FROM customer")
+def _b7(s, d):
+    """Canaries in every row: rows that go out as they are leak theirs, and masked ones none."""
+    c, canaries = bench.planted(read(s, d, "customer"), "c_name", 1, "c_custkey")
+    policies = [classify.Policy(letter, letter in "BD", {"B": "stand_in", "D": "range"}.get(letter, "as_is")) for letter in "ABCDE"]
+    masked, _ = mask.mask(c, policies, {"c_name": "PERSON"}, ["c_custkey"])
+    columns = ("c_custkey", "c_name", "c_mktsegment")
+    bodies = lambda df, mode: df.select(F.struct(F.lit(mode).alias("mode"), F.col("c_custkey").alias("key")).alias("body_id"), F.to_json(F.struct(*columns)).alias("body"))
+    found = leakscan.leaks(bodies(c, "raw").union(bodies(masked, "substituted")), canaries.limit(0), canaries)
+    return found.select("body_id.mode", F.col("body_id.key").alias("body_id"), "id")
+
+
 def queries() -> dict:
     return Q
 
