@@ -381,3 +381,32 @@ def test_number_forms_are_those_of_single_values(spark):
     values = ["7", "999", "1000", "12500", "70213", "835000", "1250000", "61250.25", "1234567.5", "0.5", "100000000"]
     df = spark.createDataFrame([(v,) for v in values], "p string").select("p", numbers.number_forms(F.col("p")).alias("x"))
     assert {r.p: set(r.x) for r in df.collect()} == {v: set(numbers.forms(v)) for v in values}
+
+
+def test_forms_are_looked_up_by_one_part_without_loss(spark):
+    from veilframe.operators import parts
+
+    forms = ["abcd", "xabcde", "Customer#01", "Customer#02", "abc", "日本語 text", "12345678"]
+    chosen = parts.chosen(spark.createDataFrame([(f, 0) for f in forms], "form string, salt int"))
+    got = {r["form"]: r for r in chosen.collect()}
+    assert set(got) == set(forms) - {"abc"} and got["Customer#01"]["part"] != got["Customer#02"]["part"] and got["xabcde"]["size"] == 6
+    texts = spark.createDataFrame([(1, "an xabcde"), (2, "ab"), (3, "cd Customer#02日本語 text"), (4, ""), (5, "x12345678Customer#01")], "_row long, text string")
+    met = parts.met(texts, chosen, lambda row: [(row[0], 0)]).join(chosen, "part").select("_row", "form").collect()
+    assert {tuple(r) for r in met} >= {(1, "abcd"), (1, "xabcde"), (3, "Customer#02"), (3, "日本語 text"), (5, "12345678"), (5, "Customer#01")} and (4, "abcd") not in {tuple(r) for r in met}
+
+
+def test_canaries_shorter_than_a_part_are_found_among_many_forms(spark, monkeypatch):
+    monkeypatch.setattr(leakscan, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(leakscan, "AUTOMATON_CHARS", 0)
+    found = leakscan.leaks(spark.createDataFrame([(1, "see Zq!"), (2, "name9 here")], "body_id int, body string"), spark.createDataFrame([("name9",)], "value string"), spark.createDataFrame([("zq!",)], "value string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "canary", "zq!", "canary"), (2, "value", "name9", "exact")]
+
+
+def test_hits_leave_some_at_a_time_and_none_is_lost(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(audit, "MOST_HITS", 3)
+    m = audit.Matcher([(f"c{k}", f"word{k}", "exact", "any") for k in range(9)])
+    b = pa.RecordBatch.from_pydict({"key": pa.array([1, 2, 3, 4], pa.int32()), "text": ["word1 word2", None, "word3 word4 word5", "word6"]})
+    got = list(audit._hits(b, m))
+    assert [x.num_rows for x in got] == [5, 1] and {c for x in got for c in x["column"].to_pylist()} == {f"c{k}" for k in range(1, 7)} and got[0].schema.field("key").type == pa.int32()
