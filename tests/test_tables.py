@@ -1,5 +1,6 @@
 """Rules over whole tables against the same rules value by value, with nulls, repeats, long and empty texts."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -89,3 +90,19 @@ def test_messages(spark):
     for k, hits in ((1, [("B2", "word"), ("A", "exact"), ("A", "word")]), (2, [("C", "exact")]), (None, [("A", "exact")])):
         assert got.pop(k) == audit.Result(False, [], hits).message()
     assert not got
+
+
+@pytest.mark.parametrize("name", ["p7_shapes", "t15_loose_dates"])
+def test_keys_of_many_digits_give_what_the_sql_gives(spark, tmp_path, name):
+    """Orders whose keys have six and seven digits, too long for a house's number and for eight digits after 99000000."""
+    import duckdb
+
+    from veilframe.plans import catalogue
+
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    many = o.withColumn("o_orderkey", o.o_orderkey + 1_234_500).union(o.withColumn("o_orderkey", o.o_orderkey + 123_456))
+    many.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(c.execute(catalogue.oracle_sql()[name]).fetchall())
+    assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect())) == want and want
