@@ -410,3 +410,20 @@ def test_hits_leave_some_at_a_time_and_none_is_lost(spark, monkeypatch):
     b = pa.RecordBatch.from_pydict({"key": pa.array([1, 2, 3, 4], pa.int32()), "text": ["word1 word2", None, "word3 word4 word5", "word6"]})
     got = list(audit._hits(b, m))
     assert [x.num_rows for x in got] == [5, 1] and {c for x in got for c in x["column"].to_pylist()} == {f"c{k}" for k in range(1, 7)} and got[0].schema.field("key").type == pa.int32()
+
+
+def test_codes_behind_other_digits_are_none_also_among_many_customers(spark, tmp_path):
+    """Customers from 30,000 on, whose codes have six digits and begin with 1."""
+    import duckdb
+
+    from veilframe.plans import catalogue
+
+    c = spark.createDataFrame([(k, f"Customer#{k:09d}", 1, 1.0, "X") for k in range(30_000, 50_000, 1)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    c.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    o = spark.range(300).selectExpr("id as o_orderkey", "30000 + id as o_custkey")
+    o.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    for t in ("orders", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(db.execute(catalogue.oracle_sql()["a13_codes_of_customers"]).fetchall())
+    assert sorted(map(tuple, catalogue.queries()["a13_codes_of_customers"](spark, str(tmp_path)).collect())) == want and want
