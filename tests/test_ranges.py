@@ -118,6 +118,17 @@ def test_filled_formulas(spark):
         assert {names[n]: [r[n] for r in got] for n in some} == {names[n]: FILLED[names[n]] for n in some}
 
 
+def test_ranges_from_a_fixed_row_on_ask_for_one_order(spark, monkeypatch):
+    """B$2:B2 goes by one running aggregate, whichever of its ends is read first."""
+    from veilframe.formula import functions
+
+    monkeypatch.setattr(functions, "below_both", None)
+    book = Workbook(spark)
+    book.add("t", spark.createDataFrame(ROWS, "id long, k string, v double"), ["id"])
+    got = sorted(book.fill({"n": "=COUNTIF(B$2:B2,B2)", "m": "=COUNTIF(B2:B$2,B2)", "s": "=SUMIF(B$2:B3,B2,C$2:C3)"}, "t").collect(), key=lambda r: r.id)
+    assert [(r.n, r.m, r.s) for r in got] == [(1, 1, 10), (1, 1, 20), (2, 2, 40), (1, 1, 40)]
+
+
 @pytest.mark.parametrize("formula", ["=MEDIAN(C2:C3)", "=SUM(C2:C3*2)", "=XLOOKUP(A2,A2:A3,C2:C3)", "=SUM(FILTER(C:C,B:B=B2))", "=SORT(C2:C3)", "=SUM(A1:C2 B1:C3)", '=COUNTIFS(A:A,">"&A2,C:C,">"&C2,A:A,"<"&C2)'])
 def test_what_isnt_built_is_refused(spark, formula):
     book = Workbook(spark)
