@@ -427,3 +427,13 @@ def test_codes_behind_other_digits_are_none_also_among_many_customers(spark, tmp
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = sorted(db.execute(catalogue.oracle_sql()["a13_codes_of_customers"]).fetchall())
     assert sorted(map(tuple, catalogue.queries()["a13_codes_of_customers"](spark, str(tmp_path)).collect())) == want and want
+
+
+@pytest.mark.parametrize("name", ["a1_audit", "a4_envelope", "a16_number_forms"])
+def test_rules_over_a_table_are_dealt_out(spark, sf_dir, name):
+    """A table of few bytes is one split; the costly work on each of its rows isn't one task's."""
+    from veilframe.plans import rule_queries
+
+    df = rule_queries.Q[name](spark, sf_dir)
+    held = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(held) == 4 and max(held) < sum(held) / 2
