@@ -46,6 +46,16 @@ def test_below_both(tables, monkeypatch, a, b, leaf):
     compare(R.below_both(p, q, ["k"], ("x", a), ("y", b), STATES), want)
 
 
+def test_below_both_sorts_rows_a_fixed_number_of_times(spark, tables, monkeypatch):
+    """No running aggregate over copies of rows for each level; points without a value add nothing."""
+    points, queries, p, q = tables
+    monkeypatch.setattr(R, "LEAF", 32)
+    monkeypatch.setattr(R, "below", None)
+    some = p.withColumns({n: F.when(F.col("y") % 3 > 0, F.col(n)) for n in STATES})
+    want = {i: [v for _, x, y, v, _ in points if y % 3 and None not in (x, xq) and x < xq and y >= yq] for _, xq, yq, i in queries}
+    compare(R.below_both(some.drop("k"), q.drop("k"), [], ("x", "<"), ("y", ">="), STATES), want)
+
+
 @pytest.fixture(scope="module")
 def placed(spark):
     r = random.Random(2)

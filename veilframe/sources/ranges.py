@@ -1,6 +1,6 @@
 """Aggregates over other rows: those below a value, those inside two bounds, and those in a window of positions.
 
-All work by range sorts, dyadic blocks and equi-joins: no window is unpartitioned over rows, no join is nested, and a
+All work by range sorts, cuts of two orders, dyadic blocks and equi-joins: no window is unpartitioned over rows, no join is nested, and a
 key or a value that very many rows share is a segment of the sort that may go over several partitions.
 
 States are aggregates that can be joined (sum, product, least, greatest): {column: how}.  What no row adds to is null.
@@ -8,6 +8,8 @@ States are aggregates that can be joined (sum, product, least, greatest): {colum
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,39 +81,88 @@ def below(points: DataFrame, queries: DataFrame, keys: list[str], value: str, op
     return running_by(a.unionByName(b), keys, [place, F.col("_side").asc()], states).where(~F.col("_point")).select(*own, *states)
 
 
-#: Positions of a leaf: inside it pairs are compared, above it blocks of leaves are searched.
-LEAF = 64
+#: Positions of a cell's side: rows that one task compares by both orders at once.
+LEAF = 1 << 16
+_JOIN = {"sum": (np.add, 0.0), "product": (np.multiply, 1.0), "max": (np.maximum, -np.inf), "min": (np.minimum, np.inf)}
 
 
 def below_both(points: DataFrame, queries: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str], states: dict[str, str]) -> DataFrame:
-    """As ``below`` with two conditions (value, op); the queries have a column ``_id``, the result _id and states.
+    """As ``below`` with two conditions (value, op); the queries have a column ``_id``, the result _id and states (doubles).
 
-    Points and queries get a common position in the order of the first value.  All points before a query are the
-    blocks of leaves that the bits of its leaf's number name: in each, the second condition is one running
-    aggregate.  A row is in as many blocks as the number of leaves has bits.
+    Points and queries get a common position by the keys and the first value, and one by the keys and the second.  Each is
+    cut every LEAF positions.  The points before a query in both are those of its own cut of the first order, those of its
+    own cut of the second that are in an earlier one of the first, and whole cells of the grid of both, of which running
+    aggregates are a table.  Rows are sorted and dealt out a fixed number of times, however many there are.
     """
     (x, x_op), (y, y_op) = first, second
-    down, after = _side(x_op)
-    kinds = dict(points.dtypes)
-    a = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y, *states, F.lit(None).cast("long").alias("_id"), F.lit(1 - after).alias("_s"))
-    b = queries.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y, *(F.lit(None).cast(kinds[n]).alias(n) for n in states), "_id", F.lit(after).alias("_s"))
-    placed = numbered(a.unionByName(b), F.col(x).desc() if down else F.col(x).asc(), F.col("_s").asc(), name="_i").withColumn("_leaf", F.floor(F.col("_i") / LEAF))
-    most = placed.agg(F.max("_leaf")).first()[0] or 0
-    is_point = F.col("_id").isNull()
-    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, most.bit_length() - 1)))).alias("_level")
-    at = F.expr("shiftright(_leaf, _level)")
-    spread = placed.select("*", levels).withColumn("_at", at)
-    left = spread.where(is_point & (F.col("_at") % 2 == 0)).withColumnRenamed("_at", "_block").select(*keys, "_level", "_block", y, *states)
-    right = spread.where(~is_point & (F.col("_at") % 2 == 1)).withColumn("_block", F.col("_at") - 1).select(*keys, "_level", "_block", y, "_id")
-    far = below(left, right, [*keys, "_level", "_block"], y, y_op, states)
-    p = placed.where(is_point).select("_leaf", F.col("_i").alias("_pi"), F.col(y).alias("_py"), *(F.col(k).alias(f"_p{k}") for k in keys), *states)
-    q = placed.where(~is_point).select(F.col("_leaf").alias("_qleaf"), "_i", y, *keys, "_id")
-    met = {"<": F.col("_py") < F.col(y), "<=": F.col("_py") <= F.col(y), ">": F.col("_py") > F.col(y), ">=": F.col("_py") >= F.col(y)}[y_op]
-    on = (F.col("_leaf") == F.col("_qleaf")) & (F.col("_pi") < F.col("_i")) & met
-    for k in keys:
-        on = on & F.col(f"_p{k}").eqNullSafe(F.col(k))
-    near = q.join(p, on).select("_id", *states)
-    return folded(far.unionByName(near), ["_id"], states)
+    (x_down, x_after), (y_down, y_after) = _side(x_op), _side(y_op)
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a = points.where(known).select(*keys, x, y, *(F.col(n).cast("double").alias(n) for n in states), F.lit(-1).cast("long").alias("_id"), F.lit(1 - x_after).alias("_s"), F.lit(1 - y_after).alias("_t"), F.lit(True).alias("_point"))
+    b = queries.where(known).select(*keys, x, y, *(F.lit(None).cast("double").alias(n) for n in states), F.col("_id").cast("long").alias("_id"), F.lit(x_after).alias("_s"), F.lit(y_after).alias("_t"), F.lit(False).alias("_point"))
+    placed = numbered(a.unionByName(b), *keys, F.col(x).desc() if x_down else F.col(x).asc(), F.col("_s").asc(), name="_i").drop(x, "_s")
+    placed = numbered(placed, *keys, F.col(y).desc() if y_down else F.col(y).asc(), F.col("_t").asc(), name="_j").drop(y, "_t")
+    placed = placed.withColumns({"_bx": F.floor(F.col("_i") / LEAF), "_by": F.floor(F.col("_j") / LEAF)})
+    schema = f"_id long, {', '.join(f'{n} double' for n in states)}"
+
+    def within(order: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            code = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+            point = pdf["_point"].to_numpy()
+            at = np.lexsort((point, pdf[order].to_numpy(), code))  # of one place queries first: its points aren't before them
+            got = _before(code[at], pdf["_j"].to_numpy()[at], {n: pdf[n].to_numpy(float)[at] for n in states}, states)
+            asks = ~point[at]
+            return pd.DataFrame({"_id": pdf["_id"].to_numpy()[at][asks], **{n: v[asks] for n, v in got.items()}})
+
+        return run
+
+    rows = placed.select(*keys, "_id", "_point", "_i", "_j", "_bx", "_by", *states)
+    near = rows.groupBy("_bx").applyInPandas(within("_i"), schema).unionByName(rows.groupBy("_by").applyInPandas(within("_bx"), schema))
+    # cells that are before in both orders; a key that is in one cut of either has none
+    whole = placed.withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+    cells = whole.groupBy("_key", "_bx", "_by").agg(*(HOW[how](n).alias(n) for n, how in states.items()))
+    sides = cells.groupBy("_key").agg(F.array_sort(F.collect_set("_bx")).alias("_xs"), F.array_sort(F.collect_set("_by")).alias("_ys")).where((F.size("_xs") > 1) & (F.size("_ys") > 1))  # a number for each LEAF rows
+    grid = sides.select("_key", F.explode("_xs").alias("_bx"), "_ys").select("_key", "_bx", F.explode("_ys").alias("_by"))
+    g, e = grid.alias("g"), cells.alias("e")
+    full = g.join(e, F.expr("g._key <=> e._key AND g._bx = e._bx AND g._by = e._by"), "left").select("g.*", *(f"e.{n}" for n in states))
+    for along, of in (("_by", "_bx"), ("_bx", "_by")):
+        w = Window.partitionBy("_key", of).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        full = full.select("_key", "_bx", "_by", *(HOW[how](n).over(w).alias(n) for n, how in states.items()))
+    asked = whole.where(~F.col("_point")).select("_key", "_bx", "_by", "_id").alias("q")
+    far = asked.join(full.alias("f"), F.expr("q._key <=> f._key AND q._bx = f._bx AND q._by = f._by")).select("q._id", *(f"f.{n}" for n in states))
+    return folded(near.unionByName(far), ["_id"], states)
+
+
+def _before(code: np.ndarray, order: np.ndarray, values: dict[str, np.ndarray], states: dict[str, str]) -> dict[str, np.ndarray]:
+    """For each row, the states of the rows of its code that stand before it and are less in ``order``; NaN is no value.
+
+    Rows stand by their code.  Halves of ever larger blocks meet: sorted by ``order``, the right half's rows take what has
+    run up of the left half's.  Only the code that goes over the middle is in both.
+    """
+    n, size = len(code), 1 << max(1, (len(code) - 1).bit_length())
+    fill = lambda v, by: np.concatenate([v, np.full(size - n, by, v.dtype)])
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(order, kind="stable")] = np.arange(n)
+    rank, code = fill(rank, n), fill(code, -1)
+    own, got = {}, {}
+    for name, v in values.items():
+        join, none = _JOIN[states[name]]
+        blank = np.isnan(v)
+        own[name] = [(join, fill(np.where(blank, none, v), none), none), (np.add, fill((~blank).astype(float), 0.0), 0.0)]
+        got[name] = [np.full(size, none), np.zeros(size)]
+    half = 1
+    while half < size:
+        wide = lambda v: v.reshape(-1, 2 * half)
+        at = np.argsort(wide(rank), axis=1, kind="stable")
+        left = at < half
+        shared = np.take_along_axis(wide(code), at, 1) == wide(code)[:, half - 1 : half]
+        gives, takes = left & shared, ~left & shared
+        for name in values:
+            for (join, v, none), out in zip(own[name], got[name], strict=True):
+                run = join.accumulate(np.where(gives, np.take_along_axis(wide(v), at, 1), none), axis=1)
+                old = np.take_along_axis(wide(out), at, 1)
+                np.put_along_axis(wide(out), at, np.where(takes, join(old, run), old), 1)
+        half *= 2
+    return {name: np.where(some > 0, v, np.nan)[:n] for name, (v, some) in got.items()}
 
 
 # ---------------------------------------------------------------- bounds and windows of positions
