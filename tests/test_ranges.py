@@ -73,6 +73,19 @@ def test_inside(spark, placed, monkeypatch, block):
     compare(df, {i: values[max(0, lo) : max(0, hi + 1)] for i, lo, hi in asked})
 
 
+def test_inside_deals_rows_out_by_their_number(spark, placed, monkeypatch):
+    """A task's sorts don't grow with the table: there are more tasks."""
+    from veilframe.sources import rows
+
+    values, points = placed
+    monkeypatch.setattr(rows, "TASK_ROWS", 16, raising=False)
+    monkeypatch.setattr(R, "BLOCK", 8)
+    asked = spark.range(230).select(F.col("id").alias("_id"), F.col("id").alias("_lo"), (F.col("id") + 40).alias("_hi"))
+    df = R.inside(points, asked, STATES, 229)
+    assert df.rdd.getNumPartitions() == 15
+    compare(df, {i: values[i : i + 41] for i in range(230)})
+
+
 @pytest.mark.parametrize("lo,hi", [(0, 2), (-5, -1), (-3, 4), (3, 9), (0, 0)])
 def test_sliding(spark, placed, monkeypatch, lo, hi):
     values, points = placed

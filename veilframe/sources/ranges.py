@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import _ranged, numbered
+from .rows import _ranged, dealt, numbered
 
 HOW = {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min}
 
@@ -179,7 +179,8 @@ def inside(points: DataFrame, queries: DataFrame, states: dict[str, str], end: i
     """
     q = queries.select("_id", F.greatest("_lo", F.lit(0)).alias("_lo"), F.least("_hi", F.lit(end)).alias("_hi")).where("_lo <= _hi")
     q = q.withColumns({"_a": F.floor(F.col("_lo") / BLOCK), "_b": F.floor(F.col("_hi") / BLOCK)})
-    blocked = points.select("_row", *states).withColumn("_block", F.floor(F.col("_row") / BLOCK))
+    # all joins are dealt out by the number of rows, so that what a task sorts doesn't grow with it
+    blocked = dealt(points.select("_row", *states).withColumn("_block", F.floor(F.col("_row") / BLOCK)), end, "_block")
     # both ends in one block: that block's points, at most BLOCK
     lists = blocked.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_row", *states))).alias("_of"))
 
@@ -187,13 +188,13 @@ def inside(points: DataFrame, queries: DataFrame, states: dict[str, str], end: i
         some = F.filter("_of", lambda s: (s["_row"] >= F.col("_lo")) & (s["_row"] <= F.col("_hi")) & s[n].isNotNull())
         return F.aggregate(F.transform(some, lambda s: s[n]), F.lit(None).cast(dict(points.dtypes)[n]), lambda u, v: join2(how, u, v)).alias(n)
 
-    same = q.where("_a = _b").join(lists, F.col("_a") == F.col("_block")).select("_id", *(within(n, how) for n, how in states.items()))
+    same = dealt(q.where("_a = _b"), end, "_a").join(lists, F.col("_a") == F.col("_block")).select("_id", *(within(n, how) for n, how in states.items()))
     up = Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("_block").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
     begins = blocked.select(F.col("_row").alias("_hi"), *(HOW[how](n).over(up).alias(n) for n, how in states.items()))
     ends = blocked.select(F.col("_row").alias("_lo"), *(HOW[how](n).over(down).alias(n) for n, how in states.items()))
     wide = q.where("_a < _b")
-    parts = [wide.join(begins, "_hi").select("_id", *states), wide.join(ends, "_lo").select("_id", *states)]
+    parts = [same, dealt(wide, end, "_hi").join(begins, "_hi").select("_id", *states), dealt(wide, end, "_lo").join(ends, "_lo").select("_id", *states)]
     most = end // BLOCK
     if most > 1:
         middle = wide.where("_b - _a > 1").select("_id", (F.col("_a") + 1).alias("_a"), (F.col("_b") - 1).alias("_b"))
@@ -206,11 +207,11 @@ def inside(points: DataFrame, queries: DataFrame, states: dict[str, str], end: i
         table = table.withColumn("_from", F.when(F.col("_half") % 2 == 1, F.col("_block")).otherwise(-F.col("_block")))
         table = running_by(table, ["_level", "_half"], [F.col("_from").asc()], states).select("_level", "_block", *states)
         both = middle.select("_id", "_level", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
-        parts.append(both.join(table, ["_level", "_block"]).select("_id", *states))
+        parts.append(dealt(both, 2 * end, "_level", "_block").join(table, ["_level", "_block"]).select("_id", *states))
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.unionByName(x)
-    return same.unionByName(folded(whole, ["_id"], states))
+    return folded(dealt(whole, end, "_id"), ["_id"], states)
 
 
 #: Rows whose windows are computed together, and the widest window that is gone through row by row.
