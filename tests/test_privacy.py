@@ -447,3 +447,16 @@ def test_spans_of_a_long_text_cost_no_more_each():
     began = time.process_time()
     assert s.replace("Tolan an_ titan  Mirek  tolan. " * 12_000) == "PERSON_001 an_ titan  PERSON_003. " * 12_000
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_candidates_of_many_words(spark, monkeypatch, most):
+    """Words that are too many to broadcast meet the chosen values of each part, not all values that share it."""
+    monkeypatch.setattr(partial, "BROADCAST_WORDS", most)
+    names = [f"Buyer{k % 9}  Tolan{k:03d}" for k in range(90)]
+    cells = spark.createDataFrame([(n, f"A{k}") for k, n in enumerate(names + names[:5])], "value string, cell string")
+    tokens = spark.createDataFrame([(n, f"P{n[-3:]}", "PERSON") for n in names], "value string, token string, kind string")
+    words = spark.createDataFrame([("buyer0",), ("buyer1",), ("buyer1",), ("tolan077",), ("nobody",)], "part string")
+    got = sorted((r.part, r["rank"], r.value, r["count"], r.of_all) for r in partial.candidates(words, cells, tokens).collect())
+    want = [(f"buyer{b}", i + 1, n, 2 if names.index(n) < 5 else 1, 10) for b in (0, 1) for i, n in enumerate(names[b::9])]
+    assert got == sorted([*want, ("tolan077", 1, names[77], 1, 1)])
