@@ -355,6 +355,23 @@ def test_dates_of_long_texts_are_those_of_the_whole(monkeypatch):
         assert near and all(text[f.start : f.end].strip() for f in near)
 
 
+def test_days_of_a_sentence_are_not_those_of_keys_before_it(spark, tmp_path):
+    """A key in hexadecimal digits may hold a day; the query's SQL names those of the last sentence, for each row."""
+    import duckdb
+
+    from veilframe.plans import privacy_queries as P
+
+    texts = ['token = "707ad863c244b364f2feb89d3a3d2509efb86696" thanly', "due 2001-02-03 | due 3.4.2005 |", None, "", "12", "plain", "1999-12", "x" * 700 + " 4 May 1999"]
+    ids = [*range(len(texts) * 3), 5, None]
+    spark.createDataFrame([(k, texts[(k or 0) % len(texts)]) for k in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.sql(P.SQL["t13_find_dates"]).fetchall()
+    order = lambda x: (x[0] is None, x)
+    assert dates.find_dates(texts[0])[0].dates == ("1989-02-02", "2089-02-02")  # as the rule has it, also inside a word
+    assert sorted(map(tuple, P.Q["t13_find_dates"](spark, str(tmp_path)).collect()), key=order) == sorted(want, key=order)
+
+
 def test_lineage_by_joins_is_that_of_plain_loops(spark):
     r = random.Random(12)
     for private in (0.1, 0.0):
