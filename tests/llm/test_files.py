@@ -316,3 +316,18 @@ def test_rows_are_judged_by_themselves(spark, monkeypatch, most):
     it = spark.createDataFrame([(1, item), (1, item), (None, other), (4, None), (5, " ")], "item_id long, text string")
     got = sorted(((x["doc_id"], x["item_id"], x["matched"], x["item_shingles"]) for x in op04_decontaminate.contaminated(frame(spark, data), it).collect()), key=str)
     assert got == sorted([(None, 1, 46, 46), (8, 1, 46, 46), (9, None, 16, 16)], key=str)
+
+
+def test_a_word_is_encoded_once_for_its_forms():
+    """Capitals, also of Latin-1, and stops add no words to encode; the ids are those of the whole texts."""
+    from veilframe.llm import tokens
+
+    e = tokens.Encoder(tokens.default_path())
+    asked, plain = [], e._ids
+    e._ids = lambda parts, *by: asked.extend(parts) or plain(parts, *by)
+    texts = ["Éthovar éthovar, ÉTHOVAR. Éthovar.", "Zorblat, zorblat ZORBLAT. zorblat,\nZorblat.", "ΣΑΣ, zorblat. Zorblat", "a.. b., 'S. it's, 3.14. ., %%%. <|endoftext|>. <|ENDOFTEXT|>, Zorblat", "É́. ﬁ, ª. µ, ß. ², ÿ\xa0Ÿ\x85x. ", "", " . , "]
+    got = [e.encode([x])[0] for x in texts[:2]]
+    assert sorted(asked) == ["zorblat", "éthovar"]
+    got += e.encode(texts[2:])
+    assert got == plain(texts) and e.encode(texts) == got
+    assert e.bare and e._of_words(["zorblat", "éthovar", "ǆ", "3.14", "Σ"]) == plain(["zorblat", "éthovar", "ǆ", "3.14", "Σ"])
