@@ -12,6 +12,7 @@ from fixtures import frame, rows, sentence
 from pyspark.sql import functions as F
 
 from veilframe.llm import graph, op02_suffix, op03_exact, op10_jaccard
+from veilframe.llm.common import text_chunks
 
 
 def lower(b: bytes) -> bytes:
@@ -124,6 +125,30 @@ def test_difference_cover_ranks():
             assert len(set(ranks.tolist())) == n
 
 
+def test_anchors_are_hashed_in_small_pieces(monkeypatch):
+    """Each window's anchor is the leftmost of its smallest hashes; texts of a batch are hashed in pieces that fit a cache."""
+    r = random.Random(5)
+    texts = [None if k % 9 == 0 else "".join(r.choice("ab") for _ in range(r.choice([0, 1, 99, 100, 101, 132, 300]))) for k in range(800)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(800)), "text": texts, "cls": list(range(800))})
+    sizes, hashes = [], op02_suffix.gram_hashes
+    monkeypatch.setattr(op02_suffix, "gram_hashes", lambda data: sizes.append(len(data)) or hashes(data))
+    list(op02_suffix._deal_anchors(np.arange(4), 100, np.zeros(0, np.uint64))([batch]))
+    assert len(sizes) > 1 and max(sizes) <= 1 << 16
+    (t,) = text_chunks(batch)
+    want = []
+    for i in range(len(t)):
+        lo, hi = int(t.offsets[i]), int(t.offsets[i + 1])
+        for p in range(lo, hi - 99):
+            h = hashes(t.data[p : p + 100]) >> np.uint64(28)
+            at = p + int(h.argmin())
+            if want and want[-1][:2] == [i, at]:
+                want[-1][3] = p
+            else:
+                want.append([i, at, p, p])
+    row, at, _, first, last = op02_suffix.anchors(t)
+    assert np.stack([row, at, first, last], 1).tolist() == want
+
+
 def test_repeats_name_all_but_the_earliest():
     a, b = b"q" * 20 + bytes(range(97, 123)) * 6, bytes(range(97, 123)) * 6 + b"q" * 20
     of, offset = op02_suffix.repeats([a, b], 100)

@@ -45,6 +45,8 @@ SORT_BYTES = 600_000
 SHARE, HOT_ANCHORS = 16, 100_000
 #: Anchors that a task deals out at a time, and contexts that it remembers.
 DEALT, SEEN = 200_000, 200_000
+#: Bytes of text whose windows are hashed at a time: so few that the arrays stay in a core's cache.
+HASHED = 1 << 16
 _PLACE = np.uint64((1 << 28) - 1)
 _FIRST = -(1 << 63)
 
@@ -77,17 +79,20 @@ def anchors(t, width: int = WIDTH):
     h = gram_hashes(t.data)
     place = np.arange(len(h), dtype=np.uint64) & _PLACE
     m = smallest((h & ~_PLACE) | place, width - GRAM + 1)
-    start = np.arange(len(m))
-    row = np.searchsorted(t.offsets, start, "right") - 1
-    ok = start + width <= t.offsets[row + 1]
-    start, row, at = start[ok], row[ok], (m[ok] & _PLACE).astype(np.int64)
-    if not len(start):
+    ok = np.ones(len(m) + 1, bool)  # windows inside one row; between those of two rows there are others
+    for end in t.offsets[1:].tolist():
+        ok[max(end - width + 1, 0) : end] = False
+    ok[len(m)] = False
+    turn = m[1:] != m[:-1]
+    new, done = ok[:-1].copy(), ok[:-1].copy()
+    new[1:] &= ~ok[:-2] | turn
+    done[:-1] &= ~ok[1:-1] | turn
+    first, last = np.flatnonzero(new), np.flatnonzero(done)
+    if not len(first):
         return none
-    at += (start >> 28 << 28) + np.where(at < (start & int(_PLACE)), 1 << 28, 0)
-    new = np.concatenate(([True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return row[first], at[first], h[at[first]], start[first], start[last]
+    at = (m[first] & _PLACE).astype(np.int64)
+    at += (first >> 28 << 28) + np.where(at < (first & int(_PLACE)), 1 << 28, 0)
+    return np.searchsorted(t.offsets, first, "right") - 1, at, h[at], first, last
 
 
 def _ids(t) -> np.ndarray:
@@ -105,7 +110,7 @@ def _often(width, least):
             return pa.RecordBatch.from_arrays([pa.array(h[times >= least].astype(np.int64)), pa.array(times[times >= least])], names=["h", "n"])
 
         for b in batches:
-            for t in text_chunks(b):
+            for t in text_chunks(b, HASHED):
                 row, _, h, _, _ = anchors(t, width)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
@@ -165,7 +170,7 @@ def _deal_anchors(keys, width, known):
         join = lambda: pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
         for b in batches:
             base, digests = 0, b.column(b.schema.get_field_index("cls")).to_numpy()
-            for t in text_chunks(b):
+            for t in text_chunks(b, HASHED):
                 row, at, h, _, _ = anchors(t, width)
                 held.append((_ids(t), digests[base : base + len(t)], row + docs, at - t.offsets[row], h))
                 base, docs, count = base + len(t), docs + len(t), count + len(row)
@@ -232,15 +237,23 @@ class _Spans:
     """Removed stretches by document (id and digest), given out as one row per document."""
 
     def __init__(self):
-        self.doc, self.cls, self.lo, self.hi = [], [], [], []
+        self.parts, self.ones = [], []
+
+    def __len__(self):
+        return len(self.parts) + len(self.ones)
 
     def add(self, doc, cls, lo, hi):
-        self.doc.append(doc), self.cls.append(cls), self.lo.append(lo), self.hi.append(hi)
+        self.parts.append((doc, cls, lo, hi))
+
+    def add_one(self, doc, cls, lo, hi):
+        self.ones.append((doc, cls, lo, hi))
 
     def rows(self):
-        if not self.doc:
+        if not len(self):
             return
-        doc, cls, lo, hi = (np.concatenate([np.atleast_1d(v) for v in x]).astype(np.int64) for x in (self.doc, self.cls, self.lo, self.hi))
+        if self.ones:
+            self.parts.append(np.array(self.ones, np.int64).T)
+        doc, cls, lo, hi = (np.concatenate(x).astype(np.int64) for x in zip(*self.parts, strict=True))
         self.__init__()
         order = np.lexsort((lo, cls, doc))
         doc, cls, lo, hi = doc[order], cls[order], lo[order], hi[order]
@@ -276,7 +289,7 @@ def _contexts(width):
         for b in batches:
             places, digests = b.column(b.schema.get_field_index("places")), b.column(b.schema.get_field_index("cls")).to_pylist()
             base = 0
-            for t in text_chunks(b):
+            for t in text_chunks(b, HASHED):
                 row, at, h, lo, hi = anchors(t, width)
                 ids, raw = _ids(t), t.data.tobytes()
                 edges = np.searchsorted(row, np.arange(len(t) + 1))
@@ -289,18 +302,23 @@ def _contexts(width):
                     k = np.searchsorted(own, wanted >> 1)
                     ok = (k < len(own)) & (own[np.minimum(k, len(own) - 1)] == wanted >> 1) if len(own) else np.zeros(len(wanted), bool)
                     doc, cls, off = int(ids[i]), digests[base + i], int(t.offsets[i])
-                    for j, flag in zip((k[ok] + edges[i]).tolist(), (wanted[ok] & 1).tolist(), strict=True):
-                        a, z = int(lo[j]), int(hi[j])
-                        pieces = [(None, p, p + width) for p in range(a, z + 1)] if flag else [(int(h[j].astype(np.int64)), a, z + width)]
-                        for key, p, q in pieces:
+                    k = k[ok] + edges[i]
+                    for key, a, z, flag in zip(h[k].view(np.int64).tolist(), lo[k].tolist(), hi[k].tolist(), (wanted[ok] & 1).tolist(), strict=True):
+                        for p, q in [(p, p + width) for p in range(a, z + 1)] if flag else ((a, z + width),):
                             text = raw[p:q]
-                            mark = hashlib.blake2b(text, digest_size=16).digest() + (b"" if key is None else b"+")
-                            first = seen.setdefault(mark, (doc, p - off))
-                            if first < (doc, p - off):
-                                spans.add(doc, cls, p - off, q - off)
+                            mark = hashlib.blake2b(text, digest_size=16).digest()
+                            if flag:
+                                key = int.from_bytes(mark[:8], "little", signed=True)
+                            else:
+                                mark += b"+"
+                            here = doc, p - off
+                            first = seen.setdefault(mark, here)
+                            if first < here:
+                                spans.add_one(doc, cls, p - off, q - off)
                                 continue
-                            seen[mark] = (doc, p - off)
-                            rows.append((int.from_bytes(mark[:8], "little", signed=True) if key is None else key, doc, cls, p - off, text))
+                            if first is not here:
+                                seen[mark] = here
+                            rows.append((key, doc, cls, p - off, text))
                             size += q - p
                     if size >= 4 << 20:
                         yield flush(rows)
@@ -356,7 +374,6 @@ def suffix_ranks(s: np.ndarray, span: int, width: int) -> np.ndarray:
         gap = np.zeros(1, np.int64)  # between the two halves, below all names
         r = suffix_ranks(np.concatenate((named[: len(one)], gap, named[len(one) :])) + 1, span * 3, width)
         named = np.concatenate((r[: len(one)], r[len(one) + 1 :]))
-        named = np.unique(named, return_inverse=True)[1] + 1
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = named
     big = int(named.max()) + 1
@@ -441,10 +458,10 @@ def _find(width):
                     key, held = k, {}
                 first = held.setdefault(text, (doc, at, [cls]))
                 if first[:2] != (doc, at):
-                    spans.add(doc, cls, at, at + len(text))
+                    spans.add_one(doc, cls, at, at + len(text))
                 elif cls not in first[2]:
                     first[2].append(cls)
-            if len(spans.doc) > 100_000:
+            if len(spans) > 100_000:
                 yield from _span_batches(spans)
         if len(held) > 1:
             groups.append([(w[0], w[1], w[2][0], x, w[2]) for x, w in held.items()])
