@@ -86,6 +86,41 @@ def test_inside_deals_rows_out_by_their_number(spark, placed, monkeypatch):
     compare(df, {i: values[i : i + 41] for i in range(230)})
 
 
+def test_inside_sorts_no_queries(spark, placed, monkeypatch):
+    """Queries pass by what they look up: many may share an end, and nothing of theirs is put together again by a sort or an aggregate."""
+    from veilframe.sources import rows
+
+    values, points = placed
+    monkeypatch.setattr(R, "BLOCK", 8)
+    asked = spark.range(400).select(F.col("id").alias("_id"), F.lit(3).cast("long").alias("_lo"), F.when(F.col("id") % 2 == 0, 220).otherwise(F.col("id")).cast("long").alias("_hi"))
+    asked = asked.withColumn("_lo", F.least("_lo", "_hi"))
+    df = R.inside(points, asked, STATES, 229)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    aggregates = [x for x in plan.splitlines() if "HashAggregate" in x or "SortAggregate" in x]
+    assert aggregates and not any("_id" in x for x in aggregates)
+    compare(df, {i: values[min(3, hi) : hi + 1] for i in range(400) for hi in [220 if i % 2 == 0 else i]})
+    monkeypatch.setattr(rows, "TASK_ROWS", 50)
+    assert R.inside(points, asked, STATES, 229, 400).rdd.getNumPartitions() == 8  # by the larger of both numbers
+
+
+def test_positions_are_sorted_by_a_known_number_of_rows(spark, monkeypatch):
+    """A sheet's range sort, and one whose rows are known, gets more tasks as it grows, not larger ones."""
+    from veilframe.sources import rows
+
+    monkeypatch.setattr(rows, "TASK_ROWS", 16)
+    told, ranged = [], rows._ranged
+    monkeypatch.setattr(rows, "_ranged", lambda df, keys, *n: told.extend(n) or ranged(df, keys, *n))
+    book = Workbook(spark)
+    sheet = book.add("t", spark.range(230).withColumn("v", F.col("id") * 2.0), ["id"])
+    assert [r._row for r in sheet.rows().orderBy("id").collect()] == list(range(230))
+    assert told == [230] and sheet.end == 229
+    parts = ranged(spark.range(230), ["id"], 230).groupBy("_part").count().collect()
+    assert len(parts) > 8 and max(r["count"] for r in parts) <= 48
+    empty = book.add("none", spark.range(0), ["id"])
+    assert empty.rows().count() == 0 and empty.end == -1
+
+
 @pytest.mark.parametrize("lo,hi", [(0, 2), (-5, -1), (-3, 4), (3, 9), (0, 0)])
 def test_sliding(spark, placed, monkeypatch, lo, hi):
     values, points = placed

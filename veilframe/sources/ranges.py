@@ -32,15 +32,15 @@ def folded(df: DataFrame, keys: list, states: dict[str, str]) -> DataFrame:
 # ---------------------------------------------------------------- running aggregates by key
 
 
-def running_by(rows: DataFrame, keys: list[str], order: list, states: dict[str, str]) -> DataFrame:
-    """``rows`` with each state run up to and with its row, inside its key, in an order.
+def running_by(rows: DataFrame, keys: list[str], order: list, states: dict[str, str], count: int = 0) -> DataFrame:
+    """``rows`` with each state run up to and with its row, inside its key, in an order; count: how many rows, if that is known.
 
     One range sort by key and order.  Partitions run by themselves; only the key that a partition begins with goes on
     from those before it, so a row for each partition is carried.
     """
     keys = keys or ["_all"]
     rows = rows if keys != ["_all"] else rows.withColumn("_all", F.lit(0))
-    r = _ranged(rows, [*keys, *order])
+    r = _ranged(rows, [*keys, *order], count)
     whole = F.struct(*keys)
     edges = r.groupBy("_part").agg(F.min_by(whole, "_local").alias("_first"), F.max_by(whole, "_local").alias("_last"))  # a row a partition
     tails = r.join(F.broadcast(edges), "_part").where(whole.eqNullSafe(F.col("_last")))
@@ -50,7 +50,7 @@ def running_by(rows: DataFrame, keys: list[str], order: list, states: dict[str,
     upto = Window.partitionBy(*keys).orderBy("_part", "_at").rowsBetween(Window.unboundedPreceding, -1)  # over the partitions' edges
     carried = first.unionByName(last.withColumn("_at", F.lit(1))).select("_part", "_at", F.struct(*keys).alias("_key"), *(HOW[how](n).over(upto).alias(f"_c_{n}") for n, how in states.items())).where("_at = 0").drop("_at")
     w = Window.partitionBy("_part", *keys).orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
-    own = r.withColumns({f"_w_{n}": HOW[how](n).over(w) for n, how in states.items()}).withColumn("_whole", whole)
+    own = (dealt(r, count, "_part", *keys) if count else r).withColumns({f"_w_{n}": HOW[how](n).over(w) for n, how in states.items()}).withColumn("_whole", whole)
     carried = carried.withColumnRenamed("_part", "_to")
     met = own.join(F.broadcast(carried), (F.col("_part") == F.col("_to")) & F.col("_whole").eqNullSafe(F.col("_key")), "left")
     kept = [c for c in rows.columns if c not in states and c != "_all"]
@@ -171,16 +171,27 @@ def _before(code: np.ndarray, order: np.ndarray, values: dict[str, np.ndarray],
 BLOCK = 128
 
 
-def inside(points: DataFrame, queries: DataFrame, states: dict[str, str], end: int) -> DataFrame:
-    """The states of the points with a position (_row, dense from 0 to ``end``) in each query's [_lo, _hi]; queries: _id, _lo, _hi.
+def inside(points: DataFrame, queries: DataFrame, states: dict[str, str], end: int, asks: int = 0) -> DataFrame:
+    """The states of the points with a position (_row, dense from 0 to ``end``) in each query's [_lo, _hi]; queries: _id (distinct), _lo, _hi.
 
     A range is the end of its first block, the beginning of its last, and whole blocks between, which two entries of a
     table over blocks cover: for each level, blocks are run away from the middle of twice their number.
+    ``asks`` is the number of queries, if it may be larger than that of points.
+
+    A query looks its parts up one after another.  All is dealt out by the number of rows, and a task keeps only the rows
+    that are looked up, each of which is there once; queries pass by unsorted, however many ask for the same row.
     """
+    rows = max(end + 1, asks)
     q = queries.select("_id", F.greatest("_lo", F.lit(0)).alias("_lo"), F.least("_hi", F.lit(end)).alias("_hi")).where("_lo <= _hi")
     q = q.withColumns({"_a": F.floor(F.col("_lo") / BLOCK), "_b": F.floor(F.col("_hi") / BLOCK)})
-    # all joins are dealt out by the number of rows, so that what a task sorts doesn't grow with it
-    blocked = dealt(points.select("_row", *states).withColumn("_block", F.floor(F.col("_row") / BLOCK)), end, "_block")
+    blocked = dealt(points.select("_row", *states).withColumn("_block", F.floor(F.col("_row") / BLOCK)), rows, "_block")
+
+    def looked_up(asking: DataFrame, key: str, of: DataFrame) -> DataFrame:
+        """``asking`` with its states joined with those of the row of ``of`` with its key."""
+        new = of.select(F.col(key), *(F.col(n).alias(f"_n_{n}") for n in states)).hint("shuffle_hash")
+        met = dealt(asking, rows, key).join(new, key, "left").drop(key)
+        return met.select(*(c for c in met.columns if c.removeprefix("_n_") not in states), *(join2(how, F.col(n), F.col(f"_n_{n}")).alias(n) for n, how in states.items()))
+
     # both ends in one block: that block's points, at most BLOCK
     lists = blocked.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_row", *states))).alias("_of"))
 
@@ -188,30 +199,28 @@ def inside(points: DataFrame, queries: DataFrame, states: dict[str, str], end: i
         some = F.filter("_of", lambda s: (s["_row"] >= F.col("_lo")) & (s["_row"] <= F.col("_hi")) & s[n].isNotNull())
         return F.aggregate(F.transform(some, lambda s: s[n]), F.lit(None).cast(dict(points.dtypes)[n]), lambda u, v: join2(how, u, v)).alias(n)
 
-    same = dealt(q.where("_a = _b"), end, "_a").join(lists, F.col("_a") == F.col("_block")).select("_id", *(within(n, how) for n, how in states.items()))
+    same = dealt(q.where("_a = _b"), rows, "_a").join(lists.hint("shuffle_hash"), F.col("_a") == F.col("_block")).select("_id", *(within(n, how) for n, how in states.items()))
     up = Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("_block").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
     begins = blocked.select(F.col("_row").alias("_hi"), *(HOW[how](n).over(up).alias(n) for n, how in states.items()))
     ends = blocked.select(F.col("_row").alias("_lo"), *(HOW[how](n).over(down).alias(n) for n, how in states.items()))
-    wide = q.where("_a < _b")
-    parts = [same, dealt(wide, end, "_hi").join(begins, "_hi").select("_id", *states), dealt(wide, end, "_lo").join(ends, "_lo").select("_id", *states)]
+    wide = q.where("_a < _b").withColumns({n: F.lit(None).cast(dict(points.dtypes)[n]) for n in states})
+    wide = looked_up(looked_up(wide, "_lo", ends), "_hi", begins)
     most = end // BLOCK
     if most > 1:
-        middle = wide.where("_b - _a > 1").select("_id", (F.col("_a") + 1).alias("_a"), (F.col("_b") - 1).alias("_b"))
-        differ = F.col("_a").bitwiseXOR(F.col("_b"))
+        depth = max(0, int(most).bit_length() - 1)
+        first, last = F.col("_a") + 1, F.col("_b") - 1
         # the level is the highest bit in which the two blocks differ
-        middle = middle.withColumn("_level", F.when(F.col("_a") == F.col("_b"), 0).otherwise(F.length(F.bin(differ)) - 1))
+        level = F.when(first == last, 0).otherwise(F.length(F.bin(first.bitwiseXOR(last))) - 1)
+        place = lambda block, of: block * 64 + of  # noqa: E731  a level and a block in one number; no level is 63, where nothing is found
+        wide = wide.withColumns({"_x": place(first, F.when(first <= last, level).otherwise(63)), "_y": place(last, F.when(first < last, level).otherwise(63))})
         sums = folded(blocked, ["_block"], states)
-        levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, int(most).bit_length() - 1)))).alias("_level")
-        table = sums.select("*", levels).withColumn("_half", F.expr("shiftright(_block, _level)"))
+        table = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_level")).withColumn("_half", F.expr("shiftright(_block, _level)"))
         table = table.withColumn("_from", F.when(F.col("_half") % 2 == 1, F.col("_block")).otherwise(-F.col("_block")))
-        table = running_by(table, ["_level", "_half"], [F.col("_from").asc()], states).select("_level", "_block", *states)
-        both = middle.select("_id", "_level", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
-        parts.append(dealt(both, 2 * end, "_level", "_block").join(table, ["_level", "_block"]).select("_id", *states))
-    whole = parts[0]
-    for x in parts[1:]:
-        whole = whole.unionByName(x)
-    return folded(dealt(whole, end, "_id"), ["_id"], states)
+        table = running_by(table, ["_level", "_half"], [F.col("_from").asc()], states, (most + 1) * (depth + 1))
+        for x in ("_x", "_y"):
+            wide = looked_up(wide, x, table.withColumn(x, place(F.col("_block"), F.col("_level"))))
+    return dealt(same.unionByName(wide.select("_id", *states)), rows, "_id")
 
 
 #: Rows whose windows are computed together, and the widest window that is gone through row by row.
@@ -234,7 +243,7 @@ def sliding(points: DataFrame, rows: DataFrame, before: int, after: int, states:
 def upto(points: DataFrame, rows: DataFrame, offset: int, states: dict[str, str], end: int, backward: bool = False) -> DataFrame:
     """For each row (_row), the states of all points at positions up to _row + offset (``backward``: from there on)."""
     order = F.desc("_row") if backward else F.asc("_row")
-    run = running_by(points.select("_row", *states), [], [order], states).withColumnRenamed("_row", "_pos")
+    run = running_by(points.select("_row", *states), [], [order], states, end + 1).withColumnRenamed("_row", "_pos")
     pos = F.col("_row") + offset
     asked = rows.select("_row", (F.greatest(pos, F.lit(0)) if backward else F.least(pos, F.lit(end))).alias("_pos"))
     return asked.join(run, "_pos").select("_row", *states)
