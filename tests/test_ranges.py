@@ -121,6 +121,22 @@ def test_positions_are_sorted_by_a_known_number_of_rows(spark, monkeypatch):
     assert empty.rows().count() == 0 and empty.end == -1
 
 
+def test_scans_of_long_sheets_get_more_tasks(spark, monkeypatch):
+    """A task that deals its rows out to many holds them all, so it may not read ever more of them; short sheets change nothing."""
+    from veilframe.sources import rows
+
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        Workbook(spark).add("t", spark.range(230), ["id"]).rows()
+        assert spark.conf.get(key, None) is None
+        monkeypatch.setattr(rows, "SPLIT_ROWS", 16, raising=False)
+        for n, least in ((230, 15), (100, 15)):  # never lowered
+            assert Workbook(spark).add("t", spark.range(n), ["id"]).rows().count() == n
+            assert spark.conf.get(key, None) == str(least)
+    finally:
+        spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("lo,hi", [(0, 2), (-5, -1), (-3, 4), (3, 9), (0, 0)])
 def test_sliding(spark, placed, monkeypatch, lo, hi):
     values, points = placed
