@@ -494,7 +494,14 @@ def _ordered(c, node, env, init: Cell, f: Fn, keep: bool) -> DataFrame:
         raise Unsupported("a fold over several columns")
     cell = v.cells()[0]
     value = number(cell) if cell.kind == "number" else cell.col
-    step = lambda a, x: c.apply(f, [Cell(a, init.kind), Cell(x, cell.kind)]).col
+
+    def step(a, x):
+        c.stepping = True
+        try:
+            return c.apply(f, [Cell(a, init.kind), Cell(x, cell.kind)]).col
+        finally:
+            c.stepping = False
+
     if v.frame().limit(FEW + 1).count() > FEW:
         return passed(v.placed(), value, init.col, step, keep)
     items = F.transform(F.array_sort(F.collect_list(F.struct(v.key().alias("k"), value.alias("v")))), lambda s: s["v"])

@@ -16,10 +16,21 @@ def book(spark, sf_dir: str, *tables: str) -> Workbook:
     return b
 
 
+def rounded(df, v: str, digits: int):
+    """A double rounded as SQL does it: times a power of ten, the nearest whole number, halves away from 0; what that overflows stays."""
+    if dict(df.dtypes)[v] != "double":
+        return F.round(v, digits)
+    by = F.lit(10.0**digits)
+    y = F.abs(F.col(v) * by)
+    down = F.floor(y).cast("double")
+    whole = F.when(y < 2.0**52, F.when(y - down >= 0.5, down + 1).otherwise(down)).otherwise(y)  # from 2^52 on there are no halves
+    return F.when(y < float("inf"), F.signum(v) * whole / by).otherwise(F.col(v))
+
+
 def _fill(table, key, formula, others=(), digits=None):
     def run(spark, sf_dir):
         df = book(spark, sf_dir, table, *others).fill({"v": formula}, table, keep=[key])
-        return df.withColumn("v", F.round("v", digits)) if digits is not None else df
+        return df.withColumn("v", rounded(df, "v", digits)) if digits is not None else df
 
     return run
 
