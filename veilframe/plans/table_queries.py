@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headers
 from ..operators import audit, bench, classify, leakscan, mask, restore
+from ..sources import rows as R
 from .privacy_queries import _FOLDED, _WORDS, _tokens, _words, read
 
 Q: dict = {}
@@ -146,6 +147,8 @@ def _t28(s, d):
 
 # ---------------------------------------------------------------- messages
 
+#: Names of documents that are broadcast at most (some 50 bytes each).
+NEAR_NAMES = 1_000_000
 _BODIES = f"SELECT doc_id, concat_ws(' ', {_FOLDED}, lower(c_name)) AS t FROM documents LEFT JOIN customer ON doc_id = c_custkey * 10"
 
 
@@ -155,7 +158,11 @@ def _a21(s, d):
     c = read(s, d, "customer")
     cells = c.select(F.lit("C").alias("column"), F.col("c_name").alias("value")).union(_words(s, d).where("value rlike '^[A-Z]'").select(F.lit("W"), "value"))
     named = c.select((F.col("c_custkey") * 10).alias("k"), "c_name")
-    bodies = read(s, d, "documents").join(named, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.concat_ws(" ", "text", "c_name").alias("body"))
+    docs = read(s, d, "documents")
+    named = R.written(named.join(docs.select(F.col("doc_id").alias("k")), "k", "left_semi"), "named")
+    if named.count() <= NEAR_NAMES:  # whole texts stay where they are
+        named = F.broadcast(named)
+    bodies = docs.join(named, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.concat_ws(" ", "text", "c_name").alias("body"))
     found = audit.scan(bodies, audit.dictionary(cells), key="doc_id", text="body").where("kind = 'exact'")
     return audit.messages(found, "doc_id")
 
